@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.llm import langmodel, tokencount
+from tracemill.llm import langmodel, simhash, tokencount
 from tracemill.llm._shared import table
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {}
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langmodel.score(table(spark, sf_dir, "documents"))
 
@@ -20,4 +24,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op7_lm_scores, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op3_simhash, op7_lm_scores, op10_token_counts)}
