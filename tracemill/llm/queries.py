@@ -5,17 +5,25 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.llm import langmodel, simhash, tokencount
+from tracemill.llm import langmodel, quality, simhash, tokencount, toxicity
 from tracemill.llm._shared import table
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {}
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langmodel.score(table(spark, sf_dir, "documents"))
 
@@ -24,4 +32,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash, op7_lm_scores, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_simhash, op4_quality, op7_lm_scores, op10_token_counts)}
