@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,20 +59,27 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
-def counted(docs: DataFrame, tokens_of: Callable[[str], Iterable[str]], name: str, flush: int = 300_000) -> DataFrame:
+def bytes_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
+    """The texts of an Arrow batch in UTF-8, null as the empty text."""
+    return [t or b"" for t in batch.column(column).cast(pa.binary()).to_pylist()]
+
+
+def counted(docs: DataFrame, tokens_of: Callable, name: str, flush: int = 300_000, read: Callable[[pa.RecordBatch], list] = texts_of) -> DataFrame:
     """(token, n): how often each token occurs in the texts of ``docs``, summed in each task before the shuffle.
 
-    A task holds ``flush`` distinct tokens at most before it passes its sums on.
+    ``read`` gives a batch's texts, as text or as UTF-8, and ``tokens_of`` their tokens likewise. A task holds ``flush``
+    distinct tokens at most before it passes its sums on.
     """
+    kind = pa.binary() if read is bytes_of else pa.string()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: Counter[str] = Counter()
+        sums: Counter = Counter()
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], ["token", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(list(sums), kind).cast(pa.string()), pa.array(list(sums.values()), pa.int64())], ["token", "n"])
 
         for batch in batches:
-            for text in texts_of(batch):
+            for text in read(batch):
                 sums.update(tokens_of(text))
                 if len(sums) > flush:
                     yield out()
