@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.llm import langmodel, pii, quality, simhash, tokencount, toxicity
+from tracemill.llm import decontam, langmodel, pii, quality, simhash, tokencount, toxicity
 from tracemill.llm._shared import table
 
 #: DuckDB SQL for the queries that SQL can express.
@@ -28,6 +28,10 @@ def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langmodel.score(table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -36,4 +40,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_simhash, op4_quality, op7_lm_scores, op9_personal_data, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_simhash, op4_quality, op7_lm_scores, op8_decontamination, op9_personal_data, op10_token_counts)}
