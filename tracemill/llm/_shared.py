@@ -27,12 +27,6 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df.checkpoint()`` in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def parked(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read back: later jobs neither recompute it nor lose it with an executor."""
     spark = df.sparkSession

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracemill.llm import decontam, langmodel, pii, quality, simhash, tokencount, topk, toxicity
+from tracemill.llm import decontam, langmodel, mixing, pii, quality, simhash, tokencount, topk, toxicity
 from tracemill.llm._shared import table
 
 #: DuckDB SQL for the queries that SQL can express.
@@ -18,6 +19,7 @@ ORACLES: dict[str, str] = {
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
     """,
+    "op5_mixing": mixing.oracle(),
 }
 
 
@@ -37,6 +39,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = mixing.weighted(table(spark, sf_dir, "documents"), mixing.POWERS, share=0.5)
+    return docs.select("doc_id", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.round("_rate", 6).alias("rate"), F.col("_keep").alias("kept"))
+
+
 def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langmodel.score(table(spark, sf_dir, "documents"))
 
@@ -53,4 +60,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_top_k, op2_toxicity, op3_simhash, op4_quality, op7_lm_scores, op8_decontamination, op9_personal_data, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_top_k, op2_toxicity, op3_simhash, op4_quality, op5_mixing, op7_lm_scores, op8_decontamination, op9_personal_data, op10_token_counts)}

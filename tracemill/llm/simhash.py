@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm._shared import checkpointed, parked, texts_of
+from tracemill.llm._shared import parked, texts_of
 
 SEED = 42
 
@@ -121,9 +121,10 @@ def links(fps: DataFrame, distance: int = 4, blocks=BLOCKS) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of ``edges`` (u, v) reaches.
 
-    Large stars and small stars take turns until no edge changes; each turn is checkpointed.
+    Large stars and small stars take turns until no edge changes; each turn is written to the shared folder, so
+    that neither its lineage nor its size estimates pile up.
     """
-    held = checkpointed(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    held = parked(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     mark = F.struct(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")))
     before = held.select(mark.alias("m")).first()
     while True:
@@ -132,7 +133,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        held = checkpointed(small.filter(F.col("u") != F.col("v")).distinct())
+        held = parked(small.filter(F.col("u") != F.col("v")).distinct(), "links")
         after = held.select(mark.alias("m")).first()
         if after == before:
             break
