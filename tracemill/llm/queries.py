@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import decontam, langmodel, mixing, pii, quality, simhash, tokencount, topk, toxicity
+from tracemill.llm import decontam, langmodel, mixing, pii, quality, simhash, tokencount, topk, toxicity, urlfilter
 from tracemill.llm._shared import table
 
 #: DuckDB SQL for the queries that SQL can express.
@@ -20,6 +20,7 @@ ORACLES: dict[str, str] = {
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
     """,
     "op5_mixing": mixing.oracle(),
+    "op6_url_lists": urlfilter.ORACLE,
 }
 
 
@@ -44,6 +45,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.round("_rate", 6).alias("rate"), F.col("_keep").alias("kept"))
 
 
+def op6_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return urlfilter.evaluate(urlfilter.dated_pages(pages), urlfilter.dated_list(pages))
+
+
 def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langmodel.score(table(spark, sf_dir, "documents"))
 
@@ -60,4 +66,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_top_k, op2_toxicity, op3_simhash, op4_quality, op5_mixing, op7_lm_scores, op8_decontamination, op9_personal_data, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_top_k, op2_toxicity, op3_simhash, op4_quality, op5_mixing, op6_url_lists, op7_lm_scores, op8_decontamination, op9_personal_data, op10_token_counts)}
