@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tracemill.llm import _labelled
@@ -108,6 +111,23 @@ class ByteConvNet:
         return self
 
 
+def _net(docs: DataFrame, labels: DataFrame, train_rows: int, train_chars: int, id_col: str, text_col: str, label_col: str):
+    texts, y = _labelled.sample(docs, labels, label_col, train_rows, train_chars, id_col=id_col, text_col=text_col)
+    return docs.sparkSession.sparkContext.broadcast(ByteConvNet().fit(texts, y))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, train_rows: int = 4096, train_chars: int = 24_000, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """The rows of ``docs`` whose text scores ``threshold`` or more; see score_quality()."""
+    net = _net(docs, labels, train_rows, train_chars, id_col, text_col, label_col)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(net.value.score([t or "" for t in batch.column(at).to_pylist()]) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, train_rows: int = 4096, train_chars: int = 24_000, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """One row per row of ``docs``: id, held_out, score (0 to 1, higher: better), predicted (1 if score >= ``threshold``).
 
@@ -115,6 +135,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, train_rows: int = 4096, tr
     id's crc32 modulo 5 is not 0; every whole text is scored. Null and empty texts are scored as one window of padding.
     Without labels every score is what the untrained network gives. Repeated rows and other columns don't matter.
     """
-    texts, y = _labelled.sample(docs, labels, label_col, train_rows, train_chars, id_col=id_col, text_col=text_col)
-    net = docs.sparkSession.sparkContext.broadcast(ByteConvNet().fit(texts, y))
+    net = _net(docs, labels, train_rows, train_chars, id_col, text_col, label_col)
     return _labelled.scored(docs, lambda: net.value.score, threshold, id_col=id_col, text_col=text_col)

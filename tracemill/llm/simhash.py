@@ -165,8 +165,10 @@ def deduplicated(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col: s
     Of rows that repeat that id one stays. Rows without an id go if a document with an id is in their component, else stay.
     """
     near = parked(near_duplicates(docs, shingle, distance, id_col, text_col), "near-duplicates")
-    keep = near.select(F.col("component_id").alias("_keep")).filter(F.col("_keep").isNotNull()).distinct()
-    first = docs.join(keep, docs[id_col] == keep["_keep"], "left_semi")
+    # those that go are fewer than those that stay, and few enough to be broadcast if copies are rare
+    gone = near.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
+    named = docs.filter(F.col(id_col).isNotNull())
+    first = named.join(gone, named[id_col] == gone["_gone"], "left_anti")
     again = parked(near.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_again")).count().filter("count > 1").select("_again"), "repeated-ids")
     if not again.isEmpty():
         one = first.join(again, first[id_col] == again["_again"], "left_semi").dropDuplicates([id_col])
