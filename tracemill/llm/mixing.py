@@ -6,9 +6,10 @@ each dimension until these fit; a document is kept with the probability that its
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tracemill.llm._shared import id_text, parked
@@ -76,19 +77,52 @@ def rates(raked: DataFrame, share: float, rounds: int = 20) -> DataFrame:
     return held.withColumn("rate", F.least(F.lit(1.0), F.col("_want") * scale)).drop("_want")
 
 
+def rates_here(cells: Sequence[Row], powers: Mapping[str, float], share: float, rounds: int, scale_rounds: int = 20) -> np.ndarray:
+    """tempered(), rake() and rates() for cells (a value of each dimension of ``powers``, tokens) that fit the driver."""
+    tokens = np.array([r.tokens for r in cells], np.float64)
+    weight, budget, scale = tokens / tokens.sum(), share * tokens.sum(), 0.0
+    codes, targets = [], []
+    for i, power in enumerate(powers.values()):
+        number: dict[str, int] = {}
+        codes.append(np.array([number.setdefault(r[i], len(number)) for r in cells]))
+        part = np.bincount(codes[-1], tokens) ** power
+        targets.append(part / part.sum())
+    for _ in range(rounds):
+        for code, target in zip(codes, targets):
+            have = np.bincount(code, weight)
+            weight = weight * np.divide(target, have, out=np.zeros_like(have), where=have > 0)[code]
+    want = weight / tokens
+    for _ in range(scale_rounds):
+        full = want * scale >= 1
+        free = weight[~full].sum()
+        fresh = max(scale, (budget - tokens[full].sum()) / free) if free > 0 else scale
+        if fresh == scale:
+            break
+        scale = fresh
+    return np.minimum(1.0, want * scale)
+
+
 def uniform(id_col: str, seed: str) -> Column:
     """A number from 0 to 1 from the id alone: the first 52 bits of an MD5."""
     return F.conv(F.substring(F.md5(F.concat(id_text(id_col), F.lit(f":{seed}"))), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def weighted(docs: DataFrame, powers: Mapping[str, float], share: float, topic: Column | None = None, seed: str = "mix", rounds: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with _source, _lang, _topic, _tokens, _rate and _keep. See mixed()."""
+def weighted(docs: DataFrame, powers: Mapping[str, float], share: float, topic: Column | None = None, seed: str = "mix", rounds: int = 12, id_col: str = "doc_id", text_col: str = "text", driver_cells: int = 50_000) -> DataFrame:
+    """``docs`` with _source, _lang, _topic, _tokens, _rate and _keep. See mixed().
+
+    Up to ``driver_cells`` cells are raked on the driver and their rates broadcast; more are raked as a table and joined.
+    """
     cols = {"_source": F.coalesce(F.col("source").cast("string"), F.lit("")), "_lang": F.coalesce(F.col("lang").cast("string"), F.lit("")), "_topic": topic_of(F.col(text_col)) if topic is None else F.coalesce(topic, F.lit("")), "_tokens": tokens_of(F.col(text_col))}
     rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *[e.alias(n) for n, e in cols.items()])
     keys = ["_source", "_lang", "_topic"]
     cells = parked(rows.groupBy(*keys).agg(F.sum("_tokens").alias("tokens")), "cells")
-    targets = {f"_{d}": tempered(cells, f"_{d}", p) for d, p in powers.items()}
-    chances = parked(rates(rake(cells, targets, rounds), share).select(*keys, F.col("rate").alias("_rate")), "rates")
+    if cells.count() <= driver_cells:
+        held = cells.select(*[f"_{d}" for d in powers], "tokens", *keys).collect()
+        found = rates_here(held, powers, share, rounds).tolist() if held else []
+        chances = F.broadcast(docs.sparkSession.createDataFrame([(*r[-3:], x) for r, x in zip(held, found)], "_source string, _lang string, _topic string, _rate double"))
+    else:
+        targets = {f"_{d}": tempered(cells, f"_{d}", p) for d, p in powers.items()}
+        chances = parked(rates(rake(cells, targets, rounds), share).select(*keys, F.col("rate").alias("_rate")), "rates")
     return rows.join(chances, keys).withColumn("_keep", uniform(id_col, seed) < F.col("_rate"))
 
 
