@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.functions.phonology import ACOUSTIC, GROUPS, PHONOLOGY
+
 #: The lower and the upper quantile.
 LOWER, UPPER = 0.33, 0.66
 
@@ -43,3 +45,21 @@ def bin_label(value: Column, q33: Column, q66: Column, labels: Sequence[str]) ->
 def apply(df: DataFrame, stats: DataFrame, labels: Mapping[str, Sequence[str]]) -> DataFrame:
     """``df`` with a column <scalar>_bin for each scalar of ``labels``; ``stats`` is one row of fit_row()."""
     return df.crossJoin(F.broadcast(stats)).select(*[df[c] for c in df.columns], *[bin_label(df[s], stats[f"{s}_q33"], stats[f"{s}_q66"], ls).alias(f"{s}_bin") for s, ls in labels.items()])
+
+
+def traits(df: DataFrame, stats: DataFrame | None = None, version: str = "v3") -> DataFrame:
+    """``df`` with latent_json, the 17 traits of its scalars in two groups; ``stats`` is one row of fit_row(), else fitted on ``df``."""
+    named = {**ACOUSTIC, **PHONOLOGY}
+    scalars = [s for s, _ in named.values()]
+    stats = fit_row(df, scalars) if stats is None else stats
+    label = {t: bin_label(df[s], stats[f"{s}_q33"], stats[f"{s}_q66"], ls).alias(t) for t, (s, ls) in named.items()}
+    label["syllabic_consonants"] = F.when(df["has_syllabic"] > 0.5, "present").otherwise("absent").alias("syllabic_consonants")
+    groups = [F.struct(*[label[t] for t in ts]).alias(g) for g, ts in GROUPS.items()]
+    return df.crossJoin(F.broadcast(stats)).select(*[df[c] for c in df.columns], F.struct(F.lit(version).alias("latent_version"), *groups).alias("latent_json"))
+
+
+def flattened(latent: Column) -> Column:
+    """The traits of all groups and the version as one map from names to labels."""
+    pairs = [F.struct(F.lit("latent_version").alias("k"), latent["latent_version"].alias("v"))]
+    pairs += [F.struct(F.lit(t).alias("k"), latent[g][t].alias("v")) for g, ts in GROUPS.items() for t in ts]
+    return F.map_from_entries(F.array(*pairs))

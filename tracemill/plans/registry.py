@@ -16,9 +16,15 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Registers a query, with the SQL that checks it where there is one."""
 
     def keep(f: Query) -> Query:
+        if name in QUERIES:
+            raise ValueError(f"two queries are named {name}")
         QUERIES[name] = f
         if sql is not None:
             ORACLES[name] = sql
         return f
 
     return keep
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
