@@ -6,7 +6,7 @@ each dimension until these fit; a document is kept with the probability that its
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Row
@@ -107,12 +107,13 @@ def uniform(id_col: str, seed: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(id_text(id_col), F.lit(f":{seed}"))), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def weighted(docs: DataFrame, powers: Mapping[str, float], share: float, topic: Column | None = None, seed: str = "mix", rounds: int = 12, id_col: str = "doc_id", text_col: str = "text", driver_cells: int = 50_000) -> DataFrame:
+def weighted(docs: DataFrame, powers: Mapping[str, float], share: float, topic: Callable[[Column], Column] = topic_of, seed: str = "mix", rounds: int = 12, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", driver_cells: int = 50_000) -> DataFrame:
     """``docs`` with _source, _lang, _topic, _tokens, _rate and _keep. See mixed().
 
     Up to ``driver_cells`` cells are raked on the driver and their rates broadcast; more are raked as a table and joined.
     """
-    cols = {"_source": F.coalesce(F.col("source").cast("string"), F.lit("")), "_lang": F.coalesce(F.col("lang").cast("string"), F.lit("")), "_topic": topic_of(F.col(text_col)) if topic is None else F.coalesce(topic, F.lit("")), "_tokens": tokens_of(F.col(text_col))}
+    named = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    cols = {"_source": named(F.col(source_col)), "_lang": named(F.col(lang_col)), "_topic": named(topic(F.col(text_col))), "_tokens": tokens_of(F.col(text_col))}
     rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *[e.alias(n) for n, e in cols.items()])
     keys = ["_source", "_lang", "_topic"]
     cells = parked(rows.groupBy(*keys).agg(F.sum("_tokens").alias("tokens")), "cells")
@@ -129,15 +130,17 @@ def weighted(docs: DataFrame, powers: Mapping[str, float], share: float, topic:
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.5}
 
 
-def mixed(docs: DataFrame, powers: Mapping[str, float] = POWERS, share: float = 0.5, topic: Column | None = None, seed: str = "mix", rounds: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mixed(docs: DataFrame, powers: Mapping[str, float] = POWERS, share: float = 0.5, topic: Callable[[Column], Column] = topic_of, seed: str = "mix", rounds: int = 12, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", driver_cells: int = 50_000) -> DataFrame:
     """A sample of ``docs`` with about ``share`` of its tokens, in the proportions of raked source, language and topic weights.
 
     The marginals are the token shares of each value to the power of ``powers``, made to sum to 1. A document is kept if a
     number hashed from its id is below its cell's chance, so repeated rows stay or go together. Null sources, languages and
     topics are values of their own (the empty text); a null or empty text has one token. Columns of ``docs`` are kept
-    whatever their names are, unless they start like _source, _lang, _topic, _tokens, _rate, _keep. No document, no result.
+    whatever their names are. No document, no result.
     """
-    return weighted(docs, powers, share, topic, seed, rounds, id_col, text_col).filter("_keep").select(*[F.col(f"`{c}`") for c in docs.columns])
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    kept = weighted(docs.toDF(*at.values()), powers, share, topic, seed, rounds, at[id_col], at[text_col], at[source_col], at[lang_col], driver_cells).filter("_keep")
+    return kept.select(*at.values()).toDF(*docs.columns)
 
 
 def oracle(powers: Mapping[str, float] = POWERS, share: float = 0.5, seed: str = "mix", rounds: int = 12, scale_rounds: int = 20) -> str:
