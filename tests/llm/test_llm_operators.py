@@ -78,7 +78,7 @@ def test_filters_keep_columns_on_odd_and_empty_tables(spark, name):
 def test_top_k_is_exact_with_ties_repeats_and_bad_vectors(spark):
     rng = random.Random(3)
     rows = [(i, [rng.choice((-0.5, 0.0, 0.25, 0.7)) for _ in range(6)]) for i in range(400)]
-    rows += [(0, rows[0][1]), (7, rows[7][1]), (401, None), (402, [1.0, None, 0, 0, 0, 0]), (403, [float("nan")] * 6), (500, [float("inf")] * 6), (None, rows[3][1]), (600, [0.1, 0.2])]
+    rows += [(0, rows[0][1]), (7, rows[7][1]), (401, None), (402, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (403, [float("nan")] * 6), (500, [float("inf")] * 6), (None, rows[3][1]), (600, [0.1, 0.2])]
     got = defaultdict(list)
     for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=64).collect():
         got[r.query_id].append((r["rank"], r.vec_id, r.score))
