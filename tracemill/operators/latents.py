@@ -4,33 +4,70 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions.phonology import ACOUSTIC, GROUPS, PHONOLOGY
+from tracemill.operators.held import held
 
 #: The lower and the upper quantile.
 LOWER, UPPER = 0.33, 0.66
-
-
-def fit(df: DataFrame, scalars: Sequence[str]) -> DataFrame:
-    """One row per scalar: q33, q66, min, max over its values that are numbers; without any, the quantiles are 0 and the others null."""
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(s).alias("scalar"), F.col(s).cast("double").alias("v")) for s in scalars])).alias("x")).select("x.*")
-    good = F.when(~F.isnan("v"), F.col("v"))
-    return long.groupBy("scalar").agg(
-        F.coalesce(F.percentile(good, F.lit(LOWER)), F.lit(0.0)).alias("q33"),
-        F.coalesce(F.percentile(good, F.lit(UPPER)), F.lit(0.0)).alias("q66"),
-        F.min(good).alias("min"),
-        F.max(good).alias("max"),
+#: From so many distinct values on, quantiles are taken by rank; below, one aggregate counts the values in memory.
+MOST_DISTINCT = 2_000_000
+
+
+def long_form(df: DataFrame, scalars: Sequence[str]) -> DataFrame:
+    """(scalar, v): one row for each row and scalar; what is no number is null."""
+    rows = df.select(F.explode(F.array(*[F.struct(F.lit(s).alias("scalar"), F.col(s).cast("double").alias("v")) for s in scalars])).alias("x")).select("x.*")
+    return rows.withColumn("v", F.when(~F.isnan("v"), F.col("v")))
+
+
+def fit(df: DataFrame, scalars: Sequence[str], most_distinct: int = MOST_DISTINCT) -> DataFrame:
+    """One row per scalar: q33, q66, min, max over its values that are numbers; without any, the quantiles are 0 and the others null.
+
+    An exact quantile counts each distinct value in the memory of one task, so first their number is estimated; if a
+    scalar has more than ``most_distinct``, fit_by_rank() finds the same values without such a table.
+    """
+    rows = long_form(df, scalars)
+    if (rows.groupBy("scalar").agg(F.approx_count_distinct("v").alias("n")).agg(F.max("n")).first()[0] or 0) > most_distinct:
+        return fit_by_rank(df, scalars)
+    return rows.groupBy("scalar").agg(
+        F.coalesce(F.percentile("v", F.lit(LOWER)), F.lit(0.0)).alias("q33"),
+        F.coalesce(F.percentile("v", F.lit(UPPER)), F.lit(0.0)).alias("q66"),
+        F.min("v").alias("min"),
+        F.max("v").alias("max"),
     )
 
 
-def fit_row(df: DataFrame, scalars: Sequence[str]) -> DataFrame:
-    """The same fit as one row with columns <scalar>_q33 and <scalar>_q66, to be joined by broadcast."""
+def fit_by_rank(df: DataFrame, scalars: Sequence[str]) -> DataFrame:
+    """As fit(), by sorting: values are counted with a partial step and dealt in ranges, the ranges' sums say which of them hold
+    the ranks asked for, and only these are numbered. Memory is that of a sort, whatever the number of distinct values."""
+    counts = long_form(df, scalars).groupBy("scalar", "v").agg(F.count("v").alias("n"))
+    ranged = held(counts.repartitionByRange("scalar", "v").withColumn("part", F.spark_partition_id()), "ranges")
+    sums = ranged.groupBy("scalar", "part").agg(F.sum("n").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    whole = sums.groupBy("scalar").agg(F.sum("n").alias("total"), F.min("low").alias("min"), F.max("high").alias("max"))
+    before = sums.withColumn("before", F.sum("n").over(Window.partitionBy("scalar").orderBy("part")) - F.col("n"))
+    place = F.col("q") * (F.col("total") - 1)
+    ranks = whole.filter("total > 0").select("scalar", F.explode(F.array(F.lit(LOWER), F.lit(UPPER))).alias("q"), "total").withColumn("place", place)
+    ranks = ranks.select("scalar", "q", "place", F.explode(F.array_distinct(F.array(F.floor("place"), F.ceil("place")))).alias("rank"))
+    here = ranks.join(before.withColumnRenamed("scalar", "s"), (F.col("scalar") == F.col("s")) & (F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("n"))).select("scalar", "part", "before", "q", "place", "rank")
+    wanted = here.select("scalar", "part", "before").distinct()
+    upto = F.sum("n").over(Window.partitionBy("scalar", "part").orderBy("v")) + F.col("before")
+    numbered = ranged.filter(F.col("v").isNotNull()).join(F.broadcast(wanted), ["scalar", "part"]).withColumn("upto", upto)
+    met = numbered.join(F.broadcast(here.drop("before")), ["scalar", "part"]).filter((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("n") <= F.col("rank")))
+    share = F.col("place") - F.floor("place")
+    low, high = F.min_by("v", "rank"), F.max_by("v", "rank")
+    found = met.groupBy("scalar", "q").agg((low + (high - low) * F.max(share)).alias("value"))
+    pivot = found.groupBy("scalar").agg(F.max(F.when(F.col("q") == LOWER, F.col("value"))).alias("q33"), F.max(F.when(F.col("q") == UPPER, F.col("value"))).alias("q66"))
+    return whole.join(pivot, "scalar", "left").select("scalar", F.coalesce("q33", F.lit(0.0)).alias("q33"), F.coalesce("q66", F.lit(0.0)).alias("q66"), "min", "max")
+
+
+def fit_row(df: DataFrame, scalars: Sequence[str], weight: str | None = None) -> DataFrame:
+    """The same fit as one row with columns <scalar>_q33 and <scalar>_q66, to be joined by broadcast; ``weight`` says how often a row counts."""
     aggs = []
     for s in scalars:
         good = F.when(~F.isnan(F.col(s).cast("double")), F.col(s).cast("double"))
-        q = F.percentile(good, F.array(F.lit(LOWER), F.lit(UPPER)))
+        q = F.percentile(good, F.array(F.lit(LOWER), F.lit(UPPER)), F.col(weight) if weight else F.lit(1))
         aggs += [F.coalesce(q[0], F.lit(0.0)).alias(f"{s}_q33"), F.coalesce(q[1], F.lit(0.0)).alias(f"{s}_q66")]
     return df.agg(*aggs)
 

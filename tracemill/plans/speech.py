@@ -113,6 +113,12 @@ def quantile_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("scalar", F.round("q33", 4).alias("q33"), F.round("q66", 4).alias("q66"), "min", "max")
 
 
+@query("quantile_fit_by_rank", _FIT_ROWS)
+def quantile_fit_by_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = latents.fit_by_rank(table(spark, sf_dir, "lineitem"), ["l_extendedprice", "l_quantity", "l_tax"])
+    return found.select("scalar", F.round("q33", 4).alias("q33"), F.round("q66", 4).alias("q66"), "min", "max")
+
+
 _ASKED = {"c_mktsegment": "What is the segment?", "c_name": "What is the name?", "region": "What is the region?"}
 _ENTRIES = "x AS (SELECT c_custkey, c_acctbal, CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment END AS c_mktsegment, c_name, CASE WHEN c_nationkey % 2 = 0 THEN r_name END AS region FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
 _ITEMS = f"{_ENTRIES}, i AS (" + " UNION ALL ".join(f"SELECT c_custkey, c_acctbal, '{a}' AS attribute, '{p}' AS prompt, {a} AS answer FROM x WHERE {a} IS NOT NULL" for a, p in zip(_ASKED, (p.replace("'", "''") for p in _ASKED.values()))) + ")"
