@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,6 +25,11 @@ CLOSING = "</RESPONSE>"
 _LINE = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends; trim() knows blanks only."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -37,14 +42,15 @@ def last_line(c: Column) -> Column:
 def extract_label(text: Column) -> Column:
     """What follows the last "most consistent with:", else the last " is " of the last line, else that line; without outer white
     space, then without outer dots, in lower case. Null for texts that are null or blank."""
-    t = strip(text)
-    low, line = F.lower(t), strip(last_line(t))
-    part = (
-        F.when(low.contains("most consistent with:"), F.regexp_extract(t, r"(?is)^.*most consistent with:(.*)$", 1))
-        .when(F.lower(line).contains(" is "), F.regexp_extract(line, r"(?is)^.* is (.*)$", 1))
-        .otherwise(line)
-    )
-    return F.when(t != "", F.lower(F.regexp_replace(strip(part), r"^\.+|\.+$", "")))
+
+    def label(t: Column) -> Column:
+        part = F.when(F.lower(t).contains("most consistent with:"), F.regexp_extract(t, r"(?is)^.*most consistent with:(.*)$", 1)).otherwise(let(strip(last_line(t)), after_is))
+        return F.when(t != "", F.lower(F.regexp_replace(strip(part), r"^\.+|\.+$", "")))
+
+    def after_is(line: Column) -> Column:
+        return F.when(F.lower(line).contains(" is "), F.regexp_extract(line, r"(?is)^.* is (.*)$", 1)).otherwise(line)
+
+    return let(strip(text), label)
 
 
 def final_answer_tail(text: Column, tag: str = "<FINAL_ANSWER>") -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tracemill.functions.text import strip
+from tracemill.functions.text import let, strip
 
 #: The patterns and messages of the rules.
 BLOCKS = r"(?isU)<THINK>(.*?)</THINK>\s*<RESPONSE>(.*?)</RESPONSE>"
@@ -70,22 +70,30 @@ def violations(text: Column, pairs: Column, candidates: Column) -> Column:
     Without both blocks the format is the only violation. A response without the template and without "consistent with:" ends
     the list. The label is compared with the candidates, never with the right answer. Null texts count as empty.
     """
-    t = F.coalesce(text, F.lit(""))
-    think, response = think_of(t), response_of(t)
     none = F.array().cast("array<string>")
     when = lambda cond, said: F.when(cond, F.array(said)).otherwise(none)
     bad = lambda found, where: F.transform(F.filter(found, lambda p: ~F.array_contains(pairs, p)), lambda p: F.concat(F.lit(f"Invalid trait in {where}: "), p))
-    traits, label = traits_of(response), label_of(response)
-    shaped = traits != ""
-    named = pairs_in(traits)
-    unfit = when(
-        ~label_fits(label, candidates),
-        F.concat(F.lit("Invalid Label: '"), clean_label(label), F.lit("' (raw: '"), label, F.lit("') not in candidates: ["), F.array_join(F.transform(candidates, lambda c: F.concat(F.lit("'"), c, F.lit("'"))), ", "), F.lit("]")),
-    )
-    few = when(F.size(named) < 2, F.concat(F.lit("Insufficient traits in RESPONSE: Found "), F.size(named).cast("string"), F.lit(", expected at least 2.")))
-    rest = F.when(shaped, F.concat(few, bad(named, "RESPONSE"), unfit)).when(response.contains("consistent with:"), F.concat(F.array(F.lit(ODD_SHAPE)), unfit)).otherwise(F.array(F.lit(NO_SHAPE)))
-    found = F.concat(when(unit_in(think) != "", F.concat(F.lit("Forbidden pattern found: "), unit_in(think))), bad(pairs_in(think), "THINK"), rest)
-    return F.when((think == "") | (response == ""), F.array(F.lit(NO_BLOCKS))).otherwise(found)
+
+    def of_label(label: Column) -> Column:
+        listed = F.array_join(F.transform(candidates, lambda c: F.concat(F.lit("'"), c, F.lit("'"))), ", ")
+        return when(~label_fits(label, candidates), F.concat(F.lit("Invalid Label: '"), clean_label(label), F.lit("' (raw: '"), label, F.lit("') not in candidates: ["), listed, F.lit("]")))
+
+    def of_response(response: Column) -> Column:
+        def shaped(traits: Column) -> Column:
+            named = pairs_in(traits)
+            few = when(F.size(named) < 2, F.concat(F.lit("Insufficient traits in RESPONSE: Found "), F.size(named).cast("string"), F.lit(", expected at least 2.")))
+            loose = F.when(response.contains("consistent with:"), F.array(F.lit(ODD_SHAPE))).otherwise(F.array(F.lit(NO_SHAPE)))
+            return F.when(traits != "", F.concat(few, bad(named, "RESPONSE"))).otherwise(loose)
+
+        return F.concat(let(traits_of(response), shaped), let(label_of(response), lambda label: F.when(label.isNull(), none).otherwise(of_label(label))))
+
+    def of_blocks(b: Column) -> Column:
+        think, response = b["think"], b["response"]
+        units = let(unit_in(think), lambda u: when(u != "", F.concat(F.lit("Forbidden pattern found: "), u)))
+        return F.when((think == "") | (response == ""), F.array(F.lit(NO_BLOCKS))).otherwise(F.concat(units, bad(pairs_in(think), "THINK"), of_response(response)))
+
+    t = F.coalesce(text, F.lit(""))
+    return let(F.struct(think_of(t).alias("think"), response_of(t).alias("response")), of_blocks)
 
 
 def clean_json(reply: Column) -> Column:
