@@ -87,7 +87,7 @@ def test_top_k_is_exact_with_ties_repeats_and_bad_vectors(spark):
         own = next(v for i, v in good if i == q)
         scores = sorted((-sum(a * b for a, b in zip(own, v)), i) for i, v in good if i != q and len(v) == len(own))[:10]
         assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(scores)]
-    assert set(got) == {0, 100, 200, 300}
+    assert {q for q, found in got.items() if found} == {0, 100, 200, 300}
 
 
 def plain_fingerprint(text, n=4):
