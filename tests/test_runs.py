@@ -70,6 +70,11 @@ def test_quantiles_by_rank_equal_the_aggregate(spark):
         for r in (want[s], got[s]):
             assert np.allclose([r.q33, r.q66, r["min"], r["max"]], [*np.percentile(v, (33, 66)), v.min(), v.max()])
     assert tuple(want["z"]) == tuple(got["z"]) == ("z", 0.0, 0.0, None, None)
+    weighted = df.selectExpr("x", "y", "int(coalesce(y, 2)) AS w")
+    near, far = (latents.fit_row(weighted, ["x", "y"], "w", most_distinct=m).first() for m in (10_000, 3))
+    assert np.allclose([*near], [*far]) and near.asDict().keys() == far.asDict().keys()
+    none = df.filter(F.lit(False))
+    assert [tuple(r) for r in latents.fit(none, ["x"]).collect()] == [("x", 0.0, 0.0, None, None)] and tuple(latents.fit_row(none, ["x"]).first()) == (0.0, 0.0)
     one = spark.createDataFrame([(5.0,)], "x double")
     assert tuple(latents.fit_by_rank(one, ["x"]).first()) == ("x", 5.0, 5.0, 5.0, 5.0)
     assert latents.fit_by_rank(one.filter(F.lit(False)), ["x"]).collect() == []

@@ -12,37 +12,56 @@ from tracemill.operators.held import held
 
 #: The lower and the upper quantile.
 LOWER, UPPER = 0.33, 0.66
-#: From so many distinct values on, quantiles are taken by rank; below, one aggregate counts the values in memory.
+#: From so many distinct values on, of all scalars together, quantiles are taken by rank; below, one aggregate counts the
+#: values in memory.
 MOST_DISTINCT = 2_000_000
 
 
-def long_form(df: DataFrame, scalars: Sequence[str]) -> DataFrame:
-    """(scalar, v): one row for each row and scalar; what is no number is null."""
-    rows = df.select(F.explode(F.array(*[F.struct(F.lit(s).alias("scalar"), F.col(s).cast("double").alias("v")) for s in scalars])).alias("x")).select("x.*")
-    return rows.withColumn("v", F.when(~F.isnan("v"), F.col("v")))
+def number(df: DataFrame, scalar: str) -> Column:
+    """The scalar as a double; what is no number is null."""
+    v = df[scalar].cast("double")
+    return F.when(~F.isnan(v), v)
+
+
+def long_form(df: DataFrame, scalars: Sequence[str], weight: str | None = None) -> DataFrame:
+    """(scalar, v, w): one row for each row and scalar, and how often it counts."""
+    cells = F.array(*[F.struct(F.lit(s).alias("scalar"), number(df, s).alias("v")) for s in scalars])
+    w = df[weight].cast("long") if weight else F.lit(1).cast("long")
+    return df.select(F.explode(cells).alias("x"), w.alias("w")).select("x.*", "w")
+
+
+def fits_memory(df: DataFrame, scalars: Sequence[str], most_distinct: int = MOST_DISTINCT) -> bool:
+    """Whether the scalars have about ``most_distinct`` values together at most: exact quantiles as an aggregate keep each of
+    them in the memory of one task. The estimate is a pass of its own, with a fixed number of bytes for each scalar."""
+    counts = df.agg(*[F.approx_count_distinct(number(df, s)).alias(f"n{i}") for i, s in enumerate(scalars)]).first()
+    return sum(counts) <= most_distinct
 
 
 def fit(df: DataFrame, scalars: Sequence[str], most_distinct: int = MOST_DISTINCT) -> DataFrame:
     """One row per scalar: q33, q66, min, max over its values that are numbers; without any, the quantiles are 0 and the others null.
 
-    An exact quantile counts each distinct value in the memory of one task, so first their number is estimated; if a
-    scalar has more than ``most_distinct``, fit_by_rank() finds the same values without such a table.
+    Scalars with more than ``most_distinct`` values together are fitted by rank, which gives the same.
     """
-    rows = long_form(df, scalars)
-    if (rows.groupBy("scalar").agg(F.approx_count_distinct("v").alias("n")).agg(F.max("n")).first()[0] or 0) > most_distinct:
+    if not fits_memory(df, scalars, most_distinct):
         return fit_by_rank(df, scalars)
-    return rows.groupBy("scalar").agg(
-        F.coalesce(F.percentile("v", F.lit(LOWER)), F.lit(0.0)).alias("q33"),
-        F.coalesce(F.percentile("v", F.lit(UPPER)), F.lit(0.0)).alias("q66"),
-        F.min("v").alias("min"),
-        F.max("v").alias("max"),
-    )
+    rows = []
+    for s in scalars:
+        q = _both_quantiles(df, s)
+        rows.append(F.struct(F.lit(s).alias("scalar"), q[0].alias("q33"), q[1].alias("q66"), F.min(number(df, s)).alias("min"), F.max(number(df, s)).alias("max")))
+    return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
 
 
-def fit_by_rank(df: DataFrame, scalars: Sequence[str]) -> DataFrame:
+def _both_quantiles(df: DataFrame, scalar: str, weight: str | None = None) -> tuple[Column, Column]:
+    q = F.percentile(number(df, scalar), F.array(F.lit(LOWER), F.lit(UPPER)), df[weight] if weight else F.lit(1))
+    return F.coalesce(q[0], F.lit(0.0)), F.coalesce(q[1], F.lit(0.0))
+
+
+def fit_by_rank(df: DataFrame, scalars: Sequence[str], weight: str | None = None) -> DataFrame:
     """As fit(), by sorting: values are counted with a partial step and dealt in ranges, the ranges' sums say which of them hold
-    the ranks asked for, and only these are numbered. Memory is that of a sort, whatever the number of distinct values."""
-    counts = long_form(df, scalars).groupBy("scalar", "v").agg(F.count("v").alias("n"))
+    the ranks asked for, and only these are numbered. Memory is that of a sort, whatever the number of distinct values. An
+    empty table gives no rows."""
+    counts = long_form(df, scalars, weight).groupBy("scalar", "v").agg(F.sum(F.when(F.col("v").isNotNull(), F.col("w")).otherwise(0)).alias("n"))
+    counts = counts.filter(F.col("v").isNull() | (F.col("n") > 0))
     ranged = held(counts.repartitionByRange("scalar", "v").withColumn("part", F.spark_partition_id()), "ranges")
     sums = ranged.groupBy("scalar", "part").agg(F.sum("n").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
     whole = sums.groupBy("scalar").agg(F.sum("n").alias("total"), F.min("low").alias("min"), F.max("high").alias("max"))
@@ -62,14 +81,15 @@ def fit_by_rank(df: DataFrame, scalars: Sequence[str]) -> DataFrame:
     return whole.join(pivot, "scalar", "left").select("scalar", F.coalesce("q33", F.lit(0.0)).alias("q33"), F.coalesce("q66", F.lit(0.0)).alias("q66"), "min", "max")
 
 
-def fit_row(df: DataFrame, scalars: Sequence[str], weight: str | None = None) -> DataFrame:
-    """The same fit as one row with columns <scalar>_q33 and <scalar>_q66, to be joined by broadcast; ``weight`` says how often a row counts."""
-    aggs = []
-    for s in scalars:
-        good = F.when(~F.isnan(F.col(s).cast("double")), F.col(s).cast("double"))
-        q = F.percentile(good, F.array(F.lit(LOWER), F.lit(UPPER)), F.col(weight) if weight else F.lit(1))
-        aggs += [F.coalesce(q[0], F.lit(0.0)).alias(f"{s}_q33"), F.coalesce(q[1], F.lit(0.0)).alias(f"{s}_q66")]
-    return df.agg(*aggs)
+def fit_row(df: DataFrame, scalars: Sequence[str], weight: str | None = None, most_distinct: int = MOST_DISTINCT) -> DataFrame:
+    """The same fit as one row with columns <scalar>_q33 and <scalar>_q66, to be joined by broadcast; ``weight`` says how often a row counts.
+
+    Beyond ``most_distinct`` values it is made by rank, as fit() is.
+    """
+    if fits_memory(df, scalars, most_distinct):
+        return df.agg(*[q.alias(f"{s}_{n}") for s in scalars for n, q in zip(("q33", "q66"), _both_quantiles(df, s, weight))])
+    found = fit_by_rank(df, scalars, weight)
+    return found.agg(*[F.coalesce(F.max(F.when(F.col("scalar") == s, F.col(n))), F.lit(0.0)).alias(f"{s}_{n}") for s in scalars for n in ("q33", "q66")])
 
 
 def bin_label(value: Column, q33: Column, q66: Column, labels: Sequence[str]) -> Column:
@@ -85,10 +105,13 @@ def apply(df: DataFrame, stats: DataFrame, labels: Mapping[str, Sequence[str]])
 
 
 def traits(df: DataFrame, stats: DataFrame | None = None, version: str = "v3") -> DataFrame:
-    """``df`` with latent_json, the 17 traits of its scalars in two groups; ``stats`` is one row of fit_row(), else fitted on ``df``."""
+    """``df`` with latent_json, the 17 traits of its scalars in two groups; ``stats`` is one row of fit_row(), else fitted on
+    ``df``, which is then written to the shared folder first, as it is read three times."""
     named = {**ACOUSTIC, **PHONOLOGY}
     scalars = [s for s, _ in named.values()]
-    stats = fit_row(df, scalars) if stats is None else stats
+    if stats is None:
+        df = held(df, "scalars")
+        stats = fit_row(df, scalars)
     label = {t: bin_label(df[s], stats[f"{s}_q33"], stats[f"{s}_q66"], ls).alias(t) for t, (s, ls) in named.items()}
     label["syllabic_consonants"] = F.when(df["has_syllabic"] > 0.5, "present").otherwise("absent").alias("syllabic_consonants")
     groups = [F.struct(*[label[t] for t in ts]).alias(g) for g, ts in GROUPS.items()]

@@ -29,6 +29,7 @@ def items_with_traits(entries: DataFrame, features: DataFrame, phones: DataFrame
     audio = corpus.attach(weight, features, "audio_path", "values", F.create_map().cast("map<string,double>"))
     audio = corpus.attach(audio, phones, "audio_path", "phones", F.array().cast("array<struct<phoneme:string,duration:double>>"))
     scalars = audio.select("audio_path", "_weight", *[c.alias(n) for n, c in phonology.scalars(F.col("values"), F.col("phones")).items()]).filter("_weight > 0")
+    scalars = held(scalars, "scalars")  # read by the estimate, the fit and the join
     stats = latents.fit_row(scalars, [s for s in phonology.SCALARS if s != "has_syllabic"], weight=None if dedupe_audio else "_weight")
     found = items.unpivot_attributes(chosen, attributes, ["audio_path", "transcript"], speaker="speaker").withColumnRenamed("answer", "ground_truth_answer")
     if done is not None:
