@@ -137,6 +137,27 @@ def test_files(spark, tmp_path):
     assert spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "log")).columns == ["timestamp", "status", "source", "dest"]
 
 
+def test_copies_are_made_once_and_overwrite_nothing(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name in ("p1_p2_x.wav", "p1_p3_y.wav"):
+        (tmp_path / "in" / name).write_bytes(name.encode())
+    (tmp_path / "out/train/audio/p1/p3").mkdir(parents=True)
+    handles = spark.createDataFrame([("p1_p2_x",), ("p1_p3_y",), ("p1_p4_z",)], "handle string")
+    audio = readers.files(spark, str(tmp_path / "in")).select("path")
+    audio = audio.select(F.regexp_extract("path", r"([^/]*)\.wav$", 1).alias("stem"), F.lit("wav").alias("ext"), "path")
+    plan = corpus.copy_plan(handles, audio)
+    target = tmp_path / "out" / plan.filter("handle = 'p1_p3_y'").first().dest
+    target.parent.mkdir(parents=True, exist_ok=True)
+    target.write_bytes(b"old")
+    done = writers.copy_files(plan, str(tmp_path / "out"))
+    for _ in range(2):
+        assert {r.handle: (r.status, r.code) for r in done.collect()} == {"p1_p2_x": ("COPY", 0), "p1_p3_y": ("EXISTS", 1), "p1_p4_z": ("MISSING", 2)}
+    x = tmp_path / "out" / plan.filter("handle = 'p1_p2_x'").first().dest
+    assert x.read_bytes() == b"p1_p2_x.wav" and target.read_bytes() == b"old" and len(list(x.parent.iterdir())) == 1
+    assert {r.status for r in writers.copy_files(corpus.copy_plan(handles, audio, dry_run=True), str(tmp_path / "dry")).collect()} == {"DRY-RUN", "MISSING"}
+    assert not (tmp_path / "dry").exists()
+
+
 def test_resuming_reads_and_writes_once(spark, tmp_path):
     spark.range(10).write.parquet(str(tmp_path / "in"))
     run = lambda: resume.run_incremental(spark, str(tmp_path / "in"), "id long", str(tmp_path / "out"), str(tmp_path / "mark"), ["id"], lambda b: b)

@@ -1,16 +1,20 @@
-"""Writers: appended results, one text file for each utterance, an audit log, audio."""
+"""Writers: appended results, one text file for each utterance, an audit log, audio, copies of files."""
 
 from __future__ import annotations
 
 import io
+import uuid
 import wave
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.operators.held import held
+
 
 def append_json(rows: DataFrame, path: str, partition: str | None = None) -> None:
     """Rows as JSON lines beside those that are there, non-ASCII as it is; nothing is written anew."""
@@ -67,3 +71,42 @@ def encoded(audio: DataFrame, rate: int = 16000) -> DataFrame:
             yield pd.DataFrame({"path": f["path"], "content": [encode_wav(x, rate) for x in f["samples"]]})
 
     return audio.filter(F.col("samples").isNotNull()).select("path", "samples").mapInPandas(run, "path string, content binary")
+
+
+def copy_one(source: str, dest: str, piece: int = 1 << 20) -> bool:
+    """Copies a file unless there is one at ``dest``, and says whether it did. The copy is made under a name of its own and
+    then moved, so that a lost task leaves no half of a file at ``dest``."""
+    there, path = fs.FileSystem.from_uri(dest)
+    if there.get_file_info(path).type != fs.FileType.NotFound:
+        return False
+    here, origin = fs.FileSystem.from_uri(source)
+    folder, name = path.rsplit("/", 1)
+    there.create_dir(folder, recursive=True)
+    part = f"{folder}/.{name}-{uuid.uuid4().hex}"
+    with here.open_input_stream(origin) as r, there.open_output_stream(part) as w:
+        while got := r.read(piece):
+            w.write(got)
+    there.move(part, path)
+    return True
+
+
+def copy_files(plan: DataFrame, folder: str, tasks: int | None = None) -> DataFrame:
+    """Carries out a copy_plan() under ``folder``, which all executors share, and returns its rows with what came of each.
+
+    Only rows with the status COPY are copied, dealt by handle over ``tasks`` tasks; a file that has come there since is left
+    and its row says EXISTS, 1. So does a row whose task is run again after its copy. Other rows stay as they are. The result
+    is written to the shared folder, so that reading it twice copies nothing.
+    """
+    root = folder if "://" in folder else f"file://{folder}"
+    columns = plan.columns
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for i in f.index[f["status"] == "COPY"]:
+                source = f.at[i, "source"]
+                if not copy_one(source if ":/" in source else f"file://{source}", f"{root}/{f.at[i, 'dest']}"):
+                    f.at[i, "status"], f.at[i, "code"] = "EXISTS", 1
+            yield f[columns]
+
+    dealt = plan.repartition(*([tasks] if tasks else []), "handle")
+    return held(dealt.mapInPandas(run, plan.schema), "copies")
