@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -164,7 +164,14 @@ def deduplicated(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col: s
 
     Of rows that repeat that id one stays. Rows without an id go if a document with an id is in their component, else stay.
     """
-    near = parked(near_duplicates(docs, shingle, distance, id_col, text_col), "near-duplicates")
+    marks = lambda rows: fingerprints(rows, shingle, "row", text_col).withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0")))
+    return one_of_each(docs, near_duplicates(docs, shingle, distance, id_col, text_col), marks, id_col, text_col)
+
+
+def one_of_each(docs: DataFrame, near: DataFrame, marks: Callable[[DataFrame], DataFrame], id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that deduplicated() keeps, given ``near`` (id, fingerprint, component_id); ``marks`` gives the (id,
+    fingerprint) of rows (row, text)."""
+    near = parked(near, "near-duplicates")
     # those that go are fewer than those that stay, and few enough to be broadcast if copies are rare
     gone = near.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
     named = docs.filter(F.col(id_col).isNotNull())
@@ -176,7 +183,7 @@ def deduplicated(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col: s
     lost = near.filter(F.col(id_col).isNull())
     if not lost.isEmpty():
         alone = lost.filter(F.col("component_id").isNull()).select(F.col("fingerprint").alias("_alone")).distinct()
-        marked = fingerprints(docs.filter(F.col(id_col).isNull()).select(F.struct(*docs.columns).alias("row"), text_col), shingle, "row", text_col)
-        free = marked.join(alone, F.lower(F.lpad(F.hex("fp"), 16, "0")) == alone["_alone"], "left_semi").select("id.*")
+        marked = marks(docs.filter(F.col(id_col).isNull()).select(F.struct(*docs.columns).alias("row"), text_col))
+        free = marked.join(alone, marked["fingerprint"] == alone["_alone"], "left_semi").select("id.*")
         first = first.unionByName(free)
     return first
