@@ -102,14 +102,106 @@ def rates_here(cells: Sequence[Row], powers: Mapping[str, float], share: float,
     return np.minimum(1.0, want * scale)
 
 
+#: Bounds of a weight against its cell's tokens, for targets that contradict each other.
+FAR = 1e12
+
+
+def reachable(tokens: np.ndarray, target: np.ndarray, share: float) -> np.ndarray:
+    """The tokens to keep of each value of a dimension: ``share`` of all, in the proportions of ``target``; values that have
+    fewer are kept whole, and the others share what is left in the proportions of their targets."""
+    budget, full = share * tokens.sum(), np.zeros(len(tokens), bool)
+    while True:
+        free = target[~full].sum()
+        part = np.where(full, tokens, target * ((budget - tokens[full].sum()) / free if free > 0 else 0.0))
+        over = ~full & (part >= tokens)
+        if not over.any():
+            return part
+        full |= over
+
+
+def within_here(cells: Sequence[Row], powers: Mapping[str, float], share: float, rounds: int, turns: int = 200, tolerance: float = 1e-7) -> np.ndarray:
+    """Rates of 1 or less, raked again after each clip so that every dimension keeps its reachable() tokens; for cells that
+    fit the driver. Ends when no value is off by more than ``tolerance`` of all tokens, or after ``turns`` turns."""
+    tokens = np.array([r.tokens for r in cells], np.float64)
+    weight = rates_here(cells, powers, share, rounds, 1) * tokens
+    codes, wants = [], []
+    for i, power in enumerate(powers.values()):
+        number: dict[str, int] = {}
+        codes.append(np.array([number.setdefault(r[i], len(number)) for r in cells]))
+        sums = np.bincount(codes[-1], tokens)
+        wants.append(reachable(sums, sums**power / (sums**power).sum(), share))
+    for _ in range(turns):
+        off = 0.0
+        for code, want in zip(codes, wants):
+            full = weight >= tokens
+            kept, filled, free = np.bincount(code, np.minimum(weight, tokens)), np.bincount(code, tokens * full), np.bincount(code, weight * ~full)
+            off = max(off, np.abs(kept - want).max() / tokens.sum())
+            down = np.divide(want, kept, out=np.zeros_like(want), where=kept > 0)
+            up = np.divide(want - filled, free, out=np.ones_like(want), where=free > 0)
+            weight = np.clip(weight * np.where(want < kept, down, up)[code], tokens / FAR, tokens * FAR)
+        if off <= tolerance:
+            break
+    return np.minimum(1.0, weight / tokens)
+
+
+def within(raked: DataFrame, powers: Mapping[str, float], share: float, turns: int = 200, tolerance: float = 1e-7) -> DataFrame:
+    """within_here() for a table of raked cells, which is never gathered; each turn is written to the shared folder."""
+    first = rates(raked, share, 1).withColumn("weight", F.col("rate") * F.col("tokens"))
+    now, total = parked(first.drop("rate"), "within"), raked.agg(F.sum("tokens")).first()[0] or 0
+    wants = {}
+    for d, power in powers.items():
+        values = parked(tempered(raked, d, power).join(raked.groupBy(d).agg(F.sum("tokens").alias("all")), d).withColumn("full", F.lit(False)), "values")
+        while True:
+            r = values.agg(F.sum(F.when(F.col("full"), F.col("all")).otherwise(0)).alias("kept"), F.sum(F.when(F.col("full"), 0.0).otherwise(F.col("target"))).alias("free")).first()
+            rate = (share * total - r.kept) / r.free if r.free else 0.0
+            over = ~F.col("full") & (F.col("target") * rate >= F.col("all"))
+            if values.filter(over).isEmpty():
+                break
+            values = parked(values.withColumn("full", F.col("full") | over), "values")
+        wants[d] = parked(values.select(d, F.when(F.col("full"), F.col("all").cast("double")).otherwise(F.col("target") * rate).alias("_want")), "wants")
+    w, n = F.col("weight"), F.col("tokens")
+    for _ in range(turns):
+        off = F.lit(0.0)
+        for d in powers:
+            sums = now.groupBy(d).agg(F.sum(F.least(w, n.cast("double"))).alias("_kept"), F.sum(F.when(w >= n, n).otherwise(0)).alias("_filled"), F.sum(F.when(w >= n, 0.0).otherwise(w)).alias("_free")).join(wants[d], d)
+            down = F.when(F.col("_kept") > 0, F.col("_want") / F.col("_kept")).otherwise(0.0)
+            up = F.when(F.col("_free") > 0, (F.col("_want") - F.col("_filled")) / F.col("_free")).otherwise(1.0)
+            factor = F.when(F.col("_want") < F.col("_kept"), down).otherwise(up)
+            keep = [c for c in now.columns if c not in (d, "weight", f"_off_{d}")]
+            sums = sums.select(d, factor.alias("_factor"), (F.abs(F.col("_kept") - F.col("_want")) / total).alias(f"_off_{d}"))
+            now = now.drop(f"_off_{d}").join(sums, d).select(d, *keep, F.greatest(n / FAR, F.least(n * FAR, w * F.col("_factor"))).alias("weight"), f"_off_{d}")
+            off = F.greatest(off, F.col(f"_off_{d}"))
+        now = parked(now, "within")
+        if (now.agg(F.max(off)).first()[0] or 0) <= tolerance:
+            break
+    return now.withColumn("rate", F.least(F.lit(1.0), w / n))
+
+
+def achieved(weighted_docs: DataFrame, powers: Mapping[str, float]) -> DataFrame:
+    """(dimension, value, target, kept) for a result of weighted(): the share of each value that its target asks for, and the
+    share of the tokens that the rates keep."""
+    cells = weighted_docs.groupBy(*[f"_{d}" for d in powers]).agg(F.sum("_tokens").alias("tokens"), F.sum(F.col("_tokens") * F.col("_rate")).alias("_part"))
+    cells = parked(cells, "achieved")
+    whole = cells.agg(F.sum("_part").alias("_whole"))
+    found = None
+    for d, power in powers.items():
+        sums = cells.groupBy(f"_{d}").agg(F.sum("_part").alias("_part")).crossJoin(F.broadcast(whole)).join(tempered(cells, f"_{d}", power), f"_{d}")
+        part = sums.select(F.lit(d).alias("dimension"), F.col(f"_{d}").alias("value"), "target", (F.col("_part") / F.col("_whole")).alias("kept"))
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 def uniform(id_col: str, seed: str) -> Column:
     """A number from 0 to 1 from the id alone: the first 52 bits of an MD5."""
     return F.conv(F.substring(F.md5(F.concat(id_text(id_col), F.lit(f":{seed}"))), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def weighted(docs: DataFrame, powers: Mapping[str, float], share: float, topic: Callable[[Column], Column] = topic_of, seed: str = "mix", rounds: int = 12, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", driver_cells: int = 50_000) -> DataFrame:
+def weighted(docs: DataFrame, powers: Mapping[str, float], share: float, topic: Callable[[Column], Column] = topic_of, seed: str = "mix", rounds: int = 12, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", driver_cells: int = 50_000, held: bool = False) -> DataFrame:
     """``docs`` with _source, _lang, _topic, _tokens, _rate and _keep. See mixed().
 
+    The rates are clipped at 1 once, as in oracle(); if ``held``, the cells are raked again after each clip, so that all
+    targets that the documents allow at this share are met.
+
     Up to ``driver_cells`` cells are raked on the driver and their rates broadcast; more are raked as a table and joined.
     """
     named = lambda c: F.coalesce(c.cast("string"), F.lit(""))
@@ -118,12 +210,14 @@ def weighted(docs: DataFrame, powers: Mapping[str, float], share: float, topic:
     keys = ["_source", "_lang", "_topic"]
     cells = parked(rows.groupBy(*keys).agg(F.sum("_tokens").alias("tokens")), "cells")
     if cells.count() <= driver_cells:
-        held = cells.select(*[f"_{d}" for d in powers], "tokens", *keys).collect()
-        found = rates_here(held, powers, share, rounds).tolist() if held else []
-        chances = F.broadcast(docs.sparkSession.createDataFrame([(*r[-3:], x) for r, x in zip(held, found)], "_source string, _lang string, _topic string, _rate double"))
+        here = cells.select(*[f"_{d}" for d in powers], "tokens", *keys).collect()
+        found = (within_here if held else rates_here)(here, powers, share, rounds).tolist() if here else []
+        chances = F.broadcast(docs.sparkSession.createDataFrame([(*r[-3:], x) for r, x in zip(here, found)], "_source string, _lang string, _topic string, _rate double"))
     else:
         targets = {f"_{d}": tempered(cells, f"_{d}", p) for d, p in powers.items()}
-        chances = parked(rates(rake(cells, targets, rounds), share).select(*keys, F.col("rate").alias("_rate")), "rates")
+        raked = rake(cells, targets, rounds)
+        found = within(raked, {f"_{d}": p for d, p in powers.items()}, share) if held else rates(raked, share)
+        chances = parked(found.select(*keys, F.col("rate").alias("_rate")), "rates")
     return rows.join(chances, keys).withColumn("_keep", uniform(id_col, seed) < F.col("_rate"))
 
 
@@ -133,13 +227,14 @@ POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.5}
 def mixed(docs: DataFrame, powers: Mapping[str, float] = POWERS, share: float = 0.5, topic: Callable[[Column], Column] = topic_of, seed: str = "mix", rounds: int = 12, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", driver_cells: int = 50_000) -> DataFrame:
     """A sample of ``docs`` with about ``share`` of its tokens, in the proportions of raked source, language and topic weights.
 
-    The marginals are the token shares of each value to the power of ``powers``, made to sum to 1. A document is kept if a
+    The marginals are the token shares of each value to the power of ``powers``, made to sum to 1. A value with fewer tokens
+    than its target asks for is kept whole, and the others of its dimension keep their proportions; see achieved(). A document is kept if a
     number hashed from its id is below its cell's chance, so repeated rows stay or go together. Null sources, languages and
     topics are values of their own (the empty text); a null or empty text has one token. Columns of ``docs`` are kept
     whatever their names are. No document, no result.
     """
     at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    kept = weighted(docs.toDF(*at.values()), powers, share, topic, seed, rounds, at[id_col], at[text_col], at[source_col], at[lang_col], driver_cells).filter("_keep")
+    kept = weighted(docs.toDF(*at.values()), powers, share, topic, seed, rounds, at[id_col], at[text_col], at[source_col], at[lang_col], driver_cells, held=True).filter("_keep")
     return kept.select(*at.values()).toDF(*docs.columns)
 
 
