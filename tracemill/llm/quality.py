@@ -113,12 +113,14 @@ class ByteConvNet:
 
 def _net(docs: DataFrame, labels: DataFrame, train_rows: int, train_chars: int, id_col: str, text_col: str, label_col: str):
     texts, y = _labelled.sample(docs, labels, label_col, train_rows, train_chars, id_col=id_col, text_col=text_col)
-    return docs.sparkSession.sparkContext.broadcast(ByteConvNet().fit(texts, y))
+    return docs.sparkSession.sparkContext.broadcast(ByteConvNet().fit(texts, y)), len(y)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, train_rows: int = 4096, train_chars: int = 24_000, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """The rows of ``docs`` whose text scores ``threshold`` or more; see score_quality()."""
-    net = _net(docs, labels, train_rows, train_chars, id_col, text_col, label_col)
+    """The rows of ``docs`` whose text scores ``threshold`` or more; see score_quality(). All rows if no label can be learnt from."""
+    net, learnt = _net(docs, labels, train_rows, train_chars, id_col, text_col, label_col)
+    if not learnt:
+        return docs
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,5 +137,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, train_rows: int = 4096, tr
     id's crc32 modulo 5 is not 0; every whole text is scored. Null and empty texts are scored as one window of padding.
     Without labels every score is what the untrained network gives. Repeated rows and other columns don't matter.
     """
-    net = _net(docs, labels, train_rows, train_chars, id_col, text_col, label_col)
+    net, _ = _net(docs, labels, train_rows, train_chars, id_col, text_col, label_col)
     return _labelled.scored(docs, lambda: net.value.score, threshold, id_col=id_col, text_col=text_col)
