@@ -1,9 +1,12 @@
 """Benchmark passages in documents: q-gram lemma in diagonal bands, then banded alignment.
 
 Texts are compared in lower case with every run of ASCII white space and punctuation as one blank. An item is cut into
-windows of ``window`` bytes that overlap by half (a shorter item is one window); a document holds a window if some part of
-it is within ``rate`` edits a byte. Such a part shares at least length - q + 1 - edits * q q-grams with the window, all within
-a band of diagonals as wide as the edits, which leaves few places to align.
+windows of ``window`` bytes that begin every ``window`` // 4 bytes (a shorter item is one window); a document holds a window
+if some part of it is within ``rate`` edits a byte. Such a part shares at least length - q + 1 - edits * q q-grams with the
+window, all within a band of diagonals as wide as the edits, which leaves few places to align.
+
+A verbatim quote of ``window`` + ``window`` // 4 - 1 bytes (124 of production's 100 and 25) holds a whole window wherever it
+begins, so it is always found; shorter parts of longer items are found only if they happen to hold one.
 """
 
 from __future__ import annotations
@@ -56,7 +59,7 @@ class Index:
             if len(t) < q:
                 continue
             last = max(0, len(t) - window)
-            for a in sorted({*range(0, last, window // 2), last}):
+            for a in sorted({*range(0, last, max(1, window // 4)), last}):
                 self.item.append(i)
                 begin.append(a)
                 wins.append(t[a : a + window])
@@ -165,15 +168,20 @@ class Index:
         return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 4
 
     def search(self, texts: list[str], size: int = 1 << 21) -> list[dict[int, tuple[int, int, int, int]]]:
-        """For each text, {item: (windows held, fewest edits of one, first byte, byte after the last)} in its normal form."""
+        """For each text, {item: (windows held, fewest edits of one, first byte, byte after the last)} in its normal form.
+
+        The texts stand in one buffer with more zeros between them than a window has bytes. An alignment may begin or end in
+        those zeros, where each byte is an edit, so its middle tells whose it is, and its ends are cut to that text.
+        """
         found: list[dict[int, tuple[int, int, int, int]]] = [{} for _ in texts]
         gap = bytes(self.window + self.q)
         k = 0
         while k < len(texts):
-            parts, starts, total, first = [], [], 0, k
+            parts, starts, sizes, total, first = [], [], [], 0, k
             while k < len(texts) and (total < size or k == first):
                 t = normal(texts[k])
                 starts.append(total)
+                sizes.append(len(t))
                 parts += [t, gap]
                 total += len(t) + len(gap)
                 k += 1
@@ -181,9 +189,9 @@ class Index:
             starts = np.array(starts)
             seen = set()
             for w, edits, a, b in sorted(zip(*(c.tolist() for c in self.find_long(x)))):
-                i = int(np.searchsorted(starts, a, "right")) - 1
+                i = int(np.searchsorted(starts, (a + b) // 2, "right")) - 1
                 item = int(self.item[w])
-                a, b = a - int(starts[i]), b - int(starts[i])
+                a, b = max(0, a - int(starts[i])), min(sizes[i], b - int(starts[i]))
                 old = found[first + i].get(item)
                 fresh = (first + i, w) not in seen
                 seen.add((first + i, w))
@@ -242,7 +250,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, q: int = 10, window: int = 10
                         for k, (n, edits, a, b) in sorted(held.items()):
                             row.append(i)
                             item.append(names[k])
-                            cells.append((n, edits, int(at[max(0, a)]), int(at[min(b, len(at)) - 1]) + 1))
+                            cells.append((n, edits, int(at[a]), int(at[b - 1]) + 1))
                 if row:
                     columns = [pa.array([c[j] for c in cells], pa.int64()) for j in range(4)]
                     yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row, pa.int64())), pa.array(item), *columns], [id_col, item_col, "n_windows", "edits", "start", "end"])
