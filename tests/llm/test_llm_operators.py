@@ -219,31 +219,6 @@ def test_urls_meet_the_entries_of_their_day(spark):
     assert got == {i: blocked(u, d) for i, u, d in pages} and any(got.values())
 
 
-def test_language_model_base_and_normalisation(spark):
-    rng = random.Random(7)
-    texts = [" ".join(rng.choice(("the", "cat", "sat", "On", "mat", f"r{rng.randrange(30)}")) for _ in range(rng.randint(0, 25))) for _ in range(120)]
-    got = {r.doc_id: r for r in langmodel.score(docs_of(spark, texts), min_share=0.004).collect()}
-    tokens = lambda t: re.findall(r"[^\x20\x09-\x0d]+", t.lower()) + ["\n"]
-    held = {i: crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))}
-    c = Counter(w for i, t in enumerate(texts) if not held[i] for w in tokens(t))
-    n, v = sum(c.values()), len(c)
-    for i, t in enumerate(texts):
-        r = got[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), n)
-        assert abs(r.base_score - sum(math.log10((c[w] + 1) / (n + v + 1)) for w in tokens(t))) < 1e-9
-    assert sum(r.score for r in got.values()) > sum(r.base_score for r in got.values())
-
-
-def test_automaton_sums_to_one(spark):
-    words = [b"a", b"b", b"c", langmodel.END]
-    unigram = np.array([0.4, 0.3, 0.2, 0.1])
-    counts = np.array([40, 30, 20, 10, 12], float)
-    auto = langmodel.Automaton(words, unigram, 4, [(4, 0, 8), (0, 1, 20), (1, 2, 9), (1, 3, 6)], [(0, 1, 2, 7), (4, 0, 1, 6)], counts)
-    for history in ([], [0], [0, 1], [1], [1, 2], [2]):
-        base = auto.walk(history)
-        assert abs(sum(10 ** (auto.walk([*history, w]) - base) for w in range(4)) - 1) < 1e-9
-
-
 def test_benchmark_passages_are_found_with_edits_and_clean_texts_left(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8)))

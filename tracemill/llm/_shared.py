@@ -27,11 +27,23 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+#: Spark's setting that removes the shuffle files of a query when it has ended.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def parked(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet to the shared folder and read back: later jobs neither recompute it nor lose it with an executor."""
+    """``df`` written once as Parquet to the shared folder and read back: later jobs neither recompute it nor lose it with an executor.
+
+    Its shuffle files go when it is written, since nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tracemill/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    was = spark.conf.get(_TIDY, None)
+    spark.conf.set(_TIDY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_TIDY, was) if was else spark.conf.unset(_TIDY)
     return spark.read.schema(df.schema).parquet(path)
 
 

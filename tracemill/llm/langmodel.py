@@ -1,32 +1,43 @@
-"""N-gram language model as a weighted backoff automaton.
+"""Bigram language model as a weighted backoff automaton whose weights stay in tables that grow with the corpus.
 
-Every word of the training texts is counted. N-grams whose share of all training tokens reaches ``min_share`` become arcs
-of the automaton: a share bounds their number by 1 / ``min_share``, whatever the corpus, so the automaton can be
-broadcast. An n-gram of that share holds only words of that share, hence rare words never lead anywhere but to the
-state without history: their unigram weights are joined from the full table of counts, and the traversal of a text
-charges only the failure arcs it takes before each of them.
+States are the empty history, the start of a text, and every word that begins a kept bigram. The arcs of a word's state are
+the bigrams seen ``least`` times or more in training, whatever the size of the corpus; any other word takes the failure arc to
+the empty history, which has an arc for every word. Smoothing is interpolated absolute discounting, with C(b) the
+occurrences of b as a history:
 
-Smoothing: unigrams by absolute discounting, with the discount from the numbers of words seen once and twice; what is
-taken off is the probability of the one unknown word. Longer histories: absolute discounting over the arcs kept, and
-the rest to the shorter history, normalised exactly over the words without an arc.
+    p(w | b) = [n(b, w) >= least] (n(b, w) - DISCOUNT) / C(b) + fail(b) p(w)
+    fail(b)  = 1 - sum over the kept arcs of b of (n - DISCOUNT) / C(b)
+    p(w)     = (c(w) - off) / N, and off V / N for the one unknown word; off from the words seen once and twice
+
+which sums to 1 over the words and the unknown one. Weights are pushed: the failure weight of a word's state goes to the
+arcs that enter it, and a bigram arc weighs its gain, p(w | b) / (fail(b) p(w)). So the log-probability of a path is a sum over
+its words of log10 p(w) + log10 fail(w), plus the gains of the bigrams that are arcs, in one traversal from left to right.
+
+Frequent words and arcs (a share of ``share`` of all tokens, so at most 1 / ``share`` of each) are broadcast and added up in
+the traversal. It writes the keys of all others with each text; these are joined to the full tables and give the same sums. A
+bit map of fixed size tells most bigrams that are no arcs without a join; one that it lets through finds no weight and adds 0.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm._shared import bytes_of, counted, in_fold
+from tracemill.llm._shared import bytes_of, in_fold, parked
 
-#: The end of a text; words hold no white space.
-END = b"\n"
+#: The end of a text and the state before its first word; words hold no white space.
+END, START = b"\n", b" "
 DISCOUNT = 0.75
+_BITS = 27
+
+#: The primes of XXH64.
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
 
 def tokens_of(text: bytes) -> list[bytes]:
@@ -36,214 +47,211 @@ def tokens_of(text: bytes) -> list[bytes]:
     return tokens
 
 
-class Automaton:
-    """States are histories. ``arcs[state * width + word]`` is (log10 probability, next state); ``fail`` and ``backoff``
-    give the state of the shorter history and the log10 weight of falling back to it. State 0 has no history.
+class Codes(dict):
+    """The 64-bit code of a word: its XXH64, made odd. Remembers ``most`` words at most."""
 
-    ``words`` numbers the words that can be looked up without a join; the first ``core`` of them may occur in arcs.
-    """
+    def __init__(self, most: int = 400_000):
+        self.most = most
 
-    def __init__(self, words: list[bytes], unigram: np.ndarray, core: int, bigrams: list[tuple[int, int, int]], trigrams: list[tuple[int, int, int, int]], counts: np.ndarray):
-        # word number len(words) is the start, which is a history only
-        width = self.width = len(words) + 1
-        self.words, self.unigram = words, [math.log10(p) for p in unigram]
-        self.core = core
-        two: dict[int, list[tuple[int, float]]] = {}
-        for a, b, n in bigrams:
-            two.setdefault(a, []).append((b, (n - DISCOUNT) / counts[a]))
-        three: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        n_two = {(a, b): n for a, b, n in bigrams}
-        for a, b, c, n in trigrams:
-            if (a, b) in n_two:
-                three.setdefault((a, b), []).append((c, (n - DISCOUNT) / n_two[a, b]))
-        self.state1 = {a: i for i, a in enumerate(sorted(two), 1)}
-        self.state2 = {h: i for i, h in enumerate(sorted(three), 1 + len(self.state1))}
-        states = 1 + len(self.state1) + len(self.state2)
-        self.fail, self.backoff = [0] * states, [0.0] * states
-        self.arcs: dict[int, tuple[float, int]] = {}
-        p_two: dict[tuple[int, int], float] = {}
-        bow1: dict[int, float] = {}
-        for a, nexts in two.items():
-            s, kept = self.state1[a], sum(p for _, p in nexts)
-            low = sum(unigram[b] for b, _ in nexts)
-            bow1[a] = max(1e-12, 1 - kept) / max(1e-12, 1 - low)
-            self.backoff[s] = math.log10(bow1[a])
-            for b, p in nexts:
-                p_two[a, b] = p
-                self.arcs[s * width + b] = (math.log10(p), self.state2.get((a, b), self.state1.get(b, 0)))
-        for (a, b), nexts in three.items():
-            s, kept = self.state2[a, b], sum(p for _, p in nexts)
-            low = sum(p_two.get((b, c)) or bow1.get(b, 1.0) * unigram[c] for c, _ in nexts)
-            self.fail[s] = self.state1.get(b, 0)
-            self.backoff[s] = math.log10(max(1e-12, 1 - kept) / max(1e-12, 1 - low))
-            for c, p in nexts:
-                self.arcs[s * width + c] = (math.log10(p), self.state2.get((b, c), self.state1.get(c, 0)))
-        self.start = self.state1.get(len(words), 0)
-        self.falls = self.backoff[:]  # the weight of all failure arcs from a state to state 0
-        for s in range(1 + len(self.state1), states):
-            self.falls[s] = self.backoff[s] + self.backoff[self.fail[s]]
-        self.after = [self.state1.get(w, 0) for w in range(len(words))]
-
-    def walk(self, numbers: list[int]) -> float:
-        """The log10 probability of a text of word numbers, without the unigram weight of those that have none (-1)."""
-        total, s = 0.0, self.start
-        arcs, width, core, unigram, after, falls, fail, backoff = self.arcs, self.width, self.core, self.unigram, self.after, self.falls, self.fail, self.backoff
-        for w in numbers:
-            if w < 0:
-                total += falls[s]
-                s = 0
-                continue
-            if s:
-                if w < core:
-                    arc = arcs.get(s * width + w)
-                    while arc is None and s:
-                        total += backoff[s]
-                        s = fail[s]
-                        arc = arcs.get(s * width + w) if s else None
-                    if arc is not None:
-                        total += arc[0]
-                        s = arc[1]
-                        continue
-                else:
-                    total += falls[s]
-            total += unigram[w]
-            s = after[w]
-        return total
-
-
-def frequent(docs: DataFrame, shipped, least: int, order: int) -> list[tuple[int, ...]]:
-    """The n-grams of ``order`` with at least ``least`` occurrences, as word numbers and the count; ``shipped`` broadcasts
-    the word numbers and, for order 3, the sorted codes of the frequent bigrams."""
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        code = xxhash.xxh64_intdigest(word, 42) | 1
+        code = self[word] = code - (1 << 64) if code >> 63 else code
+        return code
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, start, two = shipped.value
-        base = start + 1
-        kept: list[np.ndarray] = []
+    def of(self, text: bytes) -> np.ndarray:
+        tokens = tokens_of(text)
+        return np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+
+
+def _long_hash(x: np.ndarray, seed: np.ndarray | np.uint64) -> np.ndarray:
+    turn = lambda v, n: (v << np.uint64(n)) | (v >> np.uint64(64 - n))
+    h = seed + _P5 + np.uint64(8)
+    h = h ^ (turn(x * _P2, 31) * _P1)
+    h = turn(h, 27) * _P1 + _P4
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    return h ^ (h >> np.uint64(32))
+
+
+def pair_keys(history: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The keys of bigrams: F.xxhash64(history, word), made even, which no code of a word is."""
+    with np.errstate(over="ignore"):
+        h = _long_hash(word.view(np.uint64), _long_hash(history.view(np.uint64), np.uint64(42)))
+    return (h & ~np.uint64(1)).view(np.int64)
 
-        def out() -> pa.RecordBatch:
-            codes, n = np.unique(np.concatenate(kept), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n.astype(np.int64))], ["code", "n"])
 
+_codes = Codes()
+_END, _START = _codes[END], _codes[START]
+
+
+def before(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The states in which the words of texts that begin at ``starts`` are read."""
+    states = np.empty_like(words)
+    states[1:] = words[:-1]
+    states[starts] = _START
+    return states
+
+
+def groups(texts: list[bytes], codes: Codes, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(words, starts) of as many texts at a time as have about ``most`` words."""
+    parts: list[np.ndarray] = []
+    total = 0
+    for text in texts:
+        parts.append(codes.of(text))
+        total += len(parts[-1])
+        if total >= most:
+            yield _joined(parts)
+            parts, total = [], 0
+    if parts:
+        yield _joined(parts)
+
+
+def _joined(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate(parts), np.cumsum([0, *map(len, parts)])[:-1]
+
+
+def ngrams(train: DataFrame, least: int = 2, flush: int = 2_000_000) -> DataFrame:
+    """(history, word, n): the counts of all words (history 0) and of the bigrams that occur ``least`` times or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = Codes()
         for batch in batches:
-            flat: list[int] = []
-            for text in bytes_of(batch):
-                flat.append(start)
-                flat += [number.get(t, -1) for t in tokens_of(text)]
-                flat.append(-1)
-            ids = np.array(flat, np.int64)
-            a, b = ids[:-1], ids[1:]
-            codes, good = a * base + b, (a >= 0) & (b >= 0)
-            if order == 3:
-                at = np.minimum(np.searchsorted(two, codes), max(0, len(two) - 1))
-                good &= (two[at] == codes) if len(two) else False
-                codes, good = codes[:-1] * base + ids[2:], good[:-1] & good[1:]
-            kept.append(codes[good])
-            if sum(map(len, kept)) > 4_000_000:
-                yield out()
-                kept.clear()
-        if kept:
-            yield out()
-
-    parts = docs.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    base = shipped.value[1] + 1
-    found = []
-    for r in parts.collect():
-        code, word = divmod(r.code, base)
-        found.append((code, word, r.n) if order == 2 else (*divmod(code, base), word, r.n))
-    return sorted(found)
-
-
-def score(docs: DataFrame, fold: tuple[int, int] = (7, 2), word_share: float = 2e-6, min_share: float = 1e-5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+            for words, starts in groups(bytes_of(batch), codes, flush):
+                states = before(words, starts)
+                one, n_one = np.unique(words, return_counts=True)
+                _, at, n_two = np.unique(pair_keys(states, words), return_index=True, return_counts=True)
+                columns = (np.zeros_like(one), states[at]), (one, words[at]), (n_one, n_two)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["history", "word", "n"])
+
+    parts = train.select("text").mapInArrow(run, "history long, word long, n long")
+    return parked(parts.groupBy("history", "word").agg(F.sum("n").alias("n")).filter((F.col("history") == 0) | (F.col("n") >= least)), "ngrams")
+
+
+class Automaton:
+    """The broadcast part: the weights of frequent words and arcs, and the bit map of all arcs."""
+
+    def __init__(self, words: tuple[np.ndarray, ...], arcs: tuple[np.ndarray, ...], bits: np.ndarray, start: float):
+        self.code, self.base, self.weight = self._sorted(*words)
+        self.arc, self.gain = self._sorted(*arcs)
+        self.bits, self.start = bits, start
+
+    @staticmethod
+    def _sorted(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.argsort(key)
+        return key[order], *[v[order] for v in values]
+
+    @staticmethod
+    def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(keys):
+            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return at, keys[at] == wanted
+
+    def walk(self, words: np.ndarray, starts: np.ndarray):
+        """For each text: (frequent words, their base weights, path weight so far), and (text, key) of what has to be joined."""
+        text = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(words))))
+        at, hot = self._found(self.code, words)
+        base, path = np.zeros(len(words)), np.zeros(len(words))
+        base[hot], path[hot] = self.base[at[hot]], self.weight[at[hot]]
+        keys = pair_keys(before(words, starts), words)
+        slot = keys.view(np.uint64) >> np.uint64(64 - _BITS)
+        likely = np.flatnonzero((self.bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1))
+        at, known = self._found(self.arc, keys[likely])
+        path[likely[known]] += self.gain[at[known]]
+        path[starts] += self.start
+        cold, arcs = np.flatnonzero(~hot), likely[~known]
+        owner, asked = np.concatenate([text[cold], text[arcs]]), np.concatenate([words[cold], keys[arcs]])
+        order = np.argsort(owner, kind="stable")
+        sums = [np.add.reduceat(x, starts) for x in (hot.astype(np.int64), base, path)]
+        return sums, owner[order], asked[order]
+
+
+def _columns(df: DataFrame) -> list[np.ndarray]:
+    table = df.toArrow()
+    return [c.to_numpy() for c in table.columns]
+
+
+def model_of(train: DataFrame, least: int, share: float):
+    """(N, V, log10 probability of an unknown word, the automaton, the table (key, c, weight) of all that isn't in it)."""
+    counts = ngrams(train, least)
+    words, pairs = counts.filter("history = 0").select(F.col("word").alias("code"), F.col("n").alias("c")), counts.filter("history <> 0")
+    n = F.col("c")
+    stat = words.agg(F.sum(n).alias("n"), F.count("*").alias("v"), F.count_if(n == 1).alias("once"), F.count_if(n == 2).alias("twice"), F.max(F.when(F.col("code") == _END, n)).alias("ends")).first()
+    total, v, ends = max(stat.n or 0, 1), stat.v, stat.ends or 0
+    off = stat.once / (stat.once + 2 * stat.twice) if stat.once and stat.twice else 0.5
+    mass = parked(pairs.groupBy("history").agg(F.sum(F.col("n") - DISCOUNT).alias("mass")), "states")
+    first = mass.filter(F.col("history") == _START).first()
+    start = 1 - first.mass / ends if first else 1.0
+    # a word that begins no kept bigram has no state of its own: its failure weight is 1
+    fail = 1 - F.coalesce("mass", F.lit(0.0)) / n
+    known = parked(words.join(mass, F.col("code") == F.col("history"), "left").select("code", "c", ((n - off) / total).alias("p"), fail.alias("fail")), "words")
+    tail = known.select(F.col("code").alias("word"), "p")
+    head = known.select(F.col("code").alias("history"), "c", "fail").unionByName(known.sparkSession.createDataFrame([(_START, ends, start)], "history long, c long, fail double"))
+    key = F.xxhash64("history", "word").bitwiseAND(F.lit(-2))
+    gain = F.log10(1 + (F.col("n") - DISCOUNT) / (F.col("c") * F.col("fail") * F.col("p")))
+    arcs = parked(pairs.join(tail, "word").join(head, "history").select(key.alias("key"), "n", gain.alias("weight")), "arcs")
+    slots = arcs.select(F.shiftrightunsigned("key", 64 - _BITS).alias("slot"))
+    marks = slots.groupBy(F.shiftright("slot", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 AS int)))").alias("bits"))
+    at, found = _columns(marks)
+    bits = np.zeros(1 << (_BITS - 6), np.uint64)
+    bits[at] = found.view(np.uint64)
+    hot = max(1.0, share * total)
+    weight = F.log10("p") + F.log10("fail")
+    often = _columns(known.filter(n >= hot).select("code", F.log10(n + 1.0).alias("base"), weight.alias("weight")))
+    automaton = Automaton(often, _columns(arcs.filter(F.col("n") >= hot).select("key", "weight")), bits, math.log10(start))
+    rest = known.filter(n < hot).select(F.col("code").alias("key"), "c", weight.alias("weight")).unionByName(arcs.filter(F.col("n") < hot).select("key", F.lit(None).cast("long").alias("c"), "weight"))
+    return stat.n or 0, v, math.log10(off * v / total) if v else 0.0, automaton, rest
+
+
+def score(docs: DataFrame, fold: tuple[int, int] = (7, 2), least: int = 2, share: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Texts whose id's crc32 modulo ``fold[0]`` is not ``fold[1]`` are learnt from; all are scored. A null text counts as
     empty: its one token is the end. A null id counts as the empty text for the fold. Repeated rows stay apart and count
     as often as they occur. Other columns are ignored. Without training texts every word is unknown, and both scores take
-    the base with N = V = 0.
+    the base with N = V = 0. Words are told apart by 63 bits of their XXH64. ``share`` changes what is broadcast, not the results.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), in_fold(id_col, *fold).alias("held_out"))
-    train = rows.filter(~F.col("held_out"))
-    counts = counted(train, tokens_of, "words", read=bytes_of)
-    stat = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice"), F.max(F.when(F.col("token") == END.decode(), F.col("n"))).alias("ends")).first()
-    n, v = stat.n or 0, stat.v or 0
-    off = stat.once / (stat.once + 2 * stat.twice) if stat.once and stat.twice else 0.5
-    hot_least, least = max(1.0, word_share * n), max(2, math.ceil(min_share * n))
-    # the most frequent words first, so that those of the arcs have the smallest numbers
-    hot = sorted(((r.n, r.token.encode()) for r in counts.filter(F.col("n") >= hot_least).collect()), key=lambda x: (-x[0], x[1]))
-    words = [t for _, t in hot]
-    number = {t: i for i, t in enumerate(words)}
-    core = sum(c >= least for c, _ in hot)
-    start = len(words)
-    small = {t: i for t, i in number.items() if i < core}
-    shipped = spark.sparkContext.broadcast((small, start, None))
-    bigrams = frequent(train, shipped, least, 2) if core else []
-    shipped = spark.sparkContext.broadcast((small, start, np.array([a * (start + 1) + b for a, b, _ in bigrams], np.int64)))
-    trigrams = frequent(train, shipped, least, 3) if bigrams else []
-    total = max(n, 1)
-    unigram = np.array([(c - off) / total for c, _ in hot])
-    seen = np.array([c for c, _ in hot] + [stat.ends or 0], float)
-    model = spark.sparkContext.broadcast((Automaton(words, unigram, core, bigrams, trigrams, seen), number, np.log10(np.array([c for c, _ in hot], float) + 1)))
-    id_type = rows.schema["id"].dataType
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, known, base_of = model.value
+    n, v, unknown, automaton, rest = model_of(rows.filter(~F.col("held_out")), least, share)
+    model = docs.sparkSession.sparkContext.broadcast(automaton)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = Codes()
         for batch in batches:
-            row, token, freq = [], [], []
-            rids, n_tokens, n_known, base, walked = batch.column("rid").to_pylist(), [], [], [], []
-            for rid, text in zip(rids, bytes_of(batch)):
-                tokens = tokens_of(text)
-                numbers = [known.get(t, -1) for t in tokens]
-                walked.append(automaton.walk(numbers))
-                each = np.array(numbers)
-                found = each[each >= 0]
-                rare = Counter([tokens[i] for i in np.flatnonzero(each < 0)])
-                n_tokens.append(len(tokens))
-                n_known.append(len(found))
-                base.append(float(base_of[found].sum()))
-                row += [rid] * len(rare)
-                token += rare.keys()
-                freq += rare.values()
-            some, more = len(rids), len(row)
-            # one row for the text, with a key that no word can have, and one for each of its rare words
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(rids + row, pa.int64()),
-                    pa.concat_arrays([batch.column("id"), pa.nulls(more, batch.column("id").type)]),
-                    pa.concat_arrays([batch.column("held_out"), pa.nulls(more, pa.bool_())]),
-                    pa.array(n_tokens + [None] * more, pa.int64()),
-                    pa.array(n_known + [0] * more, pa.int64()),
-                    pa.array(base + [0.0] * more, pa.float64()),
-                    pa.array(walked + [0.0] * more, pa.float64()),
-                    pa.array([b" %d" % r for r in rids] + token, pa.binary()).cast(pa.string()),
-                    pa.array([0] * some + freq, pa.int64()),
-                ],
-                ["rid", "id", "held_out", "n_tokens", "n_known", "base", "walked", "token", "freq"],
-            )
-
-    parts = rows.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(split, f"rid long, id {id_type.simpleString()}, held_out boolean, n_tokens long, n_known long, base double, walked double, token string, freq long")
-    rare = counts.filter(F.col("n") < hot_least).select("token", "n")
-    c, f = F.coalesce("n", F.lit(0)), F.col("freq")
-    unknown = math.log10(off * v / total) if n else 0.0
-    own = F.when(c > 0, F.log10(F.greatest(c - off, F.lit(1e-9)) / total)).otherwise(unknown)
-    summed = (
-        parts.join(rare, "token", "left")
+            done = 0
+            for words, starts in groups(bytes_of(batch), codes, 500_000):
+                sums, owner, keys = model.value.walk(words, starts)
+                some = batch.slice(done, len(starts))
+                done += len(starts)
+                ends = np.cumsum(np.bincount(owner, minlength=len(starts)))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(keys))
+                sizes = np.diff(np.append(starts, len(words)))
+                yield pa.RecordBatch.from_arrays(
+                    [some.column("rid"), some.column("id"), some.column("held_out"), *map(pa.array, (sizes, *sums)), lists], ["rid", "id", "held_out", "n_tokens", "n_hot", "base", "path", "keys"]
+                )
+
+    schema = f"rid long, id {rows.schema['id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_hot long, base double, path double, keys array<long>"
+    walks = parked(rows.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(run, schema), "walks")
+    word, c = F.col("key").bitwiseAND(F.lit(1)) == 1, F.coalesce("c", F.lit(0))
+    joined = (
+        walks.select("rid", F.explode("keys").alias("key"))
+        .join(rest, "key", "left")
         .groupBy("rid")
         .agg(
-            F.max("id").alias("id"),
-            F.max("held_out").alias("held_out"),
-            F.max("n_tokens").alias("n_tokens"),
-            F.sum(F.col("n_known") + F.when(c > 0, f).otherwise(0)).alias("n_known"),
-            F.sum(F.col("base") + f * F.log10(c + 1.0)).alias("base"),
-            F.sum(F.col("walked") + f * own).alias("score"),
+            F.count_if(c > 0).alias("more_known"),
+            F.sum(F.log10(c + 1.0)).alias("more_base"),
+            F.sum(F.coalesce("weight", F.when(word, unknown).otherwise(0.0))).alias("more_path"),
         )
     )
-    return summed.select(
+    plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
+    return walks.drop("keys").join(joined, "rid", "left").select(
         F.col("id").alias(id_col),
         "held_out",
         "n_tokens",
-        "n_known",
+        plus("n_hot", "more_known").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") - F.col("n_tokens") * math.log10(n + v + 1)).alias("base_score"),
-        "score",
+        (plus("base", "more_base") - F.col("n_tokens") * math.log10(n + v + 1)).alias("base_score"),
+        plus("path", "more_path").alias("score"),
     )
