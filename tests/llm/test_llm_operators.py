@@ -7,7 +7,6 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
-from zlib import crc32
 
 import numpy as np
 import public_tokenizers
@@ -138,36 +137,6 @@ def test_near_duplicates_and_one_of_each_group(spark):
     assert sorted(r.doc_id for r in simhash.deduplicated(df, shingle=5).collect()) == [0, 1, 4, 6]
 
 
-def held_out(scored, labels, column):
-    rows = scored.join(labels, "doc_id").filter("held_out").select("predicted", column, "score").collect()
-    return sum(r.predicted == r[column] for r in rows) / len(rows), len(rows)
-
-
-@pytest.mark.parametrize("column", ["quality", "toxic"])
-def test_held_out_accuracy(spark, column):
-    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
-    scored = (quality.score_quality if column == "quality" else toxicity.score_toxicity)(docs, labels)
-    share, n = held_out(scored, labels, column)
-    assert n > 50 and share >= 0.9
-    r = scored.agg(F.min("score"), F.max("score"), F.count("*")).first()
-    assert 0 <= r[0] and r[1] <= 1 and r[2] == docs.count()
-    flags = scored.select("doc_id", "held_out").limit(200).collect()
-    assert all(r.held_out == (crc32(str(r.doc_id).encode()) % 5 == 0) for r in flags)
-
-
-def test_factorization_machine_learns_a_pair(spark):
-    """Neither word tells anything by itself: only both together."""
-    rng = random.Random(0)
-    texts, y = [], []
-    for _ in range(1200):
-        a, b = rng.random() < 0.5, rng.random() < 0.5
-        texts.append(" ".join(["insult"] * a + ["group"] * b + [rng.choice("klmnop") * 3 for _ in range(5)]))
-        y.append(int(a and b))
-    score = toxicity.FactorizationMachine().fit(texts, np.array(y)).scorer()
-    p = score(["insult kkk", "group kkk", "insult group kkk", "kkk"])
-    assert p[2] > 0.5 > max(p[0], p[1], p[3])
-
-
 def test_convolution_covers_the_whole_text(spark):
     rng = random.Random(0)
     filler = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))

@@ -3,28 +3,42 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm._shared import id_text, in_fold, texts_of
+from tracemill.llm._shared import id_text, in_fold, parked, texts_of
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, chars: int, folds: int = 5, held: int = 0, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], np.ndarray]:
-    """Texts and labels of at most ``rows`` labelled documents of at most ``chars`` characters, in the order of their ids' hashes.
+def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, folds: int = 5, held: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(key, text, y) of at most ``rows`` labelled documents, whole texts, the first in the order of their ids' hashes.
 
     Ids whose crc32 modulo ``folds`` is ``held`` are left out, as are null ids and labels. An id with several labels takes 1
-    if most of them are. Rows with the same id count once.
+    if most of them are. Rows with the same id count once, with the smallest text. ``key`` is the id as text.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label).cast("double").alias("y")).filter(F.col("id").isNotNull() & F.col("y").isNotNull())
     known = known.filter(~in_fold("id", folds, held)).groupBy("id").agg(F.avg("y").alias("y"))
-    chosen = known.orderBy(F.xxhash64(id_text("id")), "id").limit(rows)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    found = texts.join(F.broadcast(chosen), "id").filter(F.length("text") <= chars).groupBy("id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
-    got = sorted(found.collect(), key=lambda r: str(r.id))[:rows]
-    return [r.text for r in got], np.array([float(r.y > 0.5) for r in got])
+    # labels of documents that aren't there take no place in the sample
+    chosen = known.join(texts.select("id").distinct(), "id", "left_semi").orderBy(F.xxhash64(id_text("id")), "id").limit(rows)
+    found = texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+    return parked(found.select(id_text("id").alias("key"), "text", (F.col("y") > 0.5).cast("double").alias("y")), "sample")
+
+
+def collected(found: DataFrame, most_chars: int) -> tuple[list[str], np.ndarray]:
+    """Texts and labels of a sample, by key. In the order of the keys' hashes, texts that don't fit into what is left of
+    ``most_chars`` characters, a bound on the driver's memory, are passed over."""
+    left, keys = most_chars, set()
+    for r in sorted(found.select("key", F.length("text").alias("n")).collect(), key=lambda r: (crc32(r.key.encode()), r.key)):
+        if r.n <= left:
+            left -= r.n
+            keys.add(r.key)
+    fit = found.join(F.broadcast(found.sparkSession.createDataFrame([(k,) for k in sorted(keys)], "key string")), "key", "left_semi")
+    got = sorted(fit.collect(), key=lambda r: r.key)
+    return [r.text for r in got], np.array([r.y for r in got])
 
 
 def scored(docs: DataFrame, model: Callable[[], Callable[[list[str]], np.ndarray]], threshold: float, folds: int = 5, held: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

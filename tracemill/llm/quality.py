@@ -112,11 +112,11 @@ class ByteConvNet:
 
 
 def _net(docs: DataFrame, labels: DataFrame, train_rows: int, train_chars: int, id_col: str, text_col: str, label_col: str):
-    texts, y = _labelled.sample(docs, labels, label_col, train_rows, train_chars, id_col=id_col, text_col=text_col)
+    texts, y = _labelled.collected(_labelled.sample(docs, labels, label_col, train_rows, id_col=id_col, text_col=text_col), train_chars)
     return docs.sparkSession.sparkContext.broadcast(ByteConvNet().fit(texts, y)), len(y)
 
 
-def accepted(docs: DataFrame, labels: DataFrame, train_rows: int = 4096, train_chars: int = 24_000, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+def accepted(docs: DataFrame, labels: DataFrame, train_rows: int = 4096, train_chars: int = 100_000_000, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """The rows of ``docs`` whose text scores ``threshold`` or more; see score_quality(). All rows if no label can be learnt from."""
     net, learnt = _net(docs, labels, train_rows, train_chars, id_col, text_col, label_col)
     if not learnt:
@@ -130,11 +130,11 @@ def accepted(docs: DataFrame, labels: DataFrame, train_rows: int = 4096, train_c
     return docs.mapInArrow(run, docs.schema)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, train_rows: int = 4096, train_chars: int = 24_000, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, train_rows: int = 4096, train_chars: int = 100_000_000, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """One row per row of ``docs``: id, held_out, score (0 to 1, higher: better), predicted (1 if score >= ``threshold``).
 
-    The network learns on the driver from at most ``train_rows`` labelled documents of at most ``train_chars`` characters whose
-    id's crc32 modulo 5 is not 0; every whole text is scored. Null and empty texts are scored as one window of padding.
+    The network learns on the driver from at most ``train_rows`` labelled documents, whole texts of ``train_chars`` characters
+    in all at most, whose id's crc32 modulo 5 is not 0; every whole text is scored. Null and empty texts are scored as one window of padding.
     Without labels every score is what the untrained network gives. Repeated rows and other columns don't matter.
     """
     net, _ = _net(docs, labels, train_rows, train_chars, id_col, text_col, label_col)

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tracemill.llm import _labelled
+from tracemill.llm._shared import texts_of
 
 _word = re.compile(r"[^\W\d_]+").findall
 PREFIXES = (4, 5)
@@ -20,78 +23,122 @@ def words_of(text: str) -> set[str]:
 
 def hashes_of(word: str) -> list[int]:
     """The hashes of a word's terms: itself, and its first 4 and 5 letters, which stems share under any ending."""
-    return [crc32(word.encode()), *[crc32(f"{n}:{word[:n]}".encode()) for n in PREFIXES if len(word) >= n]]
+    return [crc32(word.encode("utf-8", "surrogatepass")), *[crc32(f"{n}:{word[:n]}".encode("utf-8", "surrogatepass")) for n in PREFIXES if len(word) >= n]]
+
+
+def terms_of(text: str) -> np.ndarray:
+    """The sorted distinct hashes of a whole text's terms."""
+    return np.array(sorted({h for w in words_of(text) for h in hashes_of(w)}), np.int64)
+
+
+def _chance(logits: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
 
 
 class FactorizationMachine:
     """Log odds = bias + sum of the weights of the terms present + sum over their pairs of the inner products of their factors.
 
-    Of all hashed terms those are kept whose frequency differs between the classes beyond chance; ``slot`` numbers them.
+    Of all hashed terms those are kept whose frequency differs between the classes beyond chance, and those of pairs that
+    occur together beyond what the terms kept so far explain, however little each tells alone. ``slot`` numbers them.
     """
 
-    def __init__(self, terms: int = 4096, factors: int = 8, seed: int = 0):
+    def __init__(self, terms: int = 16_384, factors: int = 8, seed: int = 0):
         self.terms, self.factors, self.seed = terms, factors, seed
         self.slot: dict[int, int] = {}
-        self.bias, self.w, self.v = 0.0, np.zeros(1), np.zeros((1, factors))
-
-    def _choose(self, docs: list[set[int]], y: np.ndarray, z: float = 4.0, least: int = 3) -> None:
-        found, number = {}, []
-        for d in docs:
-            number.append([found.setdefault(h, len(found)) for h in sorted(d)])
-        df = np.zeros((2, len(found)))
-        for ids, t in zip(number, y):
-            df[int(t), ids] += 1
-        n = np.array([max(1, (y == 0).sum()), max(1, (y == 1).sum())])
-        p = df / n[:, None]
-        both = (df.sum(0) + 1) / (n.sum() + 2)
-        score = np.abs(p[1] - p[0]) / np.sqrt(both * (1 - both) * (1 / n[0] + 1 / n[1]))
-        hashes = np.array(list(found))
-        keep = np.flatnonzero((score >= z) & (df.sum(0) >= least))
-        keep = keep[np.lexsort((hashes[keep], -score[keep]))][: self.terms]
-        self.slot = {int(hashes[i]): k for k, i in enumerate(keep)}
+        self.bias, self.w, self.v = 0.0, np.zeros(0), np.zeros((0, factors))
 
-    def fit(self, texts: list[str], y: np.ndarray, epochs: int = 20, batch: int = 64, steps: int = 1500, rate: float = 0.02, decay: float = 1e-3) -> FactorizationMachine:
-        """Adam on the log loss, for ``epochs`` epochs and ``steps`` steps at least."""
-        epochs = max(epochs, -(-steps * batch // max(1, len(y))))
-        rng = np.random.default_rng(self.seed)
+    def fit(self, docs: list[np.ndarray], y: np.ndarray) -> FactorizationMachine:
+        """Learn from the hashed terms of documents: by single terms first, then with those of telling pairs if there are any."""
         share = min(max(float(y.mean()), 0.01), 0.99) if len(y) else 0.5
         self.bias = float(np.log(share / (1 - share)))
-        docs = [{h for w in words_of(t) for h in hashes_of(w)} for t in texts]
-        if docs:
-            self._choose(docs, y)
-        size = len(self.slot) + 1  # the last stands for no term
-        self.w, self.v = np.zeros(size), rng.normal(0, 0.05, (size, self.factors))
-        self.v[-1] = 0
-        kept = [np.array(sorted(self.slot[h] for h in d if h in self.slot), np.int64) for d in docs]
-        p = [self.w, self.v, np.array([self.bias])]
-        m, s = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p]
+        if not len(y):
+            return self
+        hashes, flat = np.unique(np.concatenate(docs), return_inverse=True)
+        ids = np.split(flat, np.cumsum([len(d) for d in docs])[:-1])
+        single = self._single(ids, len(hashes), y)
+        self._learn(hashes, single, ids, y)
+        more = np.setdiff1d(self._paired(ids, len(hashes), y - _chance(self._logits(docs))), single)
+        if len(more):
+            self._learn(hashes, np.concatenate([single, more])[: self.terms], ids, y)
+        return self
+
+    def _single(self, ids: list[np.ndarray], n: int, y: np.ndarray, z: float = 4.0, least: int = 3) -> np.ndarray:
+        df = np.stack([np.bincount(np.concatenate([d for d, t in zip(ids, y) if t == c] or [np.zeros(0, np.int64)]), minlength=n) for c in (0, 1)])
+        of = np.array([max(1, (y == 0).sum()), max(1, (y == 1).sum())])
+        p, both = df / of[:, None], (df.sum(0) + 1) / (of.sum() + 2)
+        score = np.abs(p[1] - p[0]) / np.sqrt(both * (1 - both) * (1 / of[0] + 1 / of[1]))
+        keep = np.flatnonzero((score >= z) & (df.sum(0) >= least))
+        return keep[np.argsort(-score[keep], kind="stable")][: self.terms]
+
+    def _paired(self, ids: list[np.ndarray], n: int, rest: np.ndarray, z: float = 6.0, least: int = 8, screened: int = 2048, at_once: int = 512) -> np.ndarray:
+        """The terms of pairs whose documents' residuals ``rest`` sum to ``z`` standard deviations or more, strongest first; among
+        the ``screened`` terms of most even document frequency."""
+        share = np.bincount(np.concatenate(ids), minlength=n) / len(ids)
+        able = np.flatnonzero(share * len(ids) >= least)
+        able = np.sort(able[np.argsort(-(share * (1 - share))[able], kind="stable")][:screened])
+        column = np.full(n, -1)
+        column[able] = np.arange(len(able))
+        total, spread = (np.zeros((len(able), len(able)), np.float32) for _ in range(2))
+        for k in range(0, len(ids), at_once):
+            some = ids[k : k + at_once]
+            x, r = np.zeros((len(some), len(able)), np.float32), rest[k : k + at_once, None].astype(np.float32)
+            for row, d in zip(x, some):
+                at = column[d]
+                row[at[at >= 0]] = 1
+            total += (x * r).T @ x
+            spread += (x * r**2).T @ x
+        strength = np.abs(total) / np.sqrt(spread + 1e-9) * (spread >= least * float((rest**2).mean()))
+        np.fill_diagonal(strength, 0)
+        best = strength.max(1) if len(able) else np.zeros(0)
+        found = np.flatnonzero(best >= z)
+        return able[found[np.argsort(-best[found], kind="stable")]]
+
+    def _learn(self, hashes: np.ndarray, kept: np.ndarray, ids: list[np.ndarray], y: np.ndarray, epochs: int = 20, batch: int = 64, steps: int = 1500, rate: float = 0.02, decay: float = 1e-3) -> None:
+        """Adam on the log loss, for ``epochs`` epochs and ``steps`` steps at least."""
+        n, k = len(kept), self.factors
+        number = np.full(len(hashes), -1)
+        number[kept] = np.arange(n)
+        rows = [r[r >= 0] for r in (number[d] for d in ids)]
+        rng = np.random.default_rng(self.seed)
+        epochs = max(epochs, -(-steps * batch // len(y)))
+        p = np.concatenate([np.zeros((n, 1)), rng.normal(0, 0.05, (n, k))], 1)  # a weight and the factors of each term
+        bias = np.array([self.bias])
+        m, s = [np.zeros_like(p), np.zeros(1)], [np.zeros_like(p), np.zeros(1)]
         step = 0
-        for epoch in range(epochs if docs else 0):
+        for epoch in range(epochs):
             order = rng.permutation(len(y))
-            for k in range(0, len(y), batch):
-                gw, gv, gb = np.zeros_like(self.w), np.zeros_like(self.v), 0.0
-                for i in order[k : k + batch]:
-                    ids = kept[i]
-                    sums = self.v[ids].sum(0)
-                    logit = p[2][0] + self.w[ids].sum() + 0.5 * float((sums**2 - (self.v[ids] ** 2).sum(0)).sum())
-                    d = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y[i]) / batch
-                    gb += d
-                    gw[ids] += d
-                    gv[ids] += d * (sums - self.v[ids])
+            for start in range(0, len(y), batch):
+                some = order[start : start + batch]
+                at = np.concatenate([rows[i] for i in some])
+                of = np.repeat(np.arange(len(some)), [len(rows[i]) for i in some])
+                x, sums = p[at], np.zeros((len(some), k + 1))
+                np.add.at(sums, of, x)
+                own = np.bincount(of, (x[:, 1:] ** 2).sum(1), len(some))
+                d = (_chance(bias + sums[:, 0] + 0.5 * ((sums[:, 1:] ** 2).sum(1) - own)) - y[some]) / len(some)
+                g = sums[of] - x
+                g[:, 0] = 1
+                g *= d[of, None]
+                gp = np.stack([np.bincount(at, g[:, c], n) for c in range(k + 1)], 1) + decay * p / len(y)
                 step += 1
                 lr = rate * (1 - epoch / epochs)
-                for x, g, a, b, l2 in zip(p, (gw, gv, np.array([gb])), m, s, (decay, decay, 0.0)):
-                    a += 0.1 * (g + l2 * x / len(y) - a)
-                    b += 0.001 * (g**2 - b)
-                    x -= lr * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
-        self.bias = float(p[2][0])
-        self.v[-1] = 0
-        return self
+                for w, grad, a, b in zip((p, bias), (gp, d.sum(keepdims=True)), m, s):
+                    a += 0.1 * (grad - a)
+                    b += 0.001 * (grad**2 - b)
+                    w -= lr * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
+        self.bias, self.w, self.v = float(bias[0]), p[:, 0].copy(), p[:, 1:].copy()
+        self.slot = {int(h): i for i, h in enumerate(hashes[kept])}
+
+    def _logit(self, at: np.ndarray) -> float:
+        v = self.v[at]
+        return self.bias + float(self.w[at].sum()) + 0.5 * float((v.sum(0) ** 2 - (v**2).sum(0)).sum())
+
+    def _logits(self, docs: list[np.ndarray]) -> np.ndarray:
+        return np.array([self._logit(np.array(sorted(self.slot[h] for h in d.tolist() if h in self.slot), np.int64)) for d in docs], np.float64)
 
     def scorer(self, remembered: int = 400_000):
         """The function from texts to scores; it remembers the slots of so many words at most."""
         memo: dict[str, tuple[int, ...]] = {}
-        slot, v, w = self.slot, self.v, self.w
+        slot = self.slot
 
         def one(text: str) -> float:
             ids: set[int] = set()
@@ -103,22 +150,29 @@ class FactorizationMachine:
                     got = memo[word] = tuple(slot[h] for h in hashes_of(word) if h in slot)
                 if got:
                     ids.update(got)
-            if not ids:
-                return self.bias
-            at = np.array(sorted(ids))
-            sums = v[at].sum(0)
-            return self.bias + float(w[at].sum()) + 0.5 * float((sums**2 - (v[at] ** 2).sum(0)).sum())
+            return self._logit(np.array(sorted(ids), np.int64)) if ids else self.bias
+
+        return lambda texts: _chance(np.array([one(t) for t in texts], np.float64))
+
+
+def learnt(docs: DataFrame, labels: DataFrame, train_rows: int, id_col: str, text_col: str, label_col: str) -> FactorizationMachine:
+    """The machine of a sample of labelled documents, whose hashed terms are worked out in tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("y"), pa.array([terms_of(t) for t in texts_of(batch)], pa.list_(pa.int64()))], ["key", "y", "terms"])
 
-        return lambda texts: 1 / (1 + np.exp(-np.clip(np.array([one(t) for t in texts], np.float64), -30, 30)))
+    rows = _labelled.sample(docs, labels, label_col, train_rows, id_col=id_col, text_col=text_col).mapInArrow(run, "key string, y double, terms array<long>")
+    got = sorted(rows.collect(), key=lambda r: r.key)
+    return FactorizationMachine().fit([np.array(r.terms, np.int64) for r in got], np.array([r.y for r in got]))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = 8192, train_chars: int = 12_000, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = 8192, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """One row per row of ``docs``: id, held_out, score (0 to 1, higher: more toxic), predicted (1 if score >= ``threshold``).
 
-    The machine learns on the driver from at most ``train_rows`` labelled documents of at most ``train_chars`` characters whose
+    The machine learns on the driver from the hashed terms of at most ``train_rows`` labelled documents, whole texts, whose
     id's crc32 modulo 5 is not 0; every whole text is scored. A text without a kept term, null and empty ones included, has
     the score of the bias. Without labels that is one half for every text. Repeated rows and other columns don't matter.
     """
-    texts, y = _labelled.sample(docs, labels, label_col, train_rows, train_chars, id_col=id_col, text_col=text_col)
-    machine = docs.sparkSession.sparkContext.broadcast(FactorizationMachine().fit(texts, y))
+    machine = docs.sparkSession.sparkContext.broadcast(learnt(docs, labels, train_rows, id_col, text_col, label_col))
     return _labelled.scored(docs, lambda: machine.value.scorer(), threshold, id_col=id_col, text_col=text_col)
