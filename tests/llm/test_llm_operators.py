@@ -147,21 +147,6 @@ def test_convolution_covers_the_whole_text(spark):
     assert p[0] > 0.5 > p[1] and np.isfinite(p).all()
 
 
-def test_mixing_on_the_driver_and_as_a_table_agree_and_fit_their_targets(spark):
-    rng = random.Random(5)
-    rows = [(i, "word " * rng.randint(1, 40) + rng.choice(("", "license", "@", "|" * 9)), rng.choice(("en", "en", "en", "de", None)), rng.choice(("a", "a", "a", "b", "c", None)), 0) for i in range(3000)]
-    df = spark.createDataFrame(rows, DOCS)
-    here = mixing.weighted(df, mixing.POWERS, 0.3).select("doc_id", F.round("_rate", 6).alias("r"), "_keep")
-    there = mixing.weighted(df, mixing.POWERS, 0.3, driver_cells=0).select("doc_id", F.round("_rate", 6).alias("r"), "_keep")
-    assert here.exceptAll(there).count() == 0 and here.count() == 3000
-    full = mixing.weighted(df, mixing.POWERS, 0.2).withColumn("want", F.col("_tokens") * F.col("_rate"))
-    total = full.agg(F.sum("want"), F.sum("_tokens")).first()
-    assert abs(total[0] / total[1] - 0.2) < 0.02
-    by = full.groupBy("_source").agg(F.sum("want").alias("w"), F.sum("_tokens").alias("n")).collect()
-    part = sum(r.n**0.5 for r in by)
-    assert all(abs(r.w / total[0] - r.n**0.5 / part) < 0.02 for r in by)
-
-
 def test_urls_meet_the_entries_of_their_day(spark):
     rng = random.Random(6)
     hosts, day = ["a.com", "x.a.com", "b.org", "b.org/p"], lambda n: f"2024-{1 + n // 28:02}-{1 + n % 28:02}"

@@ -1,19 +1,30 @@
 """Mixing documents to target weights by iterative proportional fitting.
 
-The tokens of the documents are summed by cell (source, language, topic); the cells are raked in turn to the marginals of
-each dimension until these fit; a document is kept with the probability that its cell's raked weight asks for.
+The tokens of the documents are summed by cell (source, language, topic). Each dimension has target weights: a mapping from
+values to weights, a table of them, or a power, which makes the shares that the corpus has more even. The tokens to keep of
+each value follow from its target, ``share`` of all tokens in all; a value with fewer tokens is kept whole and the others of its
+dimension share the rest (reachable). Then the cells are raked to these marginals in turn, never above their tokens, until all
+fit; a document is kept with the probability that its cell's raked tokens ask for.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Mapping
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.llm._shared import id_text, parked
 
+#: What a dimension is raked to: a power of its shares, weights by value, or a table (value, weight).
+Target = float | Mapping[str, float] | DataFrame
+#: The dimensions of a cell, and the powers of production.
+DIMS = ("source", "lang", "topic")
+POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.5}
+#: Turns at most, and the share of all tokens by which no value may be off; bounds of a weight against its cell's tokens.
+TURNS, TOLERANCE, FAR = 300, 1e-12, 1e12
+
 
 def topic_of(text: Column) -> Column:
     """A coarse topic: licensed (speaks of a licence or of rights), tabular (more than five bars), contact (an at sign), else prose."""
@@ -24,244 +35,176 @@ def topic_of(text: Column) -> Column:
 
 def tokens_of(text: Column) -> Column:
     """Words between blanks and line ends, 1 at least."""
-    return F.greatest(F.lit(1), F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"[ \n]"), lambda w: w != ""))).cast("long")
+    return F.greatest(F.lit(1), F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^ \n]+"))).cast("long")
 
 
-def tempered(cells: DataFrame, dim: str, power: float) -> DataFrame:
-    """(dim, target): shares of the tokens of a dimension's values to the power ``power``, which lifts the small ones."""
-    sums = cells.groupBy(dim).agg(F.pow(F.sum("tokens").cast("double"), F.lit(power)).alias("part"))
-    whole = sums.agg(F.sum("part").alias("whole"))
-    return sums.crossJoin(F.broadcast(whole)).select(dim, (F.col("part") / F.col("whole")).alias("target"))
+def marked(docs: DataFrame, topic: Callable[[Column], Column] | str = topic_of, text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+    """``docs`` with _source, _lang, _topic (of the text, or the column that ``topic`` names) and _tokens; null values are empty texts."""
+    named = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    kind = F.col(topic) if isinstance(topic, str) else topic(F.col(text_col))
+    return docs.select("*", named(F.col(source_col)).alias("_source"), named(F.col(lang_col)).alias("_lang"), named(kind).alias("_topic"), tokens_of(F.col(text_col)).alias("_tokens"))
 
 
-def rake(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = 12, tolerance: float = 0.0) -> DataFrame:
-    """``cells`` (dimensions, tokens) with ``weight``: shares that sum to the targets by each dimension.
+def wanted(cells: DataFrame, targets: Mapping[str, Target], share: float) -> dict[str, DataFrame]:
+    """For each dimension (value, n, target, want): the tokens of each value, its share of the targets, its reachable tokens.
 
-    Each step scales the cells of a value to its target; a round takes every dimension once and is written to the shared folder, and rounds
-    end early if no factor is further than ``tolerance`` from 1. Cells are what a groupBy leaves of the documents; they are
-    joined to their dimension's factors, never gathered. A value without a target gets weight 0.
+    Values are ordered by tokens against target: those that run out at their share of what is left come first. A value without
+    a target has the target 0, and so has a target's value that no document has.
     """
-    dims = list(targets)
-    whole = cells.agg(F.sum("tokens").cast("double").alias("whole"))
-    now = parked(cells.crossJoin(F.broadcast(whole)).withColumn("weight", F.col("tokens") / F.col("whole")).drop("whole"), "cells")
-    fixed = {d: parked(t, "targets") for d, t in targets.items()}
-    for _ in range(rounds):
-        off = F.lit(0.0)
-        for d in dims:
-            have = now.groupBy(d).agg(F.sum("weight").alias("_have")).join(fixed[d], d, "left")
-            factor = F.when(F.col("_have") > 0, F.coalesce("target", F.lit(0.0)) / F.col("_have")).otherwise(F.lit(0.0)).alias("_factor")
-            keep = [c for c in now.columns if c not in (d, "weight", f"_off_{d}")]
-            now = now.join(have.select(d, factor), d).select(d, *keep, (F.col("weight") * F.col("_factor")).alias("weight"), F.abs(F.col("_factor") - 1).alias(f"_off_{d}"))
-            off = F.greatest(off, F.col(f"_off_{d}"))
-        now = parked(now, "raked")
-        if tolerance and (now.agg(F.max(off)).first()[0] or 0) <= tolerance:
-            break
-    return now.select(*cells.columns, "weight")
-
-
-def rates(raked: DataFrame, share: float, rounds: int = 20) -> DataFrame:
-    """(dimensions, weight, rate): the chance of each cell's documents, so that ``share`` of all tokens is kept in the raked
-    proportions; where a cell has too few tokens all of them are kept, and the others make up for it as far as they can."""
-    held = raked.withColumn("_want", F.col("weight") / F.col("tokens"))
-    total = held.agg(F.sum("tokens")).first()[0] or 0
-    scale, budget = 0.0, share * total
-    for _ in range(rounds):
-        full = F.col("_want") * scale >= 1
-        r = held.agg(F.sum(F.when(full, F.col("tokens")).otherwise(0)).alias("full"), F.sum(F.when(full, 0.0).otherwise(F.col("weight"))).alias("free")).first()
-        if r.free is None or r.free <= 0:
-            break
-        fresh = max(scale, (budget - r.full) / r.free)
-        if fresh == scale:
-            break
-        scale = fresh
-    return held.withColumn("rate", F.least(F.lit(1.0), F.col("_want") * scale)).drop("_want")
-
-
-def rates_here(cells: Sequence[Row], powers: Mapping[str, float], share: float, rounds: int, scale_rounds: int = 20) -> np.ndarray:
-    """tempered(), rake() and rates() for cells (a value of each dimension of ``powers``, tokens) that fit the driver."""
-    tokens = np.array([r.tokens for r in cells], np.float64)
-    weight, budget, scale = tokens / tokens.sum(), share * tokens.sum(), 0.0
-    codes, targets = [], []
-    for i, power in enumerate(powers.values()):
-        number: dict[str, int] = {}
-        codes.append(np.array([number.setdefault(r[i], len(number)) for r in cells]))
-        part = np.bincount(codes[-1], tokens) ** power
-        targets.append(part / part.sum())
-    for _ in range(rounds):
-        for code, target in zip(codes, targets):
-            have = np.bincount(code, weight)
-            weight = weight * np.divide(target, have, out=np.zeros_like(have), where=have > 0)[code]
-    want = weight / tokens
-    for _ in range(scale_rounds):
-        full = want * scale >= 1
-        free = weight[~full].sum()
-        fresh = max(scale, (budget - tokens[full].sum()) / free) if free > 0 else scale
-        if fresh == scale:
+    found = {}
+    for dim, target in targets.items():
+        sums = cells.groupBy(F.col(f"_{dim}").alias("value")).agg(F.sum("tokens").alias("n"))
+        if isinstance(target, (int, float)):
+            named = sums.withColumn("weight", F.pow(F.col("n").cast("double"), F.lit(float(target))))
+        else:
+            given = target if isinstance(target, DataFrame) else cells.sparkSession.createDataFrame([(str(k), float(v)) for k, v in target.items()], "value string, weight double")
+            named = sums.join(given.groupBy("value").agg(F.sum("weight").alias("weight")), "value", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+        found[dim] = parked(named.select("value", "n", "weight"), "targets")
+    return {dim: _reachable(t, share) for dim, t in found.items()}
+
+
+def _reachable(values: DataFrame, share: float) -> DataFrame:
+    whole = values.agg(F.sum("n").alias("all"), F.sum("weight").alias("weights"))
+    of = values.crossJoin(F.broadcast(whole)).select("value", "n", "all", F.when(F.col("weights") > 0, F.col("weight") / F.col("weights")).otherwise(0.0).alias("target"))
+    full, budget = 0, None
+    while True:
+        # those that run out are kept whole; taking them out can only make others run out
+        r = of.agg(F.sum(F.when(F.col("target") * F.lit(budget or 0.0) >= F.col("n"), F.col("n")).otherwise(0)).alias("kept"), F.sum(F.when(F.col("target") * F.lit(budget or 0.0) >= F.col("n"), 0.0).otherwise(F.col("target"))).alias("free"), F.count_if(F.col("target") * F.lit(budget or 0.0) >= F.col("n")).alias("full"), F.max("all").alias("all")).first()
+        if r["all"] is None or not r.free or (budget is not None and r.full == full):
             break
-        scale = fresh
-    return np.minimum(1.0, want * scale)
+        full, budget = r.full, max(budget or 0.0, (share * r["all"] - r.kept) / r.free)
+    part = F.col("target") * F.lit(budget or 0.0)
+    return parked(of.select("value", "n", "target", F.when(part >= F.col("n"), F.col("n").cast("double")).otherwise(part).alias("want")), "wanted")
 
 
-#: Bounds of a weight against its cell's tokens, for targets that contradict each other.
-FAR = 1e12
-
-
-def reachable(tokens: np.ndarray, target: np.ndarray, share: float) -> np.ndarray:
-    """The tokens to keep of each value of a dimension: ``share`` of all, in the proportions of ``target``; values that have
-    fewer are kept whole, and the others share what is left in the proportions of their targets."""
-    budget, full = share * tokens.sum(), np.zeros(len(tokens), bool)
-    while True:
-        free = target[~full].sum()
-        part = np.where(full, tokens, target * ((budget - tokens[full].sum()) / free if free > 0 else 0.0))
-        over = ~full & (part >= tokens)
-        if not over.any():
-            return part
-        full |= over
-
-
-def within_here(cells: Sequence[Row], powers: Mapping[str, float], share: float, rounds: int, turns: int = 200, tolerance: float = 1e-7) -> np.ndarray:
-    """Rates of 1 or less, raked again after each clip so that every dimension keeps its reachable() tokens; for cells that
-    fit the driver. Ends when no value is off by more than ``tolerance`` of all tokens, or after ``turns`` turns."""
-    tokens = np.array([r.tokens for r in cells], np.float64)
-    weight = rates_here(cells, powers, share, rounds, 1) * tokens
-    codes, wants = [], []
-    for i, power in enumerate(powers.values()):
-        number: dict[str, int] = {}
-        codes.append(np.array([number.setdefault(r[i], len(number)) for r in cells]))
-        sums = np.bincount(codes[-1], tokens)
-        wants.append(reachable(sums, sums**power / (sums**power).sum(), share))
-    for _ in range(turns):
+def raked_here(tokens: np.ndarray, codes: list[np.ndarray], wants: list[np.ndarray], share: float) -> tuple[np.ndarray, float]:
+    """Rates of the cells, and the share of all tokens by which some value is off: for cells that fit the driver."""
+    weight, off = tokens * share, 0.0
+    for _ in range(TURNS):
         off = 0.0
         for code, want in zip(codes, wants):
             full = weight >= tokens
             kept, filled, free = np.bincount(code, np.minimum(weight, tokens)), np.bincount(code, tokens * full), np.bincount(code, weight * ~full)
-            off = max(off, np.abs(kept - want).max() / tokens.sum())
+            off = max(off, float(np.abs(kept - want).max()) / tokens.sum())
             down = np.divide(want, kept, out=np.zeros_like(want), where=kept > 0)
             up = np.divide(want - filled, free, out=np.ones_like(want), where=free > 0)
             weight = np.clip(weight * np.where(want < kept, down, up)[code], tokens / FAR, tokens * FAR)
-        if off <= tolerance:
+        if off <= TOLERANCE:
             break
-    return np.minimum(1.0, weight / tokens)
-
-
-def within(raked: DataFrame, powers: Mapping[str, float], share: float, turns: int = 200, tolerance: float = 1e-7) -> DataFrame:
-    """within_here() for a table of raked cells, which is never gathered; each turn is written to the shared folder."""
-    first = rates(raked, share, 1).withColumn("weight", F.col("rate") * F.col("tokens"))
-    now, total = parked(first.drop("rate"), "within"), raked.agg(F.sum("tokens")).first()[0] or 0
-    wants = {}
-    for d, power in powers.items():
-        values = parked(tempered(raked, d, power).join(raked.groupBy(d).agg(F.sum("tokens").alias("all")), d).withColumn("full", F.lit(False)), "values")
-        while True:
-            r = values.agg(F.sum(F.when(F.col("full"), F.col("all")).otherwise(0)).alias("kept"), F.sum(F.when(F.col("full"), 0.0).otherwise(F.col("target"))).alias("free")).first()
-            rate = (share * total - r.kept) / r.free if r.free else 0.0
-            over = ~F.col("full") & (F.col("target") * rate >= F.col("all"))
-            if values.filter(over).isEmpty():
-                break
-            values = parked(values.withColumn("full", F.col("full") | over), "values")
-        wants[d] = parked(values.select(d, F.when(F.col("full"), F.col("all").cast("double")).otherwise(F.col("target") * rate).alias("_want")), "wants")
+    return np.minimum(1.0, weight / tokens), off
+
+
+def raked(cells: DataFrame, wants: Mapping[str, DataFrame], share: float, tolerance: float = 1e-7) -> DataFrame:
+    """``cells`` with _rate: raked_here() for a table of cells that is never gathered; each turn is written to the shared folder."""
+    total = cells.agg(F.sum("tokens")).first()[0] or 0
     w, n = F.col("weight"), F.col("tokens")
-    for _ in range(turns):
+    now = parked(cells.withColumn("weight", n * F.lit(share)), "raked")
+    for _ in range(TURNS):
         off = F.lit(0.0)
-        for d in powers:
-            sums = now.groupBy(d).agg(F.sum(F.least(w, n.cast("double"))).alias("_kept"), F.sum(F.when(w >= n, n).otherwise(0)).alias("_filled"), F.sum(F.when(w >= n, 0.0).otherwise(w)).alias("_free")).join(wants[d], d)
-            down = F.when(F.col("_kept") > 0, F.col("_want") / F.col("_kept")).otherwise(0.0)
-            up = F.when(F.col("_free") > 0, (F.col("_want") - F.col("_filled")) / F.col("_free")).otherwise(1.0)
-            factor = F.when(F.col("_want") < F.col("_kept"), down).otherwise(up)
-            keep = [c for c in now.columns if c not in (d, "weight", f"_off_{d}")]
-            sums = sums.select(d, factor.alias("_factor"), (F.abs(F.col("_kept") - F.col("_want")) / total).alias(f"_off_{d}"))
-            now = now.drop(f"_off_{d}").join(sums, d).select(d, *keep, F.greatest(n / FAR, F.least(n * FAR, w * F.col("_factor"))).alias("weight"), f"_off_{d}")
-            off = F.greatest(off, F.col(f"_off_{d}"))
-        now = parked(now, "within")
+        for dim, t in wants.items():
+            d = f"_{dim}"
+            sums = now.groupBy(d).agg(F.sum(F.least(w, n.cast("double"))).alias("kept"), F.sum(F.when(w >= n, n).otherwise(0)).alias("filled"), F.sum(F.when(w >= n, 0.0).otherwise(w)).alias("free"))
+            sums = sums.join(t.select(F.col("value").alias(d), "want"), d)
+            down = F.when(F.col("kept") > 0, F.col("want") / F.col("kept")).otherwise(0.0)
+            up = F.when(F.col("free") > 0, (F.col("want") - F.col("filled")) / F.col("free")).otherwise(1.0)
+            sums = sums.select(d, F.when(F.col("want") < F.col("kept"), down).otherwise(up).alias("factor"), (F.abs(F.col("kept") - F.col("want")) / total).alias(f"off{d}"))
+            now = now.drop(f"off{d}").join(sums, d).withColumn("weight", F.greatest(n / FAR, F.least(n * FAR, w * F.col("factor")))).drop("factor")
+            off = F.greatest(off, F.col(f"off{d}"))
+        now = parked(now, "raked")
         if (now.agg(F.max(off)).first()[0] or 0) <= tolerance:
             break
-    return now.withColumn("rate", F.least(F.lit(1.0), w / n))
+    return now.select(*cells.columns, F.least(F.lit(1.0), w / n).alias("_rate"))
 
 
-def achieved(weighted_docs: DataFrame, powers: Mapping[str, float]) -> DataFrame:
-    """(dimension, value, target, kept) for a result of weighted(): the share of each value that its target asks for, and the
-    share of the tokens that the rates keep."""
-    cells = weighted_docs.groupBy(*[f"_{d}" for d in powers]).agg(F.sum("_tokens").alias("tokens"), F.sum(F.col("_tokens") * F.col("_rate")).alias("_part"))
-    cells = parked(cells, "achieved")
-    whole = cells.agg(F.sum("_part").alias("_whole"))
-    found = None
-    for d, power in powers.items():
-        sums = cells.groupBy(f"_{d}").agg(F.sum("_part").alias("_part")).crossJoin(F.broadcast(whole)).join(tempered(cells, f"_{d}", power), f"_{d}")
-        part = sums.select(F.lit(d).alias("dimension"), F.col(f"_{d}").alias("value"), "target", (F.col("_part") / F.col("_whole")).alias("kept"))
-        found = part if found is None else found.unionByName(part)
-    return found
-
-
-def uniform(id_col: str, seed: str) -> Column:
-    """A number from 0 to 1 from the id alone: the first 52 bits of an MD5."""
-    return F.conv(F.substring(F.md5(F.concat(id_text(id_col), F.lit(f":{seed}"))), 1, 13), 16, 10).cast("double") / float(1 << 52)
-
-
-def weighted(docs: DataFrame, powers: Mapping[str, float], share: float, topic: Callable[[Column], Column] = topic_of, seed: str = "mix", rounds: int = 12, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", driver_cells: int = 50_000, held: bool = False) -> DataFrame:
-    """``docs`` with _source, _lang, _topic, _tokens, _rate and _keep. See mixed().
-
-    The rates are clipped at 1 once, as in oracle(); if ``held``, the cells are raked again after each clip, so that all
-    targets that the documents allow at this share are met.
+def weighted(rows: DataFrame, targets: Mapping[str, Target] = POWERS, share: float = 0.5, driver_cells: int = 50_000) -> DataFrame:
+    """The rows of marked() with _rate, the chance with which a row of its cell is to be kept.
 
     Up to ``driver_cells`` cells are raked on the driver and their rates broadcast; more are raked as a table and joined.
     """
-    named = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    cols = {"_source": named(F.col(source_col)), "_lang": named(F.col(lang_col)), "_topic": named(topic(F.col(text_col))), "_tokens": tokens_of(F.col(text_col))}
-    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *[e.alias(n) for n, e in cols.items()])
-    keys = ["_source", "_lang", "_topic"]
+    keys = [f"_{d}" for d in DIMS]
     cells = parked(rows.groupBy(*keys).agg(F.sum("_tokens").alias("tokens")), "cells")
-    if cells.count() <= driver_cells:
-        here = cells.select(*[f"_{d}" for d in powers], "tokens", *keys).collect()
-        found = (within_here if held else rates_here)(here, powers, share, rounds).tolist() if here else []
-        chances = F.broadcast(docs.sparkSession.createDataFrame([(*r[-3:], x) for r, x in zip(here, found)], "_source string, _lang string, _topic string, _rate double"))
-    else:
-        targets = {f"_{d}": tempered(cells, f"_{d}", p) for d, p in powers.items()}
-        raked = rake(cells, targets, rounds)
-        found = within(raked, {f"_{d}": p for d, p in powers.items()}, share) if held else rates(raked, share)
-        chances = parked(found.select(*keys, F.col("rate").alias("_rate")), "rates")
-    return rows.join(chances, keys).withColumn("_keep", uniform(id_col, seed) < F.col("_rate"))
+    wants = wanted(cells, targets, share)
+    if cells.count() > driver_cells:
+        return rows.join(parked(raked(cells, wants, share), "rates").select(*keys, "_rate"), keys)
+    here, spark = cells.collect(), rows.sparkSession
+    codes, marks = [], []
+    for dim, t in wants.items():
+        want = {r.value: r.want for r in t.collect()}
+        number = {v: i for i, v in enumerate(want)}
+        codes.append(np.array([number[r[f"_{dim}"]] for r in here], np.int64))
+        marks.append(np.array(list(want.values())))
+    found = raked_here(np.array([r.tokens for r in here], np.float64), codes, marks, share)[0].tolist() if here else []
+    chances = spark.createDataFrame([(*[r[k] for k in keys], x) for r, x in zip(here, found)], ", ".join(f"{k} string" for k in keys) + ", _rate double")
+    return rows.join(F.broadcast(chances), keys)
+
+
+def achieved(found: DataFrame, targets: Mapping[str, Target], share: float) -> DataFrame:
+    """(dimension, value, target, reachable, kept) for a result of weighted(): the share of the kept tokens that the targets ask
+    for, the one that the documents allow, and the one that the rates give."""
+    cells = parked(found.groupBy(*[f"_{d}" for d in DIMS]).agg(F.sum("_tokens").alias("tokens"), F.sum(F.col("_tokens") * F.col("_rate")).alias("part")), "achieved")
+    total = cells.agg(F.sum("tokens").alias("n"), F.sum("part").alias("part")).first()
+    out = None
+    for dim, t in wanted(cells, targets, share).items():
+        sums = cells.groupBy(F.col(f"_{dim}").alias("value")).agg(F.sum("part").alias("part")).join(t, "value")
+        part = sums.select(F.lit(dim).alias("dimension"), "value", "target", (F.col("want") / (share * (total.n or 1))).alias("reachable"), (F.col("part") / (total.part or 1)).alias("kept"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
-POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.5}
+def uniform(id_col: str, seed: str) -> Column:
+    """A number from 0 to 1 from the id alone: the first 52 bits of an MD5."""
+    return F.conv(F.substring(F.md5(F.concat(id_text(id_col), F.lit(f":{seed}"))), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def mixed(docs: DataFrame, powers: Mapping[str, float] = POWERS, share: float = 0.5, topic: Callable[[Column], Column] = topic_of, seed: str = "mix", rounds: int = 12, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", driver_cells: int = 50_000) -> DataFrame:
+def mixed(docs: DataFrame, targets: Mapping[str, Target] = POWERS, share: float = 0.5, topic: Callable[[Column], Column] | str = topic_of, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", driver_cells: int = 50_000) -> DataFrame:
     """A sample of ``docs`` with about ``share`` of its tokens, in the proportions of raked source, language and topic weights.
 
-    The marginals are the token shares of each value to the power of ``powers``, made to sum to 1. A value with fewer tokens
-    than its target asks for is kept whole, and the others of its dimension keep their proportions; see achieved(). A document is kept if a
-    number hashed from its id is below its cell's chance, so repeated rows stay or go together. Null sources, languages and
-    topics are values of their own (the empty text); a null or empty text has one token. Columns of ``docs`` are kept
-    whatever their names are. No document, no result.
+    A value with fewer tokens than its target asks for is kept whole, and the others of its dimension keep their proportions;
+    marginals that contradict each other are fitted as far as TURNS turns get; achieved() tells. A document is kept if a number
+    hashed from its id is below its cell's chance, so repeated rows stay or go together. Null sources, languages and topics are
+    values of their own (the empty text); a null or empty text has one token. Columns of ``docs`` are kept whatever their names
+    are. No document, no result.
     """
     at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    kept = weighted(docs.toDF(*at.values()), powers, share, topic, seed, rounds, at[id_col], at[text_col], at[source_col], at[lang_col], driver_cells, held=True).filter("_keep")
+    rows = marked(docs.toDF(*at.values()), at[topic] if isinstance(topic, str) else topic, at[text_col], at[source_col], at[lang_col])
+    kept = weighted(rows, targets, share, driver_cells).filter(uniform(at[id_col], seed) < F.col("_rate"))
     return kept.select(*at.values()).toDF(*docs.columns)
 
 
-def oracle(powers: Mapping[str, float] = POWERS, share: float = 0.5, seed: str = "mix", rounds: int = 12, scale_rounds: int = 20) -> str:
-    """DuckDB SQL for the rows of weighted(), with the rounds written out."""
+def mixing_of(docs: DataFrame, targets: Mapping[str, Target] = POWERS, share: float = 0.5, seed: str = "mix") -> DataFrame:
+    """(doc_id, topic, n_tokens, rate, kept) of each document; texts are read once."""
+    rows = parked(marked(docs).select("doc_id", "_source", "_lang", "_topic", "_tokens"), "marked")
+    found = weighted(rows, targets, share)
+    return found.select("doc_id", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.round("_rate", 6).alias("rate"), (uniform("doc_id", seed) < F.col("_rate")).alias("kept"))
+
+
+def oracle(powers: Mapping[str, float] = POWERS, share: float = 0.5, seed: str = "mix") -> str:
+    """DuckDB SQL for the rows of mixing_of(), with TURNS turns."""
+    names = {"source": "s", "lang": "l", "topic": "t"}
     steps = [
         """d AS MATERIALIZED (SELECT doc_id, coalesce(source, '') s, coalesce(lang, '') l,
                 CASE WHEN contains(text, 'icense') OR contains(text, 'rights reserved') THEN 'licensed' WHEN length(text) - length(replace(text, '|', '')) > 5 THEN 'tabular'
                      WHEN contains(text, '@') THEN 'contact' ELSE 'prose' END t,
                 greatest(1, len(list_filter(string_split_regex(coalesce(text, ''), '[ \\n]'), lambda w: w <> ''))) n FROM documents)""",
-        "c0 AS MATERIALIZED (SELECT s, l, t, sum(n)::DOUBLE n, sum(n)::DOUBLE / sum(sum(n)) OVER () w FROM d GROUP BY s, l, t)",
+        "c AS MATERIALIZED (SELECT s, l, t, sum(n)::DOUBLE n FROM d GROUP BY s, l, t)",
     ]
-    names = {"source": "s", "lang": "l", "topic": "t"}
     for d, p in powers.items():
         k = names[d]
-        steps.append(f"g{k} AS MATERIALIZED (SELECT {k}, pow(sum(n), {p}) / sum(pow(sum(n), {p})) OVER () target FROM c0 GROUP BY {k})")
-    i = 0
-    for _ in range(rounds):
-        for d in powers:
-            k = names[d]
-            steps.append(f"c{i + 1} AS MATERIALIZED (SELECT c.s, c.l, c.t, n, w * target / sum(w) OVER (PARTITION BY c.{k}) w FROM c{i} c JOIN g{k} USING ({k}))")
-            i += 1
-    steps.append("z0 AS (SELECT 0.0::DOUBLE z)")
-    for j in range(scale_rounds):
-        steps.append(
-            f"z{j + 1} AS MATERIALIZED (SELECT greatest(any_value(z), ({share} * sum(n) - sum(CASE WHEN w / n * z >= 1 THEN n ELSE 0 END)) / nullif(sum(CASE WHEN w / n * z >= 1 THEN 0 ELSE w END), 0)) z FROM c{i}, z{j})"
-        )
-    steps.append(f"r AS (SELECT s, l, t, least(1.0, w / n * z) rate FROM c{i}, z{scale_rounds})")
+        steps += [
+            f"g{k} AS (SELECT {k}, sum(n) n, pow(sum(n), {p}) / sum(pow(sum(n), {p})) OVER () target, {share} * sum(sum(n)) OVER () budget FROM c GROUP BY {k})",
+            # in the order of tokens against target, the first ones run out
+            f"""o{k} AS (SELECT *, (budget - coalesce(sum(n) OVER (ORDER BY n / target ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                    / sum(target) OVER (ORDER BY n / target ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) z FROM g{k})""",
+            f"f{k} AS (SELECT *, bool_and(target * z >= n) OVER (ORDER BY n / target ROWS UNBOUNDED PRECEDING) AS gone FROM o{k})",
+            f"""m{k} AS MATERIALIZED (SELECT {k}, CASE WHEN gone THEN n ELSE target * (budget - coalesce(sum(CASE WHEN gone THEN n END) OVER (), 0)) / sum(CASE WHEN NOT gone THEN target END) OVER () END want FROM f{k})""",
+        ]
+    inner = "r"
+    for d in powers:
+        k = names[d]
+        sums = f"SELECT x.*, want, sum(least(w, n)) OVER p kept, sum(CASE WHEN w >= n THEN n ELSE 0 END) OVER p filled, sum(CASE WHEN w >= n THEN 0 ELSE w END) OVER p free FROM {inner} x JOIN m{k} USING ({k}) WINDOW p AS (PARTITION BY x.{k})"
+        factor = "CASE WHEN want < kept THEN want / kept WHEN free > 0 THEN (want - filled) / free ELSE 1.0 END"
+        inner = f"(SELECT i, s, l, t, n, greatest(n / {FAR}, least(n * {FAR}, w * {factor})) w FROM ({sums}))"
+    steps.append(f"r AS (SELECT 0 i, s, l, t, n, n * {share} w FROM c UNION ALL SELECT i + 1, s, l, t, n, w FROM {inner} WHERE i < {TURNS})")
     uniform_sql = f"(('0x' || substr(md5(doc_id::VARCHAR || ':{seed}'), 1, 13))::BIGINT / pow(2, 52))"
-    return f"WITH {', '.join(steps)} SELECT doc_id, t AS topic, n::BIGINT AS n_tokens, round(rate, 6) AS rate, {uniform_sql} < rate AS kept FROM d JOIN r USING (s, l, t)"
+    rate = "least(1.0, w / r.n)"
+    return f"WITH RECURSIVE {', '.join(steps)} SELECT doc_id, t AS topic, d.n::BIGINT AS n_tokens, round({rate}, 6) AS rate, {uniform_sql} < {rate} AS kept FROM d JOIN (SELECT * FROM r WHERE i = {TURNS}) r USING (s, l, t)"

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tracemill.llm import decontam, langmodel, mixing, pii, quality, simhash, tokencount, topk, toxicity, urlfilter
 from tracemill.llm._shared import table
@@ -41,8 +40,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = mixing.weighted(table(spark, sf_dir, "documents"), mixing.POWERS, share=0.5)
-    return docs.select("doc_id", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.round("_rate", 6).alias("rate"), F.col("_keep").alias("kept"))
+    return mixing.mixing_of(table(spark, sf_dir, "documents"))
 
 
 def op6_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
