@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import Column
@@ -58,9 +59,11 @@ def stem(path: Column) -> Column:
 
 
 def relative(path: Column, root: str) -> Column:
-    """The path below ``root``; as it is elsewhere."""
-    base = root.rstrip("/") + "/"
-    return F.when(path.startswith(base), F.substr(path, F.lit(len(base) + 1))).otherwise(path)
+    """The path below ``root``; as it is elsewhere. Local paths may have a scheme or not, as readers differ in that."""
+    bare = (r"^(?:file:)?/+", "/")
+    base = re.sub(*bare, root.rstrip("/")) + "/"
+    once = lambda p: F.regexp_replace(p, *bare)
+    return F.when(once(path).startswith(base), F.substr(once(path), F.lit(len(base) + 1))).otherwise(path)
 
 
 def lookup(code: Column, names: Mapping[str, str]) -> Column:

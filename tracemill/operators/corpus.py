@@ -55,6 +55,32 @@ def attach(audio: DataFrame, side: DataFrame, key: str, column: str, empty: Colu
     return audio.join(one, key, "left").withColumn(column, F.coalesce(F.col(column), empty))
 
 
+def attach_mirrored(audio: DataFrame, side: DataFrame, audio_root: str, side_root: str, column: str, empty: Column, path: str = "path") -> DataFrame:
+    """``audio`` with ``column`` of the side file at the same relative path below ``side_root``, whatever its extension."""
+    key = lambda root: paths.with_suffix(paths.relative(F.col(path), root), "")
+    return attach(audio.withColumn("_mirror", key(audio_root)), side.select(path, key(side_root).alias("_mirror"), column), "_mirror", column, empty).drop("_mirror")
+
+
+def new_entries(entries: DataFrame, done: DataFrame, key: str = "audio_path", once: bool = True) -> DataFrame:
+    """The entries whose key isn't done; with ``once`` also one of each key among them, as the corpus of emotions has it."""
+    left = entries.join(done.select(key).distinct(), key, "left_anti")
+    return left.dropDuplicates([key]) if once else left
+
+
+def files_by_speaker(files: DataFrame, speaker: str = "speaker_id", *distinct: str) -> DataFrame:
+    """(speaker, n, n_<column> for each of ``distinct``): how many files a speaker has, and how many different values."""
+    return files.groupBy(speaker).agg(F.count("*").alias("n"), *[F.count_distinct(c).alias(f"n_{c}") for c in distinct])
+
+
+def by_language(corpora: Mapping[str, DataFrame]) -> DataFrame:
+    """All corpora as one, with the language that each is named by."""
+    out = None
+    for language, rows in corpora.items():
+        part = rows.withColumn("language", F.lit(language))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
 def common_stems(gold: DataFrame, hyp: DataFrame, stem: str = "stem", path: str = "path", rank: str = "rank") -> DataFrame:
     """(stem, gold, hyp): the stems of both sides with the path of the highest rank of each."""
     last = lambda df, name: df.groupBy(stem).agg(F.max_by(path, F.struct(rank, path)).alias(name))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.functions.text import let
+
 #: The sampling rate, the range of pitch in Hz, the step of frames in seconds, what stands for no harmonicity.
 RATE = 16000
 PITCH = (75.0, 600.0)
@@ -35,9 +37,9 @@ def array_summary(series: Column) -> dict[str, Column]:
     """Mean, population std, median and range of an array within a row, 0 for an empty one."""
     n = F.size(series)
     mean = F.aggregate(series, F.lit(0.0), lambda s, x: s + x) / n
-    var = F.aggregate(series, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / n
-    sort = F.array_sort(series)
-    middle = (F.element_at(sort, F.floor((n + 1) / 2).cast("int")) + F.element_at(sort, F.floor(n / 2).cast("int") + 1)) / 2
+    # the mean is worked out once and not for every element
+    var = let(mean, lambda m: F.aggregate(series, F.lit(0.0), lambda s, x: s + (x - m) * (x - m))) / n
+    middle = let(F.array_sort(series), lambda a: (F.element_at(a, F.floor((n + 1) / 2).cast("int")) + F.element_at(a, F.floor(n / 2).cast("int") + 1)) / 2)
     some = lambda c: F.when(n > 0, c).otherwise(F.lit(0.0))
     return {"mean": some(mean), "std": some(F.sqrt(var)), "median": some(middle), "range": some(F.array_max(series) - F.array_min(series))}
 
@@ -49,8 +51,45 @@ def frames_of(x: np.ndarray, rate: int, seconds: float = 0.04) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(x, size)[::hop]
 
 
+#: The highest formant in Hz, and how many formants are sought.
+HIGHEST_FORMANT, FORMANTS = 5500.0, 3
+
+
+def formants(x: np.ndarray, rate: int = RATE, seconds: float = 0.025, order: int = 10, at_once: int = 2000) -> np.ndarray:
+    """(frames, FORMANTS) in Hz, NaN where a frame has fewer: the angles of the roots of linear prediction of the signal, taken
+    down to twice the highest formant and with its high frequencies raised, that are narrower than 400 Hz."""
+    low = 2 * HIGHEST_FORMANT
+    if rate > low:
+        spectrum = np.fft.rfft(x)
+        n = int(len(x) * low / rate)
+        x = np.fft.irfft(spectrum[: n // 2 + 1], n) * (n / max(1, len(x))) if n > order else np.zeros(0)
+        rate = low
+    size, hop = int(rate * seconds), int(rate * STEP)
+    if len(x) < size:
+        return np.full((0, FORMANTS), np.nan)
+    x = np.append(x[:1], x[1:] - 0.97 * x[:-1])
+    found = []
+    windows = np.lib.stride_tricks.sliding_window_view(x, size)[::hop]
+    for k in range(0, len(windows), at_once):
+        w = windows[k : k + at_once] * np.hamming(size)
+        auto = np.stack([(w[:, : size - i] * w[:, i:]).sum(1) for i in range(order + 1)], 1)
+        loud = auto[:, 0] > 1e-9
+        auto = auto[loud]
+        system = auto[:, np.abs(np.subtract.outer(np.arange(order), np.arange(order)))] + np.eye(order) * (1e-9 * auto[:, :1, None] + 1e-12)
+        a = np.linalg.solve(system, auto[:, 1:, None])[..., 0]
+        companion = np.zeros((len(a), order, order))
+        companion[:, 0], companion[:, np.arange(1, order), np.arange(order - 1)] = a, 1.0
+        roots = np.linalg.eigvals(companion)
+        freq, width = np.angle(roots) * rate / (2 * np.pi), -np.log(np.maximum(np.abs(roots), 1e-12)) * rate / np.pi
+        freq = np.sort(np.where((freq > 90) & (freq < HIGHEST_FORMANT) & (width < 400), freq, np.nan), axis=1)[:, :FORMANTS]
+        out = np.full((len(w), FORMANTS), np.nan)
+        out[loud] = freq
+        found.append(out)
+    return np.concatenate(found)
+
+
 def signal_features(x: np.ndarray, rate: int = RATE) -> dict[str, float]:
-    """Duration, pitch by autocorrelation, level in dB, and jitter and shimmer of neighbouring voiced frames.
+    """Duration, pitch by autocorrelation, level in dB, formants, and jitter and shimmer of neighbouring voiced frames.
 
     These approximate what a phonetics program measures; they are not equal to it.
     """
@@ -62,8 +101,15 @@ def signal_features(x: np.ndarray, rate: int = RATE) -> dict[str, float]:
     low, high = int(rate / PITCH[1]), int(rate / PITCH[0])
     spectrum = np.fft.rfft(frames, 2 * frames.shape[1], axis=1)
     auto = np.fft.irfft(np.abs(spectrum) ** 2, axis=1)[:, : frames.shape[1]]
-    lag = auto[:, low : min(high, frames.shape[1] - 1)].argmax(1) + low
-    strength = auto[np.arange(len(auto)), lag] / np.maximum(auto[:, 0], 1e-12)
+    # fewer products are summed at longer lags
+    auto = auto * (frames.shape[1] / np.arange(frames.shape[1], 0, -1))
+    # of nearly equal peaks the one with the shortest period counts
+    lags = np.arange(low, min(high, frames.shape[1] - 1))
+    lag = (auto[:, lags] / np.maximum(auto[:, :1], 1e-12) - 0.02 * np.log2(lags / low)).argmax(1) + low
+    before, peak, after = (auto[np.arange(len(auto)), lag + i] for i in (-1, 0, 1))
+    bend = before - 2 * peak + after
+    lag = lag + np.clip(np.divide(0.5 * (before - after), bend, out=np.zeros_like(bend), where=bend < 0), -0.5, 0.5)
+    strength = peak / np.maximum(auto[:, 0], 1e-12)
     voiced = (strength > 0.45) & (power > 1e-8)
     pitch, loud = rate / lag[voiced], np.sqrt(power[voiced])
     for name, v in (("pitch", pitch), ("energy", level)):
@@ -72,25 +118,38 @@ def signal_features(x: np.ndarray, rate: int = RATE) -> dict[str, float]:
     out["energy_dynamic_range"] = out["energy_max"] - out["energy_min"]
     r = np.clip(strength[voiced], 1e-6, 1 - 1e-6)
     out["hnr_mean"] = float((10 * np.log10(r / (1 - r))).mean()) if len(r) else 0.0
+    for i, f in enumerate(formants(np.asarray(x, np.float64), rate).T, 1):
+        f = f[~np.isnan(f)]
+        out[f"F{i}_mean"], out[f"F{i}_std"] = (float(f.mean()), float(f.std())) if len(f) else (0.0, 0.0)
     period = 1 / pitch if len(pitch) else pitch
     out["jitter_local"] = float(np.abs(np.diff(period)).mean() / period.mean()) if len(period) > 1 else 0.0
     out["shimmer_local"] = float(np.abs(np.diff(loud)).mean() / loud.mean()) if len(loud) > 1 else 0.0
     return out
 
 
-def extract(audio: DataFrame, key: str = "path", samples: str = "samples", rate: int = RATE) -> DataFrame:
-    """(key, values, error): signal_features() of each row's samples as a map; rows without samples have an error instead."""
+#: An extractor takes samples and their rate and gives numbers by name.
+Extractor = Callable[[np.ndarray, int], dict[str, float]]
+
+
+def extract(audio: DataFrame, key: str = "path", samples: str = "samples", rate: int = RATE, make_extractor: Callable[[], Extractor] = lambda: signal_features) -> DataFrame:
+    """(key, values, error): the features of each row's samples as a map; rows without samples, and those on which the extractor
+    fails, have an error instead. ``make_extractor`` makes it once for each task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        extractor = make_extractor()
         for b in batches:
             values, errors = [], []
             for x in b[samples]:
+                found, error = None, None
                 if x is None or len(x) == 0:
-                    values.append(None)
-                    errors.append("no samples")
+                    error = "no samples"
                 else:
-                    values.append(signal_features(np.asarray(x, np.float64), rate))
-                    errors.append(None)
+                    try:
+                        found = extractor(np.asarray(x, np.float64), rate)
+                    except (ArithmeticError, ValueError) as e:
+                        error = f"{type(e).__name__}: {e}"
+                values.append(found)
+                errors.append(error)
             yield pd.DataFrame({key: b[key], "values": values, "error": errors})
 
     kind = audio.schema[key].dataType.simpleString()

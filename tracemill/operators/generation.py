@@ -28,6 +28,27 @@ def generate(items: DataFrame, make_model: Callable[[], Model], prompt: str = "m
     return items.mapInPandas(run, f"{fields}, texts array<string>")
 
 
+def chunks(samples: Column, rate: int = 16000, seconds: float = 30.0) -> Column:
+    """Samples as an array of pieces of ``seconds``, the last one shorter; none for no samples."""
+    size = int(rate * seconds)
+    starts = F.when(F.size(samples) > 0, F.sequence(F.lit(1), F.size(samples), F.lit(size))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda a: F.slice(samples, a, size))
+
+
+def transcribed(audio: DataFrame, make_model: Callable[[], Callable[[Sequence[Sequence[float]]], list[str]]], key: str = "path", samples: str = "samples", rate: int = 16000, seconds: float = 30.0, batch: int = 16) -> DataFrame:
+    """(key, text): what a recogniser hears, in pieces of ``seconds`` and batches of ``batch``, the pieces joined by blanks."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = make_model()
+        for f in frames:
+            flat = [piece for pieces in f["pieces"] for piece in pieces]
+            heard = iter([text for k in range(0, len(flat), batch) for text in model(flat[k : k + batch])])
+            yield pd.DataFrame({key: f[key], "text": [" ".join(t for t in (next(heard).strip() for _ in pieces) if t) for pieces in f["pieces"]]})
+
+    rows = audio.select(key, chunks(F.coalesce(samples, F.array().cast("array<double>")), rate, seconds).alias("pieces"))
+    return rows.mapInPandas(run, f"`{key}` {audio.schema[key].dataType.simpleString()}, text string")
+
+
 def transcriber(make_model: Callable[[], Callable[[Sequence[bytes]], list[str]]]) -> Callable[[Column], Column]:
     """A function from a column of audio to a column of what a recogniser hears in it."""
 

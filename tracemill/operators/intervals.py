@@ -27,11 +27,15 @@ def collapse_adjacent(spans: DataFrame, gap: float = 1e-6, file: str = "file", s
     return marked.groupBy(file, "_island").agg(F.min(seq).alias(seq), F.min_by(start, seq).alias(start), F.max_by(end, seq).alias(end), F.min_by(label, seq).alias(label)).drop("_island")
 
 
-def overlap_pairs(gold: DataFrame, hyp: DataFrame, bucket: float | None = None, file: str = "file", start: str = "start_ms", end: str = "end_ms", label: str = "label") -> DataFrame:
+#: Milliseconds of a time bucket: longer than nearly all segments, and few segments of a file lie in one.
+BUCKET = 10_000.0
+
+
+def overlap_pairs(gold: DataFrame, hyp: DataFrame, bucket: float | None = BUCKET, file: str = "file", start: str = "start_ms", end: str = "end_ms", label: str = "label") -> DataFrame:
     """Pairs of a gold and a hypothesis interval of one file that share more than a point: the columns with g_ and h_ before.
 
-    With ``bucket`` intervals are joined by file and time bucket, so that a long file is not one key: both sides are spread
-    over the buckets they touch, and a pair is taken in the bucket where its overlap begins, hence once.
+    Intervals are joined by file and time bucket, so that a long file is not one key: both sides are spread over the buckets
+    they touch, and a pair is taken in the bucket where its overlap begins, hence once. Without ``bucket`` the file is the key.
     """
     side = lambda df, p: df.select(F.col(file).alias(f"{p}file"), *[F.col(c).alias(f"{p}{c}") for c in df.columns if c != file])
     g, h = side(gold, "g_"), side(hyp, "h_")
@@ -66,9 +70,20 @@ def by_file(scored: DataFrame, file: str = "file") -> DataFrame:
 
 
 def by_label(scored: DataFrame, least: int = LEAST_SEGMENTS, label: str = "g_label") -> DataFrame:
-    """(phone, mean_iou, median_iou, count) of labels with more than ``least`` pairs."""
-    sums = scored.groupBy(F.col(label).alias("phone")).agg(F.avg("iou").alias("mean_iou"), F.median("iou").alias("median_iou"), F.count("*").alias("count"))
-    return sums.filter(F.col("count") > least)
+    """(phone, mean_iou, median_iou, count) of labels with more than ``least`` pairs.
+
+    The median is read from running counts of the distinct values in their order, a sort that can spill, so that a label with
+    very many pairs is never held in memory.
+    """
+    pairs = scored.select(F.col(label).alias("phone"), "iou")
+    sums = pairs.groupBy("phone").agg(F.avg("iou").alias("mean_iou"), F.count("*").alias("count")).filter(F.col("count") > least)
+    each = pairs.filter(F.col("iou").isNotNull()).groupBy("phone", "iou").agg(F.count("*").alias("n"))
+    whole = pairs.groupBy("phone").agg(F.count("iou").alias("all"))
+    upto = F.sum("n").over(Window.partitionBy("phone").orderBy("iou").rowsBetween(Window.unboundedPreceding, 0))
+    holds = lambda place: (F.col("upto") >= place) & (F.col("upto") - F.col("n") < place)
+    pick = lambda place: F.max(F.when(holds(F.floor(place)), F.col("iou")))
+    middle = each.withColumn("upto", upto).join(whole, "phone").groupBy("phone").agg(((pick((F.col("all") + 1) / 2) + pick(F.col("all") / 2 + 1)) / 2).alias("median_iou"))
+    return sums.join(middle, "phone", "left").select("phone", "mean_iou", "median_iou", "count")
 
 
 def confusion(scored: DataFrame) -> DataFrame:
@@ -105,7 +120,7 @@ def tolerance_rates(gaps: DataFrame, tolerances: Sequence[int] = TOLERANCES, fil
     return gaps.groupBy(file).agg(*[F.avg((F.col("gap") <= t).cast("double")).alias(f"tol_{t}ms") for t in tolerances])
 
 
-def alignment_metrics(gold: DataFrame, hyp: DataFrame, bucket: float | None = None) -> tuple[DataFrame, DataFrame]:
+def alignment_metrics(gold: DataFrame, hyp: DataFrame, bucket: float | None = BUCKET) -> tuple[DataFrame, DataFrame]:
     """The metrics by file, of files in both, and by label; hypothesis intervals are collapsed first."""
     merged = collapse_adjacent(hyp)
     scored = scored_pairs(overlap_pairs(gold, merged, bucket))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracemill.functions.text import chat_turns
+
 #: The label that no loss counts, and the longest example.
 IGNORED = -100
 LONGEST = 4096
@@ -48,3 +53,33 @@ def to_examples(rows: DataFrame, prompt_ids: str = "prompt_ids", full_ids: str =
     """input_ids and labels, truncated, of rows with the ids of the prompt and of the whole exchange; other columns but these stay."""
     labels = mask_prompt(F.col(full_ids), F.size(prompt_ids))
     return rows.withColumns({"input_ids": truncate(F.col(full_ids), longest), "labels": truncate(labels, longest)}).drop(prompt_ids, full_ids)
+
+
+#: An encoder takes conversations, each a list of (role, content), and whether the assistant is to go on; it gives their ids.
+Encoder = Callable[[Sequence[list[tuple[str, str]]], bool], list[list[int]]]
+
+
+def encoded_chats(rows: DataFrame, make_encoder: Callable[[], Encoder], prompt: str = "prompt", answer: str = "response") -> DataFrame:
+    """``rows`` with prompt_ids (the user's turn, up to where the assistant goes on) and full_ids (both turns), as to_examples()
+    takes them: the length of the prompt is that of its own ids. The encoder is made once for each task."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = make_encoder()
+        for f in frames:
+            turns = lambda column: [[(t["role"], t["content"] or "") for t in x] for x in f[column]]
+            out = f.drop(columns=["_asked", "_told"])
+            out["prompt_ids"], out["full_ids"] = encode(turns("_asked"), True), encode(turns("_told"), False)
+            yield out
+
+    fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in rows.schema.fields)
+    asked = rows.withColumns({"_asked": chat_turns(F.col(prompt)), "_told": chat_turns(F.col(prompt), F.col(answer))})
+    return asked.mapInPandas(run, f"{fields}, prompt_ids array<int>, full_ids array<int>")
+
+
+def byte_encoder() -> Encoder:
+    """An encoder without a vocabulary, for tests: role, a line end, content and a line end in UTF-8."""
+
+    def encode(chats: Sequence[list[tuple[str, str]]], go_on: bool) -> list[list[int]]:
+        return [list("".join(f"{role}\n{content}\n" for role, content in turns).encode() + (b"assistant\n" if go_on else b"")) for turns in chats]
+
+    return encode

@@ -136,7 +136,7 @@ def schema_align_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("files_by_speaker", "SELECT source, count(*) AS n, count(DISTINCT lang) AS n_langs FROM documents GROUP BY source")
 def files_by_speaker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("lang").alias("n_langs"))
+    return corpus.files_by_speaker(table(spark, sf_dir, "documents"), "source", "lang").withColumnRenamed("n_lang", "n_langs")
 
 
 @query("prompt_template", "SELECT p_partkey, 'Is ' || p_name || ' of ' || p_brand || ' a ' || p_type || '? ' || p_name AS prompt FROM part")
@@ -207,18 +207,29 @@ def training_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.to_training_view(final, strip_tags=True)
 
 
-@query("generate_candidates", None)
+_STUB = """
+    WITH k AS (SELECT conv_id, turn, unnest([0, 1, 2])::INTEGER AS k, coalesce(text, '') AS t FROM conversations),
+    m AS (SELECT *, md5(t || ':' || k) AS x FROM k),
+    h AS (SELECT *, ('0x' || x[1:8])::UBIGINT::UHUGEINT * 79228162514264337593543950336 + ('0x' || x[9:16])::UBIGINT::UHUGEINT * 18446744073709551616 + ('0x' || x[17:24])::UBIGINT::UHUGEINT * 4294967296 + ('0x' || x[25:32])::UBIGINT::UHUGEINT AS h FROM m),
+    p AS (SELECT *, ['f0_level=low', 'speaking_rate=fast', 'vowel_ratio=mid'] AS traits, ['male', 'female'] AS labels FROM h),
+    c AS (SELECT *, traits[(h % 3)::INTEGER + 1] AS a, traits[((h // 7) % 3)::INTEGER + 1] AS b, labels[((h // 91) % 2)::INTEGER + 1] AS label FROM p)
+    SELECT conv_id, turn, k, '<THINK>' || a || ' and ' || b || ' matter.</THINK>' || chr(10) || '<RESPONSE>Based on features such as ' || a || ', ' || b || ', the speaker is most consistent with: ' || label || '.</RESPONSE>' AS text FROM c
+"""
+
+
+@query("generate_candidates", _STUB)
 def generate_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("model_prompt"))
+    """Three candidates of the stub model for every turn."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("model_prompt"))
     return selection.explode_candidates(generation.generate(rows, generation.stub_model, n=3)).select("conv_id", "turn", "k", "text")
 
 
-@query("dsp_features", None)
+@query("dsp_features", "SELECT vec_id::VARCHAR AS path, 0.25 AS duration, 100.0 + 10 * label AS pitch FROM embeddings")
 def dsp_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signal features of tones, whose pitch and length come from the label of a vector."""
     tone = F.transform(F.sequence(F.lit(0), F.lit(3999)), lambda i: F.sin(i * (F.lit(6.283185307179586) * (100 + 10 * F.col("label")) / 16000)) * 0.1)
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("path"), tone.alias("samples"))
-    return features.extract(rows).select("path", F.round(F.col("values")["duration"], 4).alias("duration"), F.round(F.col("values")["pitch_median"], 2).alias("pitch"))
+    return features.extract(rows).select("path", F.round(F.col("values")["duration"], 4).alias("duration"), (F.round(F.col("values")["pitch_median"] / 5, 0) * 5).alias("pitch"))
 
 
 @query("incremental_resume", "SELECT user_id, count(*) AS n FROM events WHERE event_id % 3 > 0 GROUP BY user_id")

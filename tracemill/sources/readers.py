@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracemill.functions.paths import stem
+from tracemill.functions.paths import ACCENTS, stem
 from tracemill.functions.text import strip
 
 #: The speaker's fields of a prepared split.
@@ -36,22 +36,35 @@ def csv_table(spark: SparkSession, path: str, schema: str | None = None) -> Data
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
+def name_glob(extensions: tuple[str, ...]) -> str:
+    """A glob of file names with one of the extensions in either case."""
+    either = lambda e: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e)
+    return "*.{" + ",".join(map(either, extensions)) + "}"
+
+
 def files(spark: SparkSession, path: str, extensions: tuple[str, ...] = ("wav",), content: bool = False) -> DataFrame:
-    """(path, length, and with ``content`` the bytes) of all files below ``path`` with one of the extensions in either case."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    ext = F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1))
-    return df.filter(ext.isin(*extensions)).select("path", "length", *(["content"] if content else []))
+    """(path, length, and with ``content`` the bytes) of all files below ``path`` with one of the extensions in either case; no
+    other file is opened."""
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name_glob(extensions)).load(path)
+    return df.select("path", "length", *(["content"] if content else []))
 
 
 def whole_texts(spark: SparkSession, path: str, extensions: tuple[str, ...]) -> DataFrame:
-    """(path, text) of whole files."""
+    """(path, text) of whole files, for side files that are small."""
     return files(spark, path, extensions, content=True).select("path", F.decode("content", "UTF-8").alias("text"))
 
 
 def numbered_lines(spark: SparkSession, path: str, extensions: tuple[str, ...]) -> DataFrame:
-    """(path, line_no, line), numbered from 1 within each file, blank lines included."""
-    rows = whole_texts(spark, path, extensions).select("path", F.posexplode(F.split(F.regexp_replace("text", r"\r?\n$", ""), r"\r?\n")).alias("line_no", "line"))
-    return rows.withColumn("line_no", F.col("line_no") + 1)
+    """(path, line_no, line), numbered from 1 within each file, blank lines included.
+
+    Large files are read in splits: lines are numbered within each split, and only the splits' numbers of lines meet.
+    """
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name_glob(extensions)).text(path)
+    lines = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line"))
+    sizes = lines.groupBy("path", "_at").agg(F.count("*").alias("_n"))
+    before = sizes.select("path", "_at", F.coalesce(F.sum("_n").over(Window.partitionBy("path").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("path", "_at").orderBy("_id"))
+    return lines.withColumn("_inside", inside).join(before, ["path", "_at"]).select("path", (F.col("_before") + F.col("_inside")).cast("int").alias("line_no"), "line")
 
 
 def feature_map(text: Column, digits: int | None = None) -> Column:
@@ -163,9 +176,10 @@ def transcript_lines(spark: SparkSession, path: str, limit: int | None = None) -
 
 
 def handles(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
-    """(handle): stripped lines, without blank ones and comments; 0 means all."""
-    rows = spark.read.text(path).select(strip(F.col("value")).alias("handle")).filter((F.col("handle") != "") & ~F.col("handle").startswith("#"))
-    return rows.limit(limit) if limit else rows
+    """(handle): stripped lines, without blank ones and comments; the first ``limit`` of the file, 0 means all."""
+    rows = numbered_lines(spark, path, ("txt", "list", "lst")) if limit else spark.read.text(path).withColumnRenamed("value", "line")
+    rows = rows.withColumn("handle", strip(F.col("line"))).filter((F.col("handle") != "") & ~F.col("handle").startswith("#"))
+    return (rows.orderBy("path", "line_no").limit(limit) if limit else rows).select("handle")
 
 
 def first_path_of_stem(paths: DataFrame, path: str = "path") -> DataFrame:
@@ -179,6 +193,20 @@ def native_languages(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("speaker_id", F.coalesce(F.col("x")["native language"], F.lit("")).alias("native_language"))
 
 
+def stats(spark: SparkSession, path: str) -> DataFrame:
+    """The fitted quantiles as write_stats() left them: one row, as latents.fit_row() gives it."""
+    return spark.read.json(path)
+
+
+def speaker_accents(table: DataFrame, speaker: str = "id", nationality: str = "nationality") -> DataFrame:
+    """(speaker_id, accent) of a table of speakers whose columns are found by their names in any case; nationalities that
+    ACCENTS lacks have the empty accent."""
+    named = {c.lower().strip(): c for c in table.columns}
+    pick = lambda part: next(c for low, c in named.items() if part in low)
+    accent = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in ACCENTS.items() for x in kv]), strip(F.col(f"`{pick(nationality)}`"))), F.lit(""))
+    return table.select(strip(F.col(f"`{pick(speaker)}`")).alias("speaker_id"), accent.alias("accent"))
+
+
 def decode_wav(content: bytes, rate: int = 16000) -> np.ndarray | None:
     """The samples of 16-bit PCM as one channel at ``rate``, from -1 to 1; None for anything else."""
     try:

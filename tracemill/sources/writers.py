@@ -6,6 +6,7 @@ import io
 import uuid
 import wave
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
@@ -41,9 +42,47 @@ def write_stats(stats: DataFrame, path: str) -> None:
     stats.write.mode("overwrite").json(path)
 
 
-def write_utterances(rows: DataFrame, path: str, utt_id: str = "utt_id", text: str = "text") -> None:
-    """A folder utt_id=... for each utterance, with its text and a line end."""
-    rows.select(F.col(utt_id).alias("utt_id"), F.col(text).alias("value")).repartition("utt_id").write.mode("append").partitionBy("utt_id").text(path)
+def write_files(rows: DataFrame, folder: str, name: str = "name", content: str = "content", overwrite: bool = False) -> DataFrame:
+    """(name, status): each row's content (bytes, or text in UTF-8) as a file of its own below ``folder``, which all executors share.
+
+    status is CREATED, or SKIPPED for a file that is there and is left; with ``overwrite`` it is replaced. Files are made in tasks,
+    under another name first, so that a lost task leaves no half of one. The result is written to the shared folder.
+    """
+    root = folder if "://" in folder else f"file://{folder}"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            done = [put(c.encode() if isinstance(c, str) else bytes(c), f"{root}/{n}", overwrite) for n, c in zip(f["name"], f["content"])]
+            yield pd.DataFrame({"name": f["name"], "status": ["CREATED" if d else "SKIPPED" for d in done]})
+
+    asked = rows.select(F.col(name).alias("name"), F.coalesce(F.col(content).cast("binary"), F.lit(b"")).alias("content"))
+    return held(asked.mapInPandas(run, "name string, status string"), "files")
+
+
+def put(content: bytes, dest: str, overwrite: bool = False) -> bool:
+    """Writes a file unless there is one at ``dest``, and says whether it did."""
+    there, path = located(dest)
+    if not overwrite and there.get_file_info(path).type != fs.FileType.NotFound:
+        return False
+    folder, name = path.rsplit("/", 1)
+    there.create_dir(folder, recursive=True)
+    part = f"{folder}/.{name}-{uuid.uuid4().hex}"
+    with there.open_output_stream(part) as w:
+        w.write(content)
+    there.move(part, path)
+    return True
+
+
+def write_utterances(rows: DataFrame, folder: str, utt_id: str = "utt_id", text: str = "text", suffix: str = ".lab", overwrite: bool = False) -> DataFrame:
+    """(name, status): the text of each utterance and a line end in a file of its own, as aligners want them. Of several rows of
+    an utterance the smallest text is written."""
+    one = rows.groupBy(F.concat(F.col(utt_id), F.lit(suffix)).alias("name")).agg(F.concat(F.coalesce(F.min(text), F.lit("")), F.lit("\n")).alias("content"))
+    return write_files(one, folder, overwrite=overwrite)
+
+
+def write_wavs(audio: DataFrame, folder: str, path: str = "path", rate: int = 16000) -> DataFrame:
+    """(name, status): the samples of each recording (path, samples) as a 16-bit wav file at ``path`` below ``folder``."""
+    return write_files(encoded(audio.withColumnRenamed(path, "path"), rate), folder, name="path")
 
 
 def append_log(rows: DataFrame, path: str, columns: tuple[str, ...] = ("status", "source", "dest")) -> None:
@@ -64,7 +103,7 @@ def encode_wav(samples: np.ndarray, rate: int = 16000) -> bytes:
 
 
 def encoded(audio: DataFrame, rate: int = 16000) -> DataFrame:
-    """(path, content) of (path, samples), to be written as a table of binary rows."""
+    """(path, content) of (path, samples): wav files as bytes."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -73,13 +112,20 @@ def encoded(audio: DataFrame, rate: int = 16000) -> DataFrame:
     return audio.filter(F.col("samples").isNotNull()).select("path", "samples").mapInPandas(run, "path string, content binary")
 
 
+def located(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a URI, whose path may hold any characters, and the path there."""
+    scheme, _, rest = uri.partition(":/")
+    # Spark shows local files with one slash after the scheme or with three
+    return fs.FileSystem.from_uri(f"file:///{quote(rest.lstrip('/'))}" if scheme == "file" else f"{scheme}:/{quote(rest)}")
+
+
 def copy_one(source: str, dest: str, piece: int = 1 << 20) -> bool:
     """Copies a file unless there is one at ``dest``, and says whether it did. The copy is made under a name of its own and
     then moved, so that a lost task leaves no half of a file at ``dest``."""
-    there, path = fs.FileSystem.from_uri(dest)
+    there, path = located(dest)
     if there.get_file_info(path).type != fs.FileType.NotFound:
         return False
-    here, origin = fs.FileSystem.from_uri(source)
+    here, origin = located(source)
     folder, name = path.rsplit("/", 1)
     there.create_dir(folder, recursive=True)
     part = f"{folder}/.{name}-{uuid.uuid4().hex}"
