@@ -28,7 +28,15 @@ def hashes_of(word: str) -> list[int]:
 
 def terms_of(text: str) -> np.ndarray:
     """The sorted distinct hashes of a whole text's terms."""
-    return np.array(sorted({h for w in words_of(text) for h in hashes_of(w)}), np.int64)
+    return np.array(sorted({h for w in words_of(text) for h in hashes_of(w)}), np.uint32)
+
+
+def _places(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Where those of ``x`` that are among the values stand."""
+    if not len(sorted_values):
+        return np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)
+    return at[sorted_values[at] == x]
 
 
 def _chance(logits: np.ndarray) -> np.ndarray:
@@ -53,8 +61,10 @@ class FactorizationMachine:
         self.bias = float(np.log(share / (1 - share)))
         if not len(y):
             return self
-        hashes, flat = np.unique(np.concatenate(docs), return_inverse=True)
-        ids = np.split(flat, np.cumsum([len(d) for d in docs])[:-1])
+        # terms of fewer documents than this tell nothing in what follows
+        hashes, df = np.unique(np.concatenate(docs), return_counts=True)
+        hashes = hashes[df >= 3]
+        ids = [_places(hashes, d) for d in docs]
         single = self._single(ids, len(hashes), y)
         self._learn(hashes, single, ids, y)
         more = np.setdiff1d(self._paired(ids, len(hashes), y - _chance(self._logits(docs))), single)
@@ -156,15 +166,17 @@ class FactorizationMachine:
 
 
 def learnt(docs: DataFrame, labels: DataFrame, train_rows: int, id_col: str, text_col: str, label_col: str) -> FactorizationMachine:
-    """The machine of a sample of labelled documents, whose hashed terms are worked out in tasks."""
+    """The machine of a sample of labelled documents, whose hashed terms are worked out in tasks and come as 32-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("y"), pa.array([terms_of(t) for t in texts_of(batch)], pa.list_(pa.int64()))], ["key", "y", "terms"])
+            terms = pa.array([terms_of(t).view(np.int32) for t in texts_of(batch)], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("y"), terms], ["key", "y", "terms"])
 
-    rows = _labelled.sample(docs, labels, label_col, train_rows, id_col=id_col, text_col=text_col).mapInArrow(run, "key string, y double, terms array<long>")
-    got = sorted(rows.collect(), key=lambda r: r.key)
-    return FactorizationMachine().fit([np.array(r.terms, np.int64) for r in got], np.array([r.y for r in got]))
+    rows = _labelled.sample(docs, labels, label_col, train_rows, id_col=id_col, text_col=text_col).mapInArrow(run, "key string, y double, terms array<int>").toArrow()
+    order = np.argsort(np.array(rows.column("key").to_pylist(), dtype=object), kind="stable")
+    terms = [x.values.to_numpy().view(np.uint32) for x in rows.column("terms")]
+    return FactorizationMachine().fit([terms[i] for i in order], rows.column("y").to_numpy()[order])
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = 8192, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
