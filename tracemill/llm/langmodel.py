@@ -75,11 +75,14 @@ def _long_hash(x: np.ndarray, seed: np.ndarray | np.uint64) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def pair_keys(history: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """The keys of bigrams: F.xxhash64(history, word), made even, which no code of a word is."""
+def pair_keys(history: np.ndarray, word: np.ndarray, piece: int = 1 << 16) -> np.ndarray:
+    """The keys of bigrams: F.xxhash64(history, word), made even, which no code of a word is; ``piece`` at a time."""
+    out, h, w = np.empty(len(word), np.uint64), history.view(np.uint64), word.view(np.uint64)
     with np.errstate(over="ignore"):
-        h = _long_hash(word.view(np.uint64), _long_hash(history.view(np.uint64), np.uint64(42)))
-    return (h & ~np.uint64(1)).view(np.int64)
+        for k in range(0, len(out), piece):
+            out[k : k + piece] = _long_hash(w[k : k + piece], _long_hash(h[k : k + piece], np.uint64(42)))
+    out &= ~np.uint64(1)
+    return out.view(np.int64)
 
 
 _codes = Codes()
@@ -112,7 +115,7 @@ def _joined(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts), np.cumsum([0, *map(len, parts)])[:-1]
 
 
-def ngrams(train: DataFrame, least: int = 2, flush: int = 2_000_000) -> DataFrame:
+def ngrams(train: DataFrame, least: int = 2, flush: int = 1_000_000) -> DataFrame:
     """(history, word, n): the counts of all words (history 0) and of the bigrams that occur ``least`` times or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +208,7 @@ def model_of(train: DataFrame, least: int, share: float):
     return stat.n or 0, v, math.log10(off * v / total) if v else 0.0, automaton, rest
 
 
-def score(docs: DataFrame, fold: tuple[int, int] = (7, 2), least: int = 2, share: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, fold: tuple[int, int] = (7, 2), least: int = 2, share: float = 2.5e-7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Texts whose id's crc32 modulo ``fold[0]`` is not ``fold[1]`` are learnt from; all are scored. A null text counts as
