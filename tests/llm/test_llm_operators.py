@@ -147,7 +147,7 @@ def test_convolution_covers_the_whole_text(spark):
     assert p[0] > 0.5 > p[1] and np.isfinite(p).all()
 
 
-def test_urls_meet_the_entries_of_their_day(spark):
+def test_urls_meet_the_entries_of_their_day(spark, monkeypatch):
     rng = random.Random(6)
     hosts, day = ["a.com", "x.a.com", "b.org", "b.org/p"], lambda n: f"2024-{1 + n // 28:02}-{1 + n % 28:02}"
     entries = [(rng.choice(hosts), rng.choice(("block", "allow", "remove")), day(rng.randrange(300))) for _ in range(40)] + [(None, "block", day(1)), ("a.com", None, day(2))]
@@ -169,8 +169,17 @@ def test_urls_meet_the_entries_of_their_day(spark):
                 best = (k, last[k, at])
         return best is not None and best[1] == "block"
 
-    got = {r.page_id: r.blocked for r in urlfilter.evaluate(df, listed).collect()}
-    assert got == {i: blocked(u, d) for i, u, d in pages} and any(got.values())
+    want = {i: blocked(u, d) for i, u, d in pages}
+    assert any(want.values())
+    # other columns, of any name, are ignored; a list too large to be broadcast gives the same
+    clashing = df.withColumns({c: F.lit(1) for c in ("rid", "key", "month", "e", "action", "since", "id")})
+    assert {r.page_id: r.blocked for r in urlfilter.evaluate(clashing, listed).collect()} == want
+    monkeypatch.setattr(urlfilter, "SMALL_LIST", 0)
+    assert {r.page_id: r.blocked for r in urlfilter.evaluate(df, listed).collect()} == want
+    none, no_list = df.limit(0), listed.limit(0)
+    assert urlfilter.evaluate(none, listed).collect() == [] == urlfilter.evaluate(none, no_list).collect()
+    assert {r.blocked for r in urlfilter.evaluate(df, no_list).collect()} == {False}
+    assert urlfilter.evaluate(df.unionByName(df), listed).count() == 600
 
 
 def test_benchmark_passages_are_found_with_edits_and_clean_texts_left(spark):
@@ -258,3 +267,17 @@ def test_token_counts_equal_the_library(spark):
     for i, t in enumerate(texts):
         n = len(tok.encode(t or "", add_special_tokens=False).ids)
         assert (got[i].n_tokens, got[i].n_bytes, got[i].over_limit) == (n, len((t or "").encode()), n > 2048), t
+
+
+@pytest.mark.parametrize("change", [("normalizer", None), ("pre_tokenizer", {"type": "Whitespace"}), ("added_tokens", [{"content": "<x>", "single_word": True, "lstrip": False, "rstrip": False, "normalized": False}])])
+def test_tokenizers_with_other_settings_are_refused(tmp_path, change):
+    import json
+
+    with open(TOKENIZER, encoding="utf-8") as f:
+        spec = json.load(f)
+    tokencount.check(spec)
+    spec[change[0]] = change[1]
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec))
+    with pytest.raises(ValueError):
+        tokencount.WordPreTokenizer(str(path))

@@ -23,13 +23,34 @@ from tracemill.llm._shared import counted, parked, texts_of
 
 #: Fixed values of the tokenizer's file: contractions, runs of letters, single numerals, runs of anything else but white space.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
+#: The settings of the tokenizer's file that WordPreTokenizer carries out.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+PLAIN = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False}
+
+
+def check(spec: dict) -> None:
+    """Raises ValueError for a tokenizer whose settings are others than those carried out here, lest it be counted wrongly."""
+    if spec.get("normalizer") != NORMALIZER:
+        raise ValueError(f"unknown normalizer: {spec.get('normalizer')}")
+    if spec.get("pre_tokenizer") != {"type": "Sequence", "pretokenizers": [SPLIT, BYTES]}:
+        raise ValueError(f"unknown pre-tokenizer: {spec.get('pre_tokenizer')}")
+    for t in spec["added_tokens"]:
+        if any(t.get(k) != v for k, v in PLAIN.items()):
+            raise ValueError(f"unknown kind of added token: {t}")
+    if spec["model"].get("type") != "BPE" or spec["model"].get("dropout"):
+        raise ValueError("the model has to be BPE without dropout")
 
 
 class WordPreTokenizer:
-    """Splits texts as the tokenizer file does before its merges: special strings, NFC, lower case, pre-tokens."""
+    """Splits texts as the tokenizer file does before its merges: special strings, NFC, lower case, pre-tokens. Files with other
+    settings are refused."""
 
     def __init__(self, path: str):
-        spec = json.loads(open(path, encoding="utf-8").read())
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        check(spec)
         self.specials = [t["content"] for t in spec["added_tokens"]]
         self.path = path
         self._ready()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracemill.llm._shared import parked
+
 SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*://"
 
 
@@ -39,35 +41,37 @@ def intervals(entries: DataFrame, pattern: str = "pattern", action: str = "actio
     return rows.withColumn("until", F.lead("since").over(Window.partitionBy("key").orderBy("since")))
 
 
+#: Lists with up to so many keys are broadcast to drop all other keys of captures before anything is shuffled.
+SMALL_LIST = 200_000
+
+
 def evaluate(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", fetched_col: str = "fetched", pattern: str = "pattern", action: str = "action", listed: str = "listed_on") -> DataFrame:
     """One row per row of ``captures``: id, fetched, pattern, action and listed_on of the deciding entry, blocked.
 
     Of the entries active on the day of the fetch the one with the longest pattern decides; "block" blocks, "allow" doesn't, and
     any other action ends the pattern's entry before it. No active entry, no URL or no date: the entry's columns are null and
-    blocked is false. The join is by key and month, intervals being spread over the months until the last fetch, so that it
-    stays an equi-join whose skewed keys can be split. Repeated rows stay; other columns are ignored.
+    blocked is false. Empty captures give an empty result, empty lists block nothing. Repeated rows stay; other columns are
+    ignored.
+
+    Of the keys of a capture (its host, parent domains and paths) only those on the list are joined, so a top-level domain that
+    nobody listed is no key. The join is by key and month, intervals being spread over the months until the last fetch, so that
+    it stays an equi-join whose skewed keys can be split.
     """
-    spans = intervals(entries, pattern, action, listed)
-    known = captures.select(F.max(F.col(fetched_col).cast("date")).alias("last")).first().last
-    depth = spans.select(F.max(F.size(F.split("key", "/")) - 1)).first()[0] or 0
-    months = F.sequence(F.trunc("since", "month"), F.greatest(F.trunc("since", "month"), F.trunc(F.least(F.coalesce("until", F.lit(known)), F.lit(known)), "month")), F.expr("interval 1 month"))
-    listed_spans = spans.filter(F.col("action").isin("block", "allow") & (F.col("since") <= F.lit(known))).withColumn("month", F.explode(months))
-    rows = captures.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(fetched_col).cast("date").alias("fetched"), F.col(url_col).alias("url"))
-    asked = rows.select("rid", "id", "fetched", F.trunc("fetched", "month").alias("month"), F.explode_outer(keys_of(F.col("url"), depth)).alias("key"))
-    # no key, no join: such rows get a key of their own, lest they all meet in one task
-    asked = asked.withColumn("key", F.coalesce("key", F.concat(F.lit("/"), F.col("rid").cast("string"))))
-    active = (asked.key == listed_spans.key) & (asked.month == listed_spans.month) & (asked.fetched >= listed_spans.since) & (F.coalesce(asked.fetched < listed_spans.until, F.lit(True)))
-    met = asked.join(listed_spans, active, "left")
-    entry = F.struct(F.length(listed_spans.key).alias("size"), listed_spans.key.alias("pattern"), listed_spans.action.alias("action"), listed_spans.since.alias("listed_on"))
-    best = met.groupBy("rid").agg(F.max(asked.id).alias("id"), F.max(asked.fetched).alias("fetched"), F.max(F.when(listed_spans.key.isNotNull(), entry)).alias("e"))
-    return best.select(F.col("id").alias(id_col), "fetched", "e.pattern", "e.action", "e.listed_on", F.coalesce(F.col("e.action") == "block", F.lit(False)).alias("blocked"))
-
-
-#: The dated list of the query: entries for whole sites, as a public list might have them, and for a site's section.
-LISTED = (
-    ("adult-x.example.com", "block", "2023-01-01"), ("casino-win.example.net", "block", "2023-02-14"), ("casino-win.example.net", "remove", "2023-09-01"), ("casino-win.example.net", "block", "2024-02-01"), ("cheap-pills.example.net", "block", "2023-03-03"),
-    ("free-bets.example.net", "block", "2023-06-30"), ("ads-track.example.com", "block", "2023-01-20"), ("spam-farm.example.org", "block", "2023-11-11"), ("tionsh.example.net/fr", "block", "2023-05-05"), ("tionsh.example.net/fr", "allow", "2024-05-05"),
-)
+    spans = parked(intervals(entries, pattern, action, listed), "intervals")
+    rows = captures.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(fetched_col).cast("date").alias("fetched"), F.col(url_col).cast("string").alias("url"))
+    rows = parked(rows, "captures")  # so that a row keeps its number
+    known = F.lit(rows.agg(F.max("fetched")).first()[0]).cast("date")
+    size = spans.agg(F.max(F.size(F.split("key", "/")) - 1).alias("depth"), F.count_distinct("key").alias("keys")).first()
+    months = F.sequence(F.trunc("since", "month"), F.greatest(F.trunc("since", "month"), F.trunc(F.least(F.coalesce("until", known), known), "month")), F.expr("interval 1 month"))
+    listed_spans = spans.filter(F.col("action").isin("block", "allow") & (F.col("since") <= known)).withColumn("month", F.explode(months))
+    names = spans.select("key").distinct()
+    asked = rows.filter(F.col("fetched").isNotNull()).select("rid", "fetched", F.trunc("fetched", "month").alias("month"), F.explode(keys_of(F.col("url"), size.depth or 0)).alias("key"))
+    asked = asked.join(F.broadcast(names) if size["keys"] <= SMALL_LIST else names, "key", "left_semi")
+    met = asked.join(listed_spans, ["key", "month"]).filter((F.col("fetched") >= F.col("since")) & F.coalesce(F.col("fetched") < F.col("until"), F.lit(True)))
+    entry = F.struct(F.length("key").alias("size"), F.col("key").alias("pattern"), "action", F.col("since").alias("listed_on"))
+    best = met.groupBy("rid").agg(F.max(entry).alias("e"))
+    found = rows.select("rid", "id", "fetched").join(best, "rid", "left")
+    return found.select(F.col("id").alias(id_col), "fetched", "e.pattern", "e.action", "e.listed_on", F.coalesce(F.col("e.action") == "block", F.lit(False)).alias("blocked"))
 
 
 def dated_pages(pages: DataFrame) -> DataFrame:
@@ -76,24 +80,25 @@ def dated_pages(pages: DataFrame) -> DataFrame:
 
 
 def dated_list(pages: DataFrame) -> DataFrame:
-    """LISTED, and for a fifth of the hosts of the pages an entry that blocks them from some day until another."""
-    h = lambda a, n: F.pmod(F.conv(F.substring(F.md5("host"), a, 6), 16, 10).cast("int"), F.lit(n))
-    start = F.lit("2023-01-01").cast("date")
-    hosts = pages.select(host_of(F.col("url")).alias("host")).distinct().filter((F.col("host") != "") & (h(1, 5) == 0))
-    spans = hosts.select("host", h(7, 500).alias("a"), (h(13, 200) + 1).alias("n"))
-    made = spans.select(F.explode(F.array(*[F.struct(F.col("host").alias("pattern"), F.lit(x).alias("action"), F.date_add(start, y).alias("listed_on")) for x, y in (("block", F.col("a")), ("remove", F.col("a") + F.col("n")))])).alias("e")).select("e.*")
-    fixed = pages.sparkSession.createDataFrame(list(LISTED), "pattern string, action string, listed_on string")
-    return made.unionByName(fixed.withColumn("listed_on", F.col("listed_on").cast("date")))
-
-
+    """A dated list, which the tables lack, made of the pages themselves by hashes: a fifth of the hosts are blocked from some day
+    until another, a ninth of the first sections of hosts are blocked on some day and allowed from another."""
+    h = lambda a, n: F.pmod(F.conv(F.substring(F.md5("pattern"), a, 6), 16, 10).cast("int"), F.lit(n))
+    start, host, part = F.lit("2023-01-01").cast("date"), host_of(F.col("url")), segments_of(F.col("url"))
+    hosts = pages.select(host.alias("pattern")).filter("pattern <> ''").distinct().filter(h(1, 5) == 0).withColumn("then", F.lit("remove"))
+    parts = pages.filter((host != "") & (F.size(part) > 0)).select(F.concat(host, F.lit("/"), part[0]).alias("pattern")).distinct().filter(h(1, 9) == 0).withColumn("then", F.lit("allow"))
+    spans = hosts.unionByName(parts).select("pattern", "then", h(7, 500).alias("a"), (h(13, 200) + 1).alias("n"))
+    two = F.array(F.struct(F.lit("block").alias("action"), F.col("a").alias("day")), F.struct(F.col("then").alias("action"), (F.col("a") + F.col("n")).alias("day")))
+    return spans.select("pattern", F.explode(two).alias("e")).select("pattern", "e.action", F.date_add(start, F.col("e.day")).alias("listed_on"))
+
+
+_HASH = "('0x' || substr(md5(pattern), {}, 6))::INTEGER % {}"
 ORACLE = f"""
-    WITH fixed(pattern, action, listed_on) AS (VALUES {', '.join(f"('{p}', '{a}', DATE '{d}')" for p, a, d in LISTED)}),
-    p AS (SELECT page_id, url, DATE '2023-01-01' + ((page_id * 7919) % 730)::INTEGER AS fetched,
+    WITH p AS (SELECT page_id, url, DATE '2023-01-01' + ((page_id * 7919) % 730)::INTEGER AS fetched,
                  lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1)) host,
                  list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda s: s <> '') seg FROM pages),
-    h AS (SELECT DISTINCT host, ('0x' || substr(md5(host), 1, 6))::INTEGER % 5 AS x, ('0x' || substr(md5(host), 7, 6))::INTEGER % 500 AS a,
-                 ('0x' || substr(md5(host), 13, 6))::INTEGER % 200 + 1 AS n FROM p WHERE host <> ''),
-    l AS (SELECT * FROM fixed UNION ALL SELECT host, 'block', DATE '2023-01-01' + a FROM h WHERE x = 0 UNION ALL SELECT host, 'remove', DATE '2023-01-01' + (a + n) FROM h WHERE x = 0),
+    h AS (SELECT DISTINCT host AS pattern, 5 AS m, 'remove' AS then_ FROM p WHERE host <> '' UNION ALL SELECT DISTINCT host || '/' || seg[1], 9, 'allow' FROM p WHERE host <> '' AND len(seg) > 0),
+    x AS (SELECT pattern, then_, {_HASH.format(7, 500)} AS a, {_HASH.format(13, 200)} + 1 AS n FROM h WHERE {_HASH.format(1, 'm')} = 0),
+    l AS (SELECT pattern, 'block' AS action, DATE '2023-01-01' + a AS listed_on FROM x UNION ALL SELECT pattern, then_, DATE '2023-01-01' + (a + n) FROM x),
     one AS (SELECT pattern, listed_on, max(action) AS action FROM l GROUP BY pattern, listed_on),
     i AS (SELECT *, lead(listed_on) OVER (PARTITION BY pattern ORDER BY listed_on) AS until FROM one),
     k AS (SELECT page_id, fetched, unnest(list_concat(list_transform(range(1, len(string_split(host, '.')) + 1), lambda j: array_to_string(string_split(host, '.')[j:], '.')),
