@@ -66,8 +66,9 @@ def compared(rows, texts, naive, held):
         assert math.isclose(r.score, naive.score(t), rel_tol=1e-9)
 
 
-@pytest.mark.parametrize("share", [1e-6, 1e-3, 1.0])
-def test_scores_equal_a_naive_model_on_documents(spark, share):
+@pytest.mark.parametrize(("share", "forget"), [(1e-6, 400_000), (1e-3, 50), (1.0, 5000)])
+def test_scores_equal_a_naive_model_on_documents(spark, monkeypatch, share, forget):
+    monkeypatch.setattr(langmodel, "FORGET", forget)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
     held = lambda i: crc32(str(i).encode()) % 7 == 2
@@ -102,6 +103,16 @@ def test_keys_are_those_of_the_engine(spark):
     assert [r.k for r in df.collect()] == langmodel.pair_keys(a, b).tolist()
 
 
+def test_sorted_keys_are_found():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 5, 3000):
+        keys = np.unique(rng.integers(-(1 << 63), (1 << 63) - 1, n))
+        table = langmodel.SortedKeys(keys[np.argsort(keys.view(np.uint64))])
+        wanted = np.concatenate([keys, rng.integers(-(1 << 63), (1 << 63) - 1, 500)])
+        got = table.find(wanted)
+        assert ((got >= 0) == np.isin(wanted, keys)).all() and (table.keys[got[: len(keys)]].view(np.int64) == keys).all()
+
+
 def test_kept_bigrams_grow_with_the_corpus(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     few, many = (langmodel.ngrams(d.select("text")).filter("history <> 0").count() for d in (docs.filter("doc_id % 4 = 0"), docs))

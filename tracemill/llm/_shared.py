@@ -31,7 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
 _TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def parked(df: DataFrame, name: str) -> DataFrame:
+def parked(df: DataFrame, name: str, **options: str) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read back: later jobs neither recompute it nor lose it with an executor.
 
     Its shuffle files go when it is written, since nothing reads them again.
@@ -41,10 +41,20 @@ def parked(df: DataFrame, name: str) -> DataFrame:
     was = spark.conf.get(_TIDY, None)
     spark.conf.set(_TIDY, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     finally:
         spark.conf.set(_TIDY, was) if was else spark.conf.unset(_TIDY)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.parked_at = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that parked() wrote and that no later step reads."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.parked_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def id_text(col: str) -> Column:

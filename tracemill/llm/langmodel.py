@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm._shared import bytes_of, in_fold, parked
+from tracemill.llm._shared import bytes_of, discard, in_fold, parked
 
 #: The end of a text and the state before its first word; words hold no white space.
 END, START = b"\n", b" "
@@ -47,23 +47,36 @@ def tokens_of(text: bytes) -> list[bytes]:
     return tokens
 
 
-class Codes(dict):
-    """The 64-bit code of a word: its XXH64, made odd. Remembers ``most`` words at most."""
+class Vocabulary(dict):
+    """Numbers the words that a task meets, in the order in which it meets them; the start is 0 and the end 1. ``codes`` gives
+    each number's 64-bit code, the word's XXH64 made odd."""
 
-    def __init__(self, most: int = 400_000):
-        self.most = most
+    def __init__(self):
+        super().__init__()
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self._codes: list[int] = []
+        self.codes, self.places = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for word in (START, END):
+            self[word]
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
+        number = self[word] = len(self)
         code = xxhash.xxh64_intdigest(word, 42) | 1
-        code = self[word] = code - (1 << 64) if code >> 63 else code
-        return code
+        self._codes.append(code - (1 << 64) if code >> 63 else code)
+        return number
 
-    def of(self, text: bytes) -> np.ndarray:
+    def read(self, text: bytes) -> np.ndarray:
         tokens = tokens_of(text)
         return np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
 
+    def learn(self, places) -> None:
+        """Brings ``codes`` up to date, and ``places`` by what ``places`` gives for new codes."""
+        new = np.array(self._codes[len(self.codes) :], np.int64)
+        self.codes, self.places = np.concatenate([self.codes, new]), np.concatenate([self.places, places(new)])
+
 
 def _long_hash(x: np.ndarray, seed: np.ndarray | np.uint64) -> np.ndarray:
     turn = lambda v, n: (v << np.uint64(n)) | (v >> np.uint64(64 - n))
@@ -85,24 +98,25 @@ def pair_keys(history: np.ndarray, word: np.ndarray, piece: int = 1 << 16) -> np
     return out.view(np.int64)
 
 
-_codes = Codes()
-_END, _START = _codes[END], _codes[START]
+_START, _END = (int(c) for c in Vocabulary()._codes)
+#: A task forgets its words when it has met so many.
+FORGET = 400_000
 
 
 def before(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The states in which the words of texts that begin at ``starts`` are read."""
     states = np.empty_like(words)
     states[1:] = words[:-1]
-    states[starts] = _START
+    states[starts] = 0
     return states
 
 
-def groups(texts: list[bytes], codes: Codes, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def groups(texts: list[bytes], vocabulary: Vocabulary, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(words, starts) of as many texts at a time as have about ``most`` words."""
     parts: list[np.ndarray] = []
     total = 0
     for text in texts:
-        parts.append(codes.of(text))
+        parts.append(vocabulary.read(text))
         total += len(parts[-1])
         if total >= most:
             yield _joined(parts)
@@ -116,59 +130,90 @@ def _joined(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def ngrams(train: DataFrame, least: int = 2, flush: int = 1_000_000) -> DataFrame:
-    """(history, word, n): the counts of all words (history 0) and of the bigrams that occur ``least`` times or more."""
+    """(history, word, n): the counts of all words (history 0) and of the bigrams that occur ``least`` times or more, by codes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = Codes()
+        def out(history: np.ndarray, word: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (history, word, n)], ["history", "word", "n"])
+
+        def words_of() -> pa.RecordBatch:
+            met = np.flatnonzero(counts)
+            return out(np.zeros(len(met)), vocabulary.codes[met], counts[met])
+
+        vocabulary, counts = Vocabulary(), np.zeros(2, np.int64)
         for batch in batches:
-            for words, starts in groups(bytes_of(batch), codes, flush):
-                states = before(words, starts)
-                one, n_one = np.unique(words, return_counts=True)
-                _, at, n_two = np.unique(pair_keys(states, words), return_index=True, return_counts=True)
-                columns = (np.zeros_like(one), states[at]), (one, words[at]), (n_one, n_two)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["history", "word", "n"])
+            for words, starts in groups(bytes_of(batch), vocabulary, flush):
+                vocabulary.learn(np.zeros_like)
+                more = np.bincount(words, minlength=len(vocabulary))
+                more[: len(counts)] += counts
+                counts = more
+                # numbers in place of codes: no two pairs are taken for one
+                pairs, n = np.unique((before(words, starts) << 32) | words, return_counts=True)
+                yield out(vocabulary.codes[pairs >> 32], vocabulary.codes[pairs & 0xFFFFFFFF], n)
+                if len(vocabulary) > FORGET:
+                    yield words_of()
+                    vocabulary.forget()
+                    counts = np.zeros(2, np.int64)
+        vocabulary.learn(np.zeros_like)
+        yield words_of()
 
     parts = train.select("text").mapInArrow(run, "history long, word long, n long")
     return parked(parts.groupBy("history", "word").agg(F.sum("n").alias("n")).filter((F.col("history") == 0) | (F.col("n") >= least)), "ngrams")
 
 
+class SortedKeys:
+    """Sorted keys, which are hashes, with the place where each of their leading bits begins."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys.view(np.uint64)
+        self.bits = max(1, int(len(keys)).bit_length())
+        self.first = np.searchsorted(self.keys >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """The place of each wanted key, or -1."""
+        w = wanted.view(np.uint64)
+        head = (w >> np.uint64(64 - self.bits)).astype(np.int64)
+        at, end = self.first[head].astype(np.int64), self.first[head + 1]
+        found, left = np.full(len(w), -1, np.int64), np.flatnonzero(at < end)
+        while len(left):
+            same = self.keys[at[left]] == w[left]
+            found[left[same]] = at[left[same]]
+            left = left[~same]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        return found
+
+
 class Automaton:
     """The broadcast part: the weights of frequent words and arcs, and the bit map of all arcs."""
 
     def __init__(self, words: tuple[np.ndarray, ...], arcs: tuple[np.ndarray, ...], bits: np.ndarray, start: float):
-        self.code, self.base, self.weight = self._sorted(*words)
-        self.arc, self.gain = self._sorted(*arcs)
+        order = [np.argsort(x[0].view(np.uint64)) for x in (words, arcs)]
+        code, base, weight = (x[order[0]] for x in words)
+        arc, gain = (x[order[1]] for x in arcs)
+        self.words, self.arcs = SortedKeys(code), SortedKeys(arc)
+        # the last is for what isn't found, at -1
+        self.base, self.weight, self.gain = np.append(base, 0.0), np.append(weight, 0.0), np.append(gain, 0.0)
         self.bits, self.start = bits, start
 
-    @staticmethod
-    def _sorted(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-        order = np.argsort(key)
-        return key[order], *[v[order] for v in values]
-
-    @staticmethod
-    def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(keys):
-            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return at, keys[at] == wanted
-
-    def walk(self, words: np.ndarray, starts: np.ndarray):
-        """For each text: (frequent words, their base weights, path weight so far), and (text, key) of what has to be joined."""
-        text = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(words))))
-        at, hot = self._found(self.code, words)
-        base, path = np.zeros(len(words)), np.zeros(len(words))
-        base[hot], path[hot] = self.base[at[hot]], self.weight[at[hot]]
-        keys = pair_keys(before(words, starts), words)
+    def walk(self, words: np.ndarray, starts: np.ndarray, vocabulary: Vocabulary):
+        """For each text: how many words are frequent, their base weights, the weight of the path so far, and how many keys have
+        to be joined; and these keys, in the order of the texts."""
+        vocabulary.learn(self.words.find)
+        place = vocabulary.places[words]
+        keys = pair_keys(vocabulary.codes[before(words, starts)], vocabulary.codes[words])
         slot = keys.view(np.uint64) >> np.uint64(64 - _BITS)
         likely = np.flatnonzero((self.bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1))
-        at, known = self._found(self.arc, keys[likely])
-        path[likely[known]] += self.gain[at[known]]
+        at = self.arcs.find(keys[likely])
+        path = self.weight[place]
+        path[likely] += self.gain[at]
         path[starts] += self.start
-        cold, arcs = np.flatnonzero(~hot), likely[~known]
-        owner, asked = np.concatenate([text[cold], text[arcs]]), np.concatenate([words[cold], keys[arcs]])
-        order = np.argsort(owner, kind="stable")
-        sums = [np.add.reduceat(x, starts) for x in (hot.astype(np.int64), base, path)]
-        return sums, owner[order], asked[order]
+        asked = np.zeros((len(words), 2), bool)
+        asked[:, 0] = place < 0
+        asked[likely[at < 0], 1] = True
+        wanted = np.stack([vocabulary.codes[words], keys], 1)[asked]
+        sums = [np.add.reduceat(x, starts) for x in ((place >= 0).astype(np.int64), self.base[place], path, asked.sum(1))]
+        return sums, wanted
 
 
 def _columns(df: DataFrame) -> list[np.ndarray]:
@@ -205,6 +250,7 @@ def model_of(train: DataFrame, least: int, share: float):
     often = _columns(known.filter(n >= hot).select("code", F.log10(n + 1.0).alias("base"), weight.alias("weight")))
     automaton = Automaton(often, _columns(arcs.filter(F.col("n") >= hot).select("key", "weight")), bits, math.log10(start))
     rest = known.filter(n < hot).select(F.col("code").alias("key"), "c", weight.alias("weight")).unionByName(arcs.filter(F.col("n") < hot).select("key", F.lit(None).cast("long").alias("c"), "weight"))
+    discard(counts, mass)
     return stat.n or 0, v, math.log10(off * v / total) if v else 0.0, automaton, rest
 
 
@@ -221,22 +267,23 @@ def score(docs: DataFrame, fold: tuple[int, int] = (7, 2), least: int = 2, share
     model = docs.sparkSession.sparkContext.broadcast(automaton)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = Codes()
+        vocabulary = Vocabulary()
         for batch in batches:
             done = 0
-            for words, starts in groups(bytes_of(batch), codes, 500_000):
-                sums, owner, keys = model.value.walk(words, starts)
+            for words, starts in groups(bytes_of(batch), vocabulary, 500_000):
+                (*sums, asked), keys = model.value.walk(words, starts, vocabulary)
                 some = batch.slice(done, len(starts))
                 done += len(starts)
-                ends = np.cumsum(np.bincount(owner, minlength=len(starts)))
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(keys))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(asked)).astype(np.int32)), pa.array(keys))
                 sizes = np.diff(np.append(starts, len(words)))
                 yield pa.RecordBatch.from_arrays(
                     [some.column("rid"), some.column("id"), some.column("held_out"), *map(pa.array, (sizes, *sums)), lists], ["rid", "id", "held_out", "n_tokens", "n_hot", "base", "path", "keys"]
                 )
+                if len(vocabulary) > FORGET:
+                    vocabulary.forget()
 
     schema = f"rid long, id {rows.schema['id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_hot long, base double, path double, keys array<long>"
-    walks = parked(rows.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(run, schema), "walks")
+    walks = parked(rows.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(run, schema), "walks", **{"parquet.enable.dictionary": "false"})
     word, c = F.col("key").bitwiseAND(F.lit(1)) == 1, F.coalesce("c", F.lit(0))
     joined = (
         walks.select("rid", F.explode("keys").alias("key"))
