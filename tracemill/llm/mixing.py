@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm._shared import id_text, parked
+from tracemill.llm._shared import discard, id_text, parked
 
 #: What a dimension is raked to: a power of its shares, weights by value, or a table (value, weight).
 Target = float | Mapping[str, float] | DataFrame
@@ -98,7 +98,7 @@ def raked(cells: DataFrame, wants: Mapping[str, DataFrame], share: float, tolera
     """``cells`` with _rate: raked_here() for a table of cells that is never gathered; each turn is written to the shared folder."""
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     w, n = F.col("weight"), F.col("tokens")
-    now = parked(cells.withColumn("weight", n * F.lit(share)), "raked")
+    now = before = parked(cells.withColumn("weight", n * F.lit(share)), "raked")
     for _ in range(TURNS):
         off = F.lit(0.0)
         for dim, t in wants.items():
@@ -111,6 +111,8 @@ def raked(cells: DataFrame, wants: Mapping[str, DataFrame], share: float, tolera
             now = now.drop(f"off{d}").join(sums, d).withColumn("weight", F.greatest(n / FAR, F.least(n * FAR, w * F.col("factor")))).drop("factor")
             off = F.greatest(off, F.col(f"off{d}"))
         now = parked(now, "raked")
+        discard(before)
+        before = now
         if (now.agg(F.max(off)).first()[0] or 0) <= tolerance:
             break
     return now.select(*cells.columns, F.least(F.lit(1.0), w / n).alias("_rate"))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm._shared import parked, texts_of
+from tracemill.llm._shared import discard, parked, texts_of
 
 SEED = 42
 
@@ -133,7 +133,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        held = parked(small.filter(F.col("u") != F.col("v")).distinct(), "links")
+        last, held = held, parked(small.filter(F.col("u") != F.col("v")).distinct(), "links")
+        discard(last)
         after = held.select(mark.alias("m")).first()
         if after == before:
             break
