@@ -96,6 +96,45 @@ def violations(text: Column, pairs: Column, candidates: Column) -> Column:
     return let(F.struct(think_of(t).alias("think"), response_of(t).alias("response")), of_blocks)
 
 
+#: Words of statistics that a trace mustn't have, and how many traits it names.
+STATISTICS = r"(?iU)\b(Hz|kHz|ms|mean|std|median|variance|range)\b|%"
+TRAITS = (2, 4)
+
+
+def rubric(text: Column, pairs: Column, candidates: Column, preferred: Column | None = None) -> Column:
+    """Those rules of the judge that need no judgement, as a struct of truths by the judge's names for them.
+
+    Exactly one block of each kind; one sentence after the template; no digit but in a candidate's label or a trait, no unit and no word of
+    statistics; a candidate as label; only traits that the recording has; a hedged wording; two to four different traits. With
+    ``preferred``, an array of ``key=value``, also whether one of those is named. Null texts count as empty.
+    """
+
+    def of_parts(b: Column) -> Column:
+        t, response = b["text"], b["response"]
+        named = F.array_distinct(pairs_in(F.concat(b["think"], F.lit(" "), response)))
+        right = F.filter(named, lambda p: F.array_contains(pairs, p))
+        label = F.regexp_extract(response, TEMPLATE, 2)
+        bare = F.aggregate(candidates, F.lower(F.regexp_replace(t, PAIR, "")), lambda s, c: F.replace(s, F.lower(c), F.lit("")))
+        one = F.lit(True)
+        for tag in ("think", "response"):
+            one = one & (F.regexp_count(F.lower(t), F.lit(f"<{tag}>")) == 1) & (F.regexp_count(F.lower(t), F.lit(f"</{tag}>")) == 1)
+        checks = {
+            "format_blocks_present": one & (b["think"] != "") & (response != ""),
+            "response_one_sentence": (label != "") & ~label.rlike(r"[.!?]\s+\S"),
+            "no_numbers_or_units": ~bare.rlike("[0-9]") & ~bare.rlike(STATISTICS),
+            "label_in_candidates": F.coalesce(let(label_of(response), lambda x: label_fits(x, candidates)), F.lit(False)),
+            "traits_match_latent_values": F.size(named) == F.size(right),
+            "uncertainty_tone_ok": F.lower(response).contains("consistent with") | F.lower(response).contains("suggests"),
+            "reasoning_sufficient": F.size(right).between(*TRAITS),
+        }
+        if preferred is not None:
+            checks["preferred_traits"] = F.arrays_overlap(right, preferred)
+        return F.struct(*[c.alias(n) for n, c in checks.items()])
+
+    t = F.coalesce(text, F.lit(""))
+    return let(F.struct(t.alias("text"), think_of(t).alias("think"), response_of(t).alias("response")), of_parts)
+
+
 def clean_json(reply: Column) -> Column:
     """A judge's reply without the fence of a json block and without commas before a closing bracket."""
     t = strip(reply)

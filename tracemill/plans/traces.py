@@ -215,3 +215,31 @@ def accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("accuracy_by_group", f"SELECT source, count(*) AS n, count(*) FILTER (correct) AS n_correct, round(avg(correct::INT), 6) AS accuracy FROM ({_JUDGED}) GROUP BY source")
 def accuracy_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.accuracy(answers(spark, sf_dir), ["source"]).withColumn("accuracy", F.round("accuracy", 6))
+
+
+#: For each kind of trace its text and the rules that it breaks, by their first letters: f, o, n, l, t, u, r.
+_GOOD = "Based on features such as f0_level=low, voice_stability=unstable, the speaker is most consistent with: {}"
+_KINDS = (
+    ("f0_level=low voice_stability=unstable", _GOOD.format("male."), ""),
+    ("f0_level=low", _GOOD.format("18-25"), ""),
+    ("about 120 f0_level=low", _GOOD.format("male."), "n"),
+    ("the mean f0_level=low", _GOOD.format("male.") + "</RESPONSE><RESPONSE>more", "fn"),
+    ("f0_level=low", "Based on features such as f0_level=low, the speaker is most consistent with: male.", "r"),
+    ("f0_level=high", _GOOD.format("male."), "t"),
+    ("f0_level=low", _GOOD.format("robot."), "l"),
+    ("f0_level=low", _GOOD.format("male. Yes, indeed."), "o"),
+    ("f0_level=low voice_stability=unstable", "It is male", "olu"),
+)
+_RULES = {"f": "format_blocks_present", "o": "response_one_sentence", "n": "no_numbers_or_units", "l": "label_in_candidates", "t": "traits_match_latent_values", "u": "uncertainty_tone_ok", "r": "reasoning_sufficient"}
+_BROKEN = "CASE p_partkey % 9 " + " ".join(f"WHEN {i} THEN '{k[2]}'" for i, k in enumerate(_KINDS)) + " END"
+
+
+@query("rubric_checks", f"SELECT p_partkey, {', '.join(f"NOT contains({_BROKEN}, '{k}') AS {n}" for k, n in _RULES.items())}, p_partkey % 9 <> 4 OR p_size % 2 = 0 AS preferred_traits FROM part")
+def rubric_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules that need no judge, over traces that break them in known ways; of the preferred traits each names one, but the one
+    trace without it."""
+    texts = F.array(*[F.lit(f"<THINK>{think}</THINK><RESPONSE>{response}</RESPONSE>") for think, response, _ in _KINDS])
+    pairs = F.array(*map(F.lit, ("f0_level=low", "voice_stability=unstable", "rhotic_phone_ratio=high")))
+    preferred = F.when(F.col("p_size") % 2 == 0, F.array(F.lit("f0_level=low"))).otherwise(F.array(F.lit("voice_stability=unstable")))
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_size", texts[(F.col("p_partkey") % 9).cast("int")].alias("text"))
+    return rows.select("p_partkey", validation.rubric(F.col("text"), pairs, F.array(F.lit("male"), F.lit("18-25")), preferred).alias("c")).select("p_partkey", "c.*")
