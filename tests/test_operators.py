@@ -228,3 +228,29 @@ def test_formants_of_two_resonances(spark):
     got = features.signal_features(x / np.abs(x).max() * 0.5)
     assert abs(got["F1_mean"] - f[0]) < 120 and abs(got["F2_mean"] - f[1]) < 200
     assert features.formants(np.zeros(50)).shape == (0, 3) and np.isnan(features.formants(np.zeros(8000))).all()
+
+
+def test_short_textgrids():
+    text = '"ooTextFile"\n"TextGrid"\n0\n1\n<exists>\n2\n"IntervalTier"\n"words"\n0\n1\n1\n0\n1\n"hi"\n"IntervalTier"\n"phones"\n0\n1\n3\n0\n0.25\n"a"\n0.25\n0.5\n""\n0.5'
+    assert readers.tiers(text) == [("words", [(0.0, 1.0, "hi")]), ("phones", [(0.0, 0.25, "a"), (0.25, 0.5, "")])]
+    assert readers.tiers('"IntervalTier"\n"phones"') == [] and readers.tiers("") == []
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 4])
+def test_waves_of_any_width_and_rate(width):
+    import io
+    import wave
+
+    t = np.arange(32000) / 32000
+    low, high = 0.4 * np.sin(2 * np.pi * 500 * t), 0.4 * np.sin(2 * np.pi * 12000 * t)
+    whole = np.round((low + high) * (1 << (8 * width - 1)) * 0.99).astype(np.int64)
+    raw = (whole + 128).astype(np.uint8).tobytes() if width == 1 else whole.astype("<i4").view(np.uint8).reshape(-1, 4)[:, :width].tobytes()
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(1)
+        w.setsampwidth(width)
+        w.setframerate(32000)
+        w.writeframes(raw)
+    x = readers.decode_wav(out.getvalue())
+    # the tone that 16 kHz can't hold is gone, the other one is there
+    assert len(x) == 16000 and np.abs(x - 0.99 * low[::2]).max() < 0.02 + 1 / (1 << (8 * width - 1))

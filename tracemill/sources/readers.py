@@ -85,8 +85,27 @@ _name = re.compile(r'name\s*=\s*"(.*)"')
 _mark = re.compile(r'(xmin|xmax|text)\s*=\s*(?:"(.*)"|(\S+))')
 
 
+def short_tiers(lines: list[str]) -> list[tuple[str, list[tuple[float, float, str]]]]:
+    """The interval tiers of a TextGrid in its short format, which has a value on each line: class, name, two times, a number of
+    intervals, and two times and a mark for each. A tier that breaks off ends with its last whole interval."""
+    found: list[tuple[str, list[tuple[float, float, str]]]] = []
+    for i, line in enumerate(lines):
+        if line != '"IntervalTier"' or i + 4 >= len(lines):
+            continue
+        spans: list[tuple[float, float, str]] = []
+        try:
+            for k in range(i + 5, i + 5 + 3 * int(lines[i + 4]), 3):
+                spans.append((float(lines[k]), float(lines[k + 1]), lines[k + 2].strip('"').strip()))
+        except (ValueError, IndexError):
+            pass
+        found.append((lines[i + 1].strip('"').strip(), spans))
+    return found
+
+
 def tiers(text: str) -> list[tuple[str, list[tuple[float, float, str]]]]:
-    """The tiers of a TextGrid in its long format: name, and (start, end, mark) in seconds; what isn't whole is left out."""
+    """The tiers of a TextGrid in its long or short format: name, and (start, end, mark) in seconds; what isn't whole is left out."""
+    if '"IntervalTier"' in text and not _name.search(text):
+        return short_tiers([line.strip() for line in text.splitlines() if line.strip()])
     found: list[tuple[str, list[tuple[float, float, str]]]] = []
     now: dict[str, str] = {}
     for line in text.splitlines():
@@ -207,19 +226,34 @@ def speaker_accents(table: DataFrame, speaker: str = "id", nationality: str = "n
     return table.select(strip(F.col(f"`{pick(speaker)}`")).alias("speaker_id"), accent.alias("accent"))
 
 
+def pcm(raw: bytes, width: int) -> np.ndarray:
+    """PCM samples of 1 to 4 bytes, from -1 to 1; those of one byte are unsigned."""
+    if width == 1:
+        return (np.frombuffer(raw, np.uint8) - 128.0) / 128
+    whole = np.zeros((len(raw) // width, 4), np.uint8)
+    whole[:, 4 - width :] = np.frombuffer(raw, np.uint8).reshape(-1, width)
+    return whole.view("<i4").ravel() / 2147483648.0
+
+
+def resampled(x: np.ndarray, own: int, rate: int) -> np.ndarray:
+    """``x`` at another rate: what the lower rate can't hold is taken out, then values between samples lie on lines."""
+    if own == rate or not len(x):
+        return x
+    if own > rate:
+        spectrum = np.fft.rfft(x)
+        spectrum[int(len(x) * rate / (2 * own)) + 1 :] = 0
+        x = np.fft.irfft(spectrum, len(x))
+    return np.interp(np.arange(int(len(x) * rate / own)) * own / rate, np.arange(len(x)), x)
+
+
 def decode_wav(content: bytes, rate: int = 16000) -> np.ndarray | None:
-    """The samples of 16-bit PCM as one channel at ``rate``, from -1 to 1; None for anything else."""
+    """The samples of PCM as one channel at ``rate``, from -1 to 1; None for anything else."""
     try:
         with wave.open(io.BytesIO(content)) as w:
-            if w.getsampwidth() != 2:
-                return None
-            x = np.frombuffer(w.readframes(w.getnframes()), "<i2").reshape(-1, w.getnchannels()).mean(1) / 32768.0
-            own = w.getframerate()
+            x = pcm(w.readframes(w.getnframes()), w.getsampwidth()).reshape(-1, w.getnchannels()).mean(1)
+            return resampled(x, w.getframerate(), rate)
     except (wave.Error, EOFError, ValueError):
         return None
-    if own != rate and len(x):
-        x = np.interp(np.arange(int(len(x) * rate / own)) * own / rate, np.arange(len(x)), x)
-    return x
 
 
 def audio(spark: SparkSession, path: str, rate: int = 16000) -> DataFrame:
