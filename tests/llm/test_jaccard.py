@@ -44,7 +44,7 @@ def test_stage_drops_what_brute_force_links(spark):
 
 def test_repeated_and_null_ids(spark):
     long = " ".join(f"w{i}" for i in range(200))
-    rows = [(None, long), (None, "alone here"), (3, long), (3, long), (4, long + " more"), (5, "other")]
+    rows = [(None, long), (None, "alone here"), (3, long), (3, long), (4, long + " more"), (5, "other"), (7, "two texts"), (7, "of one id"), (8, "of one id"), (9, long), (9, "not a copy")]
     df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
     kept = [(r.doc_id, r.text) for r in jaccard.deduplicated(df).collect()]
-    assert sorted(kept, key=str) == sorted([(None, "alone here"), (3, long), (5, "other")], key=str)
+    assert sorted(kept, key=str) == sorted([(None, "alone here"), (3, long), (5, "other"), (7, "two texts"), (7, "of one id"), (9, "not a copy")], key=str)

@@ -163,7 +163,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col
 def deduplicated(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest id.
 
-    Of rows that repeat that id one stays. Rows without an id go if a document with an id is in their component, else stay.
+    Rows that repeat an id go as copies do if their fingerprints are equal; of one id with several fingerprints each is looked at by
+    itself. Rows without an id go if a document with an id is in their component, else stay.
     """
     marks = lambda rows: fingerprints(rows, shingle, "row", text_col).withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0")))
     return one_of_each(docs, near_duplicates(docs, shingle, distance, id_col, text_col), marks, id_col, text_col)
@@ -173,14 +174,17 @@ def one_of_each(docs: DataFrame, near: DataFrame, marks: Callable[[DataFrame], D
     """The rows of ``docs`` that deduplicated() keeps, given ``near`` (id, fingerprint, component_id); ``marks`` gives the (id,
     fingerprint) of rows (row, text)."""
     near = parked(near, "near-duplicates")
+    again = parked(near.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_again")).count().filter("count > 1").select("_again"), "repeated-ids")
     # those that go are fewer than those that stay, and few enough to be broadcast if copies are rare
-    gone = near.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
+    gone = near.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).unionByName(again.withColumnRenamed("_again", "_gone")).distinct()
     named = docs.filter(F.col(id_col).isNotNull())
     first = named.join(gone, named[id_col] == gone["_gone"], "left_anti")
-    again = parked(near.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_again")).count().filter("count > 1").select("_again"), "repeated-ids")
     if not again.isEmpty():
-        one = first.join(again, first[id_col] == again["_again"], "left_semi").dropDuplicates([id_col])
-        first = first.join(again, first[id_col] == again["_again"], "left_anti").unionByName(one)
+        rows = named.join(again, named[id_col] == again["_again"], "left_semi")
+        marked = marks(rows.select(F.struct(*docs.columns).alias("row"), text_col)).select("id", F.col("id")[id_col].alias("_id"), "fingerprint")
+        stay = near.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_id"), "fingerprint").distinct()
+        one = marked.join(stay, ["_id", "fingerprint"], "left_semi").dropDuplicates(["_id", "fingerprint"])
+        first = first.unionByName(one.select("id.*"))
     lost = near.filter(F.col(id_col).isNull())
     if not lost.isEmpty():
         alone = lost.filter(F.col("component_id").isNull()).select(F.col("fingerprint").alias("_alone")).distinct()
