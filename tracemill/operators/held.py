@@ -24,8 +24,31 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/held/{name}-{uuid.uuid4().hex}"
 
 
-def held(df: DataFrame, name: str) -> DataFrame:
-    """``df``, computed once: what is not determined by the data, such as a partition's number, is the same in every later use."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Spark's setting that removes the shuffle files of a query when it has ended.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def held(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """``df``, computed once, written as Parquet and read back: later jobs neither recompute it nor lose it with an executor, and what
+    is not determined by the data, such as a partition's number, is the same in every later use.
+
+    Its shuffle files go when it is written, since nothing reads them again.
+    """
+    spark = df.sparkSession
+    path, was = new_path(spark, name), spark.conf.get(_TIDY, None)
+    spark.conf.set(_TIDY, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(_TIDY, was) if was else spark.conf.unset(_TIDY)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.held_at = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that held() wrote and that no later step reads."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.held_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
