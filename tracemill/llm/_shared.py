@@ -1,9 +1,7 @@
-"""What several operators of this subpackage need: parked tables, row keys, hashed splits."""
+"""What several operators of this subpackage need: written tables, row keys, hashed splits, counts."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -11,50 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracemill.operators.held import discard
+from tracemill.operators.held import held as parked
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share, from ``spark.checkpoint.dir``; a local session without one gets a temporary folder."""
-    held = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if held:
-        return held
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    own = getattr(spark.sparkContext, "_tracemill_dir", None)
-    if own is None:
-        own = "file://" + tempfile.mkdtemp(prefix="tracemill-")
-        spark.sparkContext._tracemill_dir = own
-        spark.sparkContext.setCheckpointDir(own)
-    return own
-
-
-#: Spark's setting that removes the shuffle files of a query when it has ended.
-_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def parked(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """``df`` written once as Parquet to the shared folder and read back: later jobs neither recompute it nor lose it with an executor.
-
-    Its shuffle files go when it is written, since nothing reads them again.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tracemill/{name}-{uuid.uuid4().hex}"
-    was = spark.conf.get(_TIDY, None)
-    spark.conf.set(_TIDY, "true")
-    try:
-        df.write.options(**options).parquet(path)
-    finally:
-        spark.conf.set(_TIDY, was) if was else spark.conf.unset(_TIDY)
-    found = spark.read.schema(df.schema).parquet(path)
-    found.parked_at = path
-    return found
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes tables that parked() wrote and that no later step reads."""
-    for t in tables:
-        spark = t.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(t.parked_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["bytes_of", "counted", "discard", "id_text", "in_fold", "parked", "table", "texts_of"]
 
 
 def id_text(col: str) -> Column:
