@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.functions import paths, text
-from tracemill.operators import corpus, features, generation, held, items, selection, training
+from tracemill.operators import corpus, features, generation, held, items, runs, selection, training
 from tracemill.plans.registry import query, table
 from tracemill.sources import readers
 from tracemill.streaming import resume
@@ -251,3 +251,24 @@ def item_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = items.unpivot_attributes(rows, {"c_mktsegment": "Which segment?", "c_name": "Which name?"}, ["c_custkey"])
     done = rows.filter("c_custkey % 2 = 0").select("c_custkey")
     return found.transform(items.drop_blocked, blocked=("machinery",)).transform(items.not_done, done, ["c_custkey"]).groupBy("attribute").agg(F.count("*").alias("n"), F.countDistinct("c_custkey").alias("entries"))
+
+
+_GENDER, _AGE = "CASE c_custkey % 3 WHEN 0 THEN 'male' WHEN 1 THEN 'female' END", "CASE WHEN c_custkey % 2 = 0 THEN '18-25' END"
+_RUN = f"""
+    WITH i AS (SELECT c_custkey::VARCHAR AS audio_path, c_acctbal AS v, unnest([{{'prompt': 'What is the speaker''s gender?', 'answer': {_GENDER}}}, {{'prompt': 'What is the speaker''s age?', 'answer': {_AGE}}}]) AS x FROM customer),
+    k AS (SELECT audio_path, v, x.prompt AS prompt, x.answer AS answer FROM i WHERE x.answer IS NOT NULL), q AS (SELECT quantile_cont(v, 0.33) AS a, quantile_cont(v, 0.66) AS b FROM k)
+    SELECT audio_path, prompt, answer, CASE WHEN v <= a THEN 'low' WHEN v <= b THEN 'mid' ELSE 'high' END AS f0_level FROM k, q WHERE NOT (prompt LIKE '%age%' AND answer = '18-25' AND audio_path::BIGINT % 10 = 0)
+"""
+
+
+@query("run_items", _RUN)
+def run_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run from entries to items with traits: side files attached, quantiles fitted over items, what is done left out after the fit."""
+    rows = table(spark, sf_dir, "customer").withColumn("audio_path", F.col("c_custkey").cast("string"))
+    speaker = F.struct(F.expr(_GENDER).alias("gender"), F.expr(_AGE).alias("age"), *[F.lit(None).cast("string").alias(c) for c in ("dialect_region", "ethnicity")])
+    entries = rows.select("audio_path", F.col("c_name").alias("transcript"), F.when(F.col("c_custkey") % 6 != 5, speaker).alias("speaker"))
+    features = rows.select("audio_path", F.create_map(F.lit("pitch_mean"), F.col("c_acctbal")).alias("values"))
+    phones = rows.select("audio_path", F.array().cast("array<struct<phoneme:string,duration:double>>").alias("phones"))
+    done = rows.filter("c_custkey % 10 = 0").select("audio_path", F.lit("What is the speaker's age?").alias("prompt"))
+    found = runs.items_with_traits(entries, features, phones, done=done)
+    return found.select("audio_path", "prompt", F.col("ground_truth_answer").alias("answer"), F.col("latent_json.acoustic.f0_level").alias("f0_level"))
