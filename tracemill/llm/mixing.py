@@ -66,14 +66,16 @@ def wanted(cells: DataFrame, targets: Mapping[str, Target], share: float) -> dic
 def _reachable(values: DataFrame, share: float) -> DataFrame:
     whole = values.agg(F.sum("n").alias("all"), F.sum("weight").alias("weights"))
     of = values.crossJoin(F.broadcast(whole)).select("value", "n", "all", F.when(F.col("weights") > 0, F.col("weight") / F.col("weights")).otherwise(0.0).alias("target"))
-    full, budget = 0, None
+    scale, full = 0.0, -1  # tokens for a target of 1, and how many values run out at that
     while True:
-        # those that run out are kept whole; taking them out can only make others run out
-        r = of.agg(F.sum(F.when(F.col("target") * F.lit(budget or 0.0) >= F.col("n"), F.col("n")).otherwise(0)).alias("kept"), F.sum(F.when(F.col("target") * F.lit(budget or 0.0) >= F.col("n"), 0.0).otherwise(F.col("target"))).alias("free"), F.count_if(F.col("target") * F.lit(budget or 0.0) >= F.col("n")).alias("full"), F.max("all").alias("all")).first()
-        if r["all"] is None or not r.free or (budget is not None and r.full == full):
+        out = F.col("target") * F.lit(scale) >= F.col("n")
+        kept, free = F.sum(F.when(out, F.col("n")).otherwise(0)), F.sum(F.when(out, 0.0).otherwise(F.col("target")))
+        r = of.agg(kept.alias("kept"), free.alias("free"), F.count_if(out).alias("full"), F.max("all").alias("all")).first()
+        if r["all"] is None or not r.free or r.full == full:
             break
-        full, budget = r.full, max(budget or 0.0, (share * r["all"] - r.kept) / r.free)
-    part = F.col("target") * F.lit(budget or 0.0)
+        # those that run out are kept whole, which leaves more to the others, so that more of them may run out
+        full, scale = r.full, max(scale, (share * r["all"] - r.kept) / r.free)
+    part = F.col("target") * F.lit(scale)
     return parked(of.select("value", "n", "target", F.when(part >= F.col("n"), F.col("n").cast("double")).otherwise(part).alias("want")), "wanted")
 
 
