@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.llm import decontam, langmodel, mixing, pii, quality, resampling, simhash, suffixes, tokencount, topk, toxicity, urlfilter
+from tracemill.llm import conversations, decontam, langmodel, mixing, pii, quality, resampling, simhash, suffixes, tokencount, topk, toxicity, urlfilter
 from tracemill.llm._shared import table
 
 #: DuckDB SQL for the queries that SQL can express.
@@ -68,8 +68,16 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repaired(table(spark, sf_dir, "conversations"))
+
+
 def op13_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.deduplicated_bytes(table(spark, sf_dir, "documents")).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_top_k, op2_toxicity, op3_simhash, op4_quality, op5_mixing, op6_url_lists, op7_lm_scores, op8_decontamination, op9_personal_data, op10_token_counts, op11_importance_resampling, op13_repeated_bytes)}
+ALL = (
+    op1_top_k, op2_toxicity, op3_simhash, op4_quality, op5_mixing, op6_url_lists, op7_lm_scores, op8_decontamination, op9_personal_data, op10_token_counts,
+    op11_importance_resampling, op12_conversation_repair, op13_repeated_bytes,
+)
+QUERIES = {f.__name__: f for f in ALL}
