@@ -4,17 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.functions.phonology import ACOUSTIC, GROUPS, PHONOLOGY
+from tracemill.operators import quantiles
 from tracemill.operators.held import held
 
 #: The lower and the upper quantile.
 LOWER, UPPER = 0.33, 0.66
-#: From so many distinct values on, of all scalars together, quantiles are taken by rank; below, one aggregate counts the
-#: values in memory.
-MOST_DISTINCT = 2_000_000
 
 
 def number(df: DataFrame, scalar: str) -> Column:
@@ -30,66 +28,46 @@ def long_form(df: DataFrame, scalars: Sequence[str], weight: str | None = None)
     return df.select(F.explode(cells).alias("x"), w.alias("w")).select("x.*", "w")
 
 
-def fits_memory(df: DataFrame, scalars: Sequence[str], most_distinct: int = MOST_DISTINCT) -> bool:
-    """Whether the scalars have about ``most_distinct`` values together at most: exact quantiles as an aggregate keep each of
-    them in the memory of one task. The estimate is a pass of its own, with a fixed number of bytes for each scalar."""
-    counts = df.agg(*[F.approx_count_distinct(number(df, s)).alias(f"n{i}") for i, s in enumerate(scalars)]).first()
-    return sum(counts) <= most_distinct
+def sketches(df: DataFrame, scalars: Sequence[str], weight: str | None = None) -> DataFrame:
+    """(scalar, sketch, n, min, max) of one scan; see quantiles.sketched(). They can be kept by writers.write_sketches() and merged
+    with those of later rows by quantiles.merged()."""
+    if weight:
+        return quantiles.sketched(long_form(df, scalars, weight), weight="w")
+    rows = [F.struct(F.lit(s).alias("scalar"), *quantiles.sums_of(number(df, s), F.count(number(df, s)))) for s in scalars]
+    return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
 
 
-def fit(df: DataFrame, scalars: Sequence[str], most_distinct: int = MOST_DISTINCT) -> DataFrame:
+def fit(df: DataFrame, scalars: Sequence[str], weight: str | None = None, found: DataFrame | None = None) -> DataFrame:
     """One row per scalar: q33, q66, min, max over its values that are numbers; without any, the quantiles are 0 and the others null.
 
-    Scalars with more than ``most_distinct`` values together are fitted by rank, which gives the same.
+    Exact, in two scans of ``df``: sketches (or those ``found`` before, of the same rows), then counts within their brackets.
+    ``weight`` says how often a row counts.
     """
-    if not fits_memory(df, scalars, most_distinct):
-        return fit_by_rank(df, scalars)
-    rows = []
-    for s in scalars:
-        q = _both_quantiles(df, s)
-        rows.append(F.struct(F.lit(s).alias("scalar"), q[0].alias("q33"), q[1].alias("q66"), F.min(number(df, s)).alias("min"), F.max(number(df, s)).alias("max")))
-    return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+    found = held(found if found is not None else sketches(df, scalars, weight), "sketches")
+    rows = long_form(df, scalars, weight)
+    each = quantiles.exact(rows, found, (LOWER, UPPER), weight="w" if weight else None, few=True)
+    return _both(found, each)
 
 
-def _both_quantiles(df: DataFrame, scalar: str, weight: str | None = None) -> tuple[Column, Column]:
-    q = F.percentile(number(df, scalar), F.array(F.lit(LOWER), F.lit(UPPER)), df[weight] if weight else F.lit(1))
-    return F.coalesce(q[0], F.lit(0.0)), F.coalesce(q[1], F.lit(0.0))
+def _both(found: DataFrame, each: DataFrame) -> DataFrame:
+    at = lambda q: F.coalesce(F.max(F.when(F.col("q") == q, F.col("value"))), F.lit(0.0))
+    return found.join(each, "scalar", "left").groupBy("scalar", "min", "max").agg(at(LOWER).alias("q33"), at(UPPER).alias("q66")).select("scalar", "q33", "q66", "min", "max")
 
 
 def fit_by_rank(df: DataFrame, scalars: Sequence[str], weight: str | None = None) -> DataFrame:
-    """As fit(), by sorting: values are counted with a partial step and dealt in ranges, the ranges' sums say which of them hold
-    the ranks asked for, and only these are numbered. Memory is that of a sort, whatever the number of distinct values. An
-    empty table gives no rows."""
-    counts = long_form(df, scalars, weight).groupBy("scalar", "v").agg(F.sum(F.when(F.col("v").isNotNull(), F.col("w")).otherwise(0)).alias("n"))
-    counts = counts.filter(F.col("v").isNull() | (F.col("n") > 0))
-    ranged = held(counts.repartitionByRange("scalar", "v").withColumn("part", F.spark_partition_id()), "ranges")
-    sums = ranged.groupBy("scalar", "part").agg(F.sum("n").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
-    whole = sums.groupBy("scalar").agg(F.sum("n").alias("total"), F.min("low").alias("min"), F.max("high").alias("max"))
-    before = sums.withColumn("before", F.sum("n").over(Window.partitionBy("scalar").orderBy("part")) - F.col("n"))
-    place = F.col("q") * (F.col("total") - 1)
-    ranks = whole.filter("total > 0").select("scalar", F.explode(F.array(F.lit(LOWER), F.lit(UPPER))).alias("q"), "total").withColumn("place", place)
-    ranks = ranks.select("scalar", "q", "place", F.explode(F.array_distinct(F.array(F.floor("place"), F.ceil("place")))).alias("rank"))
-    here = ranks.join(before.withColumnRenamed("scalar", "s"), (F.col("scalar") == F.col("s")) & (F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("n"))).select("scalar", "part", "before", "q", "place", "rank")
-    wanted = here.select("scalar", "part", "before").distinct()
-    upto = F.sum("n").over(Window.partitionBy("scalar", "part").orderBy("v")) + F.col("before")
-    numbered = ranged.filter(F.col("v").isNotNull()).join(F.broadcast(wanted), ["scalar", "part"]).withColumn("upto", upto)
-    met = numbered.join(F.broadcast(here.drop("before")), ["scalar", "part"]).filter((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("n") <= F.col("rank")))
-    share = F.col("place") - F.floor("place")
-    low, high = F.min_by("v", "rank"), F.max_by("v", "rank")
-    found = met.groupBy("scalar", "q").agg((low + (high - low) * F.max(share)).alias("value"))
-    pivot = found.groupBy("scalar").agg(F.max(F.when(F.col("q") == LOWER, F.col("value"))).alias("q33"), F.max(F.when(F.col("q") == UPPER, F.col("value"))).alias("q66"))
-    return whole.join(pivot, "scalar", "left").select("scalar", F.coalesce("q33", F.lit(0.0)).alias("q33"), F.coalesce("q66", F.lit(0.0)).alias("q66"), "min", "max")
-
-
-def fit_row(df: DataFrame, scalars: Sequence[str], weight: str | None = None, most_distinct: int = MOST_DISTINCT) -> DataFrame:
-    """The same fit as one row with columns <scalar>_q33 and <scalar>_q66, to be joined by broadcast; ``weight`` says how often a row counts.
-
-    Beyond ``most_distinct`` values it is made by rank, as fit() is.
-    """
-    if fits_memory(df, scalars, most_distinct):
-        return df.agg(*[q.alias(f"{s}_{n}") for s in scalars for n, q in zip(("q33", "q66"), _both_quantiles(df, s, weight))])
-    found = fit_by_rank(df, scalars, weight)
-    return found.agg(*[F.coalesce(F.max(F.when(F.col("scalar") == s, F.col(n))), F.lit(0.0)).alias(f"{s}_{n}") for s in scalars for n in ("q33", "q66")])
+    """As fit(), without sketches: all distinct values are counted and sorted in ranges. An empty table gives no rows."""
+    rows = long_form(df, scalars, weight)
+    counts = held(rows.filter("v IS NOT NULL AND w > 0").groupBy("scalar", "v").agg(F.sum("w").alias("n")), "counts")
+    whole = counts.groupBy("scalar").agg(F.sum("n").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"))
+    wanted = whole.select("scalar", F.explode(F.array(F.lit(LOWER), F.lit(UPPER))).alias("q"), "n").select("scalar", "q", (F.col("q") * (F.col("n") - 1)).alias("place"))
+    every = rows.select("scalar").distinct().join(whole.select("scalar", "min", "max"), "scalar", "left")
+    return _both(every, quantiles.by_rank(counts, wanted, ["scalar"]))
+
+
+def fit_row(df: DataFrame, scalars: Sequence[str], weight: str | None = None, found: DataFrame | None = None) -> DataFrame:
+    """The same fit as one row with columns <scalar>_q33 and <scalar>_q66, to be joined by broadcast."""
+    rows = fit(df, scalars, weight, found)
+    return rows.agg(*[F.coalesce(F.max(F.when(F.col("scalar") == s, F.col(n))), F.lit(0.0)).alias(f"{s}_{n}") for s in scalars for n in ("q33", "q66")])
 
 
 def bin_label(value: Column, q33: Column, q66: Column, labels: Sequence[str]) -> Column:
