@@ -4,7 +4,8 @@ A text's windows of ``length`` bytes are dealt twice. First in chunks, whose end
 ``length`` - 1 bytes after it hold all windows that start in it, so of chunks that are equal with those bytes the first
 one stands for all, and the windows of the others are repeats. Then by minimizers: of the grams in a window the one with
 the least hash. Equal windows have equal minimizers, so a window whose minimizer stands at one place only, among all chunks
-that stand for others, repeats nothing. What is left are the windows that share their minimizer with another place.
+that stand for others, repeats nothing. A second round deals what is left in smaller chunks, and asks of every part of a
+window whether its minimizer stands elsewhere. What remains are windows all of whose parts have minimizers elsewhere.
 """
 
 from __future__ import annotations
@@ -17,10 +18,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm._shared import bytes_of, parked
+from tracemill.llm._shared import bytes_of, discard, parked
 
-#: Bytes of a gram, at most, and the bits of its hash that are 0 where a chunk begins: 1 place in 1024.
-GRAM, CUT = 32, 1023
+#: Bytes of a gram, at most.
+GRAM = 32
+#: The rounds of the reduction: how many places (a power of two) have a chunk's end among them, on average, and how many of a window's
+#: grams a minimizer is the least of. The first round is for all texts; the second, for what is left, looks more closely.
+ROUNDS = ((1024, 1.0), (32, 0.25))
 #: Windows that are looked at together, so that a very long text takes no more memory than its own bytes.
 SLICE = 1 << 20
 _BASE, _MIX, _ALL = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9), (1 << 64) - 1
@@ -49,71 +53,85 @@ def sliding(x: np.ndarray, width: int, least: np.ufunc) -> np.ndarray:
 
 
 class Windows:
-    """The windows of a text that start at ``first`` .. ``last`` - 1: each one's minimizer, and the places where chunks begin."""
+    """The windows of a text that start at ``first`` .. ``last`` - 1, the minimizers of their parts, and the places where chunks begin.
 
-    def __init__(self, text: bytes, length: int, first: int, last: int):
+    A part of a window is ``width`` neighbouring grams; with the greatest width a window is its own only part.
+    """
+
+    def __init__(self, text: bytes, length: int, first: int, last: int, round_: tuple[int, float]):
         gram, before = min(GRAM, 1 << (length.bit_length() - 2)), int(first > 0)
+        cut, share = round_
         h = gram_hashes(np.frombuffer(text, np.uint8, last - first + length - 1 + before, first - before), gram)
-        self.first, self.hashes, self.width = first, h[before:], length - gram + 1
+        self.first, self.hashes, self.windows = first, h[before:], last - first
+        self.width = max(1, int((length - gram + 1) * share))
+        self.parts = length - gram + 2 - self.width
         self.least = sliding(self.hashes, self.width, np.minimum)
         starts = h[: last - first + before]
-        cut = (starts & np.uint64(CUT)) == 0
-        cut[1:] &= starts[1:] != starts[:-1]  # a run of one gram isn't cut at every byte
-        self.cuts = first + np.flatnonzero(cut[before:])
+        # rounds look at other bits, so that the ends of one are none of the other
+        ends = ((starts >> np.uint64(cut.bit_length())) & np.uint64(cut - 1)) == 0
+        ends[1:] &= starts[1:] != starts[:-1]  # a run of one gram isn't cut at every byte
+        self.cuts = first + np.flatnonzero(ends[before:])
 
     def minimizers(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
-        """(places, hashes) of the grams that are least in one of the windows ``a`` .. ``b`` - 1."""
-        pad, a, b = np.zeros(self.width - 1, np.uint64), a - self.first, b - self.first
+        """(places, hashes) of the grams that are least in a part of one of the windows ``a`` .. ``b`` - 1."""
+        pad, a, b = np.zeros(self.width - 1, np.uint64), a - self.first, b - self.first + self.parts - 1
         reach = sliding(np.concatenate([pad, self.least[a:b], pad]), self.width, np.maximum)
         at = a + np.flatnonzero(reach == self.hashes[a : b + self.width - 1])
         return at + self.first, self.hashes[at].view(np.int64)
 
+    def whose(self, a: int, b: int, hashes: np.ndarray) -> np.ndarray:
+        """Which of the windows ``a`` .. ``b`` - 1 have minimizers among ``hashes`` only."""
+        odd = ~np.isin(self.least[a - self.first : b - self.first + self.parts - 1].view(np.int64), hashes)
+        count = np.append(0, np.cumsum(odd))
+        return count[self.parts :] == count[: b - a]
+
 
-def slices(text: bytes, length: int) -> Iterator[Windows]:
+def slices(text: bytes, length: int, round_: tuple[int, float] = ROUNDS[0]) -> Iterator[Windows]:
     windows = len(text) - length + 1
     for first in range(0, max(0, windows), SLICE):
-        yield Windows(text, length, first, min(windows, first + SLICE))
+        yield Windows(text, length, first, min(windows, first + SLICE), round_)
 
 
-def ends_of(text: bytes, length: int) -> np.ndarray:
+def ends_of(text: bytes, length: int, round_: tuple[int, float] = ROUNDS[0]) -> np.ndarray:
     """Where the chunks of a text begin, and where the last one ends: behind the last window."""
     windows = len(text) - length + 1
-    return np.unique(np.concatenate([[0], *[w.cuts for w in slices(text, length)], [windows]])) if windows > 0 else np.zeros(1, np.int64)
+    return np.unique(np.concatenate([[0], *[w.cuts for w in slices(text, length, round_)], [windows]])) if windows > 0 else np.zeros(1, np.int64)
 
 
-KEYS = ("id", "th")
+#: A document, and the part of it that a row holds: its text from byte ``at`` on.
+KEYS, PART = ("id", "th"), ("id", "th", "at")
 
 
-def chunks(rows: DataFrame, length: int) -> DataFrame:
-    """(digest, id, th, a, b, places, hashes) of the chunks of (id, th, text): windows a .. b - 1 and their minimizers. A chunk
+def chunks(rows: DataFrame, length: int, round_: tuple[int, float]) -> DataFrame:
+    """(digest, id, th, at, a, b, places, hashes) of the chunks of (id, th, at, text): windows a .. b - 1 and their minimizers. A chunk
     that reaches over several slices gives its minimizers in a row for each of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["digest", *KEYS, "a", "b", "places", "hashes"]
+        names = ["digest", *PART, "a", "b", "places", "hashes"]
         for batch in batches:
-            for row, text in enumerate(bytes_of(batch)):
-                ends = ends_of(text, length)
+            for row, (text, at0) in enumerate(zip(bytes_of(batch), batch.column("at").to_pylist())):
+                ends = ends_of(text, length, round_)
                 if len(ends) < 2:
                     continue
                 digests = [xxhash.xxh3_128_digest(text[a : b + length - 1]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
                 places, hashes, of = [], [], []
-                for w in slices(text, length):
-                    last = w.first + len(w.least)
+                for w in slices(text, length, round_):
+                    last = w.first + w.windows
                     k0, k1 = np.searchsorted(ends, w.first, "right") - 1, np.searchsorted(ends, last, "left")
                     for k in range(k0, k1):
                         at, h = w.minimizers(max(int(ends[k]), w.first), min(int(ends[k + 1]), last))
-                        places.append(at)
+                        places.append(at + at0)
                         hashes.append(h)
                         of.append(k)
                 sizes = pa.array(np.append(0, np.cumsum([len(p) for p in places])).astype(np.int32))
                 of = np.array(of)
                 lists = [pa.ListArray.from_arrays(sizes, pa.array(np.concatenate(x))) for x in (places, hashes)]
-                same = batch.slice(row, 1).select(KEYS)
+                same = batch.slice(row, 1).select(PART)
                 ids = [c.take(pa.array(np.zeros(len(of), np.int64))) for c in same.columns]
-                yield pa.RecordBatch.from_arrays([pa.array([digests[k] for k in of], pa.binary()), *ids, pa.array(ends[of]), pa.array(ends[of + 1]), *lists], names)
+                yield pa.RecordBatch.from_arrays([pa.array([digests[k] for k in of], pa.binary()), *ids, pa.array(at0 + ends[of]), pa.array(at0 + ends[of + 1]), *lists], names)
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"digest binary, id {kind}, th long, a long, b long, places array<long>, hashes array<long>")
+    return rows.mapInArrow(run, f"digest binary, id {kind}, th long, at long, a long, b long, places array<long>, hashes array<long>")
 
 
 def place(*more: str) -> Column:
@@ -123,38 +141,55 @@ def place(*more: str) -> Column:
 
 def reduced(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """(copies, regions) of (id, th, text). Copies are the windows a .. b - 1 of chunks that an earlier one stands for, as (id, th, a, b).
-    Regions (id, th, a, n, text) are runs of n windows from a on that share their minimizers with others, with all their bytes.
+    Regions (id, th, at, text) are runs of windows from byte ``at`` of the document on that share their minimizers with others.
 
     ``th`` tells apart rows that repeat an id with another text; rows that repeat both count once.
     """
-    held = parked(chunks(rows, length), "chunks")
+    regions, copies = rows.withColumn("at", F.lit(0).cast("long")), None
+    for k, round_ in enumerate(ROUNDS):
+        before = regions
+        more, regions = _reduced(regions, length, round_)
+        copies = more if copies is None else copies.unionByName(more)
+        if k:
+            discard(before)
+    return copies, regions
+
+
+def _reduced(rows: DataFrame, length: int, round_: tuple[int, float]) -> tuple[DataFrame, DataFrame]:
+    held = parked(chunks(rows, length, round_), "chunks")
     slim = held.select("digest", "id", "th", "a", "b").distinct()
     first = parked(slim.groupBy("digest").agg(F.min(place("b")).alias("x")).select("digest", "x.*"), "first-chunks")
     same = F.col("f.id").eqNullSafe(F.col("s.id")) & (F.col("f.th") == F.col("s.th")) & (F.col("f.a") == F.col("s.a"))
-    copies = slim.alias("s").join(first.alias("f"), "digest").filter(~same).select("s.id", "s.th", "s.a", "s.b")
+    copies = parked(slim.alias("s").join(first.alias("f"), "digest").filter(~same).select("s.id", "s.th", "s.a", "s.b"), "copies")
     kept = held.alias("s").join(first.alias("f"), "digest").filter(same).select("s.*")
-    grams = parked(kept.select(*KEYS, "a", "b", F.explode(F.arrays_zip("places", "hashes")).alias("m")).select(*KEYS, "a", "b", F.xxhash64(*KEYS, "m.places").alias("at"), "m.hashes"), "grams")
-    often = grams.groupBy("hashes").agg(F.min("at").alias("low"), F.max("at").alias("high")).filter("low <> high").select("hashes")
-    hits = grams.join(often, "hashes").groupBy(*KEYS, "a", "b").agg(F.collect_set("hashes").alias("hashes"))
-    by_text = hits.groupBy(*KEYS).agg(F.collect_list(F.struct("a", "b", "hashes")).alias("chunks")).withColumnRenamed("id", "i").withColumnRenamed("th", "t")
-    whole = rows.join(by_text, F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t"))).select("id", "th", "text", "chunks")
-    return parked(copies, "copies"), whole.mapInArrow(lambda batches: _regions(batches, length), f"id {rows.schema['id'].dataType.simpleString()}, th long, a long, n long, text binary").dropDuplicates(["id", "th", "a"])
-
-
-def _regions(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    grams = parked(kept.select(*PART, "a", "b", F.explode(F.arrays_zip("places", "hashes")).alias("m")).select(*PART, "a", "b", F.xxhash64(*KEYS, "m.places").alias("place"), "m.hashes"), "grams")
+    discard(held, first)
+    often = grams.groupBy("hashes").agg(F.min("place").alias("low"), F.max("place").alias("high")).filter("low <> high").select("hashes")
+    hits = grams.join(often, "hashes").groupBy(*PART, "a", "b").agg(F.collect_set("hashes").alias("hashes"))
+    by_text = parked(hits.groupBy(*PART).agg(F.collect_list(F.struct("a", "b", "hashes")).alias("chunks")), "hits")
+    discard(grams)
+    x, y = rows.alias("x"), by_text.alias("y")
+    whole = x.join(y, F.col("x.id").eqNullSafe(F.col("y.id")) & (F.col("x.th") == F.col("y.th")) & (F.col("x.at") == F.col("y.at"))).select("x.id", "x.th", "x.at", "text", "chunks")
+    found = whole.mapInArrow(lambda batches: _regions(batches, length, round_), f"id {rows.schema['id'].dataType.simpleString()}, th long, at long, text binary")
+    regions = parked(found.dropDuplicates(list(PART)), "regions")
+    discard(by_text)
+    return copies, regions
+
+
+def _regions(batches: Iterator[pa.RecordBatch], length: int, round_: tuple[int, float]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = batch.column("chunks")
-        for row, text in enumerate(bytes_of(batch)):
+        for row, (text, at) in enumerate(zip(bytes_of(batch), batch.column("at").to_pylist())):
             may = np.zeros(len(text) - length + 2, bool)
-            found = sorted((c["a"], c["b"], c["hashes"]) for c in lists[row].as_py())
-            for w in slices(text, length):
+            found = sorted((c["a"] - at, c["b"] - at, c["hashes"]) for c in lists[row].as_py())
+            for w in slices(text, length, round_):
                 for a, b, hashes in found:
-                    x, y = max(a, w.first), min(b, w.first + len(w.least))
+                    x, y = max(a, w.first), min(b, w.first + w.windows)
                     if x < y:
-                        may[x:y] |= np.isin(w.least[x - w.first : y - w.first].view(np.int64), np.array(hashes, np.int64))
+                        may[x:y] |= w.whose(x, y, np.array(hashes, np.int64))
             turns = np.flatnonzero(np.diff(np.append(np.int8(0), may.view(np.int8))))
             starts, ends = turns[::2], turns[1::2]
             if len(starts):
                 ids = [batch.column(c).slice(row, 1).take(pa.array(np.zeros(len(starts), np.int64))) for c in KEYS]
                 texts = pa.array([text[a : b + length - 1] for a, b in zip(starts.tolist(), ends.tolist())], pa.binary())
-                yield pa.RecordBatch.from_arrays([*ids, pa.array(starts), pa.array(ends - starts), texts], [*KEYS, "a", "n", "text"])
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(starts + at), texts], [*PART, "text"])

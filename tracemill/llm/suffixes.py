@@ -1,14 +1,16 @@
 """Repeated byte strings by a distributed suffix array, built with a difference cover.
 
-Regions of texts (from repeats.py) are laid out in tiles of TILE positions. A region of m bytes is read as ``word`` interleaved
-strings of ``word``-byte words, each closed by an empty word, so that a step in the string is ``word`` bytes in the text. Then, as
-in the skew algorithm:
-
-1. the triples of the positions that are 1 or 2 modulo 3 are sorted, and equal triples get one name;
-2. unless the names cover a window or are all different, the string of names is sorted in the same way;
-3. of the other positions each is placed among those that are 1 modulo 3 by (word, rank of the next position), and among
-   those that are 2 modulo 3 by (word, next word, rank of the position after it); the two places add up;
-4. of neighbours in this order those that begin with the same ``length`` bytes form a class, whose first place is kept.
+Regions of texts (from repeats.py) are read as strings of phrases: a phrase begins at a byte whose gram has the least hash
+within REACH bytes on both sides, and goes on to the bytes that decide where the next one begins, so that no phrase begins
+another one and the order of phrases is that of their bytes. Then, as in the skew algorithm:
+
+1. phrases are sorted and named, and a region is the string of its phrases' names;
+2. the triples of the positions that are 1 or 2 modulo 3 are sorted, and equal triples get one name;
+3. unless these names cover a window or are all different, the string of names is sorted in the same way;
+4. of the other positions each is placed among those that are 1 modulo 3 by (name, rank of the next position), and among
+   those that are 2 modulo 3 by (name, next name, rank of the position after it); the two places add up;
+5. every window is placed by its bytes up to the end of the phrase's head that it meets first, and the rank from there on;
+6. of neighbours in this order those that begin with the same ``length`` bytes form a class, whose first place is kept.
 
 Order only matters for ``length`` bytes: ties beyond them are broken anyhow, which leaves each class together. Every sort is a
 range partition by (key, position), so that no key, however frequent, has to fit one task; what passes between ranges is a row
@@ -29,12 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.llm._shared import bytes_of, discard, parked
-from tracemill.llm.repeats import KEYS, reduced
+from tracemill.llm.repeats import KEYS, gram_hashes, reduced, sliding
 
-#: Positions of a tile, as a power of two; the most windows of a piece; bytes of a word: two triples of triples cover 100.
+#: Positions of a tile, as a power of two; the most windows of a piece.
 TILE_BITS, PIECE = 18, 1 << 16
 TILE = 1 << TILE_BITS
-WORD = 12
+#: Bytes of the grams that begin phrases, and how far around them no other one begins.
+HEAD, REACH = 8, 8
 #: Where the second half of a string of names begins, beyond all positions.
 HALF = 1 << 60
 
@@ -103,39 +106,34 @@ def numbered(rows: DataFrame, order: tuple[str, ...], same: str, carry: tuple[st
     return out
 
 
-class Piece:
-    """A region's bytes as interleaved strings of words, from position ``base`` of its tile on; the last column of a word is its length."""
-
-    def __init__(self, text: bytes, base: int, word: int):
-        m = len(text)
-        raw = np.zeros(m + 2 * word, np.uint8)
-        raw[:m] = np.frombuffer(text, np.uint8)
-        sizes = (m - np.arange(word) + word - 1) // word + 1
-        lane = np.repeat(np.arange(word), sizes)
-        step = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        self.at = np.minimum(lane + step * word, m)  # the byte at which each position's word begins, m for the empty word
-        self.pos = base + np.arange(len(lane))
-        self.end = step == np.repeat(sizes - 1, sizes)
-        self.words = np.zeros((len(lane) + 2, word + 1), np.uint8)
-        self.words[:-2, :word] = np.lib.stride_tricks.sliding_window_view(raw, word)[self.at]
-        self.words[:-2, word] = np.clip(m - self.at, 0, word)
+def heads(text: bytes) -> np.ndarray:
+    """Where phrases begin: grams with the least hash within REACH bytes on both sides, all of which the text must have."""
+    if len(text) < HEAD + 2 * REACH:
+        return np.zeros(0, np.int64)
+    h = gram_hashes(np.frombuffer(text, np.uint8), HEAD)
+    near = sliding(h, REACH, np.minimum)
+    n = len(h) - 2 * REACH
+    return REACH + np.flatnonzero((h[REACH : REACH + n] < near[:n]) & (h[REACH : REACH + n] < near[REACH + 1 : REACH + 1 + n]))
 
-    def two(self, k: np.ndarray) -> np.ndarray:
-        """The words at ``k`` and behind it."""
-        return np.concatenate([self.words[k], np.where(self.end[k][:, None], 0, self.words[k + 1])], 1)
 
-    def three(self, k: np.ndarray) -> np.ndarray:
-        after = np.minimum(k + 1, len(self.end) - 1)
-        over = self.end[k] | self.end[after]
-        return np.concatenate([self.two(k), np.where(over[:, None], 0, self.words[k + 2])], 1)
+def _slices(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, tails: np.ndarray | None = None) -> pa.Array:
+    """The bytes from each start to its end as binary values, each followed by its row of ``tails``, where the end isn't that of the row."""
+    sizes = ends - starts
+    offsets = np.append(0, np.cumsum(sizes))
+    raw = text[np.repeat(starts - offsets[:-1], sizes) + np.arange(offsets[-1])]
+    if tails is not None:
+        raw = raw.copy()
+        k = np.flatnonzero(tails[1])
+        raw[(offsets[1:][k] - 8)[:, None] + np.arange(8)] = _big(tails[0][k])
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
 
 
-def tiled(regions: DataFrame, length: int, word: int) -> DataFrame:
+def tiled(regions: DataFrame, length: int) -> DataFrame:
     """(tile, base, n, id, th, a, text): regions cut in pieces of at most PIECE windows, laid out in tiles in the order of (id, th, a)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, a = batch.column("n").to_numpy(), batch.column("a").to_numpy()
+            n, a = pc.binary_length(batch.column("text")).to_numpy().astype(np.int64) - length + 1, batch.column("at").to_numpy()
             row, start = zip(*[(i, s) for i in range(len(n)) for s in range(0, int(n[i]), PIECE)]) if len(n) else ((), ())
             row, start = np.array(row, np.int64), np.array(start, np.int64)
             texts = bytes_of(batch)
@@ -147,11 +145,11 @@ def tiled(regions: DataFrame, length: int, word: int) -> DataFrame:
         for batch in batches:
             tiles, bases = [], []
             for size in pc.binary_length(batch.column("text")).to_pylist():
-                if base + size + word > TILE:
+                if base + size > TILE:
                     tile, base = tile + 1, 0
                 tiles.append(tile)
                 bases.append(base)
-                base += size + word
+                base += size
             yield pa.RecordBatch.from_arrays([pa.array(tiles, pa.int64()), pa.array(bases, pa.int64()), *batch.columns], ["tile", "base", *batch.schema.names])
 
     kinds = f"n long, id {regions.schema['id'].dataType.simpleString()}, th long, a long, text binary".split(", ")
@@ -161,15 +159,17 @@ def tiled(regions: DataFrame, length: int, word: int) -> DataFrame:
     return parked(ranged.mapInArrow(lay, ", ".join(["tile long, base long", kinds[1], kinds[2], kinds[3], kinds[0], kinds[4]])), "tiles")
 
 
-def _word_triples(pieces: DataFrame, word: int) -> DataFrame:
-    """(key, p, cls): the first three words of each position that is 1 or 2 modulo 3."""
+def phrases(pieces: DataFrame) -> DataFrame:
+    """(key, p, cls): the phrases of each piece, with numbers that follow each other from its base on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, tile, base in zip(bytes_of(batch), batch.column("tile").to_pylist(), batch.column("base").to_pylist()):
-                x = Piece(text, (tile << TILE_BITS) + base, word)
-                k = np.flatnonzero(x.pos % 3)
-                yield pa.RecordBatch.from_arrays([_binary(x.three(k)), pa.array(x.pos[k]), pa.array((x.pos[k] % 3).astype(np.int8))], ["key", "p", "cls"])
+                at = heads(text)
+                if len(at):
+                    ends = np.append(at[1:] + REACH + HEAD, len(text))
+                    key = _slices(np.frombuffer(text, np.uint8), at, ends)
+                    yield pa.RecordBatch.from_arrays([key, pa.array((tile << TILE_BITS) + base + np.arange(len(at))), pa.array(np.zeros(len(at), np.int8))], ["key", "p", "cls"])
 
     return pieces.mapInArrow(run, "key binary, p long, cls byte")
 
@@ -196,7 +196,7 @@ def _own(table: pa.Table, tile: int) -> np.ndarray:
 
 
 def _name_triples(names: DataFrame) -> DataFrame:
-    """(key, p, cls) as _word_triples(), of a string of names (p, v)."""
+    """(key, p, cls): the names of the positions that are 1 or 2 modulo 3 and of the two behind them, of a string of names (p, v)."""
 
     def run(table: pa.Table) -> pa.Table:
         tile = table.column("tile")[0].as_py()
@@ -234,77 +234,80 @@ def _sides(keys: np.ndarray, p: np.ndarray, cls: np.ndarray, r: np.ndarray, more
     return pa.table(columns | {c: pa.array(x[keep], mask=(cls[keep] == 0) & (side[keep] == 1)) for c, x in more.items()})
 
 
-def _merged(sides: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
-    """(p, r, more): the rank of every position from 1 on, equal ones apart or not."""
-    placed = numbered(sides, ("key", "p"), "key", ("p", "cls", "side", "r", *more), "sides")
+def _merged(sides: DataFrame) -> DataFrame:
+    """(p, r): the rank of every position, from 1 on, equal ones apart or not."""
+    placed = numbered(sides, ("key", "p"), "key", ("p", "cls", "side", "r"), "sides")
     zero, side0 = F.col("cls") == 0, F.col("side") == 0
     first = placed.filter(side0).agg(F.count("*"), F.count_if(zero)).first()
     own = F.when(side0, F.col("low")).otherwise(F.col("low") - first[1]) + F.col("r")
-    others = placed.filter(~zero).select("p", own.alias("r"), *more)
+    others = placed.filter(~zero).select("p", own.alias("r"))
     half = F.when(side0, F.col("row")).otherwise(F.col("row") - F.col("low") - (first[0] - first[1]))
-    zeros = placed.filter(zero).groupBy("p").agg((F.sum(half) + 1).alias("r"), *[F.max(c).alias(c) for c in more])
+    zeros = placed.filter(zero).groupBy("p").agg((F.sum(half) + 1).alias("r"))
     return others.unionByName(zeros)
 
 
-def _ranks(triples: DataFrame, covered: int, length: int) -> DataFrame:
-    """(p, r) of the positions of ``triples``, which tell ``covered`` bytes apart: by their names if that is enough, else by the ranks of the string of names."""
-    named = numbered(triples, ("key", "p"), "key", ("p", "cls"), "names")
+def ranks(names: DataFrame, covered: int, enough: int) -> DataFrame:
+    """(p, r): the ranks of the suffixes of a string of names (p, v), which stand for ``covered`` phrases each; ``enough`` phrases decide."""
+    named = numbered(_name_triples(names), ("key", "p"), "key", ("p", "cls"), "names")
     sums = named.agg(F.count("*").alias("n"), F.max("name").alias("last")).first()
-    if covered >= length or not sums.n or sums.last + 1 == sums.n:
-        return named.select("p", (F.col("row") + 1).alias("r"))
-    up = F.expr(f"p DIV 3 + IF(cls = 2, {HALF}, 0)")
-    names = named.select(up.alias("p"), (F.col("name") + 1).alias("v"))
-    ranks = _ranks(_name_triples(names), 3 * covered, length)
-    string = names.withColumn("r", F.lit(None).cast("long")).unionByName(ranks.select("p", F.lit(None).cast("long").alias("v"), "r"))
-    found = _merged(_name_sides(string))
-    down = F.expr(f"IF(p >= {HALF}, (p - {HALF}) * 3 + 2, p * 3 + 1)")
-    return parked(found.select(down.alias("p"), "r"), "ranks")
+    if 3 * covered >= enough or not sums.n or sums.last + 1 == sums.n:
+        sample = named.select("p", (F.col("row") + 1).alias("r"))
+    else:
+        up = F.expr(f"p DIV 3 + IF(cls = 2, {HALF}, 0)")
+        down = F.expr(f"IF(p >= {HALF}, (p - {HALF}) * 3 + 2, p * 3 + 1)")
+        sample = ranks(named.select(up.alias("p"), (F.col("name") + 1).alias("v")), 3 * covered, enough).select(down.alias("p"), "r")
+    string = names.withColumn("r", F.lit(None).cast("long")).unionByName(sample.select("p", F.lit(None).cast("long").alias("v"), "r"))
+    found = parked(_merged(_name_sides(string)), "ranks")
+    discard(named)
+    return found
 
 
-def _window_sides(pieces: DataFrame, ranks: DataFrame, length: int, word: int) -> DataFrame:
-    """_name_sides() of the pieces' words, with the hash and the place of each position's window; no window has no hash."""
+def _placed(pieces: DataFrame, ranked: DataFrame, length: int) -> DataFrame:
+    """(key, place, hash) of every window: what sorts it, its byte from the begin of its tile on, and a hash of its bytes."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return pa.table([pa.array([], k) for k in kinds], names)
+            return schema.empty_table()
         tile = left.column("tile")[0].as_py()
         r = _dense(right, "r", tile)
-        out = []
-        for text, base, n in zip(left.column("text").to_pylist(), left.column("base").to_pylist(), left.column("n").to_pylist()):
-            x = Piece(text, base, word)
-            k = np.arange(len(x.at))
-            one, two = r[base + k + 1].copy(), r[base + k + 2].copy()
-            one[x.end] = 0
-            two[x.end | np.append(x.end[1:], True)] = 0
-            keys = np.zeros((2 * len(k), 2 * word + 10), np.uint8)
-            keys[: len(k), : word + 9] = np.concatenate([x.words[k], _big(one)], 1)
-            keys[len(k) :] = np.concatenate([x.two(k), _big(two)], 1)
-            p = (tile << TILE_BITS) + x.pos
-            hashes = np.array([xxhash.xxh3_64_intdigest(text[i : i + length]) for i in range(n)] + [0], np.uint64).view(np.int64)
-            more = {"hash": hashes[np.minimum(x.at, n)], "place": np.where(x.at < n, (tile << TILE_BITS) + base + x.at, -1)}
-            out.append(_sides(keys, np.tile(p, 2), np.tile(p % 3, 2), np.tile(r[x.pos], 2), {c: np.tile(v, 2) for c, v in more.items()}))
-        return pa.concat_tables(out).cast(pa.schema(list(zip(names, kinds))))
-
-    names, kinds = ["key", "p", "cls", "side", "r", "hash", "place"], [pa.binary(), pa.int64(), pa.int8(), pa.int8(), pa.int64(), pa.int64(), pa.int64()]
-    mine = ranks.withColumn("tile", F.shiftright("p", TILE_BITS))
-    return pieces.select("tile", "base", "n", "text").groupBy("tile").cogroup(mine.groupBy("tile")).applyInArrow(run, f"{SIDES}, hash long, place long")
-
-
-def later(pieces: DataFrame, length: int, word: int) -> DataFrame:
+        out = [schema.empty_table()]
+        for text, base in zip(left.column("text").to_pylist(), left.column("base").to_pylist()):
+            at = heads(text)
+            s = np.arange(len(text) - length + 1)
+            first = np.searchsorted(at, s + REACH)
+            end = np.append(at, len(text))[first] + REACH + HEAD
+            met = end <= s + length
+            # the bytes to sort by, and room for the rank behind them
+            x = np.frombuffer(text + bytes(8 + REACH + HEAD), np.uint8)
+            key = _slices(x, s, np.where(met, end + 8, s + length), (r[np.minimum(base + first, TILE)], met))
+            hashes = np.array([xxhash.xxh3_64_intdigest(text[i : i + length]) for i in s.tolist()], np.uint64).view(np.int64)
+            out.append(pa.table([key, pa.array((tile << TILE_BITS) + base + s), pa.array(hashes)], schema=schema))
+        return pa.concat_tables(out)
+
+    schema = pa.schema([("key", pa.binary()), ("place", pa.int64()), ("hash", pa.int64())])
+    mine = ranked.withColumn("tile", F.shiftright("p", TILE_BITS))
+    return pieces.select("tile", "base", "text").groupBy("tile").cogroup(mine.groupBy("tile")).applyInArrow(run, "key binary, place long, hash long")
+
+
+def later(pieces: DataFrame, length: int) -> DataFrame:
     """(tile, at): the windows of tiles, by their byte from the tile's begin on, whose bytes also start at an earlier place."""
-    ranks = _ranks(_word_triples(pieces, word), 3 * word, length)
-    order = _merged(_window_sides(pieces, ranks, length, word), ("hash", "place")).filter("place >= 0")
-    classes = numbered(order.withColumn("cls", F.lit(1)), ("r", "p"), "hash", ("place",), "classes")
+    named = numbered(phrases(pieces), ("key", "p"), "key", ("p",), "phrases")
+    # phrases begin more than REACH bytes apart
+    ranked = ranks(named.select("p", (F.col("name") + 1).alias("v")), 1, -(-length // (REACH + 1)) + 1)
+    discard(named)
+    windows = _placed(pieces, ranked, length).withColumn("cls", F.lit(1))
+    classes = numbered(windows, ("key", "place"), "hash", ("place",), "classes")
     firsts = classes.groupBy("name").agg(F.min("place").alias("first"), F.count("*").alias("n")).filter("n > 1")
     found = classes.join(firsts, "name").filter("place > first")
     return found.select(F.shiftright("place", TILE_BITS).alias("tile"), F.col("place").bitwiseAND(F.lit(TILE - 1)).alias("at"))
 
 
-def repeats(rows: DataFrame, length: int, word: int = WORD) -> DataFrame:
+def repeats(rows: DataFrame, length: int) -> DataFrame:
     """(id, th, a, b): runs of windows a .. b - 1 of (id, th, text) whose ``length`` bytes also start at an earlier place: in a smaller id,
     for one id in a smaller th, or further ahead in the same text."""
     copies, regions = reduced(rows, length)
-    pieces = tiled(regions, length, word)
+    pieces = tiled(regions, length)
+    discard(regions)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         marks = np.zeros(TILE + 1, np.int8)
@@ -320,11 +323,11 @@ def repeats(rows: DataFrame, length: int, word: int = WORD) -> DataFrame:
 
     kind = rows.schema["id"].dataType.simpleString()
     slim = pieces.select("tile", "base", "n", *KEYS, "a")
-    runs = slim.groupBy("tile").cogroup(later(pieces, length, word).groupBy("tile")).applyInArrow(run, f"id {kind}, th long, a long, b long")
+    runs = slim.groupBy("tile").cogroup(later(pieces, length).groupBy("tile")).applyInArrow(run, f"id {kind}, th long, a long, b long")
     return copies.unionByName(runs)
 
 
-def deduplicated_bytes(docs: DataFrame, length: int = 100, word: int = WORD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicated_bytes(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_bytes, n_removed, n_spans, kept_sha256, and the bytes kept.
 
     A byte goes if a string of ``length`` bytes that covers it also starts earlier, as in repeats(), judged on the whole input.
@@ -334,7 +337,7 @@ def deduplicated_bytes(docs: DataFrame, length: int = 100, word: int = WORD, id_
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     rows = rows.select("id", F.xxhash64("text").alias("th"), "text")
-    spans = repeats(rows, length, word).groupBy(*KEYS).agg(F.collect_list(F.struct("a", "b")).alias("spans")).withColumnRenamed("id", "i").withColumnRenamed("th", "t")
+    spans = repeats(rows, length).groupBy(*KEYS).agg(F.collect_list(F.struct("a", "b")).alias("spans")).withColumnRenamed("id", "i").withColumnRenamed("th", "t")
     met = rows.join(spans, F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t")), "left").select("id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
