@@ -18,10 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm._shared import texts_of
+from tracemill.llm._shared import discard, parked, texts_of
 
 _BLANKS = bytes(32 if i < 48 or 57 < i < 65 or 90 < i < 97 or 122 < i < 128 else i for i in range(256))
 _MIX, _BITS = np.uint64(0x9E3779B97F4A7C15), 21
+_ODD = np.uint64(0xD6E8FEB86659FD93)
 
 
 def normal(text: str) -> bytes:
@@ -49,41 +50,57 @@ def places(text: str) -> np.ndarray:
 
 
 class Index:
-    """The q-grams of the windows of some items."""
+    """The windows of some items: equal ones are one, with all their items, and a few q-grams of each propose places.
+
+    A part within ``edits`` of a window holds one of any edits + 1 grams of it that don't overlap, unchanged and within as many
+    diagonals; those are taken that are rarest in the index. So a proposal costs no count of all grams, and what a text and
+    the items repeat is multiplied for few of them only, in steps of bounded size.
+    """
 
     def __init__(self, texts: list[bytes], q: int = 10, window: int = 100, rate: float = 0.08):
         self.q, self.window, self.rate = q, window, rate
-        self.item, begin, lengths = [], [], []
-        wins: list[bytes] = []
+        place: dict[bytes, int] = {}
+        of, item = [], []
         for i, t in enumerate(texts):
             if len(t) < q:
                 continue
             last = max(0, len(t) - window)
             for a in sorted({*range(0, last, max(1, window // 4)), last}):
-                self.item.append(i)
-                begin.append(a)
-                wins.append(t[a : a + window])
-        self.item = np.array(self.item, np.int64)
-        self.begin = np.array(begin, np.int64)
+                of.append(place.setdefault(t[a : a + window], len(place)))
+                item.append(i)
+        wins = list(place)
+        # the items of each window, and how often they hold it
+        pairs, self.times = np.unique(np.array([of, item], np.int64).reshape(2, -1), axis=1, return_counts=True)
+        self.item, self.first_item = pairs[1].astype(np.int32), np.searchsorted(pairs[0], np.arange(len(wins) + 1))
         lengths = self.length = np.array([len(w) for w in wins], np.int64)
         # no more edits than leave one shared q-gram
         self.edits = np.minimum((lengths * rate).astype(np.int64), np.maximum(0, (lengths - q) // q))
-        self.need = lengths - q + 1 - self.edits * q
         self.band = int(max(1, self.edits.max(initial=0)))
         self.bytes = np.zeros((len(wins), window), np.uint8)
-        code, win, off = [], [], []
         for k, w in enumerate(wins):
             self.bytes[k, : len(w)] = np.frombuffer(w, np.uint8)
-            c = self.codes(np.frombuffer(w, np.uint8))
-            code.append(c)
-            win.append(np.full(len(c), k))
-            off.append(np.arange(len(c)))
+        # the code of every gram that lies in one window, by window and place
+        flat = np.append(self.codes(self.bytes.ravel()), np.zeros(q - 1, np.uint64)) if len(wins) else np.zeros(0, np.uint64)
+        grams = flat.reshape(len(wins), window)
+        every, count = np.unique(grams[np.arange(window) <= lengths[:, None] - q], return_counts=True)
+        code, win, off = [], [], []
+        for length in np.unique(lengths).tolist():
+            for k in np.array_split(np.flatnonzero(lengths == length), -(-len(wins) // 8192)):
+                if not len(k):
+                    continue
+                n = int(self.edits[k[0]]) + 1
+                at = np.arange(length - n * q + 1)[:, None] + np.arange(n) * q
+                often = count[np.searchsorted(every, grams[k][:, : length - q + 1])]
+                best = at[often[:, at].sum(2).argmin(1)]
+                code.append(np.take_along_axis(grams[k], best, 1).ravel())
+                win.append(np.repeat(k, n).astype(np.int32))
+                off.append(best.ravel().astype(np.int32))
         code = np.concatenate(code) if code else np.zeros(0, np.uint64)
         order = np.argsort(code, kind="stable")
-        self.win = np.concatenate(win)[order] if win else np.zeros(0, np.int64)
-        self.off = np.concatenate(off)[order] if off else np.zeros(0, np.int64)
-        self.code, self.first = np.unique(code[order], return_index=True)
-        self.many = np.diff(np.append(self.first, len(code)))
+        self.win = np.concatenate(win)[order] if win else np.zeros(0, np.int32)
+        self.off = np.concatenate(off)[order] if off else np.zeros(0, np.int32)
+        self.code, first = np.unique(code[order], return_index=True)
+        self.first, self.many = first.astype(np.int32), np.diff(np.append(first, len(code))).astype(np.int32)
         self.seen = np.zeros(1 << _BITS, bool)
         self.seen[self.slots(self.code)] = True
 
@@ -114,59 +131,105 @@ class Index:
         at = np.minimum(np.searchsorted(self.code, codes[p]), len(self.code) - 1)
         real = self.code[at] == codes[p]
         p, at = p[real], at[real]
-        # a part that holds a window has as many hits as the bound asks within the longest window and its edits
-        need, reach = int(self.need.min()), self.window + self.band
-        if len(p) < need or not len(p):
-            return none
-        close = np.flatnonzero(p[need - 1 :] - p[: len(p) - need + 1] < reach)
-        step = np.zeros(len(p) + 1, np.int64)
-        np.add.at(step, close, 1)
-        np.add.at(step, close + need, -1)
-        dense = step[:-1].cumsum() > 0
-        p, at = p[dense], at[dense]
         if not len(p):
             return none
-        n = self.many[at]
-        entry = np.repeat(self.first[at] - np.append(0, n.cumsum()[:-1]), n) + np.arange(n.sum())
-        win, diagonal = self.win[entry], np.repeat(p, n) - self.off[entry]
-        lane = (diagonal + self.window) // self.band  # a lane and the next one make a band, so each drift fits in one
-        lanes = int(lane.max()) + 2
-        keys = np.concatenate([win * lanes + lane, win * lanes + lane - 1])
-        key, count = np.unique(keys, return_counts=True)
-        w = key // lanes
-        good = count >= self.need[w]
-        w, start = w[good], (key[good] % lanes) * self.band - self.window
-        return self.align(x, w, start)
-
-    def align(self, x: np.ndarray, w: np.ndarray, diagonal: np.ndarray, at_once: int = 4096):
-        """Banded alignment of window ``w`` along the band of diagonals from ``diagonal``, any part of the band's text."""
-        width = 2 * self.band + 2 * int(self.edits.max(initial=0)) + 1
-        padded = np.concatenate([np.zeros(2 * self.window + width, np.uint8), x, np.zeros(2 * self.window + width, np.uint8)])
-        base = diagonal - int(self.edits.max(initial=0)) + 2 * self.window + width
-        out = []
-        cols = np.arange(width)
+        keys = self.proposed(p, at, (len(x) + 2 * self.window) // self.band + 3)
+        w, lane = np.divmod(keys, (len(x) + 2 * self.window) // self.band + 3)
+        return self.aligned(x, w, (lane - 1) * self.band - self.window)
+
+    def proposed(self, p: np.ndarray, at: np.ndarray, lanes: int, at_once: int = 1 << 20) -> np.ndarray:
+        """The distinct (window, lane of diagonals) of hits at ``p``, as one number; a lane and the next one make a band, so each drift fits
+        in one. Hits are multiplied by their windows ``at_once`` at a time, which bounds memory by the distinct results."""
+        total = np.cumsum(self.many[at], dtype=np.int64)
+        found: list[np.ndarray] = []
+        waiting, start = 0, 0
+        while start < len(p):
+            base = total[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(total, base + at_once, "right")))
+            n = self.many[at[start:end]].astype(np.int64)
+            entry = np.repeat(self.first[at[start:end]] - np.append(0, n.cumsum()[:-1]), n) + np.arange(n.sum())
+            lane = (np.repeat(p[start:end], n) - self.off[entry] + self.window) // self.band + 1
+            key = self.win[entry].astype(np.int64) * lanes + lane
+            found.append(np.unique(np.concatenate([key, key - 1])))
+            waiting += len(found[-1])
+            if waiting > 4 * at_once:
+                found = [np.unique(np.concatenate(found))]
+                waiting = len(found[0]) // 2
+            start = end
+        return np.unique(np.concatenate(found))
+
+    def aligned(self, x: np.ndarray, w: np.ndarray, diagonal: np.ndarray, at_once: int = 1 << 18):
+        """align() of each window and band, once for all places where a window meets the same bytes."""
+        edits, out = int(self.edits.max(initial=0)), []
+        width = self.window + 2 * self.band + 2 * edits + 1
+        side = self.window + width
+        padded = np.concatenate([np.zeros(2 * side, np.uint8), x, np.zeros(2 * side, np.uint8)])
+        power = np.ones(len(padded) + 1, np.uint64)
+        power[1:] = _ODD
+        power = np.multiply.accumulate(power)
+        sums = np.zeros(len(padded) + 1, np.uint64)
+        np.cumsum((padded + np.uint64(1)) * power[:-1], out=sums[1:])
         for k in range(0, len(w), at_once):
-            ws, bs = w[k : k + at_once], base[k : k + at_once]
-            # value: edits in the upper bits, the column where the part starts in the lower ones
-            v = np.broadcast_to(cols, (len(ws), width)).astype(np.int32)
-            done = v.copy()
-            length = self.length[ws]
-            for i in range(self.window):
-                text = padded[bs[:, None] + i + cols]
-                cost = v + ((text != self.bytes[ws, i][:, None]) << 12)
-                cost[:, :-1] = np.minimum(cost[:, :-1], v[:, 1:] + (1 << 12))
-                cost -= cols.astype(np.int32) << 12
-                v = np.minimum.accumulate(cost, axis=1) + (cols.astype(np.int32) << 12)
-                over = length == i + 1
-                done[over] = v[over]
-            best = done.argmin(1)
-            value = done[np.arange(len(ws)), best]
-            edits, begin = value >> 12, value & 4095
-            good = edits <= self.edits[ws]
-            shift = 2 * self.window + width
-            out.append((ws[good], edits[good].astype(np.int64), (bs + begin - shift)[good], (bs + length + best - shift)[good]))
+            ws, ds = w[k : k + at_once], diagonal[k : k + at_once]
+            a = ds - edits + 2 * side
+            # what stands in the band, as a number that doesn't depend on its place
+            seen = (sums[a + width] - sums[a]) * power[len(padded) - a]
+            order = np.lexsort((seen, ws))
+            new = np.append(True, (np.diff(ws[order]) != 0) | (np.diff(seen[order]) != 0)) if len(order) else np.zeros(0, bool)
+            one, group = order[new], np.cumsum(new) - 1
+            may = self.near(padded, ws[one], a[one])
+            got = np.full((4, len(one)), -1, np.int64)
+            kept = np.flatnonzero(may)
+            for j in range(0, len(kept), 4096):
+                some = kept[j : j + 4096]
+                which, e, begin, end = self.align(padded, ws[one[some]], a[one[some]])
+                got[:, some[which]] = np.stack([ws[one[some[which]]], e, begin - ds[one[some[which]]], end - ds[one[some[which]]]])
+            mine = got[:, group]
+            ok = mine[0] >= 0
+            there = ds[order[ok]]
+            out.append((mine[0, ok], mine[1, ok], mine[2, ok] + there - 2 * side, mine[3, ok] + there - 2 * side))
         return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 4
 
+    def near(self, padded: np.ndarray, w: np.ndarray, base: np.ndarray, block: int = 5, at_once: int = 2048) -> np.ndarray:
+        """Whether a window may be within its edits of the band: of its blocks of 5 bytes each edit spoils one, the others stand in the band."""
+        shifts = 2 * self.band + 2 * int(self.edits.max(initial=0)) + 1
+        ok = np.zeros(len(w), bool)
+        four = lambda y: y[..., :-4].astype(np.uint64) | (y[..., 1:-3].astype(np.uint64) << np.uint64(8)) | (y[..., 2:-2].astype(np.uint64) << np.uint64(16)) | (y[..., 3:-1].astype(np.uint64) << np.uint64(24)) | (y[..., 4:].astype(np.uint64) << np.uint64(32))
+        starts = np.arange(0, self.window - block + 1, block)
+        for k in range(0, len(w), at_once):
+            ws = w[k : k + at_once]
+            text = four(padded[base[k : k + at_once][:, None] + np.arange(self.window + shifts)])
+            mine = four(self.bytes[ws])[:, starts]
+            same = np.zeros(mine.shape, bool)
+            for s in range(shifts):
+                same |= text[:, starts + s] == mine
+            whole = starts + block <= self.length[ws][:, None]
+            ok[k : k + at_once] = (same & whole).sum(1) >= whole.sum(1) - self.edits[ws]
+        return ok
+
+    def align(self, padded: np.ndarray, w: np.ndarray, base: np.ndarray):
+        """Banded alignment of windows ``w`` with any part of the bytes from ``base`` on: (which of them are within their edits, edits, start,
+        end)."""
+        width = 2 * self.band + 2 * int(self.edits.max(initial=0)) + 1
+        cols = np.arange(width)
+        # value: edits in the upper bits, the column where the part starts in the lower ones
+        v = np.broadcast_to(cols, (len(w), width)).astype(np.int32)
+        done = v.copy()
+        length = self.length[w]
+        for i in range(self.window):
+            text = padded[base[:, None] + i + cols]
+            cost = v + ((text != self.bytes[w, i][:, None]) << 12)
+            cost[:, :-1] = np.minimum(cost[:, :-1], v[:, 1:] + (1 << 12))
+            cost -= cols.astype(np.int32) << 12
+            v = np.minimum.accumulate(cost, axis=1) + (cols.astype(np.int32) << 12)
+            over = length == i + 1
+            done[over] = v[over]
+        best = done.argmin(1)
+        value = done[np.arange(len(w)), best]
+        edits, begin = value >> 12, value & 4095
+        good = np.flatnonzero(edits <= self.edits[w])
+        return good, edits[good].astype(np.int64), (base + begin)[good], (base + length + best)[good]
+
     def search(self, texts: list[str], size: int = 1 << 21) -> list[dict[int, tuple[int, int, int, int]]]:
         """For each text, {item: (windows held, fewest edits of one, first byte, byte after the last)} in its normal form.
 
@@ -185,17 +248,22 @@ class Index:
                 parts += [t, gap]
                 total += len(t) + len(gap)
                 k += 1
-            x = np.frombuffer(b"".join(parts), np.uint8)
-            starts = np.array(starts)
-            seen = set()
-            for w, edits, a, b in sorted(zip(*(c.tolist() for c in self.find_long(x)))):
-                i = int(np.searchsorted(starts, (a + b) // 2, "right")) - 1
-                item = int(self.item[w])
-                a, b = max(0, a - int(starts[i])), min(sizes[i], b - int(starts[i]))
-                old = found[first + i].get(item)
-                fresh = (first + i, w) not in seen
-                seen.add((first + i, w))
-                found[first + i][item] = (int(fresh), edits, a, b) if old is None else (old[0] + fresh, min(old[1], edits), min(old[2], a), max(old[3], b))
+            w, edits, a, b = self.find_long(np.frombuffer(b"".join(parts), np.uint8))
+            if not len(w):
+                continue
+            starts, sizes = np.array(starts), np.array(sizes)
+            i = np.searchsorted(starts, (a + b) // 2, "right") - 1
+            a, b = np.maximum(0, a - starts[i]), np.minimum(sizes[i], b - starts[i])
+            order = np.lexsort((w, i))
+            w, edits, i, a, b = (v[order] for v in (w, edits, i, a, b))
+            cut = np.flatnonzero(np.append(True, (np.diff(w) != 0) | (np.diff(i) != 0)))
+            groups = zip(*(v.tolist() for v in (w[cut], i[cut], np.minimum.reduceat(edits, cut), np.minimum.reduceat(a, cut), np.maximum.reduceat(b, cut))))
+            for window, row, e, x, y in groups:
+                held = found[first + row]
+                for j in range(self.first_item[window], self.first_item[window + 1]):
+                    item, n = int(self.item[j]), int(self.times[j])
+                    old = held.get(item)
+                    held[item] = (n, e, x, y) if old is None else (old[0] + n, min(old[1], e), min(old[2], x), max(old[3], y))
         return found
 
     def find_long(self, x: np.ndarray, size: int = 1 << 22):
@@ -211,18 +279,19 @@ class Index:
 
 
 def indexes(benchmark: DataFrame, q: int = 10, window: int = 100, rate: float = 0.08, id_col: str = "item_id", text_col: str = "text", most: int = 4 << 20):
-    """The ids of the items and an index of them for every ``most`` bytes or so of their texts, to be broadcast one after another."""
+    """The ids of the items, an index of them for every ``most`` bytes or so of their texts, and whether it is the last; each is broadcast,
+    used and let go before the next one is made."""
     items = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull()).distinct()
     part: list = []
     total = 0
     for r in items.orderBy("id", "text").toLocalIterator():
+        if total >= most:
+            yield [i for i, _ in part], Index([t for _, t in part], q, window, rate), False
+            part, total = [], 0
         t = normal(r.text)
         part.append((r.id, t))
         total += len(t)
-        if total >= most:
-            yield [i for i, _ in part], Index([t for _, t in part], q, window, rate)
-            part, total = [], 0
-    yield [i for i, _ in part], Index([t for _, t in part], q, window, rate)
+    yield [i for i, _ in part], Index([t for _, t in part], q, window, rate), True
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, q: int = 10, window: int = 100, rate: float = 0.08, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -236,7 +305,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, q: int = 10, window: int = 10
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"`{id_col}` {rows.schema['id'].dataType.simpleString()}, `{item_col}` {benchmark.schema[item_col].dataType.simpleString()}, n_windows long, edits long, start long, end long"
     result = None
-    for ids, index in indexes(benchmark, q, window, rate, item_col, item_text):
+    for ids, index, last in indexes(benchmark, q, window, rate, item_col, item_text):
         shipped = docs.sparkSession.sparkContext.broadcast((ids, index))
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
@@ -256,6 +325,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, q: int = 10, window: int = 10
                     yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row, pa.int64())), pa.array(item), *columns], [id_col, item_col, "n_windows", "edits", "start", "end"])
 
         part = rows.mapInArrow(run, schema)
+        if result is not None or not last:
+            part = parked(part, "matches")
+            shipped.unpersist()
         result = part if result is None else result.unionByName(part)
     return result
 
@@ -263,7 +335,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, q: int = 10, window: int = 10
 def decontaminated(docs: DataFrame, benchmark: DataFrame, q: int = 10, window: int = 100, rate: float = 0.08, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no window of a benchmark item."""
     at = docs.columns.index(text_col)
-    for _, index in indexes(benchmark, q, window, rate, item_col, item_text):
+    before = None
+    for _, index, last in indexes(benchmark, q, window, rate, item_col, item_text):
         shipped = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
@@ -272,4 +345,10 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, q: int = 10, window: i
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if not last:
+            docs = parked(docs, "clean")
+            shipped.unpersist()
+            if before is not None:
+                discard(before)
+            before = docs
     return docs
