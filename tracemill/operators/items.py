@@ -110,9 +110,10 @@ def numbered(rows: DataFrame, order: Sequence[str], name: str = "idx") -> DataFr
     return ranged.withColumn("_inside", inside).join(F.broadcast(before), "_range").select(*rows.columns, (F.col("_before") + F.col("_inside") - 1).cast("long").alias(name))
 
 
-def batched(rows: DataFrame, size: int, order: Sequence[str], name: str = "batch") -> DataFrame:
-    """``rows`` with the number of their batch of ``size`` rows by ``order``."""
-    return numbered(rows, order, "_idx").withColumn(name, F.floor(F.col("_idx") / size).cast("long")).drop("_idx")
+def batched(rows: DataFrame, size: int, order: Sequence[str], name: str = "batch", index: str | None = None) -> DataFrame:
+    """``rows`` with the number of their batch of ``size`` rows by ``order``, and their place as ``index`` if it has a name."""
+    found = numbered(rows, order, index or "_idx").withColumn(name, F.floor(F.col(index or "_idx") / size).cast("long"))
+    return found if index else found.drop("_idx")
 
 
 def sample_k(rows: DataFrame, k: int, key: str, seed: int = 11785) -> DataFrame:

@@ -96,7 +96,8 @@ def exact(rows: DataFrame, found: DataFrame, qs: Sequence[float], group: Sequenc
         order = Window.partitionBy(*group).orderBy("_region")
         places = sums.withColumn("_upto", F.sum("_m").over(order)).withColumn("_all", F.sum("_m").over(Window.partitionBy(*group)))
         wanted = places.withColumn("q", F.explode(F.array(*[F.lit(q) for q in qs]))).withColumn("place", F.col("q") * (F.col("_all") - 1) - (F.col("_upto") - F.col("_m")))
-        here = held(wanted.filter("floor(place) >= 0 AND floor(place) < _m").select(*group, "_region", "q", "place", "_values", (F.expr("_region % 2 = 1") & (F.ceil("place") < F.col("_m"))).alias("_met")), "wanted")
+        here = wanted.filter("floor(place) >= 0 AND floor(place) < _m").select(*group, "_region", "q", "place", "_values", (F.expr("_region % 2 = 1") & (F.ceil("place") < F.col("_m"))).alias("_met"))
+        here = rows.sparkSession.createDataFrame(here.collect(), here.schema) if few else held(here, "wanted")
         said = here.agg(F.count_if(~F.col("_met")).alias("missed"), F.sum("_values").alias("values")).first()
         if not said.missed:
             return _picked(counts.filter("v IS NOT NULL"), here.select(*group, "_region", "q", "place"), [*group, "_region"], said["values"] or 0).select(*group, "q", "value")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.functions import paths, phonology
-from tracemill.operators import corpus, generation, latents, training
+from tracemill.operators import corpus, generation, latents, quantiles, training
 from tracemill.operators.held import held, new_path
 from tracemill.plans.registry import query, table
 from tracemill.sources import readers, writers
@@ -284,6 +284,18 @@ def stats_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latents.apply(rows.select("s_suppkey", "s_acctbal"), readers.stats(spark, folder), {"s_acctbal": ("low", "mid", "high")}).select("s_suppkey", F.col("s_acctbal_bin").alias("level"))
 
 
+@query("merged_sketches", "SELECT round(quantile_cont(l_extendedprice, 0.33), 4) AS q33, round(quantile_cont(l_extendedprice, 0.66), 4) AS q66, count(*) AS n, min(l_extendedprice) AS min, max(l_extendedprice) AS max FROM lineitem")
+def merged_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of three runs, each written when it ends; the fit of all of them reads the rows once."""
+    rows, runs = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice"), []
+    for flag in ("A", "N", "R"):
+        folder = new_path(spark, "sketches")
+        writers.write_sketches(latents.sketches(rows.filter(F.col("l_returnflag") == flag), ["l_extendedprice"]), folder)
+        runs.append(readers.sketches(spark, folder))
+    found = quantiles.merged(runs)
+    return latents.fit(rows, ["l_extendedprice"], found=found).join(found.select("scalar", "n"), "scalar").select(F.round("q33", 4).alias("q33"), F.round("q66", 4).alias("q66"), "n", "min", "max")
+
+
 @query("prepared_slices", "SELECT o_orderkey, least(o_orderkey % 4000 + 1000, 4000) - o_orderkey % 1000 AS n FROM orders WHERE o_orderstatus <> 'P' AND least(o_orderkey % 4000 + 1000, 4000) - o_orderkey % 1000 >= 1600")
 def prepared_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recordings of 4000 samples cut to slices whose end may lie beyond; short ones and those without a text go."""

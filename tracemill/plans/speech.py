@@ -203,8 +203,7 @@ def first_n_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("batch_assign", "SELECT doc_id, idx, idx // 200 AS batch FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM documents)")
 def batch_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = items.numbered(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"])
-    return items.batched(rows, 200, ["doc_id"])
+    return items.batched(table(spark, sf_dir, "documents").select("doc_id"), 200, ["doc_id"], index="idx")
 
 
 @query("sample_k", "SELECT doc_id FROM documents ORDER BY md5(doc_id::VARCHAR || ':11785'), doc_id LIMIT 50")

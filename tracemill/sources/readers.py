@@ -217,6 +217,11 @@ def stats(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path)
 
 
+def sketches(spark: SparkSession, path: str) -> DataFrame:
+    """The sketches as write_sketches() left them."""
+    return spark.read.parquet(path)
+
+
 def speaker_accents(table: DataFrame, speaker: str = "id", nationality: str = "nationality") -> DataFrame:
     """(speaker_id, accent) of a table of speakers whose columns are found by their names in any case; nationalities that
     ACCENTS lacks have the empty accent."""

@@ -42,6 +42,11 @@ def write_stats(stats: DataFrame, path: str) -> None:
     stats.write.mode("overwrite").json(path)
 
 
+def write_sketches(sketches: DataFrame, path: str) -> None:
+    """The sketches of a run, to be read by readers.sketches() and merged with those of later ones."""
+    sketches.write.mode("overwrite").parquet(path)
+
+
 def write_files(rows: DataFrame, folder: str, name: str = "name", content: str = "content", overwrite: bool = False) -> DataFrame:
     """(name, status): each row's content (bytes, or text in UTF-8) as a file of its own below ``folder``, which all executors share.
 
