@@ -9,13 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.functions import signals
 from tracemill.functions.text import let
 
-#: The sampling rate, the range of pitch in Hz, the step of frames in seconds, what stands for no harmonicity.
+#: Fixed value: the sampling rate.
 RATE = 16000
-PITCH = (75.0, 600.0)
-STEP = 0.01
-NO_HARMONICITY = -200.0
 
 
 def summary(value: Column, prefix: str, empty: float | None = 0.0) -> list[Column]:
@@ -26,11 +24,11 @@ def summary(value: Column, prefix: str, empty: float | None = 0.0) -> list[Colum
 
 
 def good_frames(series: Column, kind: str) -> Column:
-    """The frames of an array that count: pitch and formants above 0, harmonicity other than NO_HARMONICITY, nothing NaN."""
+    """The frames of an array that count: pitch and formants above 0, harmonicity other than what stands for none, nothing NaN."""
     real = F.filter(series, lambda x: x.isNotNull() & ~F.isnan(x))
     if kind in ("pitch", "formant"):
         return F.filter(real, lambda x: x > 0)
-    return F.filter(real, lambda x: x != NO_HARMONICITY) if kind == "hnr" else real
+    return F.filter(real, lambda x: x != signals.NO_HARMONICITY) if kind == "hnr" else real
 
 
 def array_summary(series: Column) -> dict[str, Column]:
@@ -44,86 +42,63 @@ def array_summary(series: Column) -> dict[str, Column]:
     return {"mean": some(mean), "std": some(F.sqrt(var)), "median": some(middle), "range": some(F.array_max(series) - F.array_min(series))}
 
 
-def frames_of(x: np.ndarray, rate: int, seconds: float = 0.04) -> np.ndarray:
-    size, hop = int(rate * seconds), int(rate * STEP)
-    if len(x) < size:
-        x = np.pad(x, (0, size - len(x)))
-    return np.lib.stride_tricks.sliding_window_view(x, size)[::hop]
-
-
-#: The highest formant in Hz, and how many formants are sought.
-HIGHEST_FORMANT, FORMANTS = 5500.0, 3
+#: The highest formant in Hz, how many formants are sought, the order of prediction, the frequency from which on highs are raised.
+HIGHEST_FORMANT, FORMANTS, ORDER, RAISED = 5500.0, 3, 10, 50.0
 
 
-def formants(x: np.ndarray, rate: int = RATE, seconds: float = 0.025, order: int = 10, at_once: int = 2000) -> np.ndarray:
-    """(frames, FORMANTS) in Hz, NaN where a frame has fewer: the angles of the roots of linear prediction of the signal, taken
-    down to twice the highest formant and with its high frequencies raised, that are narrower than 400 Hz."""
-    low = 2 * HIGHEST_FORMANT
-    if rate > low:
-        spectrum = np.fft.rfft(x)
-        n = int(len(x) * low / rate)
-        x = np.fft.irfft(spectrum[: n // 2 + 1], n) * (n / max(1, len(x))) if n > order else np.zeros(0)
-        rate = low
-    size, hop = int(rate * seconds), int(rate * STEP)
+def formants(x: np.ndarray, rate: int = RATE, seconds: float = 0.05, at_once: int = 2000) -> np.ndarray:
+    """(frames, FORMANTS) in Hz, NaN where a frame has fewer: the resonances of linear prediction by Burg's lattice of the signal, taken
+    down to twice the highest formant and with its high frequencies raised."""
+    low = int(2 * HIGHEST_FORMANT)
+    if rate > low and len(x):
+        down = signals.Resampler(rate, low)
+        x, rate = np.concatenate([down.feed(x), down.end()]), low
+    size, hop = int(rate * seconds), int(rate * signals.STEP)
     if len(x) < size:
         return np.full((0, FORMANTS), np.nan)
-    x = np.append(x[:1], x[1:] - 0.97 * x[:-1])
+    x = np.append(x[:1], x[1:] - np.exp(-2 * np.pi * RAISED / rate) * x[:-1])
+    bell = np.exp(-12 * ((np.arange(size) + 0.5) / size - 0.5) ** 2)
     found = []
     windows = np.lib.stride_tricks.sliding_window_view(x, size)[::hop]
     for k in range(0, len(windows), at_once):
-        w = windows[k : k + at_once] * np.hamming(size)
-        auto = np.stack([(w[:, : size - i] * w[:, i:]).sum(1) for i in range(order + 1)], 1)
-        loud = auto[:, 0] > 1e-9
-        auto = auto[loud]
-        system = auto[:, np.abs(np.subtract.outer(np.arange(order), np.arange(order)))] + np.eye(order) * (1e-9 * auto[:, :1, None] + 1e-12)
-        a = np.linalg.solve(system, auto[:, 1:, None])[..., 0]
-        companion = np.zeros((len(a), order, order))
-        companion[:, 0], companion[:, np.arange(1, order), np.arange(order - 1)] = a, 1.0
-        roots = np.linalg.eigvals(companion)
-        freq, width = np.angle(roots) * rate / (2 * np.pi), -np.log(np.maximum(np.abs(roots), 1e-12)) * rate / np.pi
-        freq = np.sort(np.where((freq > 90) & (freq < HIGHEST_FORMANT) & (width < 400), freq, np.nan), axis=1)[:, :FORMANTS]
+        w = windows[k : k + at_once] * bell
+        loud = (w**2).sum(1) > 1e-9
         out = np.full((len(w), FORMANTS), np.nan)
-        out[loud] = freq
+        out[loud] = signals.resonances(signals.burg(w[loud], ORDER), rate, HIGHEST_FORMANT, FORMANTS)
         found.append(out)
     return np.concatenate(found)
 
 
+def levels(x: np.ndarray, rate: int) -> np.ndarray:
+    """The level of each frame in decibels over the threshold of hearing."""
+    size, hop = int(3.2 * rate / signals.PITCH[0]), int(rate * signals.STEP)
+    if len(x) < size:
+        x = np.pad(x, (0, size - len(x)))
+    frames = np.lib.stride_tricks.sliding_window_view(x, size)[::hop]
+    bell = np.hanning(size)
+    power = np.concatenate([((f - f.mean(1, keepdims=True)) ** 2) @ bell / bell.sum() for f in np.array_split(frames, -(-len(frames) // 4096))])
+    return 10 * np.log10(power / 4e-10 + 1e-12)
+
+
 def signal_features(x: np.ndarray, rate: int = RATE) -> dict[str, float]:
-    """Duration, pitch by autocorrelation, level in dB, formants, and jitter and shimmer of neighbouring voiced frames.
+    """Duration, pitch along its cheapest path, level in dB, formants, harmonicity, and jitter and shimmer of single periods.
 
-    These approximate what a phonetics program measures; they are not equal to it.
+    These follow the published methods of phonetics programs, and come near to what those measure; they are not equal to it.
     """
+    x = np.asarray(x, np.float64)
     out = {"duration": len(x) / rate, "sampling_frequency": float(rate)}
-    frames = frames_of(np.asarray(x, np.float64), rate)
-    frames = frames - frames.mean(1, keepdims=True)
-    power = (frames**2).mean(1)
-    level = 10 * np.log10(power / 4e-10 + 1e-12)
-    low, high = int(rate / PITCH[1]), int(rate / PITCH[0])
-    spectrum = np.fft.rfft(frames, 2 * frames.shape[1], axis=1)
-    auto = np.fft.irfft(np.abs(spectrum) ** 2, axis=1)[:, : frames.shape[1]]
-    # fewer products are summed at longer lags
-    auto = auto * (frames.shape[1] / np.arange(frames.shape[1], 0, -1))
-    # of nearly equal peaks the one with the shortest period counts
-    lags = np.arange(low, min(high, frames.shape[1] - 1))
-    lag = (auto[:, lags] / np.maximum(auto[:, :1], 1e-12) - 0.02 * np.log2(lags / low)).argmax(1) + low
-    before, peak, after = (auto[np.arange(len(auto)), lag + i] for i in (-1, 0, 1))
-    bend = before - 2 * peak + after
-    lag = lag + np.clip(np.divide(0.5 * (before - after), bend, out=np.zeros_like(bend), where=bend < 0), -0.5, 0.5)
-    strength = peak / np.maximum(auto[:, 0], 1e-12)
-    voiced = (strength > 0.45) & (power > 1e-8)
-    pitch, loud = rate / lag[voiced], np.sqrt(power[voiced])
-    for name, v in (("pitch", pitch), ("energy", level)):
-        some = len(v) > 0
-        out |= {f"{name}_mean": float(v.mean()) if some else 0.0, f"{name}_std": float(v.std()) if some else 0.0, f"{name}_median": float(np.median(v)) if some else 0.0, f"{name}_max": float(v.max()) if some else 0.0, f"{name}_min": float(v.min()) if some else 0.0}
+    path = signals.pitch_path(*signals.pitch_candidates(x, rate))
+    spread = {"mean": np.mean, "std": np.std, "median": np.median, "range": np.ptp, "variance": np.var, "max": np.max, "min": np.min}
+    for name, v in (("pitch", path[path > 0]), ("energy", levels(x, rate))):
+        out |= {f"{name}_{k}": float(f(v)) if len(v) else 0.0 for k, f in spread.items()}
     out["energy_dynamic_range"] = out["energy_max"] - out["energy_min"]
-    r = np.clip(strength[voiced], 1e-6, 1 - 1e-6)
-    out["hnr_mean"] = float((10 * np.log10(r / (1 - r))).mean()) if len(r) else 0.0
-    for i, f in enumerate(formants(np.asarray(x, np.float64), rate).T, 1):
+    found = signals.harmonicity(x, rate, path)
+    found = found[found != signals.NO_HARMONICITY]
+    out["hnr_mean"] = float(found.mean()) if len(found) else 0.0
+    for i, f in enumerate(formants(x, rate).T, 1):
         f = f[~np.isnan(f)]
-        out[f"F{i}_mean"], out[f"F{i}_std"] = (float(f.mean()), float(f.std())) if len(f) else (0.0, 0.0)
-    period = 1 / pitch if len(pitch) else pitch
-    out["jitter_local"] = float(np.abs(np.diff(period)).mean() / period.mean()) if len(period) > 1 else 0.0
-    out["shimmer_local"] = float(np.abs(np.diff(loud)).mean() / loud.mean()) if len(loud) > 1 else 0.0
+        out |= {f"F{i}_{k}": float(spread[k](f)) if len(f) else 0.0 for k in ("mean", "std", "median")}
+    out["jitter_local"], out["shimmer_local"] = signals.jitter_shimmer(x, rate, signals.pulses(x, rate, path))
     return out
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -220,6 +222,25 @@ def wav_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(paths.stem(F.col("path")).alias("stem"), F.size("samples").alias("n"), F.col("samples")[0].alias("first"), (F.size("samples") / 16000).alias("seconds"))
 
 
+_TONE = "round(0.4 * sin(2 * pi() * (200 + 50 * n_nationkey) * {0} / {1}), 2)"
+
+
+@query("wav_resampled", f"SELECT n_name AS stem, 8000 AS n, {_TONE.format(4001, 16000)} AS low, 24000 AS n_back, {_TONE.format(12003, 48000)} AS back FROM nation")
+def wav_resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tones of half a second at 44,100 or 48,000 Hz beside one that 16,000 Hz can't hold, brought to 16,000 Hz, written, and brought back up to 48,000."""
+    n, folder, found = F.col("n_nationkey"), new_path(spark, "tones"), []
+    for own, part in ((44100, 0), (48000, 1)):
+        turn = lambda hz, i, own=own: F.sin(2 * math.pi * hz * i / own)
+        tone = F.transform(F.sequence(F.lit(0), F.lit(own // 2 - 1)), lambda i: 0.4 * turn(200 + 50 * n, i) + 0.4 * turn(F.lit(9500), i))
+        rows = table(spark, sf_dir, "nation").filter(n % 2 == part).select(F.concat("n_name", F.lit(".wav")).alias("path"), tone.alias("samples"))
+        writers.write_wavs(rows, f"{folder}/{own}", rate=own).count()
+        found.append(readers.audio(spark, f"{folder}/{own}"))
+    low = held(found[0].unionByName(found[1]).withColumn("path", F.concat(paths.stem(F.col("path")), F.lit(".wav"))), "low")
+    writers.write_wavs(low, f"{folder}/16000").count()
+    back = readers.audio(spark, f"{folder}/16000", 48000).select(paths.stem(F.col("path")).alias("stem"), F.size("samples").alias("n_back"), F.round(F.col("samples")[12003], 2).alias("back"))
+    return low.select(paths.stem(F.col("path")).alias("stem"), F.size("samples").alias("n"), F.round(F.col("samples")[4001], 2).alias("low")).join(back, "stem")
+
+
 @query("file_scan", "SELECT n_name AS stem, 44 + 2 * (160 + n_nationkey) AS length FROM nation UNION ALL SELECT n_name, 8 FROM nation")
 def file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of two extensions at any depth, in order of their paths."""

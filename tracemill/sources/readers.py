@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import re
 import wave
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracemill.functions import signals
 from tracemill.functions.paths import ACCENTS, stem
 from tracemill.functions.text import strip
 
@@ -240,35 +241,36 @@ def pcm(raw: bytes, width: int) -> np.ndarray:
     return whole.view("<i4").ravel() / 2147483648.0
 
 
-def resampled(x: np.ndarray, own: int, rate: int) -> np.ndarray:
-    """``x`` at another rate: what the lower rate can't hold is taken out, then values between samples lie on lines."""
-    if own == rate or not len(x):
-        return x
-    if own > rate:
-        spectrum = np.fft.rfft(x)
-        spectrum[int(len(x) * rate / (2 * own)) + 1 :] = 0
-        x = np.fft.irfft(spectrum, len(x))
-    return np.interp(np.arange(int(len(x) * rate / own)) * own / rate, np.arange(len(x)), x)
+#: Frames of a file that are decoded together.
+BLOCK = 1 << 16
 
 
 def decode_wav(content: bytes, rate: int = 16000) -> np.ndarray | None:
-    """The samples of PCM as one channel at ``rate``, from -1 to 1; None for anything else."""
+    """The samples of PCM as one channel at ``rate``, from -1 to 1; None for anything else. Decoded in blocks, each of which goes through
+    a band-limited filter that keeps only its own length of past samples."""
     try:
         with wave.open(io.BytesIO(content)) as w:
-            x = pcm(w.readframes(w.getnframes()), w.getsampwidth()).reshape(-1, w.getnchannels()).mean(1)
-            return resampled(x, w.getframerate(), rate)
-    except (wave.Error, EOFError, ValueError):
+            own, parts = w.getframerate(), []
+            other = signals.Resampler(own, rate) if own != rate else None
+            while raw := w.readframes(BLOCK):
+                x = pcm(raw, w.getsampwidth()).reshape(-1, w.getnchannels()).mean(1)
+                parts.append(other.feed(x) if other else x)
+            if other:
+                parts.append(other.end())
+            return np.concatenate([np.zeros(0), *parts])
+    except (wave.Error, EOFError, ValueError, ZeroDivisionError):
         return None
 
 
-def audio(spark: SparkSession, path: str, rate: int = 16000) -> DataFrame:
-    """(path, samples): decoded audio; null samples for files that can't be decoded."""
+def audio(spark: SparkSession, path: str, rate: int = 16000, extensions: Sequence[str] = ("wav",), decode: Callable[[bytes, int], np.ndarray | None] = decode_wav) -> DataFrame:
+    """(path, samples): decoded audio; null samples for files that can't be decoded. ``decode`` takes a file's bytes and the rate, for
+    formats other than PCM."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"path": f["path"], "samples": [decode_wav(c, rate) for c in f["content"]]})
+            yield pd.DataFrame({"path": f["path"], "samples": [decode(c, rate) for c in f["content"]]})
 
-    return files(spark, path, ("wav",), content=True).select("path", "content").mapInPandas(run, "path string, samples array<double>")
+    return files(spark, path, tuple(extensions), content=True).select("path", "content").mapInPandas(run, "path string, samples array<double>")
 
 
 def line_limit(lines: DataFrame, n: int, order: str = "line_no") -> DataFrame:
