@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.functions import phonology, text, validation
 from tracemill.operators import corpus, generation, items, latents, selection
+from tracemill.operators.features import Extractor, extract, signal_features
 from tracemill.operators.held import held
+from tracemill.sources.writers import write_observed
 
 #: What a template may name.
 TEMPLATE = "Question: {question}\nCandidates: {candidates}\nTraits: {latent}\nAnswer: {answer}\nTranscript: {transcript}"
@@ -57,3 +59,19 @@ def judged_traces(found: DataFrame, make_model: Callable[[], generation.Model],
     keys = ["_item", "audio_path", "prompt", "transcript", "ground_truth_answer", "latent"]
     chosen = selection.first_passing(both.drop("candidates", "pairs"), keys, F.size("violations") == 0, F.col("soft_passed"), policy=policy)
     return selection.finalise(chosen).withColumn("latent_json", F.from_json("latent", latent_type)).drop("_item", "latent")
+
+
+def feature_run(audio: DataFrame, folder: str, meta: Sequence[str], make_extractor: Callable[[], Extractor] = lambda: signal_features, key: str = "path", samples: str = "samples") -> tuple[DataFrame, DataFrame, DataFrame, dict[str, object]]:
+    """(features, metadata, failures, counts) of one pass over the recordings.
+
+    One table is written, with the metadata, the features and the error of each recording; the three frames are parts of it, and the
+    counts (n, failed, and the seconds of audio) were taken while it was written. Features are (key, values), metadata is the columns
+    ``meta`` of the recordings that have features, failures are (key, error).
+    """
+    described = audio.select(key, samples, F.struct(*meta).alias("meta"))
+    found = extract(described.withColumn("_key", F.struct(key, "meta")), "_key", samples, make_extractor=make_extractor)
+    rows = found.select(F.col(f"_key.{key}").alias(key), F.col("_key.meta").alias("meta"), "values", "error")
+    counts = write_observed(rows, folder, n=F.count("*"), failed=F.count_if(F.col("error").isNotNull()), seconds=F.coalesce(F.sum(F.col("values")["duration"]), F.lit(0.0)))
+    whole = audio.sparkSession.read.schema(rows.schema).parquet(folder)
+    good = whole.filter("error IS NULL")
+    return good.select(key, "values"), good.select(*[F.col(f"meta.{c}").alias(c) for c in meta]), whole.filter("error IS NOT NULL").select(key, "error"), counts

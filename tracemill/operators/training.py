@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions.text import chat_turns
+from tracemill.operators.held import held
 
 #: The label that no loss counts, and the longest example.
 IGNORED = -100
@@ -39,6 +40,50 @@ def pad_batches(examples: DataFrame, pad_id: int, batch: str = "batch", ids: str
     return rows.withColumns({"attention_mask": mask, ids: pad(F.col(ids), F.col("_longest"), pad_id), labels: filled}).drop("_longest")
 
 
+#: Examples of one batch differ in length by no more than this factor; so many examples of like length are dealt together.
+LIKE, DEALT = 1.125, 50_000
+
+
+def budget_batches(examples: DataFrame, budget: int, length: str, key: str, name: str = "batch", dealt: int = DEALT) -> DataFrame:
+    """``examples`` with a batch number, so that the longest of a batch times their number is at most ``budget``; an example longer than that is a
+    batch of its own, null lengths count as 0.
+
+    Lengths fall into ranges of a factor of LIKE, a range into groups of about ``dealt`` by a hash of the key. Within a group, sorted by
+    length, batches are filled one after another. Only the groups' numbers of batches meet to make numbers that follow each other.
+    """
+    size = F.greatest(F.coalesce(F.col(length), F.lit(0)).cast("long"), F.lit(1).cast("long"))
+    rows = examples.withColumn("_size", size).withColumn("_range", F.floor(F.log("_size") / F.log(F.lit(LIKE))).cast("int"))
+    # a range for each eighth of length: a few hundred at most
+    groups = rows.groupBy("_range").agg(F.ceil(F.count("*") / dealt).alias("_groups"))
+    rows = rows.join(F.broadcast(groups), "_range").withColumn("_group", F.pmod(F.xxhash64(key), F.col("_groups")).cast("int"))
+
+    def filled(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["_size", key], ascending=False, kind="stable")
+        sizes, batches, start, number = group["_size"].to_numpy(), [], 0, 0
+        while start < len(sizes):
+            n = max(1, int(budget // sizes[start]))
+            batches += [number] * min(n, len(sizes) - start)
+            start, number = start + n, number + 1
+        return pd.DataFrame({key: group[key], "_range": group["_range"], "_group": group["_group"], "_size": group["_size"], "_local": batches})
+
+    kind = examples.schema[key].dataType.simpleString()
+    local = held(rows.select(key, "_range", "_group", "_size").groupBy("_range", "_group").applyInPandas(filled, f"`{key}` {kind}, _range int, _group int, _size long, _local long"), "batches")
+    sums = local.groupBy("_range", "_group").agg((F.max("_local") + 1).alias("_n"))
+    first = F.coalesce(F.sum("_n").over(Window.partitionBy("_range").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = sums.groupBy("_range").agg(F.sum("_n").alias("_m"))
+    base = ranges.select("_range", F.coalesce(F.sum("_m").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    before = sums.withColumn("_first", first).join(F.broadcast(base), "_range")
+    numbers = local.join(before, ["_range", "_group"]).select(key, (F.col("_base") + F.col("_first") + F.col("_local")).cast("long").alias(name))
+    return examples.join(numbers, key)
+
+
+def padded_share(batches: DataFrame, length: str, batch: str = "batch") -> DataFrame:
+    """One row: batches, tokens, padded (tokens with padding), and padded_share, the part of it that is padding."""
+    each = batches.groupBy(batch).agg(F.count("*").alias("n"), F.max(length).alias("longest"), F.sum(length).alias("tokens"))
+    tokens, padded = F.sum("tokens"), F.sum(F.col("n") * F.col("longest"))
+    return each.agg(F.count("*").alias("batches"), tokens.alias("tokens"), padded.alias("padded"), (1 - tokens / padded).alias("padded_share"))
+
+
 def pad_time(examples: DataFrame, batch: str = "batch", features: str = "input_features") -> DataFrame:
     """[C, T] features padded with zeros to the longest T of their batch, with feature_attention_mask."""
     own = F.size(F.col(features)[0])

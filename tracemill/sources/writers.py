@@ -11,7 +11,7 @@ from urllib.parse import quote
 import numpy as np
 import pandas as pd
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tracemill.operators.held import held
@@ -47,6 +47,13 @@ def write_sketches(sketches: DataFrame, path: str) -> None:
     sketches.write.mode("overwrite").parquet(path)
 
 
+def write_observed(rows: DataFrame, path: str, **measures: Column) -> dict[str, object]:
+    """Writes ``rows`` as Parquet and gives the aggregates ``measures`` of them, taken while they are written: no second job."""
+    seen = Observation()
+    rows.observe(seen, *[c.alias(name) for name, c in measures.items()]).write.mode("overwrite").parquet(path)
+    return seen.get
+
+
 def write_files(rows: DataFrame, folder: str, name: str = "name", content: str = "content", overwrite: bool = False) -> DataFrame:
     """(name, status): each row's content (bytes, or text in UTF-8) as a file of its own below ``folder``, which all executors share.
 
