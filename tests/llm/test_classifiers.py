@@ -49,6 +49,24 @@ def test_exclusive_or_of_two_words_is_learnt():
     assert min(p[0], p[1]) > 0.9 and max(p[2], p[3]) < 0.1
 
 
+@pytest.mark.parametrize(("others", "per"), [(300, 60), (2500, 60), (10_000, 200)])
+def test_a_pair_is_learnt_whatever_the_vocabulary(others, per):
+    """Neither word tells anything alone, and all other words are more frequent or as many as a corpus has."""
+    rng = np.random.default_rng(0)
+    docs, y, kind = [], [], []
+    for _ in range(12_000):
+        a, b = rng.random(2) < 0.1
+        if rng.random() < 0.1:
+            a = b = rng.random() < 0.5
+        words = 10 + np.unique((rng.random(per) ** 1.3 * others).astype(np.uint32))
+        docs.append(np.concatenate([[1] * int(a), [2] * int(b), words]).astype(np.uint32))
+        y.append(float(rng.random() < (0.9 if a and b else 0.011 if a or b else 0.1)))
+        kind.append(int(a) + int(b))
+    machine, kind = toxicity.FactorizationMachine().fit(docs[:6000], np.array(y[:6000])), np.array(kind[6000:])
+    p = toxicity._chance(machine._logits(docs[6000:]))
+    assert p[kind == 2].mean() > 0.7 and p[kind < 2].mean() < 0.15 and {1, 2} <= set(machine.slot)
+
+
 def test_convolution_equals_windows_written_out():
     rng = random.Random(2)
     net = quality.ByteConvNet(filters=3, width=4, chunk=7)

@@ -113,3 +113,30 @@ def test_odd_and_empty_tables(spark):
     assert decontam.matches(none, bench).collect() == [] and decontam.decontaminated(none, bench).collect() == []
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontam.matches(odd, empty).collect() == [] and decontam.decontaminated(odd, empty).count() == len(rows)
+
+
+REPETITIVE = {"laugh": "ha " * 400, "letter": "a" * 1000, "rhyme": "the cat sat on the mat. " * 40}
+
+
+@pytest.mark.parametrize("name", sorted(REPETITIVE))
+def test_repetition_takes_bounded_memory(name):
+    """A million characters of what an item repeats; what lies between windows and places is multiplied in steps."""
+    import tracemalloc
+
+    index = decontam.Index([decontam.normal(REPETITIVE[name]), b"short item"])
+    tracemalloc.start()
+    (found,) = index.search([REPETITIVE[name] * (1_000_000 // len(REPETITIVE[name]))])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500 << 20 and found[0][1] == 0 and found[0][2] == 0 and found[0][3] > 950_000
+
+
+def test_many_items_with_one_opening_phrase():
+    rng = random.Random(1)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9))) for _ in range(3000)]
+    phrase = "answer the following question in one word "
+    items = [phrase + " ".join(rng.choice(words) for _ in range(30)) for _ in range(10_000)] + ["ten of them"]
+    index = decontam.Index([decontam.normal(t) for t in items])
+    text = " ".join((phrase if i % 20 == 0 else "") + rng.choice(words) for i in range(300))
+    clean, leak, short = index.search([text, text + " " + items[77], "only ten of them here"])
+    assert clean == {} and sorted(leak) == [77] and sorted(short) == [10_000]

@@ -39,6 +39,16 @@ def _places(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
     return at[sorted_values[at] == x]
 
 
+def _pairs(terms: np.ndarray, bits: int, at_once: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of a document's terms as one number, and their slots, some rows at a time."""
+    step = max(1, at_once // max(1, len(terms)))
+    for k in range(0, len(terms), step):
+        i, j = np.nonzero(np.arange(k, min(len(terms), k + step))[:, None] < np.arange(len(terms))[None, :])
+        pair = (terms[i + k].astype(np.int64) << 32) | terms[j]
+        mixed = (pair.view(np.uint64) ^ (pair.view(np.uint64) >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        yield pair, ((mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x94D049BB133111EB) >> np.uint64(64 - bits)).astype(np.int64)
+
+
 def _chance(logits: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
 
@@ -80,28 +90,45 @@ class FactorizationMachine:
         keep = np.flatnonzero((score >= z) & (df.sum(0) >= least))
         return keep[np.argsort(-score[keep], kind="stable")][: self.terms]
 
-    def _paired(self, ids: list[np.ndarray], n: int, rest: np.ndarray, z: float = 6.0, least: int = 8, screened: int = 2048, at_once: int = 512) -> np.ndarray:
-        """The terms of pairs whose documents' residuals ``rest`` sum to ``z`` standard deviations or more, strongest first; among
-        the ``screened`` terms of most even document frequency."""
-        share = np.bincount(np.concatenate(ids), minlength=n) / len(ids)
-        able = np.flatnonzero(share * len(ids) >= least)
-        able = np.sort(able[np.argsort(-(share * (1 - share))[able], kind="stable")][:screened])
-        column = np.full(n, -1)
-        column[able] = np.arange(len(able))
-        total, spread = (np.zeros((len(able), len(able)), np.float32) for _ in range(2))
-        for k in range(0, len(ids), at_once):
-            some = ids[k : k + at_once]
-            x, r = np.zeros((len(some), len(able)), np.float32), rest[k : k + at_once, None].astype(np.float32)
-            for row, d in zip(x, some):
-                at = column[d]
-                row[at[at >= 0]] = 1
-            total += (x * r).T @ x
-            spread += (x * r**2).T @ x
-        strength = np.abs(total) / np.sqrt(spread + 1e-9) * (spread >= least * float((rest**2).mean()))
-        np.fill_diagonal(strength, 0)
-        best = strength.max(1) if len(able) else np.zeros(0)
-        found = np.flatnonzero(best >= z)
-        return able[found[np.argsort(-best[found], kind="stable")]]
+    def _paired(self, ids: list[np.ndarray], n: int, rest: np.ndarray, z: float = 6.0, least: int = 8, evidence: float = 0.1, bits: int = 24) -> np.ndarray:
+        """The terms of pairs whose documents' residuals ``rest`` sum to ``z`` standard deviations or more, strongest first, of all pairs of
+        terms with ``least`` documents.
+
+        Pairs of documents whose residual is ``evidence`` or more are hashed to 2 ** ``bits`` sums; those of telling sums are then worked out
+        over all documents. Terms that occur in the same documents are one.
+        """
+        df = np.bincount(np.concatenate(ids), minlength=n)
+        keys, sums = np.random.default_rng(self.seed).integers(0, 1 << 63, len(ids), dtype=np.uint64), np.zeros(n, np.uint64)
+        for key, d in zip(keys, ids):
+            sums[d] += key
+        able = np.flatnonzero(df >= least)
+        _, first, group = np.unique(sums[able], return_index=True, return_inverse=True)
+        of = np.full(n, -1)
+        of[able] = group
+        docs = [np.unique(g[g >= 0]) for g in (of[d] for d in ids)]
+        telling = [i for i in np.argsort(-np.abs(rest), kind="stable").tolist() if abs(rest[i]) >= evidence]
+        total, spread = np.zeros(1 << bits, np.float32), np.zeros(1 << bits, np.float32)
+        for i in telling:
+            for _, slot in _pairs(docs[i], bits):
+                np.add.at(total, slot, np.float32(rest[i]))
+                np.add.at(spread, slot, np.float32(rest[i] ** 2))
+        good = np.abs(total) >= 0.6 * z * np.sqrt(spread + 1e-9)
+        good &= spread >= 0.5 * least * float((rest**2).mean())
+        del total, spread
+        found = [pair[good[slot]] for i in telling for pair, slot in _pairs(docs[i], bits)]
+        pairs, often = np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_counts=True)
+        pairs = pairs[often >= least // 2]
+        where = np.argsort(np.concatenate(docs), kind="stable") if len(docs) else np.zeros(0, np.int64)
+        doc_of = np.repeat(np.arange(len(docs)), [len(d) for d in docs])[where]
+        begin = np.searchsorted(np.sort(np.concatenate(docs)), np.arange(len(first) + 1))
+        best, floor = np.zeros(len(first)), least * float((rest**2).mean())
+        for a, b in zip((pairs >> 32).tolist(), (pairs & 0xFFFFFFFF).tolist()):
+            both = rest[np.intersect1d(doc_of[begin[a] : begin[a + 1]], doc_of[begin[b] : begin[b + 1]], assume_unique=True)]
+            square = float((both**2).sum())
+            strength = abs(float(both.sum())) / np.sqrt(square + 1e-9) if square >= floor else 0.0
+            best[a], best[b] = max(best[a], strength), max(best[b], strength)
+        terms = able[best[group] >= z]
+        return terms[np.argsort(-best[of[terms]], kind="stable")]
 
     def _learn(self, hashes: np.ndarray, kept: np.ndarray, ids: list[np.ndarray], y: np.ndarray, epochs: int = 20, batch: int = 64, steps: int = 1500, rate: float = 0.02, decay: float = 1e-3) -> None:
         """Adam on the log loss, for ``epochs`` epochs and ``steps`` steps at least."""
