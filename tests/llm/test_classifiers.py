@@ -101,6 +101,7 @@ def test_samples_are_whole_bounded_and_of_documents_that_exist(spark):
     assert {r.key: len(r.text) for r in got.collect()} == {k: int(k) * 1000 for k in train}
     assert {r.key: r.y for r in got.collect()} == {k: 0.0 if k == "5" else float(int(k) % 2) for k in train}
     assert _labelled.sample(docs, labels, "toxic", 20).count() == 20
-    texts, y = _labelled.collected(got, 300_000)
-    assert 0 < len(texts) == len(y) < len(train) and sum(map(len, texts)) <= 300_000
-    assert len(_labelled.collected(got, 10**9)[0]) == len(train)
+    held, fetched = _labelled.Texts(got, 10**9), _labelled.Texts(got, 300_000, at_once=7)
+    order = np.random.default_rng(1).permutation(len(train))
+    assert held.texts is not None and fetched.texts is None and len(held) == len(train)
+    assert list(held.read(order)) == list(fetched.read(order)) and [len(t) for t, _ in held.read(np.arange(len(train)))] == [int(k) * 1000 for k in held.keys]

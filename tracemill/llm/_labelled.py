@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm._shared import id_text, in_fold, parked, texts_of
+from tracemill.llm._shared import discard, id_text, in_fold, parked, texts_of
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, folds: int = 5, held: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -28,17 +27,36 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, folds: int
     return parked(found.select(id_text("id").alias("key"), "text", (F.col("y") > 0.5).cast("double").alias("y")), "sample")
 
 
-def collected(found: DataFrame, most_chars: int) -> tuple[list[str], np.ndarray]:
-    """Texts and labels of a sample, by key. In the order of the keys' hashes, texts that don't fit into what is left of
-    ``most_chars`` characters, a bound on the driver's memory, are passed over."""
-    left, keys = most_chars, set()
-    for r in sorted(found.select("key", F.length("text").alias("n")).collect(), key=lambda r: (crc32(r.key.encode()), r.key)):
-        if r.n <= left:
-            left -= r.n
-            keys.add(r.key)
-    fit = found.join(F.broadcast(found.sparkSession.createDataFrame([(k,) for k in sorted(keys)], "key string")), "key", "left_semi")
-    got = sorted(fit.collect(), key=lambda r: r.key)
-    return [r.text for r in got], np.array([r.y for r in got])
+class Texts:
+    """The labelled texts of a sample, in the order of their keys, for a learner on the driver.
+
+    Up to ``held_chars`` characters in all they are held there; more are read again for each pass over them, some at a time, in
+    the order asked for. What is learnt is the same.
+    """
+
+    def __init__(self, found: DataFrame, held_chars: int, at_once: int = 64):
+        self.found, self.at_once, self.texts = found, at_once, None
+        rows = sorted(found.select("key", "y", F.length("text").alias("n")).collect(), key=lambda r: r.key)
+        self.keys, self.y = [r.key for r in rows], np.array([r.y for r in rows])
+        if sum(r.n for r in rows) <= held_chars:
+            self.texts = [r.text for r in sorted(found.select("key", "text").collect(), key=lambda r: r.key)]
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def read(self, order: np.ndarray) -> Iterator[tuple[str, float]]:
+        """(text, label) of the rows that ``order`` numbers, one after another."""
+        if self.texts is not None:
+            yield from ((self.texts[i], self.y[i]) for i in order)
+            return
+        spark = self.found.sparkSession
+        places = spark.createDataFrame([(self.keys[i], k // self.at_once, k) for k, i in enumerate(order.tolist())], "key string, part int, place int")
+        # written once, so that one part after another can be fetched
+        parts = parked(self.found.select("key", "text").join(F.broadcast(places), "key").repartitionByRange(max(1, len(order) // self.at_once), "part"), "turn", **{"parquet.block.size": str(1 << 22)})
+        for k in range(-(-len(order) // self.at_once)):
+            for r in sorted(parts.filter(F.col("part") == k).select("place", "text").collect(), key=lambda r: r.place):
+                yield r.text, self.y[order[r.place]]
+        discard(parts)
 
 
 def scored(docs: DataFrame, model: Callable[[], Callable[[list[str]], np.ndarray]], threshold: float, folds: int = 5, held: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,6 +9,7 @@ fit; a document is kept with the probability that its cell's raked tokens ask fo
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Mapping
 
 import numpy as np
@@ -96,11 +97,13 @@ def raked_here(tokens: np.ndarray, codes: list[np.ndarray], wants: list[np.ndarr
     return np.minimum(1.0, weight / tokens), off
 
 
-def raked(cells: DataFrame, wants: Mapping[str, DataFrame], share: float, tolerance: float = 1e-7) -> DataFrame:
-    """``cells`` with _rate: raked_here() for a table of cells that is never gathered; each turn is written to the shared folder."""
+def raked(cells: DataFrame, wants: Mapping[str, DataFrame], share: float) -> tuple[DataFrame, float]:
+    """``cells`` with _rate, and the share of all tokens by which some value is off: raked_here() for a table of cells that is never gathered;
+    each turn is written to the shared folder."""
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     w, n = F.col("weight"), F.col("tokens")
     now = before = parked(cells.withColumn("weight", n * F.lit(share)), "raked")
+    left = 0.0
     for _ in range(TURNS):
         off = F.lit(0.0)
         for dim, t in wants.items():
@@ -115,21 +118,25 @@ def raked(cells: DataFrame, wants: Mapping[str, DataFrame], share: float, tolera
         now = parked(now, "raked")
         discard(before)
         before = now
-        if (now.agg(F.max(off)).first()[0] or 0) <= tolerance:
+        left = now.agg(F.max(off)).first()[0] or 0.0
+        if left <= TOLERANCE:
             break
-    return now.select(*cells.columns, F.least(F.lit(1.0), w / n).alias("_rate"))
+    return now.select(*cells.columns, F.least(F.lit(1.0), w / n).alias("_rate")), left
 
 
 def weighted(rows: DataFrame, targets: Mapping[str, Target] = POWERS, share: float = 0.5, driver_cells: int = 50_000) -> DataFrame:
     """The rows of marked() with _rate, the chance with which a row of its cell is to be kept.
 
-    Up to ``driver_cells`` cells are raked on the driver and their rates broadcast; more are raked as a table and joined.
+    Up to ``driver_cells`` cells are raked on the driver and their rates broadcast; more are raked as a table and joined. Both end when every
+    value fits within TOLERANCE. Marginals that contradict each other never do; then a warning says by how much, as does the
+    result's attribute ``off``.
     """
     keys = [f"_{d}" for d in DIMS]
     cells = parked(rows.groupBy(*keys).agg(F.sum("_tokens").alias("tokens")), "cells")
     wants = wanted(cells, targets, share)
     if cells.count() > driver_cells:
-        return rows.join(parked(raked(cells, wants, share), "rates").select(*keys, "_rate"), keys)
+        rates, off = raked(cells, wants, share)
+        return _told(rows.join(parked(rates, "rates").select(*keys, "_rate"), keys), off)
     here, spark = cells.collect(), rows.sparkSession
     codes, marks = [], []
     for dim, t in wants.items():
@@ -137,9 +144,16 @@ def weighted(rows: DataFrame, targets: Mapping[str, Target] = POWERS, share: flo
         number = {v: i for i, v in enumerate(want)}
         codes.append(np.array([number[r[f"_{dim}"]] for r in here], np.int64))
         marks.append(np.array(list(want.values())))
-    found = raked_here(np.array([r.tokens for r in here], np.float64), codes, marks, share)[0].tolist() if here else []
-    chances = spark.createDataFrame([(*[r[k] for k in keys], x) for r, x in zip(here, found)], ", ".join(f"{k} string" for k in keys) + ", _rate double")
-    return rows.join(F.broadcast(chances), keys)
+    found, off = raked_here(np.array([r.tokens for r in here], np.float64), codes, marks, share) if here else (np.zeros(0), 0.0)
+    chances = spark.createDataFrame([(*[r[k] for k in keys], x) for r, x in zip(here, found.tolist())], ", ".join(f"{k} string" for k in keys) + ", _rate double")
+    return _told(rows.join(F.broadcast(chances), keys), off)
+
+
+def _told(found: DataFrame, off: float) -> DataFrame:
+    found.off = off
+    if off > TOLERANCE:
+        warnings.warn(f"the targets contradict each other: after {TURNS} turns a value is off by {off:.2g} of all tokens", stacklevel=3)
+    return found
 
 
 def achieved(found: DataFrame, targets: Mapping[str, Target], share: float) -> DataFrame:

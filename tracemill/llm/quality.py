@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -71,29 +72,29 @@ class ByteConvNet:
         logits = np.array([self._logit(self._pooled(self._bytes(t)))[0] for t in texts], np.float64)
         return 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
 
-    def fit(self, texts: list[str], y: np.ndarray, epochs: int = 6, batch: int = 16, steps: int = 1200, rate: float = 0.01, seed: int = 0) -> ByteConvNet:
+    def fit(self, texts: _labelled.Texts, epochs: int = 6, batch: int = 16, steps: int = 1200, rate: float = 0.01, seed: int = 0) -> ByteConvNet:
         """Adam on the log loss, for ``epochs`` epochs and ``steps`` steps at least; the gradient of a maximum goes to the window
         that reached it."""
-        if len(y) == 0:
+        if not len(texts):
             return self
+        y = texts.y
         epochs = max(epochs, -(-steps * batch // len(y)))
         rng = np.random.default_rng(seed)
         share = min(max(float(y.mean()), 0.01), 0.99)
         self.p["base"][0] = np.log(share / (1 - share))
-        data = [self._bytes(t) for t in texts]
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(x) for k, x in self.p.items()}
         filters, step = len(self.p["bias"]), 0
         each = np.arange(filters)
         for epoch in range(epochs):
-            order = rng.permutation(len(y))
-            for k in range(0, len(y), batch):
+            rows = texts.read(rng.permutation(len(y)))
+            for _ in range(0, len(y), batch):
                 g = {n: np.zeros_like(x) for n, x in self.p.items()}
-                for i in order[k : k + batch]:
-                    x = data[i]
+                for text, label in islice(rows, batch):
+                    x = self._bytes(text)
                     most, at = self._pooled(x, where=True)
                     logit, act, seen = self._logit(most)
-                    d = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y[i]) / batch
+                    d = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - label) / batch
                     g["base"] += d
                     g["out"] += d * seen
                     back = np.repeat((d * self.p["out"][:filters] / len(act))[None], len(act), 0)
@@ -111,14 +112,14 @@ class ByteConvNet:
         return self
 
 
-def _net(docs: DataFrame, labels: DataFrame, train_rows: int, train_chars: int, id_col: str, text_col: str, label_col: str):
-    texts, y = _labelled.collected(_labelled.sample(docs, labels, label_col, train_rows, id_col=id_col, text_col=text_col), train_chars)
-    return docs.sparkSession.sparkContext.broadcast(ByteConvNet().fit(texts, y)), len(y)
+def _net(docs: DataFrame, labels: DataFrame, train_rows: int, held_chars: int, id_col: str, text_col: str, label_col: str):
+    texts = _labelled.Texts(_labelled.sample(docs, labels, label_col, train_rows, id_col=id_col, text_col=text_col), held_chars)
+    return docs.sparkSession.sparkContext.broadcast(ByteConvNet().fit(texts)), len(texts)
 
 
-def accepted(docs: DataFrame, labels: DataFrame, train_rows: int = 4096, train_chars: int = 100_000_000, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+def accepted(docs: DataFrame, labels: DataFrame, train_rows: int = 4096, held_chars: int = 100_000_000, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """The rows of ``docs`` whose text scores ``threshold`` or more; see score_quality(). All rows if no label can be learnt from."""
-    net, learnt = _net(docs, labels, train_rows, train_chars, id_col, text_col, label_col)
+    net, learnt = _net(docs, labels, train_rows, held_chars, id_col, text_col, label_col)
     if not learnt:
         return docs
     at = docs.columns.index(text_col)
@@ -130,12 +131,12 @@ def accepted(docs: DataFrame, labels: DataFrame, train_rows: int = 4096, train_c
     return docs.mapInArrow(run, docs.schema)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, train_rows: int = 4096, train_chars: int = 100_000_000, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, train_rows: int = 4096, held_chars: int = 100_000_000, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """One row per row of ``docs``: id, held_out, score (0 to 1, higher: better), predicted (1 if score >= ``threshold``).
 
-    The network learns on the driver from at most ``train_rows`` labelled documents, whole texts of ``train_chars`` characters
-    in all at most, whose id's crc32 modulo 5 is not 0; every whole text is scored. Null and empty texts are scored as one window of padding.
+    The network learns on the driver from the whole texts of at most ``train_rows`` labelled documents, of which ``held_chars`` characters are
+    held there at most and more are fetched in pieces, whose id's crc32 modulo 5 is not 0; every whole text is scored. Null and empty texts are scored as one window of padding.
     Without labels every score is what the untrained network gives. Repeated rows and other columns don't matter.
     """
-    net, _ = _net(docs, labels, train_rows, train_chars, id_col, text_col, label_col)
+    net, _ = _net(docs, labels, train_rows, held_chars, id_col, text_col, label_col)
     return _labelled.scored(docs, lambda: net.value.score, threshold, id_col=id_col, text_col=text_col)
