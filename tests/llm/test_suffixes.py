@@ -56,7 +56,7 @@ def test_a_region_of_several_pieces(spark):
 
 
 def test_rows_that_repeat_an_id(spark):
-    text = "".join(random.Random(1).choice("abcd") for _ in range(400))
+    text = "".join(random.Random(1).choices("abcd", k=400))
     got = suffixes.deduplicated_bytes(spark.createDataFrame([(1, text), (1, text), (2, text)], DOCS)).collect()
     assert sorted((r.doc_id, r.n_removed) for r in got) == [(1, 0), (1, 0), (2, 400)]
 
@@ -65,8 +65,31 @@ def test_no_documents(spark):
     assert suffixes.deduplicated_bytes(spark.createDataFrame([], DOCS)).collect() == []
 
 
-def test_windows_in_slices_are_those_of_the_whole(monkeypatch):
+@pytest.mark.parametrize("round_", repeats.ROUNDS)
+def test_windows_in_slices_are_those_of_the_whole(monkeypatch, round_):
     text = bytes(random.Random(6).choices(b"abc", k=5000))
-    whole = repeats.ends_of(text, 50).tolist(), next(repeats.slices(text, 50)).least.tolist()
+    seen = lambda: (repeats.ends_of(text, 50, round_).tolist(), [int(x) for w in repeats.slices(text, 50, round_) for x in w.hashes[w.at[: w.windows]]])
+    whole = seen()
     monkeypatch.setattr(repeats, "SLICE", 700)
-    assert whole == (repeats.ends_of(text, 50).tolist(), [x for w in repeats.slices(text, 50) for x in w.least.tolist()])
+    assert seen() == whole
+
+
+def test_minimizers_of_chunks_and_windows():
+    text = bytes(random.Random(7).choices(b"abcd", k=900))
+    (w,) = repeats.slices(text, 40, (32, 0.25))
+    parts = [min(range(i, i + w.width), key=lambda j: (int(w.hashes[j]) >> 21, j)) for i in range(len(w.at))]
+    assert parts == w.at.tolist()
+    a, b = np.array([0, 10, 400]), np.array([10, 400, w.windows])
+    places, hashes, sizes = w.minimizers(a, b)
+    want = [sorted({parts[t] for t in range(x, y + w.parts - 1)}) for x, y in zip(a.tolist(), b.tolist())]
+    assert places.tolist() == [p for chunk in want for p in chunk] and sizes.tolist() == [len(c) for c in want] and (hashes == w.hashes[places].view(np.int64)).all()
+    some = np.unique(hashes)[::2]
+    assert w.whose(some).tolist() == [all(int(w.hashes[parts[t]].view(np.int64)) in set(some.tolist()) for t in range(i, i + w.parts)) for i in range(w.windows)]
+
+
+def test_heads_of_texts_together_are_those_of_each():
+    rng = random.Random(8)
+    texts = [bytes(rng.choices(b"abcd", k=n)) for n in (0, 5, 24, 300, 1, 1000)]
+    together = suffixes.Heads(texts)
+    for i, t in enumerate(texts):
+        assert (together.at[together.of == i] - together.starts[i]).tolist() == suffixes.Heads([t]).at.tolist()

@@ -27,7 +27,7 @@ GRAM = 32
 ROUNDS = ((1024, 1.0), (32, 0.25))
 #: Windows that are looked at together, so that a very long text takes no more memory than its own bytes.
 SLICE = 1 << 20
-_BASE, _MIX, _ALL = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9), (1 << 64) - 1
+_BASE, _MIX, _ALL, _PLACE = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9), (1 << 64) - 1, np.uint64((1 << 21) - 1)
 
 
 def gram_hashes(x: np.ndarray, gram: int) -> np.ndarray:
@@ -65,25 +65,31 @@ class Windows:
         self.first, self.hashes, self.windows = first, h[before:], last - first
         self.width = max(1, int((length - gram + 1) * share))
         self.parts = length - gram + 2 - self.width
-        self.least = sliding(self.hashes, self.width, np.minimum)
+        # the place stands in the low bits, so that of equal hashes (but for these bits) the first one counts
+        keys = (self.hashes & ~_PLACE) | np.arange(len(self.hashes), dtype=np.uint64)
+        self.at = (sliding(keys, self.width, np.minimum) & _PLACE).astype(np.int64)
         starts = h[: last - first + before]
         # rounds look at other bits, so that the ends of one are none of the other
         ends = ((starts >> np.uint64(cut.bit_length())) & np.uint64(cut - 1)) == 0
         ends[1:] &= starts[1:] != starts[:-1]  # a run of one gram isn't cut at every byte
         self.cuts = first + np.flatnonzero(ends[before:])
 
-    def minimizers(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
-        """(places, hashes) of the grams that are least in a part of one of the windows ``a`` .. ``b`` - 1."""
-        pad, a, b = np.zeros(self.width - 1, np.uint64), a - self.first, b - self.first + self.parts - 1
-        reach = sliding(np.concatenate([pad, self.least[a:b], pad]), self.width, np.maximum)
-        at = a + np.flatnonzero(reach == self.hashes[a : b + self.width - 1])
-        return at + self.first, self.hashes[at].view(np.int64)
-
-    def whose(self, a: int, b: int, hashes: np.ndarray) -> np.ndarray:
-        """Which of the windows ``a`` .. ``b`` - 1 have minimizers among ``hashes`` only."""
-        odd = ~np.isin(self.least[a - self.first : b - self.first + self.parts - 1].view(np.int64), hashes)
+    def minimizers(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each range of windows a .. b - 1 the grams that are least in a part of one of them: their places and hashes, one range after
+        another, and how many each has."""
+        begin, size = a - self.first, b - a + self.parts - 1
+        offsets = np.cumsum(size) - size
+        at = self.at[np.repeat(begin - offsets, size) + np.arange(size.sum())]
+        new = np.append(True, at[1:] != at[:-1])
+        new[offsets] = True
+        found = at[new]
+        return found + self.first, self.hashes[found].view(np.int64), np.add.reduceat(new.astype(np.int64), offsets)
+
+    def whose(self, hashes: np.ndarray) -> np.ndarray:
+        """Which windows have minimizers among ``hashes`` only."""
+        odd = ~np.isin(self.hashes[self.at].view(np.int64), hashes)
         count = np.append(0, np.cumsum(odd))
-        return count[self.parts :] == count[: b - a]
+        return count[self.parts :] == count[: self.windows]
 
 
 def slices(text: bytes, length: int, round_: tuple[int, float] = ROUNDS[0]) -> Iterator[Windows]:
@@ -114,17 +120,16 @@ def chunks(rows: DataFrame, length: int, round_: tuple[int, float]) -> DataFrame
                 if len(ends) < 2:
                     continue
                 digests = [xxhash.xxh3_128_digest(text[a : b + length - 1]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
-                places, hashes, of = [], [], []
+                places, hashes, sizes, of = [], [], [], []
                 for w in slices(text, length, round_):
                     last = w.first + w.windows
-                    k0, k1 = np.searchsorted(ends, w.first, "right") - 1, np.searchsorted(ends, last, "left")
-                    for k in range(k0, k1):
-                        at, h = w.minimizers(max(int(ends[k]), w.first), min(int(ends[k + 1]), last))
-                        places.append(at + at0)
-                        hashes.append(h)
-                        of.append(k)
-                sizes = pa.array(np.append(0, np.cumsum([len(p) for p in places])).astype(np.int32))
-                of = np.array(of)
+                    k = np.arange(np.searchsorted(ends, w.first, "right") - 1, np.searchsorted(ends, last, "left"))
+                    for into, found in zip((places, hashes, sizes), w.minimizers(np.maximum(ends[k], w.first), np.minimum(ends[k + 1], last))):
+                        into.append(found)
+                    of.append(k)
+                of, sizes = np.concatenate(of), np.concatenate(sizes)
+                places = [p + at0 for p in places]
+                sizes = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(sizes, pa.array(np.concatenate(x))) for x in (places, hashes)]
                 same = batch.slice(row, 1).select(PART)
                 ids = [c.take(pa.array(np.zeros(len(of), np.int64))) for c in same.columns]
@@ -181,12 +186,16 @@ def _regions(batches: Iterator[pa.RecordBatch], length: int, round_: tuple[int,
         lists = batch.column("chunks")
         for row, (text, at) in enumerate(zip(bytes_of(batch), batch.column("at").to_pylist())):
             may = np.zeros(len(text) - length + 2, bool)
-            found = sorted((c["a"] - at, c["b"] - at, c["hashes"]) for c in lists[row].as_py())
+            # a hash that stands elsewhere does so whichever chunk it was found in
+            cells = lists[row].values
+            a, b = (cells.field(c).to_numpy() - at for c in ("a", "b"))
+            kept = np.zeros(len(text) - length + 2, np.int32)
+            np.add.at(kept, a, 1)
+            np.add.at(kept, b, -1)
+            hashes = np.unique(cells.field("hashes").flatten().to_numpy())
             for w in slices(text, length, round_):
-                for a, b, hashes in found:
-                    x, y = max(a, w.first), min(b, w.first + w.windows)
-                    if x < y:
-                        may[x:y] |= w.whose(x, y, np.array(hashes, np.int64))
+                may[w.first : w.first + w.windows] = w.whose(hashes)
+            may &= kept.cumsum() > 0
             turns = np.flatnonzero(np.diff(np.append(np.int8(0), may.view(np.int8))))
             starts, ends = turns[::2], turns[1::2]
             if len(starts):

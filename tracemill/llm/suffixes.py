@@ -38,6 +38,8 @@ TILE_BITS, PIECE = 18, 1 << 16
 TILE = 1 << TILE_BITS
 #: Bytes of the grams that begin phrases, and how far around them no other one begins.
 HEAD, REACH = 8, 8
+#: Windows whose keys are made together.
+AT_ONCE = 1 << 17
 #: Where the second half of a string of names begins, beyond all positions.
 HALF = 1 << 60
 
@@ -106,14 +108,25 @@ def numbered(rows: DataFrame, order: tuple[str, ...], same: str, carry: tuple[st
     return out
 
 
-def heads(text: bytes) -> np.ndarray:
-    """Where phrases begin: grams with the least hash within REACH bytes on both sides, all of which the text must have."""
-    if len(text) < HEAD + 2 * REACH:
-        return np.zeros(0, np.int64)
-    h = gram_hashes(np.frombuffer(text, np.uint8), HEAD)
-    near = sliding(h, REACH, np.minimum)
-    n = len(h) - 2 * REACH
-    return REACH + np.flatnonzero((h[REACH : REACH + n] < near[:n]) & (h[REACH : REACH + n] < near[REACH + 1 : REACH + 1 + n]))
+class Heads:
+    """Where phrases begin in each of some texts: grams with the least hash within REACH bytes on both sides, all of which the text must
+    have. The texts stand one after another in ``x``, from ``starts`` on; head k is at byte ``at[k]`` of ``x``, in text ``of[k]``."""
+
+    def __init__(self, texts: list[bytes]):
+        sizes = np.array([len(t) for t in texts], np.int64)
+        self.starts, self.ends = np.cumsum(sizes) - sizes, np.cumsum(sizes)
+        # room for what is written behind keys
+        self.x = np.frombuffer(b"".join(texts) + bytes(2 * (REACH + HEAD) + 8), np.uint8)
+        h = gram_hashes(self.x, HEAD)
+        near, n = sliding(h, REACH, np.minimum), len(h) - 2 * REACH
+        at = REACH + np.flatnonzero((h[REACH : REACH + n] < near[:n]) & (h[REACH : REACH + n] < near[REACH + 1 : REACH + 1 + n]))
+        of = np.searchsorted(self.ends, at, "right")
+        inside = of < len(texts)
+        at, of = at[inside], of[inside]
+        whole = (at - REACH >= self.starts[of]) & (at + REACH + HEAD <= self.ends[of])
+        self.at, self.of = at[whole], of[whole]
+        #: the number of each text's first head
+        self.first = np.searchsorted(self.of, np.arange(len(texts)))
 
 
 def _slices(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, tails: np.ndarray | None = None) -> pa.Array:
@@ -164,12 +177,13 @@ def phrases(pieces: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, tile, base in zip(bytes_of(batch), batch.column("tile").to_pylist(), batch.column("base").to_pylist()):
-                at = heads(text)
-                if len(at):
-                    ends = np.append(at[1:] + REACH + HEAD, len(text))
-                    key = _slices(np.frombuffer(text, np.uint8), at, ends)
-                    yield pa.RecordBatch.from_arrays([key, pa.array((tile << TILE_BITS) + base + np.arange(len(at))), pa.array(np.zeros(len(at), np.int8))], ["key", "p", "cls"])
+            h = Heads(bytes_of(batch))
+            if not len(h.at):
+                continue
+            follows = np.append(h.of[1:] == h.of[:-1], False)
+            ends = np.where(follows, np.append(h.at[1:], 0) + REACH + HEAD, h.ends[h.of])
+            begin = ((batch.column("tile").to_numpy() << TILE_BITS) + batch.column("base").to_numpy())[h.of]
+            yield pa.RecordBatch.from_arrays([_slices(h.x, h.at, ends), pa.array(begin + np.arange(len(h.at)) - h.first[h.of]), pa.array(np.zeros(len(h.at), np.int8))], ["key", "p", "cls"])
 
     return pieces.mapInArrow(run, "key binary, p long, cls byte")
 
@@ -270,19 +284,24 @@ def _placed(pieces: DataFrame, ranked: DataFrame, length: int) -> DataFrame:
             return schema.empty_table()
         tile = left.column("tile")[0].as_py()
         r = _dense(right, "r", tile)
-        out = [schema.empty_table()]
-        for text, base in zip(left.column("text").to_pylist(), left.column("base").to_pylist()):
-            at = heads(text)
-            s = np.arange(len(text) - length + 1)
-            first = np.searchsorted(at, s + REACH)
-            end = np.append(at, len(text))[first] + REACH + HEAD
-            met = end <= s + length
-            # the bytes to sort by, and room for the rank behind them
-            x = np.frombuffer(text + bytes(8 + REACH + HEAD), np.uint8)
-            key = _slices(x, s, np.where(met, end + 8, s + length), (r[np.minimum(base + first, TILE)], met))
-            hashes = np.array([xxhash.xxh3_64_intdigest(text[i : i + length]) for i in s.tolist()], np.uint64).view(np.int64)
-            out.append(pa.table([key, pa.array((tile << TILE_BITS) + base + s), pa.array(hashes)], schema=schema))
-        return pa.concat_tables(out)
+        texts, base = left.column("text").to_pylist(), left.column("base").to_numpy()
+        h = Heads(texts)
+        n = np.maximum(0, h.ends - h.starts - length + 1)
+        of, offsets = np.repeat(np.arange(len(texts)), n), np.cumsum(n) - n
+        local = np.arange(n.sum()) - offsets[of]
+        s = h.starts[of] + local
+        raw, out = h.x.tobytes(), []
+        for k in range(0, len(s), AT_ONCE):
+            i, o, l = s[k : k + AT_ONCE], of[k : k + AT_ONCE], local[k : k + AT_ONCE]
+            first = np.searchsorted(h.at, i + REACH)
+            head = np.append(h.at, len(h.x) + length)[first]
+            # the head lies in the same text, as the window does
+            met = head + REACH + HEAD <= i + length
+            ranks_here = r[np.where(met, base[o] + first - h.first[o], TILE)]
+            key = _slices(h.x, i, np.where(met, head + REACH + HEAD + 8, i + length), (ranks_here, met))
+            hashes = np.array([xxhash.xxh3_64_intdigest(raw[j : j + length]) for j in i.tolist()], np.uint64).view(np.int64)
+            out.append(pa.table([key, pa.array((tile << TILE_BITS) + base[o] + l), pa.array(hashes)], schema=schema))
+        return pa.concat_tables([schema.empty_table(), *out])
 
     schema = pa.schema([("key", pa.binary()), ("place", pa.int64()), ("hash", pa.int64())])
     mine = ranked.withColumn("tile", F.shiftright("p", TILE_BITS))
