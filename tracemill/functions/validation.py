@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tracemill.functions.phonology import GROUPS
 from tracemill.functions.text import let, strip
 
 #: The patterns and messages of the rules.
@@ -101,6 +102,19 @@ STATISTICS = r"(?iU)\b(Hz|kHz|ms|mean|std|median|variance|range)\b|%"
 TRAITS = (2, 4)
 
 
+#: The group of traits that a question prefers, by a word in it, in the order in which the words are tried.
+PREFERRED = {"gender": "acoustic", "age": "acoustic", "dialect": "phonology", "ethnicity": "phonology"}
+
+
+def preferred_pairs(prompt: Column, latent: Column) -> Column:
+    """The ``key=value`` of the traits of the group that a question prefers, for rubric(); null for a question that prefers none."""
+    found = F.lit(None).cast("array<string>")
+    for word, group in reversed(PREFERRED.items()):
+        pairs = F.array(*[F.concat(F.lit(f"{t}="), latent[group][t]) for t in GROUPS[group]])
+        found = F.when(F.lower(prompt).rlike(rf"\b{word}\b"), F.filter(pairs, lambda p: p.isNotNull())).otherwise(found)
+    return found
+
+
 def rubric(text: Column, pairs: Column, candidates: Column, preferred: Column | None = None) -> Column:
     """Those rules of the judge that need no judgement, as a struct of truths by the judge's names for them.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.functions import phonology, text
+from tracemill.functions import phonology, text, validation
 from tracemill.operators import features, items, latents
 from tracemill.plans.registry import query, table
 
@@ -83,6 +83,25 @@ def flatten_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("user_id", F.concat(F.lit("f0_level="), F.col("flat")["f0_level"], F.lit(";speaking_rate="), F.col("flat")["speaking_rate"]).alias("pairs"), (F.size("flat") - 1).cast("long").alias("n"))
 
 
+_ASKS = {0: "What is the speaker's gender?", 1: "What is the speaker's dialect?", 2: "Who speaks?"}
+
+
+@query(
+    "preferred_by_question",
+    f"WITH {_LATENT} SELECT user_id, CASE user_id % 3 WHEN 0 THEN 'f0_level=' || f0_level WHEN 1 THEN 'speaking_rate=' || speaking_rate END AS first, CASE user_id % 3 WHEN 0 THEN 10 WHEN 1 THEN 7 END AS n, CASE user_id % 3 WHEN 0 THEN true WHEN 1 THEN f0_level = '' END AS kept FROM t",
+)
+def preferred_by_question(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The traits that each question prefers, and whether a trace that names the pitch alone keeps to them."""
+    prompts = F.create_map(*[F.lit(x) for kv in _ASKS.items() for x in kv])
+    found = latents.traits(scalars(spark, sf_dir)).select("user_id", "latent_json", prompts[(F.col("user_id") % 3).cast("int")].alias("prompt"))
+    preferred = validation.preferred_pairs(F.col("prompt"), F.col("latent_json"))
+    named = F.concat(F.lit("f0_level="), F.col("latent_json.acoustic.f0_level"))
+    trace = F.concat(F.lit("<THINK>"), named, F.lit("</THINK><RESPONSE>x</RESPONSE>"))
+    rows = found.withColumns({"p": preferred, "trace": trace, "own": F.array(named)})
+    kept = validation.rubric(F.col("trace"), F.col("own"), F.array(F.lit("x")), F.col("p"))["preferred_traits"]
+    return rows.select("user_id", F.col("p")[0].alias("first"), F.when(F.col("p").isNotNull(), F.size("p")).alias("n"), kept.alias("kept"))
+
+
 @query(
     "summary_stats",
     "SELECT user_id, round(avg(value), 4) AS v_mean, round(stddev_pop(value), 4) AS v_std, round(median(value), 4) AS v_median, round(max(value) - min(value), 4) AS v_range, round(var_pop(value), 3) AS v_var, round(max(value), 4) AS v_max, round(min(value), 4) AS v_min FROM events WHERE value > 0 GROUP BY user_id",
