@@ -114,3 +114,13 @@ def test_ranges_of_one_long_file_give_what_one_task_gives(spark):
         assert as_set(intervals.starts_to_intervals(marks, span=span)) == as_set(whole)
         assert as_set(intervals.collapse_adjacent(whole, span=span)) == as_set(merged)
         assert as_set(intervals.nearest_gaps(gold, hyp, span=span * 9.0)) == gaps
+
+
+def test_metrics_by_file_and_label_of_one_call(spark):
+    gold = spark.createDataFrame([("f", i, i * 100.0, i * 100.0 + 100, "ab"[i % 2]) for i in range(20)], "file string, seq long, start_ms double, end_ms double, label string")
+    hyp = gold.withColumns({"start_ms": F.col("start_ms") + 10, "end_ms": F.col("end_ms") + 10})
+    files, labels = intervals.alignment_metrics(gold, hyp)
+    (f,), both = files.collect(), {r.phone: r for r in labels.collect()}
+    # each segment meets its own (90 of 110 ms) and, but for the first one, the one before (10 of 190 ms)
+    assert abs(f.mean_iou - (20 * 90 / 110 + 19 * 10 / 190) / 39) < 1e-9 and f.tol_30ms == 1.0
+    assert (both["a"]["count"], both["b"]["count"]) == (19, 20) and abs(both["b"].median_iou - (90 / 110 + 10 / 190) / 2) < 1e-9

@@ -162,15 +162,29 @@ def nearest_gaps(gold: DataFrame, hyp: DataFrame, file: str = "file", span: floa
     return met.filter("_gold").select(file, "t", F.least(F.col("t") - F.col("_before"), F.col("_after") - F.col("t")).alias("gap"))
 
 
+def rates(tolerances: Sequence[int] = TOLERANCES) -> list[Column]:
+    """Aggregates of gaps: the share up to each tolerance, null without any."""
+    return [F.avg((F.col("gap") <= t).cast("double")).alias(f"tol_{t}ms") for t in tolerances]
+
+
 def tolerance_rates(gaps: DataFrame, tolerances: Sequence[int] = TOLERANCES, file: str = "file") -> DataFrame:
     """By file the shares of gold boundaries with a gap up to each tolerance; null if the file has no gap."""
-    return gaps.groupBy(file).agg(*[F.avg((F.col("gap") <= t).cast("double")).alias(f"tol_{t}ms") for t in tolerances])
+    return gaps.groupBy(file).agg(*rates(tolerances))
 
 
-def alignment_metrics(gold: DataFrame, hyp: DataFrame, bucket: float | None = BUCKET, span: float | None = SPAN) -> tuple[DataFrame, DataFrame]:
-    """The metrics by file, of files in both, and by label; hypothesis intervals are collapsed first. Both sides are written once."""
-    gold, merged = held(gold, "gold"), held(collapse_adjacent(hyp, span=span), "merged")
-    scored = held(scored_pairs(overlap_pairs(gold, merged, bucket)), "scored")
-    rates = tolerance_rates(nearest_gaps(boundaries(gold), boundaries(merged)))
+def file_metrics(gold: DataFrame, merged: DataFrame, scored: DataFrame) -> DataFrame:
+    """The metrics by file, of files in both, of collapsed hypothesis intervals and the scored pairs of both sides."""
     common = gold.select("file").distinct().join(merged.select("file").distinct(), "file", "left_semi")
-    return common.join(by_file(scored), "file", "left").join(rates, "file", "left"), by_label(scored)
+    return common.join(by_file(scored), "file", "left").join(tolerance_rates(nearest_gaps(boundaries(gold), boundaries(merged))), "file", "left")
+
+
+def sides(gold: DataFrame, hyp: DataFrame, bucket: float | None = BUCKET, span: float | None = SPAN) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The gold side, the collapsed hypothesis side and their scored pairs, each written once."""
+    gold, merged = held(gold, "gold"), held(collapse_adjacent(hyp, span=span), "merged")
+    return gold, merged, held(scored_pairs(overlap_pairs(gold, merged, bucket)), "scored")
+
+
+def alignment_metrics(gold: DataFrame, hyp: DataFrame, bucket: float | None = BUCKET, span: float | None = SPAN) -> tuple[DataFrame, DataFrame]:
+    """The metrics by file, of files in both, and by label; hypothesis intervals are collapsed first."""
+    gold, merged, scored = sides(gold, hyp, bucket, span)
+    return file_metrics(gold, merged, scored), by_label(scored)

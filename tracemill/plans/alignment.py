@@ -85,12 +85,11 @@ def macro_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("boundary_tolerance", f"WITH {_ALL}, {_BOUNDS} SELECT gb.file, count(*) AS n, round(avg(gap), 2) AS mean_gap, round(avg((gap <= 30)::INT), 6) AS tol_30ms, round(avg((gap <= 50)::INT), 6) AS tol_50ms, round(avg((gap <= 7200000)::INT), 6) AS tol_2h FROM gb JOIN d ON gb.file = d.file AND gb.t = d.t GROUP BY gb.file")
 def boundary_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
     gaps = intervals.nearest_gaps(intervals.boundaries(gold(spark, sf_dir)), intervals.boundaries(hypothesis(spark, sf_dir)))
-    rates = intervals.tolerance_rates(gaps, (30, 50, 7_200_000))
-    sums = gaps.groupBy("file").agg(F.count("*").alias("n"), F.round(F.avg("gap"), 2).alias("mean_gap"))
-    return sums.join(rates, "file").select("file", "n", "mean_gap", F.round("tol_30ms", 6).alias("tol_30ms"), F.round("tol_50ms", 6).alias("tol_50ms"), F.round("tol_7200000ms", 6).alias("tol_2h"))
+    found = gaps.groupBy("file").agg(F.count("*").alias("n"), F.round(F.avg("gap"), 2).alias("mean_gap"), *intervals.rates((30, 50, 7_200_000)))
+    return found.select("file", "n", "mean_gap", F.round("tol_30ms", 6).alias("tol_30ms"), F.round("tol_50ms", 6).alias("tol_50ms"), F.round("tol_7200000ms", 6).alias("tol_2h"))
 
 
 @query("alignment_metrics", f"WITH {_ALL}, {_BOUNDS}, r AS (SELECT gb.file, round(avg((gap <= 70)::INT), 6) AS tol_70ms FROM gb JOIN d ON gb.file = d.file AND gb.t = d.t GROUP BY gb.file), f AS (SELECT file, round(avg(iou), 6) AS mean_iou FROM s GROUP BY file) SELECT x.file, mean_iou, tol_70ms FROM (SELECT file FROM g INTERSECT SELECT file FROM c) x LEFT JOIN f ON x.file = f.file LEFT JOIN r ON x.file = r.file")
 def alignment_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files, _ = intervals.alignment_metrics(gold(spark, sf_dir), hypothesis(spark, sf_dir), bucket=DAY)
-    return files.select("file", F.round("mean_iou", 6).alias("mean_iou"), F.round("tol_70ms", 6).alias("tol_70ms"))
+    found = intervals.file_metrics(*intervals.sides(gold(spark, sf_dir), hypothesis(spark, sf_dir), bucket=DAY))
+    return found.select("file", F.round("mean_iou", 6).alias("mean_iou"), F.round("tol_70ms", 6).alias("tol_70ms"))
