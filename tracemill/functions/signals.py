@@ -198,9 +198,14 @@ def resonances(a: np.ndarray, rate: float, highest: float, count: int) -> np.nda
     return np.sort(np.where((freq > 50) & (freq < highest - 50) & (width < 700), freq, np.nan), axis=1)[:, :count]
 
 
+def _reflected(x: np.ndarray, before: int, behind: int) -> np.ndarray:
+    return np.pad(x, (before, behind), "reflect", reflect_type="odd") if len(x) > 1 else np.pad(x, (before, behind), "edge")
+
+
 class Resampler:
     """Takes samples at one rate in blocks of any size and gives them at another: a windowed sinc, of which only the phases that
-    occur are made; of past blocks it keeps as much as the filter is long."""
+    occur are made; of past blocks it keeps as much as the filter is long. Before its begin and behind its end a signal goes on as
+    its own reflection in the first or last sample."""
 
     def __init__(self, own: int, rate: int, crossings: int = 48, beta: float = 9.0):
         d = gcd(own, rate)
@@ -211,7 +216,7 @@ class Resampler:
         at = np.arange(-self.half + 1, self.half + 1)[None, :] - np.arange(self.up)[:, None] / self.up
         self.bank = cut * np.sinc(cut * at) * np.i0(beta * np.sqrt(np.maximum(0.0, 1 - (at / self.half) ** 2))) / np.i0(beta)
         self.bank /= self.bank.sum(1, keepdims=True)
-        self.kept, self.begin, self.given, self.taken = np.zeros(self.half - 1), -(self.half - 1), 0, 0
+        self.kept, self.begin, self.given, self.taken, self.begun = np.zeros(0), -(self.half - 1), 0, 0, False
 
     def _ready(self, n: int, at_once: int = 1 << 14) -> Iterator[np.ndarray]:
         """Output samples up to number ``n``."""
@@ -228,10 +233,20 @@ class Resampler:
     def feed(self, x: np.ndarray) -> np.ndarray:
         self.kept = np.concatenate([self.kept, x])
         self.taken += len(x)
+        if not self.begun and len(self.kept) < self.half:
+            return np.zeros(0)
+        self._begin()
         # the last input sample that a filter's end may stand on
         n = max(self.given, ((self.taken - self.half) * self.up - 1) // self.down + 1)
         return np.concatenate([np.zeros(0), *self._ready(n)])
 
+    def _begin(self) -> None:
+        if not self.begun:
+            self.kept, self.begun = _reflected(self.kept, self.half - 1, 0), True
+
     def end(self) -> np.ndarray:
-        self.kept = np.concatenate([self.kept, np.zeros(2 * self.half)])
+        if not self.taken:
+            return np.zeros(0)
+        self._begin()
+        self.kept = _reflected(self.kept, 0, 2 * self.half)
         return np.concatenate([np.zeros(0), *self._ready(int(self.taken * self.up // self.down))])
