@@ -65,7 +65,7 @@ def test_run_is_the_stages_in_order(spark):
 
 
 def test_queries_are_registered(spark):
-    assert sorted(int(n[2:].split("_")[0]) for n in llm_queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in llm_queries.QUERIES) == list(range(1, 14))
     assert set(llm_queries.ORACLES) <= set(llm_queries.QUERIES)
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:
