@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracemill.operators import corpus, evaluation, features, generation, intervals, items, latents, selection, training
-from tracemill.plans import catalogue
+from tracemill.plans import catalogue, speech
 from tracemill.sources import readers, writers
 from tracemill.streaming import resume
 
@@ -254,3 +254,18 @@ def test_waves_of_any_width_and_rate(width):
     x = readers.decode_wav(out.getvalue())
     # the tone that 16 kHz can't hold is gone, the other one is there
     assert len(x) == 16000 and np.abs(x - 0.99 * low[::2]).max() < 0.02 + 1 / (1 << (8 * width - 1))
+
+
+def test_equal_utterances_have_equal_scalars_and_traits(spark, tmp_path):
+    rng = random.Random(7)
+    kinds = ("view", "click", "purchase", "signup", "error")
+    spoken = [[(rng.choice(kinds), round(rng.expovariate(0.02), 2)) for _ in range(40)] for _ in range(3)]
+    # nine users, three of each kind; a user's events are parted between the files at a place of its own
+    rows = [(1000 * u + k, u, *e, k >= 7 * (u // 3) + 11 * (u % 2)) for u in range(9) for k, e in enumerate(spoken[u % 3])]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, late boolean")
+    for late in (False, True):
+        df.filter(F.col("late") == late).drop("late").coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    found = [tuple(r)[1:] for r in speech.scalars(spark, str(tmp_path)).orderBy("user_id").collect()]
+    assert found == found[:3] * 3
+    traits = [tuple(r)[1:] for r in speech.latent_traits(spark, str(tmp_path)).orderBy("user_id").collect()]
+    assert traits == traits[:3] * 3

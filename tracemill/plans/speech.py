@@ -40,13 +40,21 @@ _U = f"{_PARTS}, u AS (SELECT user_id, {', '.join(f'({x})::DOUBLE AS {k}' for k,
 
 
 def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(user_id, features, phones): a map and an array, as side files have them."""
+    """(user_id, features, phones): a map and an array, as side files have them.
+
+    Means and deviations are summed in the order of the phones. An aggregate sums as its partitions come, so that the same phones
+    may differ in the last bit, which is enough to part them where they lie on the edge of a trait."""
     table_of = F.create_map(*[F.lit(x) for kv in PHONES.items() for x in kv])
     phone, v = table_of[F.col("event_type")], F.col("value")
-    of = lambda p: F.avg(F.when(phone == p, v))
-    made = {"pitch_mean": F.avg(v), "pitch_std": F.stddev_pop(v), "pitch_median": F.median(v), "energy_mean": F.max(v), "energy_max": F.max(v), "energy_min": F.min(v), "shimmer_local": F.min(v), "F1_mean": of("a"), "F2_mean": of("aj")}
     phones = F.transform(F.array_sort(F.collect_list(F.struct("event_id", phone.alias("phoneme"), v.alias("duration")))), lambda x: F.struct(x["phoneme"].alias("phoneme"), x["duration"].alias("duration")))
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.create_map(*[x for k, c in made.items() for x in (F.lit(k), c)]).alias("features"), phones.alias("phones"))
+    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(phones.alias("phones"), F.median(v).alias("median"), F.max(v).alias("max"), F.min(v).alias("min"))
+    timed = F.filter("phones", lambda x: x["duration"].isNotNull())
+    series = lambda p: F.transform(F.filter("timed", lambda x: x["phoneme"] == p) if p else F.col("timed"), lambda x: x["duration"])
+    whole = features.array_summary(F.col("values"))
+    made = {"pitch_mean": whole["mean"], "pitch_std": whole["std"], "pitch_median": F.col("median"), "energy_mean": F.col("max"), "energy_max": F.col("max"), "energy_min": F.col("min"), "shimmer_local": F.col("min")}
+    made |= {k: features.array_summary(F.col(k))["mean"] for k in ("F1_mean", "F2_mean")}
+    rows = rows.withColumn("timed", timed).withColumns({"values": series(None), "F1_mean": series("a"), "F2_mean": series("aj")})
+    return rows.select("user_id", F.create_map(*[x for k, c in made.items() for x in (F.lit(k), c)]).alias("features"), "phones")
 
 
 def scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
