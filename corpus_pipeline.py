@@ -22,6 +22,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each group of near-duplicates: five-word shingles, Jaccard 0.8 or more.
+    SimHash fingerprints propose the pairs that are within 4 bits, as in op3, and MinHash bands those that are farther.
 
     Null and empty texts are copies of each other. Of rows that repeat an id with one text one stays; rows without an id stay
     unless they are a copy of a document with one."""

@@ -48,3 +48,24 @@ def test_repeated_and_null_ids(spark):
     df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
     kept = [(r.doc_id, r.text) for r in jaccard.deduplicated(df).collect()]
     assert sorted(kept, key=str) == sorted([(None, "alone here"), (3, long), (5, "other"), (7, "two texts"), (7, "of one id"), (9, "not a copy")], key=str)
+
+
+def test_fingerprints_alone_propose_what_they_reach(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = []
+    for _ in range(12):
+        words = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        texts += [" ".join(words), " ".join(words[:150] + ["x"] + words[151:]), " ".join(words + ["y"]), " ".join(words[::-1])]
+    # bands that only texts with equal minima share
+    monkeypatch.setattr(jaccard, "bands", lambda least: [hash((k, least.tobytes())) for k in range(24)])
+    fps = [simhash.fingerprint(t, 5) for t in texts]
+    sets = [plain(t) for t in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if bin(fps[i] ^ fps[j]).count("1") <= 4 and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    root = list(range(len(texts)))
+    for i, j in near:
+        a, b = root[i], root[j]
+        root = [min(a, b) if r in (a, b) else r for r in root]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS)
+    assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(df).collect()} == dict(enumerate(root))
+    assert len(near) > 12
+    assert [jaccard.print_of(jaccard.hashes(t)) % (1 << 64) for t in texts] == fps

@@ -1,6 +1,8 @@
-"""Near-duplicates by the exact Jaccard similarity of word shingles; MinHash bands propose the pairs.
+"""Near-duplicates by the exact Jaccard similarity of word shingles; anchors of SimHash fingerprints and MinHash bands propose the pairs.
 
-Texts with equal sets of shingles are one node. Two nodes share a band of ``ROWS`` minima with the chance J ** ROWS, and one of
+Texts with equal sets of shingles are one node. Nodes whose fingerprints differ in ``DISTANCE`` bits or fewer meet at the anchors
+of simhash.links(): each is compared with one of them, and later with all that aren't in its component yet. At a similarity of
+0.8 fingerprints differ in some 10 bits, more than anchors reach, so bands propose the other pairs. Two nodes share a band of ``ROWS`` minima with the chance J ** ROWS, and one of
 all bands with 1 - (1 - J ** ROWS) ** BANDS: at J = 0.8 about 3 pairs of a million have none, above it fewer. Every pair that is
 linked has been compared shingle by shingle. Pairs are compared in two turns: first each node with the best connected node (the
 hub) of the bucket that it shares most with, then whatever may be similar enough and isn't in one component yet. Two bounds
@@ -19,10 +21,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.llm import simhash
 from tracemill.llm._shared import discard, parked, texts_of
 from tracemill.llm.simhash import SEED, components, one_of_each
 
 BANDS, ROWS = 24, 4
+#: How many bits of two fingerprints may differ at an anchor.
+DISTANCE = 4
 #: Pairs of the second turn that agree in fewer of the minima's 96 bytes aren't compared: at J = 0.8 the chance of that is below 1e-6.
 AGREE = 56
 _RNG = np.random.default_rng(SEED)
@@ -30,8 +35,8 @@ _ODD = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.ui
 _ADD = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
 
 
-def shingles(text: str, shingle: int = 5) -> np.ndarray:
-    """The sorted distinct XXH64 values of the shingles, over words as in simhash.fingerprint(); a text without words has none."""
+def hashes(text: str, shingle: int = 5) -> np.ndarray:
+    """The XXH64 values of the shingles, repeats included, over words as in simhash.fingerprint(); a text without words has none."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
@@ -42,7 +47,18 @@ def shingles(text: str, shingle: int = 5) -> np.ndarray:
         ends.append(at)
     starts = [0, *[e + 1 for e in ends[: total - 1]]]
     of = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((of(joined[a:b], SEED) for a, b in zip(starts, ends[-total:])), np.uint64, total))
+    return np.fromiter((of(joined[a:b], SEED) for a, b in zip(starts, ends[-total:])), np.uint64, total)
+
+
+def shingles(text: str, shingle: int = 5) -> np.ndarray:
+    """The sorted distinct values."""
+    return np.unique(hashes(text, shingle))
+
+
+def print_of(values: np.ndarray, piece: int = 1 << 16) -> int:
+    """simhash.fingerprint() of the text that has these values, as a signed long."""
+    fp = simhash.majority((values[k : k + piece] for k in range(0, len(values), piece)), len(values))
+    return fp - ((fp >> 63) << 64)
 
 
 def key_of(held: np.ndarray) -> str:
@@ -65,23 +81,26 @@ def bands(least: np.ndarray) -> list[int]:
 
 
 def sketches(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, key, size, bands, lows): the key of the set of shingles, its size, its bands, and a byte of each minimum, eight to a long."""
+    """(id, key, fp, size, bands, lows): the key of the set of shingles, the text's fingerprint, the set's size, its bands, and a byte
+    of each minimum, eight to a long."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, size, band, low = [], [], [], []
+            key, fp, size, band, low = [], [], [], [], []
             for text in texts_of(batch):
-                held = shingles(text, shingle)
+                values = hashes(text, shingle)
+                held = np.unique(values)
                 least = minima(held)
                 key.append(key_of(held))
+                fp.append(print_of(values))
                 size.append(len(held))
                 band.append(bands(least))
                 low.append((least & np.uint64(255)).astype(np.uint8).view(np.int64).tolist())
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(key), pa.array(size, pa.int64()), pa.array(band, longs), pa.array(low, longs)], ["id", "key", "size", "bands", "lows"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(key), pa.array(fp, pa.int64()), pa.array(size, pa.int64()), pa.array(band, longs), pa.array(low, longs)], ["id", "key", "fp", "size", "bands", "lows"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, key string, size long, bands array<long>, lows array<long>")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, key string, fp long, size long, bands array<long>, lows array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
@@ -122,6 +141,19 @@ def against_hubs(held: DataFrame, star: DataFrame, least: tuple[int, int]) -> Da
     return parked(rows.select("key", "hub", "close", "hub_size", F.size("gone").alias("lack"), *maps), "stars")
 
 
+def anchored(each: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (u, v), u < v, of the nodes ``each`` (key, fp) by their fingerprints, of which a node stands for all that share its own:
+    all pairs within DISTANCE bits; and of each node one, besides the pair with the node that stands for it."""
+    prints = parked(each.groupBy("fp").agg(F.min("key").alias("key")), "prints")
+    side = lambda c: prints.select(F.col("fp").alias(c), F.col("key").alias("key_" + c))
+    found = simhash.links(prints, DISTANCE).join(side("u"), "u").join(side("v"), "v")
+    near = parked(found.select(F.least("key_u", "key_v").alias("u"), F.greatest("key_u", "key_v").alias("v")), "near-prints")
+    same = each.select("fp", F.col("key").alias("v")).join(prints, "fp").filter(F.col("key") < F.col("v")).select(F.col("key").alias("u"), "v")
+    tries = parked(near.groupBy("v").agg(F.min("u").alias("u")).select("u", "v").unionByName(same), "tries")
+    discard(prints)
+    return near, tries
+
+
 def able(nodes: DataFrame, held: DataFrame, least: tuple[int, int]) -> DataFrame:
     """(key, own): the nodes that may have a link, and how many of their shingles no other node in ``held`` has."""
     one = held.select("key", F.explode("held").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"), F.min("key").alias("key")).filter("n = 1")
@@ -149,8 +181,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, least: tuple[int, int] =
     Null and empty texts have the empty set and are equal to each other only. Null ids count as in simhash.near_duplicates().
     """
     found = parked(sketches(docs, shingle, id_col, text_col), "sketches")
-    one = found.groupBy("key").agg(F.min("id").alias("low"), F.first(F.struct("size", "bands", "lows")).alias("s"))
-    each = parked(one.select("key", "low", "s.*"), "distinct-sets")
+    one = found.groupBy("key").agg(F.min("id").alias("low"), F.min("fp").alias("fp"), F.first(F.struct("size", "bands", "lows")).alias("s"))
+    each = parked(one.select("key", "low", "fp", "s.*"), "distinct-sets")
+    near, tries = anchored(each.filter("size > 0").select("key", "fp"))
     rows = each.filter("size > 0").select("key", F.explode("bands").alias("bucket"))
     many = parked(rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
     at = parked(rows.join(many, "bucket"), "members")
@@ -161,8 +194,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, least: tuple[int, int] =
     star = shared.groupBy("key").agg(F.max(F.struct("n", "hub")).alias("m")).select("key", F.col("m.hub.key").alias("hub"))
     star = parked(star, "star")
     sets = lambda keys: parked(sets_of(docs, each.join(keys, "key", "left_semi").select("key", "low"), shingle, id_col, text_col), "sets")
-    stars = against_hubs(sets(star.select(F.explode(F.array("key", "hub")).alias("key")).distinct()), star, least)
-    links = stars.filter("close").select(F.least("key", "hub").alias("u"), F.greatest("key", "hub").alias("v")).distinct()
+    ends_of = lambda df, *cs: df.select(F.explode(F.array(*cs)).alias("key"))
+    tried = sets(ends_of(star, "key", "hub").unionByName(ends_of(tries, "u", "v")).distinct())
+    stars = against_hubs(tried, star, least)
+    alike = compared(tried, tries, least)
+    discard(tried, tries)
+    links = stars.filter("close").select(F.least("key", "hub").alias("u"), F.greatest("key", "hub").alias("v")).unionByName(alike).distinct()
     roots = parked(components(links), "roots")
 
     def open_of(members: DataFrame) -> DataFrame:
@@ -175,7 +212,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, least: tuple[int, int] =
     members = parked(apart, "roots-of-members")
     left_over = open_of(members)
     nodes = parked(each.join(left_over.select("key").distinct(), "key", "left_semi").select("key", "size", "bands", "lows"), "nodes")
-    held = sets(nodes.select("key"))
+    name = lambda df, c: df.join(roots.select(F.col("node").alias(c), F.col("root").alias("r" + c)), c, "left").withColumn("r" + c, F.coalesce("r" + c, c))
+    beside = parked(name(name(near, "u"), "v").filter("ru != rv").select("u", "v"), "prints-apart")
+    held = sets(nodes.select("key").unionByName(ends_of(beside, "u", "v")).distinct())
     own = parked(able(nodes, held, least), "able")
     # a hub, or a node that no hub was found for, is the hub of its own group and lacks nothing of itself
     group = stars.drop("close").join(stars.select(F.col("hub").alias("key")).distinct(), "key", "left_anti")
@@ -194,16 +233,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, least: tuple[int, int] =
     # the part of the intersection that the hub has, and the part that it hasn't
     within = F.col("hub_size1") - F.col("lack1") - F.col("lack2") + both_lack
     beyond = F.least(*[F.col(f"size{x}") - (F.col(f"hub_size{x}") - F.col(f"lack{x}")) - F.col(f"own{x}") for x in (1, 2)])
-    alike = side(last.drop("bands"), "1").withColumnRenamed("hub1", "hub").join(side(last.drop("bands"), "2").withColumnRenamed("hub2", "hub"), "hub").filter(may & enough(within + F.greatest(beyond, F.lit(0))))
+    kin = side(last.drop("bands"), "1").withColumnRenamed("hub1", "hub").join(side(last.drop("bands"), "2").withColumnRenamed("hub2", "hub"), "hub").filter(may & enough(within + F.greatest(beyond, F.lit(0))))
     mixed = open_of(left_over.drop("root").join(last, "key"))
     # of the buckets that a pair shares, one gives it
     here = F.array_min(F.array_intersect("bands1", "bands2")) == F.col("bucket")
     unlike = side(mixed, "1").join(side(mixed, "2"), "bucket").filter((F.col("hub1") != F.col("hub2")) & may & here)
     ends = [F.col(f"key{x}").alias(c) for x, c in ((1, "u"), (2, "v"))]
-    pairs = parked(alike.select(*ends).unionByName(unlike.select(*ends)), "pairs")
+    pairs = parked(kin.select(*ends).unionByName(unlike.select(*ends)).unionByName(beside).distinct(), "pairs")
     more = compared(held, pairs, least)
     # the new links join components, each of which is one node of a smaller graph
-    name = lambda df, c: df.join(roots.select(F.col("node").alias(c), F.col("root").alias("r" + c)), c, "left").withColumn("r" + c, F.coalesce("r" + c, c))
     above = components(name(name(more, "u"), "v").select(F.col("ru").alias("u"), F.col("rv").alias("v")))
     up = above.select(F.col("node").alias("root"), F.col("root").alias("top"))
     lone = up.join(roots.select("root").distinct(), "root", "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root"))
@@ -211,7 +249,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, least: tuple[int, int] =
     named = each.join(roots, each.key == roots.node, "left").select("key", "low", F.coalesce("root", "key").alias("root"))
     linked = named.join(roots.select("root").distinct(), "root").groupBy("root").agg(F.min("low").alias("component_id"))
     final = parked(named.join(linked, "root", "left").select("key", F.coalesce("component_id", "low").alias("component_id")), "components")
-    discard(each, many, at, star, stars, members, left_over, nodes, held, own, last, pairs, more)
+    discard(each, near, alike, beside, many, at, star, stars, members, left_over, nodes, held, own, last, pairs, more)
     return found.select("id", "key").join(final, "key").select(F.col("id").alias(id_col), F.col("key").alias("fingerprint"), "component_id")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +31,15 @@ def fingerprint(text: str, shingle: int = 4, piece: int = 1 << 16) -> int:
         ends.append(at)
     starts = [0, *[e + 1 for e in ends[: total - 1]]]
     ends = ends[-total:]
-    of, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for k in range(0, total, piece):
-        h = np.array([of(joined[a:b], SEED) for a, b in zip(starts[k : k + piece], ends[k : k + piece])], "<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    of = xxhash.xxh64_intdigest
+    return majority((np.array([of(joined[a:b], SEED) for a, b in zip(starts[k : k + piece], ends[k : k + piece])], np.uint64) for k in range(0, total, piece)), total)
+
+
+def majority(pieces: Iterable[np.ndarray], total: int) -> int:
+    """The bits that are set in over half of the ``total`` values."""
+    ones = np.zeros(64, np.int64)
+    for h in pieces:
+        ones += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(ones * 2 > total, bitorder="little").view("<u8")[0])
 
 
