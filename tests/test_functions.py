@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracemill.functions import paths, phonology, text, validation
+from tracemill.plans import traces
 from tracemill.sources import readers
 
 
@@ -144,3 +145,13 @@ def test_lines(spark):
     assert one(spark, readers.feature_map(F.col("t")), t='{"a": 1.5, "b": "2"}') == {"a": 1.5, "b": 2.0}
     assert one(spark, readers.feature_map(F.col("t")), t='{"a": 1.5, "b": null}') == {}
     assert one(spark, readers.feature_map(F.col("t")), t="no") == {}
+
+
+def test_a_label_is_worked_out_once(spark, tmp_path):
+    rows = [(k, "red ring", "b", "ECONOMY", k, 1.0) for k in range(16)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(str(tmp_path / "part.parquet"))
+    found = traces.label_fuzzy(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<RESPONSE>(.*?)") == 1 and plan.count("[^a-zA-Z0-9") <= 2
+    got = {r.p_partkey: (r.lab, r.fits) for r in found.collect()}
+    assert [got[k] for k in range(8)] == [("economy", True), (None, None), ("economy", True), ("economy", True), ("economy", True), (None, None), ("nothing such", False), ("economy", True)]

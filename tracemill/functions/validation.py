@@ -45,8 +45,12 @@ def traits_of(response: Column) -> Column:
 
 def label_of(response: Column) -> Column:
     """The label of a response: by the template, else after the last "consistent with:" up to a dot, else null."""
-    loose = strip(F.substring_index(strip(F.substring_index(response, "consistent with:", -1)), ".", 1))
-    return F.when(F.regexp_extract(response, TEMPLATE, 2) != "", F.regexp_extract(response, TEMPLATE, 2)).when(response.contains("consistent with:"), loose)
+
+    def of(b: Column) -> Column:
+        loose = strip(F.substring_index(strip(F.substring_index(b["response"], "consistent with:", -1)), ".", 1))
+        return F.when(b["shaped"] != "", b["shaped"]).when(b["response"].contains("consistent with:"), loose)
+
+    return let(response, lambda r: let(F.struct(r.alias("response"), F.regexp_extract(r, TEMPLATE, 2).alias("shaped")), of))
 
 
 def clean_label(label: Column) -> Column:
@@ -55,9 +59,9 @@ def clean_label(label: Column) -> Column:
 
 def label_fits(label: Column, candidates: Column) -> Column:
     """Whether a cleaned label equals a candidate, or of more than 3 letters one of the two holds the other; not without candidates."""
-    low = F.lower(clean_label(label))
-    fits = lambda c: (c == low) | ((F.length(c) > 3) & low.contains(c)) | ((F.length(low) > 3) & c.contains(low))
-    return F.exists(F.transform(candidates, F.lower), fits)
+    fits = lambda low: lambda c: (c == low) | ((F.length(c) > 3) & low.contains(c)) | ((F.length(low) > 3) & c.contains(low))
+    # the label is worked out once and not for every candidate
+    return let(F.lower(clean_label(label)), lambda low: F.exists(F.transform(candidates, F.lower), fits(low)))
 
 
 def valid_pairs(latent: Column, groups: dict[str, list[str]]) -> Column:

@@ -70,7 +70,8 @@ _LAB = r"lower(trim(regexp_replace(label, '[^a-zA-Z0-9\s\-/]', '', 'g')))"
 @query("label_fuzzy", f"WITH {_PARSED}, f AS (SELECT p_partkey, {_LAB} AS lab FROM l) SELECT p_partkey, lab, {_FITS} AS fits FROM f")
 def label_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = validation.label_of(validation.response_of(F.col("text")))
-    return traces(spark, sf_dir).select("p_partkey", F.lower(validation.clean_label(label)).alias("lab"), validation.label_fits(label, _candidates()).alias("fits"))
+    both = text.let(label, lambda x: F.struct(F.lower(validation.clean_label(x)).alias("lab"), validation.label_fits(x, _candidates()).alias("fits")))
+    return traces(spark, sf_dir).select("p_partkey", F.inline(F.array(both)))
 
 
 _BAD = r"len(list_filter(regexp_extract_all({0}, '[\p{{L}}\p{{N}}_]+=[\p{{L}}\p{{N}}_|]+'), lambda p: p <> 'color=' || c AND p <> 'kind=' || k))"
