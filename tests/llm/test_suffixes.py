@@ -93,3 +93,23 @@ def test_heads_of_texts_together_are_those_of_each():
     together = suffixes.Heads(texts)
     for i, t in enumerate(texts):
         assert (together.at[together.of == i] - together.starts[i]).tolist() == suffixes.Heads([t]).at.tolist()
+
+
+def test_the_reduction_moves_blocks_in_bulk(spark, monkeypatch):
+    # one row for each minimizer, and several for each of near copies, took more than 4 x input of disk
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("abcdefgh ", k=20_000)) for _ in range(10)]
+    texts += [t[:k] + "!" + t[k:] for t in texts[:5] for k in (3000, 9000, 15000)]
+    rows = spark.createDataFrame([*enumerate(texts)], "id long, text string").selectExpr("id", "xxhash64(text) AS th", "CAST(text AS BINARY) AS text")
+    seen, parked = [], repeats.parked
+
+    def counting(df, name):
+        seen.append(parked(df, name))
+        seen[-1].rows = seen[-1].count()
+        return seen[-1]
+
+    monkeypatch.setattr(repeats, "parked", counting)
+    copies, regions = repeats.reduced(rows, 100)
+    assert max(t.rows for t in seen) < sum(map(len, texts)) / 500
+    # what an edit leaves to the sort is some windows around it
+    assert sum(r.b - r.a for r in copies.collect()) > 15 * 19_000 and sum(len(r.text) for r in regions.collect()) < 15 * 2 * 600

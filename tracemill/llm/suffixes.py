@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.llm._shared import bytes_of, discard, parked
-from tracemill.llm.repeats import KEYS, gram_hashes, reduced, sliding
+from tracemill.llm.repeats import KEYS, gram_hashes, reduced, runs, sliding, tiled
 
 #: Positions of a tile, as a power of two; the most windows of a piece.
 TILE_BITS, PIECE = 18, 1 << 16
@@ -141,37 +141,6 @@ def _slices(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, tails: np.nd
     return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
 
 
-def tiled(regions: DataFrame, length: int) -> DataFrame:
-    """(tile, base, n, id, th, a, text): regions cut in pieces of at most PIECE windows, laid out in tiles in the order of (id, th, a)."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, a = pc.binary_length(batch.column("text")).to_numpy().astype(np.int64) - length + 1, batch.column("at").to_numpy()
-            row, start = zip(*[(i, s) for i in range(len(n)) for s in range(0, int(n[i]), PIECE)]) if len(n) else ((), ())
-            row, start = np.array(row, np.int64), np.array(start, np.int64)
-            texts = bytes_of(batch)
-            parts = pa.array([texts[i][s : s + PIECE + length - 1] for i, s in zip(row.tolist(), start.tolist())], pa.binary())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(row)) for c in KEYS], pa.array(a[row] + start), pa.array(np.minimum(n[row] - start, PIECE)), parts], [*KEYS, "a", "n", "text"])
-
-    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, base = TaskContext.get().partitionId() << 24, 0
-        for batch in batches:
-            tiles, bases = [], []
-            for size in pc.binary_length(batch.column("text")).to_pylist():
-                if base + size > TILE:
-                    tile, base = tile + 1, 0
-                tiles.append(tile)
-                bases.append(base)
-                base += size
-            yield pa.RecordBatch.from_arrays([pa.array(tiles, pa.int64()), pa.array(bases, pa.int64()), *batch.columns], ["tile", "base", *batch.schema.names])
-
-    kinds = f"n long, id {regions.schema['id'].dataType.simpleString()}, th long, a long, text binary".split(", ")
-    pieces = regions.mapInArrow(cut, ", ".join([kinds[1], kinds[2], kinds[3], kinds[0], kinds[4]]))
-    n = int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = pieces.repartitionByRange(n, "id", "th", "a").sortWithinPartitions("id", "th", "a")
-    return parked(ranged.mapInArrow(lay, ", ".join(["tile long, base long", kinds[1], kinds[2], kinds[3], kinds[0], kinds[4]])), "tiles")
-
-
 def phrases(pieces: DataFrame) -> DataFrame:
     """(key, p, cls): the phrases of each piece, with numbers that follow each other from its base on."""
 
@@ -325,25 +294,24 @@ def repeats(rows: DataFrame, length: int) -> DataFrame:
     """(id, th, a, b): runs of windows a .. b - 1 of (id, th, text) whose ``length`` bytes also start at an earlier place: in a smaller id,
     for one id in a smaller th, or further ahead in the same text."""
     copies, regions = reduced(rows, length)
-    pieces = tiled(regions, length)
-    discard(regions)
+    pieces = tiled(regions, length, TILE_BITS, PIECE)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         marks = np.zeros(TILE + 1, np.int8)
         marks[right.column("at").to_numpy()] = 1
         row, a, b = [], [], []
         for k, (base, n, first) in enumerate(zip(*(left.column(c).to_pylist() for c in ("base", "n", "a")))):
-            turns = np.flatnonzero(np.diff(marks[base : base + n], prepend=np.int8(0), append=np.int8(0)))
-            row += [k] * (len(turns) // 2)
-            a += (turns[::2] + first).tolist()
-            b += (turns[1::2] + first).tolist()
+            begin, end = runs(marks, base, n)
+            row += [k] * len(begin)
+            a += [first + i for i in begin]
+            b += [first + i for i in end]
         ids = [left.column(c).take(pa.array(row, pa.int64())) for c in KEYS]
         return pa.table([*ids, pa.array(a, pa.int64()), pa.array(b, pa.int64())], [*KEYS, "a", "b"])
 
     kind = rows.schema["id"].dataType.simpleString()
     slim = pieces.select("tile", "base", "n", *KEYS, "a")
-    runs = slim.groupBy("tile").cogroup(later(pieces, length).groupBy("tile")).applyInArrow(run, f"id {kind}, th long, a long, b long")
-    return copies.unionByName(runs)
+    sought = slim.groupBy("tile").cogroup(later(pieces, length).groupBy("tile")).applyInArrow(run, f"id {kind}, th long, a long, b long")
+    return copies.unionByName(sought)
 
 
 def deduplicated_bytes(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
