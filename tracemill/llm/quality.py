@@ -72,12 +72,12 @@ class ByteConvNet:
         logits = np.array([self._logit(self._pooled(self._bytes(t)))[0] for t in texts], np.float64)
         return 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
 
-    def fit(self, texts: _labelled.Texts, epochs: int = 6, batch: int = 16, steps: int = 1200, rate: float = 0.01, seed: int = 0) -> ByteConvNet:
+    def fit(self, texts: _labelled.Texts | list[str], y: np.ndarray | None = None, epochs: int = 6, batch: int = 16, steps: int = 1200, rate: float = 0.01, seed: int = 0) -> ByteConvNet:
         """Adam on the log loss, for ``epochs`` epochs and ``steps`` steps at least; the gradient of a maximum goes to the window
-        that reached it."""
+        that reached it. Texts in a list come with their labels ``y``."""
         if not len(texts):
             return self
-        y = texts.y
+        y, read = (texts.y, texts.read) if y is None else (y, lambda order: ((texts[i], y[i]) for i in order))
         epochs = max(epochs, -(-steps * batch // len(y)))
         rng = np.random.default_rng(seed)
         share = min(max(float(y.mean()), 0.01), 0.99)
@@ -87,7 +87,7 @@ class ByteConvNet:
         filters, step = len(self.p["bias"]), 0
         each = np.arange(filters)
         for epoch in range(epochs):
-            rows = texts.read(rng.permutation(len(y)))
+            rows = read(rng.permutation(len(y)))
             for _ in range(0, len(y), batch):
                 g = {n: np.zeros_like(x) for n, x in self.p.items()}
                 for text, label in islice(rows, batch):
