@@ -113,3 +113,43 @@ def test_the_reduction_moves_blocks_in_bulk(spark, monkeypatch):
     assert max(t.rows for t in seen) < sum(map(len, texts)) / 500
     # what an edit leaves to the sort is some windows around it
     assert sum(r.b - r.a for r in copies.collect()) > 15 * 19_000 and sum(len(r.text) for r in regions.collect()) < 15 * 2 * 600
+
+
+def test_little_is_left_around_an_edit(spark):
+    # grams of 64 bytes left some 18 windows on each side of an edit, and sorting these took most of the time
+    rng = random.Random(10)
+    texts = ["".join(rng.choices("abcdefgh ", k=5_000)) for _ in range(10)]
+    texts += [t[:k] + "!" + t[k:] for t in texts for k in (1000, 2500, 4000)]
+    rows = spark.createDataFrame([*enumerate(texts)], "id long, text string").selectExpr("id", "xxhash64(text) AS th", "CAST(text AS BINARY) AS text")
+    regions = [bytes(r.text) for r in repeats.reduced(rows, 100)[1].collect()]
+    # an edit has two sides, each in the text and in its copy
+    assert sum(len(t) - 99 for t in regions) < 30 * 4 * 6
+    assert sum(len(suffixes.Heads([t]).at) for t in regions) < 30 * 4 * 2.5
+
+
+def test_the_sort_alone(spark, monkeypatch):
+    rng = random.Random(11)
+    base = ["".join(rng.choice("abc ") for _ in range(600)) for _ in range(6)]
+    texts = ["".join(rng.choice(base)[rng.randint(0, 300) :][: rng.randint(0, 300)] for _ in range(6)) for _ in range(30)] + ["ab" * 200, "b" * 500]
+
+    def everything(rows, length):
+        return rows.filter("false").selectExpr("id", "th", "0L AS a", "0L AS b"), rows.selectExpr("id", "th", "0L AS at", "text")
+
+    monkeypatch.setattr(suffixes, "reduced", everything)
+    compared(spark.createDataFrame([*enumerate(texts)], DOCS), 100)
+
+
+@pytest.mark.parametrize("gram", [1, 5, 8, 12, 19, 32, 96, 99])
+def test_hashes_of_grams_of_any_size(gram):
+    x = np.frombuffer(bytes(random.Random(12).choices(b"ab", k=700)) * 2, np.uint8)
+    grams = [x[i : i + gram].tobytes() for i in range(len(x) - gram + 1)]
+    hashes = repeats.gram_hashes(x, gram).tolist()
+    assert len(hashes) == len(grams) and len(set(hashes)) == len(set(grams)) == len(set(zip(grams, hashes)))
+
+
+def test_blocks_in_order():
+    rng = np.random.default_rng(13)
+    for n, top in ((0, 1), (1, 1), (500, 2), (500, 400), (500, 1 << 60)):
+        x = np.zeros(n, repeats.BLOCK)
+        x["gram"], x["bytes"], x["place"] = rng.integers(0, top, n), rng.integers(0, 3, n), rng.permutation(n)
+        assert (repeats._sorted(x) == x[np.lexsort((x["place"], x["bytes"], x["gram"]))]).all()

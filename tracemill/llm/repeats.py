@@ -28,9 +28,9 @@ from tracemill.llm._shared import bytes_of, discard, parked
 #: Bytes of a gram, at most.
 GRAM = 32
 #: The rounds of the reduction: how many places (a power of two) have a chunk's end among them, on average, how many of a window's grams a
-#: minimizer is the least of, and how much longer than GRAM a gram is. The first round is for all texts; the second, for what is
-#: left, asks for more bytes in common.
-ROUNDS = ((1024, 1.0, 1), (32, 1.0, 2))
+#: minimizer is the least of, and how much longer than GRAM a gram is, though shorter than a window. The first round is for all texts;
+#: the second, for what is left, asks for nearly a window's bytes in common, so that little stays around the ends of what repeats.
+ROUNDS = ((1024, 1.0, 1), (32, 1.0, 3))
 #: Windows that are looked at together, so that their hashes stay in a core's cache.
 SLICE = 1 << 16
 #: Bytes of texts whose blocks are settled together; places of a tile, as a power of two, and the most windows of a piece of it.
@@ -39,17 +39,20 @@ _BASE, _MIX, _ALL, _PLACE = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9), (
 
 
 def gram_hashes(x: np.ndarray, gram: int) -> np.ndarray:
-    """A 64-bit hash of the ``gram`` bytes, a power of two, from each byte on."""
+    """A 64-bit hash of the ``gram`` bytes from each byte on."""
     if gram < 8:
         h, base, step = x.astype(np.uint64), _BASE, 1
     else:
         h, base, step = np.ndarray(max(0, len(x) - 7), "<u8", np.ascontiguousarray(x), strides=(1,)) * np.uint64(_BASE), _BASE, 8
         h ^= h >> np.uint64(32)
-    while step < gram:
+    while step * 2 <= gram:
         h = h[:-step] * np.uint64(base) + h[step:]
         base = base * base & _ALL
         step *= 2
     h ^= h >> np.uint64(31)
+    if step < gram:  # not a power of two: two that overlap
+        h = h[: step - gram] * np.uint64(base) + h[gram - step :]
+        h ^= h >> np.uint64(31)
     h *= _MIX
     h ^= h >> np.uint64(29)
     return h
@@ -72,7 +75,8 @@ class Windows:
 
     def __init__(self, text: bytes, length: int, first: int, last: int, round_: tuple):
         (cut, share), longer = round_[:2], (*round_, 1)[2]
-        gram, before = min(GRAM, 1 << (length.bit_length() - 2)) * longer, int(first > 0)
+        least, before = min(GRAM, 1 << (length.bit_length() - 2)), int(first > 0)
+        gram = min(least * longer, max(least, length - 1))
         h = gram_hashes(np.frombuffer(text, np.uint8, last - first + length - 1 + before, first - before), gram)
         self.first, self.hashes, self.windows = first, h[before:], last - first
         self.width = max(1, int((length - gram + 1) * share))
@@ -187,14 +191,22 @@ def blocks(text: bytes, bounds: np.ndarray, shifts: np.ndarray, length: int, rou
     at, n, grams = (np.concatenate(x) for x in zip(*found))
     out = np.zeros(len(at), BLOCK)
     digest = xxhash.xxh3_64_intdigest
-    out["bytes"] = np.fromiter((digest(text[a:b]) for a, b in zip(at.tolist(), (at + n + length - 1).tolist())), np.uint64, len(at))
+    cells = map(text.__getitem__, map(slice, at.tolist(), (at + n + length - 1).tolist()))
+    out["bytes"] = np.fromiter(map(digest, cells), np.uint64, len(at))
     out["gram"], out["n"] = grams, n
     out["place"] = at + shifts[np.searchsorted(bounds, at, "right") - 1]
     return _sorted(out)
 
 
 def _sorted(x: np.ndarray) -> np.ndarray:
-    return x[np.lexsort((x["place"], x["bytes"], x["gram"]))]
+    """Blocks in the order of their minimizers, bytes and places; most minimizers have one block, so only the others' are compared further."""
+    order = np.argsort(np.ascontiguousarray(x["gram"]))
+    gram = x["gram"][order]
+    same = gram[1:] == gram[:-1]
+    several = order[many := np.flatnonzero((np.append(same, False) | np.append(False, same))[: len(x)])]
+    y = x[several]
+    order[many] = several[np.lexsort((y["place"], y["bytes"], y["gram"]))]
+    return x.take(order)
 
 
 def _firsts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -241,36 +253,34 @@ def _settled(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(tile[begin]), pa.array(cells, pa.binary())], ["tile", "marks"])
 
 
-def runs(marks: np.ndarray, base: int, n: int) -> tuple[list[int], list[int]]:
-    """Where runs of marked windows begin and end, among the ``n`` from ``base`` on."""
-    turns = np.flatnonzero(np.diff(marks[base : base + n], prepend=np.int8(0), append=np.int8(0)))
-    return turns[::2].tolist(), turns[1::2].tolist()
+def runs(marks: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of a tile's marked windows: which of the pieces from ``base`` on has each, and where it begins and ends in the tile. Windows of
+    two pieces never touch."""
+    turns, order = np.flatnonzero(np.diff(marks, prepend=np.int8(0), append=np.int8(0))), np.argsort(base)
+    begin, end = turns[::2], turns[1::2]
+    return order[np.searchsorted(base[order], begin, "right") - 1], begin, end
 
 
 def _fetched(left: pa.Table, right: pa.Table, length: int) -> pa.Table:
     """(id, th, at, b, text) of a tile: runs of copies, without a text, and regions."""
     m = np.frombuffer(b"".join(right.column("marks").to_pylist()), MARK)
     at, size = m["at"].astype(np.int64), np.abs(m["n"].astype(np.int64))
-    marked = []
+    base, first = left.column("base").to_numpy(), left.column("a").to_numpy()
+    sizes = pc.binary_length(left.column("text")).to_numpy().astype(np.int64)
+    texts, stands = b"".join(left.column("text").to_pylist()), np.cumsum(sizes) - sizes
+    found, cells = [], []
     for which in (m["n"] < 0, m["n"] > 0):
         turns = np.zeros((1 << TEXT_BITS) + 1, np.int8)
         np.add.at(turns, at[which], 1)
         np.add.at(turns, at[which] + size[which], -1)
-        marked.append(np.cumsum(turns, dtype=np.int8))
-    row, begin, end, texts = [], [], [], []
-    pieces = zip(*(left.column(c).to_pylist() for c in ("base", "n", "a")))
-    for k, (base, n, first) in enumerate(pieces):
-        text = None
-        for kind, marks in enumerate(marked):
-            a, b = runs(marks, base, n)
-            if kind and a:
-                text = left.column("text")[k].as_py()
-            row += [k] * len(a)
-            begin += [first + i for i in a]
-            end += [first + i for i in b]
-            texts += [text[i : j + length - 1] for i, j in zip(a, b)] if kind else [None] * len(a)
+        found.append(runs(np.cumsum(turns, dtype=np.int8), base))
+        row, a, b = found[-1]
+        i, j = (stands - base)[row] + a, (stands - base)[row] + b + length - 1
+        cells += [texts[x:y] for x, y in zip(i.tolist(), j.tolist())] if len(found) > 1 else [None] * len(row)
+    row, begin, end = (np.concatenate(x) for x in zip(*found))
     ids = [left.column(c).take(pa.array(row, pa.int64())) for c in KEYS]
-    return pa.table([*ids, pa.array(begin, pa.int64()), pa.array(end, pa.int64()), pa.array(texts, pa.binary())], [*KEYS, "at", "b", "text"])
+    from_tile = (first - base)[row]
+    return pa.table([*ids, pa.array(begin + from_tile), pa.array(end + from_tile), pa.array(cells, pa.binary())], [*KEYS, "at", "b", "text"])
 
 
 def reduced(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:

@@ -36,8 +36,9 @@ from tracemill.llm.repeats import KEYS, gram_hashes, reduced, runs, sliding, til
 #: Positions of a tile, as a power of two; the most windows of a piece.
 TILE_BITS, PIECE = 18, 1 << 16
 TILE = 1 << TILE_BITS
-#: Bytes of the grams that begin phrases, and how far around them no other one begins.
-HEAD, REACH = 8, 8
+#: Bytes of the grams that begin phrases, and how far around them no other one begins: the farther, the fewer phrases to sort and turns to
+#: take, and the longer the windows' keys.
+HEAD, REACH = 8, 16
 #: Windows whose keys are made together.
 AT_ONCE = 1 << 17
 #: Where the second half of a string of names begins, beyond all positions.
@@ -102,7 +103,8 @@ def numbered(rows: DataFrame, order: tuple[str, ...], same: str, carry: tuple[st
         sums.append((r.part, *total))
         total = [total[0] + r.row, total[1] + r.low, total[2] + r.name]
         last = r.last
-    before = F.broadcast(spark.createDataFrame(sums, "part int, row0 long, low0 long, name0 long"))
+    kinds = pa.schema([("part", pa.int32()), ("row0", pa.int64()), ("low0", pa.int64()), ("name0", pa.int64())])
+    before = F.broadcast(spark.createDataFrame(pa.Table.from_pylist([dict(zip(kinds.names, s)) for s in sums], kinds)))
     out = found.filter("first IS NULL").join(before, "part").select((F.col("row") + F.col("row0")).alias("row"), (F.col("low") + F.col("low0")).alias("low"), (F.col("name") + F.col("name0")).alias("name"), *carry)
     out.held_at = found.held_at
     return out
@@ -299,17 +301,14 @@ def repeats(rows: DataFrame, length: int) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         marks = np.zeros(TILE + 1, np.int8)
         marks[right.column("at").to_numpy()] = 1
-        row, a, b = [], [], []
-        for k, (base, n, first) in enumerate(zip(*(left.column(c).to_pylist() for c in ("base", "n", "a")))):
-            begin, end = runs(marks, base, n)
-            row += [k] * len(begin)
-            a += [first + i for i in begin]
-            b += [first + i for i in end]
+        base = left.column("base").to_numpy()
+        row, begin, end = runs(marks, base)
+        from_tile = (left.column("a").to_numpy() - base)[row]
         ids = [left.column(c).take(pa.array(row, pa.int64())) for c in KEYS]
-        return pa.table([*ids, pa.array(a, pa.int64()), pa.array(b, pa.int64())], [*KEYS, "a", "b"])
+        return pa.table([*ids, pa.array(begin + from_tile), pa.array(end + from_tile)], [*KEYS, "a", "b"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    slim = pieces.select("tile", "base", "n", *KEYS, "a")
+    slim = pieces.select("tile", "base", *KEYS, "a")
     sought = slim.groupBy("tile").cogroup(later(pieces, length).groupBy("tile")).applyInArrow(run, f"id {kind}, th long, a long, b long")
     return copies.unionByName(sought)
 
@@ -331,11 +330,12 @@ def deduplicated_bytes(docs: DataFrame, length: int = 100, id_col: str = "doc_id
         for batch in batches:
             cells = []
             for text, spans in zip(bytes_of(batch), batch.column("spans")):
-                gone = np.zeros(len(text) + 1, np.int32)
-                if spans.is_valid:
-                    flat = spans.values
-                    np.add.at(gone, flat.field("a").to_numpy(), 1)
-                    np.add.at(gone, flat.field("b").to_numpy() + length - 1, -1)
+                if not spans.is_valid:
+                    cells.append((len(text), 0, 0, hashlib.sha256(text).hexdigest(), text))
+                    continue
+                gone, flat = np.zeros(len(text) + 1, np.int32), spans.values
+                np.add.at(gone, flat.field("a").to_numpy(), 1)
+                np.add.at(gone, flat.field("b").to_numpy() + length - 1, -1)
                 gone = gone.cumsum()[:-1] > 0
                 kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
                 cells.append((len(text), int(gone.sum()), int((np.diff(gone.view(np.int8), prepend=np.int8(0)) == 1).sum()), hashlib.sha256(kept).hexdigest(), kept))
