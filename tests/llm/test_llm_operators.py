@@ -118,6 +118,14 @@ def test_links_meet_every_near_pair(spark):
     assert got == want and len(want) > 100
 
 
+def test_anchors_are_not_broadcast(spark):
+    # a row is placed at up to 27 anchors, and Spark sizes these as the row
+    fps = spark.range(20_000).select(F.xxhash64("id").alias("fp"))
+    assert "BroadcastHashJoin" not in simhash.links(fps)._jdf.queryExecution().executedPlan().toString()
+    docs = spark.createDataFrame([(i, f"a b c d e {i}") for i in range(5)], "doc_id long, text string")
+    assert "BroadcastHashJoin" not in simhash.near_duplicates(docs)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_components_reach_the_smallest(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(100, 160)] + [tuple(sorted(rng.sample(range(40), 2))) for _ in range(30)]

@@ -105,7 +105,8 @@ def links(fps: DataFrame, distance: int = 4, blocks=BLOCKS) -> DataFrame:
     """(u, v), u < v: the pairs of distinct fingerprints that differ in ``distance`` bits or fewer, each once.
 
     A fingerprint at home meets all that come to its anchor. Of the blocks in which a pair meets, the first gives it. The
-    two sides are joined by the anchor alone, so that skewed anchors can be split.
+    two sides are joined by the anchor alone, so that skewed anchors can be split. Spark takes a side for as large as ``fps``, of
+    which it has up to 27 rows each, so the join is told not to broadcast it.
     """
     if sum(t + 1 for _, _, t in blocks) <= distance:
         raise ValueError("the thresholds of the blocks don't cover the distance")
@@ -120,7 +121,7 @@ def links(fps: DataFrame, distance: int = 4, blocks=BLOCKS) -> DataFrame:
         mask -= (mask >> 63) << 64
         first = F.when(F.bit_count(differ.bitwiseAND(F.lit(mask))) <= threshold, F.lit(k)).otherwise(first)
     here = F.shiftright(F.col("anchor"), 40) == first
-    return homes.join(visits, "anchor").filter((F.col("u") < F.col("v")) & (F.bit_count(differ) <= distance) & here).select("u", "v")
+    return homes.join(visits.hint("merge"), "anchor").filter((F.col("u") < F.col("v")) & (F.bit_count(differ) <= distance) & here).select("u", "v")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -152,17 +153,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col
 
     Fingerprints link if they differ in ``distance`` bits or fewer; equal ones always do. Null and empty texts have the
     fingerprint 0 and link like any other. A null id is never the smallest; a component of null ids only has the component_id
-    null. Repeated rows stay. Other columns are ignored. Only distinct fingerprints are placed and linked.
+    null. Repeated rows stay. Other columns are ignored. Only distinct fingerprints are placed and linked. Tables that grow with
+    ``docs`` are joined by a merge, as in memory they are several times as large as the files that Spark goes by.
     """
     found = parked(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     each = parked(found.groupBy("fp").agg(F.min("id").alias("low")), "distinct-fingerprints")
     roots = components(links(each, distance))
-    lows = each.join(roots, each.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    lows = each.join(roots.hint("merge"), each.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     # a fingerprint without links needs no other row
-    linked = lows.join(roots.select("root").distinct(), "root")
+    linked = lows.join(roots.select("root").distinct().hint("merge"), "root")
     named = linked.groupBy("root").agg(F.min("low").alias("component_id"))
     final = parked(lows.join(named, "root", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")), "components")
-    return found.join(final, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.join(final.hint("merge"), "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicated(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
