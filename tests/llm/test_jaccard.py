@@ -7,6 +7,7 @@ import random
 import corpus_pipeline
 
 from tracemill.llm import jaccard, simhash
+from tracemill.llm._shared import sized
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -69,3 +70,25 @@ def test_fingerprints_alone_propose_what_they_reach(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(df).collect()} == dict(enumerate(root))
     assert len(near) > 12
     assert [jaccard.print_of(jaccard.hashes(t)) % (1 << 64) for t in texts] == fps
+
+
+def test_tables_that_grow_are_not_broadcast(spark, monkeypatch):
+    plan_of = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    plans, parked = {}, jaccard.parked
+
+    def spied(df, name):
+        plans[name] = plans.get(name, "") + plan_of(df)
+        return parked(df, name)
+
+    monkeypatch.setattr(jaccard, "parked", spied)
+    monkeypatch.setattr(simhash, "parked", spied)
+    words = [f"w{i}" for i in range(60)]
+    df = spark.createDataFrame([(i, " ".join(words[:30] + [f"x{i}"] + words[30:]), "en", "s", 0) for i in range(20)], DOCS)
+    plan = plan_of(jaccard.near_duplicates(df))
+    grow = ("near-prints", "tries", "members", "star", "roots-of-members", "open-members", "nodes", "prints-apart", "left-over", "pairs", "roots", "components")
+    assert [name for name in grow if "BroadcastHashJoin" in plans[name]] == [] and "BroadcastHashJoin" not in plan
+    # with texts, ids are joined by their number
+    jaccard.deduplicated(df)
+    ids = parked(spark.range(100), "ids")
+    plan = lambda most: plan_of(df.join(sized(ids, most), df["doc_id"] == ids["id"], "left_anti"))
+    assert "gone" in plans and "BroadcastHashJoin" in plan(100) and "BroadcastHashJoin" not in plan(99)

@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from tracemill.operators.held import discard
 from tracemill.operators.held import held as parked
 
-__all__ = ["bytes_of", "counted", "discard", "id_text", "in_fold", "parked", "table", "texts_of"]
+__all__ = ["bytes_of", "counted", "discard", "id_text", "in_fold", "parked", "sized", "table", "texts_of"]
+
+#: Written tables of more rows aren't broadcast by sized().
+MANY = 200_000
 
 
 def id_text(col: str) -> Column:
@@ -28,6 +31,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sized(written: DataFrame, most: int = MANY) -> DataFrame:
+    """``written``, to be joined by a merge if it has over ``most`` rows.
+
+    Spark broadcasts by the size of the files, in which keys that repeat or follow each other take next to nothing; as rows in
+    memory they take all their bytes.
+    """
+    return written.hint("merge") if written.count() > most else written
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The texts of an Arrow batch, null as the empty text."""
     return [t or "" for t in batch.column(column).to_pylist()]

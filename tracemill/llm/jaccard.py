@@ -9,6 +9,10 @@ hub) of the bucket that it shares most with, then whatever may be similar enough
 keep pairs from being made: the shingles that only one of the nodes left has are in no intersection; and two nodes with one hub
 share at most the hub's shingles that neither lacks, those both lack being counted by bit maps. So a group of copies takes about
 as many comparisons as it has members, and copies with different edits of their own aren't compared with each other.
+
+Spark takes a table with several buckets for each node for as large as the nodes, and a written one for as large as its files, in which keys
+that repeat take next to nothing. So tables that grow with the documents are joined by a merge, and with texts or sets of
+shingles, which are better left where they are, if sized() finds them large.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.llm import simhash
-from tracemill.llm._shared import discard, parked, texts_of
+from tracemill.llm._shared import discard, parked, sized, texts_of
 from tracemill.llm.simhash import SEED, components, one_of_each
 
 BANDS, ROWS = 24, 4
@@ -129,14 +133,14 @@ def _sides(held: DataFrame, u: str, v: str) -> tuple[DataFrame, DataFrame]:
 def compared(held: DataFrame, pairs: DataFrame, least: tuple[int, int]) -> DataFrame:
     """Those of ``pairs`` (u, v) whose sets in ``held`` (key, held) are similar enough."""
     a, b = _sides(held, "u", "v")
-    return parked(pairs.join(a, "u").join(b, "v").filter(_close(least)).select("u", "v"), "links")
+    return parked(sized(pairs).join(a, "u").join(b, "v").filter(_close(least)).select("u", "v"), "links")
 
 
 def against_hubs(held: DataFrame, star: DataFrame, least: tuple[int, int]) -> DataFrame:
     """``star`` (key, hub) with close, hub_size, lack (how many of the hub's shingles the node lacks) and map0 to map3: 256 bits,
     each set if one of those shingles falls on it."""
     a, b = _sides(held, "key", "hub")
-    rows = star.join(a, "key").join(b, "hub").select("key", "hub", _close(least).alias("close"), F.size("b").alias("hub_size"), F.array_except("b", "a").alias("gone"))
+    rows = sized(star).join(a, "key").join(b, "hub").select("key", "hub", _close(least).alias("close"), F.size("b").alias("hub_size"), F.array_except("b", "a").alias("gone"))
     maps = [F.expr(f"aggregate(filter(gone, x -> (x & 192) = {k << 6}), 0L, (m, x) -> m | shiftleft(1L, cast(x & 63 AS int)))").alias(f"map{k}") for k in range(4)]
     return parked(rows.select("key", "hub", "close", "hub_size", F.size("gone").alias("lack"), *maps), "stars")
 
@@ -145,10 +149,10 @@ def anchored(each: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs (u, v), u < v, of the nodes ``each`` (key, fp) by their fingerprints, of which a node stands for all that share its own:
     all pairs within DISTANCE bits; and of each node one, besides the pair with the node that stands for it."""
     prints = parked(each.groupBy("fp").agg(F.min("key").alias("key")), "prints")
-    side = lambda c: prints.select(F.col("fp").alias(c), F.col("key").alias("key_" + c))
+    side = lambda c: prints.select(F.col("fp").alias(c), F.col("key").alias("key_" + c)).hint("merge")
     found = simhash.links(prints, DISTANCE).join(side("u"), "u").join(side("v"), "v")
     near = parked(found.select(F.least("key_u", "key_v").alias("u"), F.greatest("key_u", "key_v").alias("v")), "near-prints")
-    same = each.select("fp", F.col("key").alias("v")).join(prints, "fp").filter(F.col("key") < F.col("v")).select(F.col("key").alias("u"), "v")
+    same = each.select("fp", F.col("key").alias("v")).join(prints.hint("merge"), "fp").filter(F.col("key") < F.col("v")).select(F.col("key").alias("u"), "v")
     tries = parked(near.groupBy("v").agg(F.min("u").alias("u")).select("u", "v").unionByName(same), "tries")
     discard(prints)
     return near, tries
@@ -186,14 +190,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, least: tuple[int, int] =
     near, tries = anchored(each.filter("size > 0").select("key", "fp"))
     rows = each.filter("size > 0").select("key", F.explode("bands").alias("bucket"))
     many = parked(rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
-    at = parked(rows.join(many, "bucket"), "members")
+    at = parked(rows.join(many.hint("merge"), "bucket"), "members")
     # first each node with one hub: the best connected member of the bucket it shares most with
     degree = at.groupBy("key").agg(F.sum("n").alias("degree"))
-    hubs = at.join(degree, "key").groupBy("bucket").agg(F.max(F.struct("degree", "key")).alias("hub"))
-    shared = at.join(hubs, "bucket").filter(F.col("hub.key") != F.col("key")).groupBy("key", "hub").agg(F.count("*").alias("n"))
+    hubs = at.join(degree.hint("merge"), "key").groupBy("bucket").agg(F.max(F.struct("degree", "key")).alias("hub"))
+    shared = at.join(hubs.hint("merge"), "bucket").filter(F.col("hub.key") != F.col("key")).groupBy("key", "hub").agg(F.count("*").alias("n"))
     star = shared.groupBy("key").agg(F.max(F.struct("n", "hub")).alias("m")).select("key", F.col("m.hub.key").alias("hub"))
     star = parked(star, "star")
-    sets = lambda keys: parked(sets_of(docs, each.join(keys, "key", "left_semi").select("key", "low"), shingle, id_col, text_col), "sets")
+    sets = lambda keys: parked(sets_of(docs, each.join(keys.hint("merge"), "key", "left_semi").select("key", "low"), shingle, id_col, text_col), "sets")
     ends_of = lambda df, *cs: df.select(F.explode(F.array(*cs)).alias("key"))
     tried = sets(ends_of(star, "key", "hub").unionByName(ends_of(tries, "u", "v")).distinct())
     stars = against_hubs(tried, star, least)
@@ -205,21 +209,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, least: tuple[int, int] =
     def open_of(members: DataFrame) -> DataFrame:
         """The members of buckets that hold several components."""
         mixed = members.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("bucket")
-        return parked(members.join(mixed, "bucket"), "open-members")
+        return parked(members.join(mixed.hint("merge"), "bucket"), "open-members")
 
     # then the members of a bucket that aren't in one component yet
-    apart = at.select("bucket", "key").join(roots, F.col("key") == F.col("node"), "left").select("bucket", "key", F.coalesce("root", "key").alias("root"))
+    apart = at.select("bucket", "key").join(roots.hint("merge"), F.col("key") == F.col("node"), "left").select("bucket", "key", F.coalesce("root", "key").alias("root"))
     members = parked(apart, "roots-of-members")
     left_over = open_of(members)
-    nodes = parked(each.join(left_over.select("key").distinct(), "key", "left_semi").select("key", "size", "bands", "lows"), "nodes")
-    name = lambda df, c: df.join(roots.select(F.col("node").alias(c), F.col("root").alias("r" + c)), c, "left").withColumn("r" + c, F.coalesce("r" + c, c))
+    nodes = parked(each.join(left_over.select("key").distinct().hint("merge"), "key", "left_semi").select("key", "size", "bands", "lows"), "nodes")
+    name = lambda df, c: df.join(roots.select(F.col("node").alias(c), F.col("root").alias("r" + c)).hint("merge"), c, "left").withColumn("r" + c, F.coalesce("r" + c, c))
     beside = parked(name(name(near, "u"), "v").filter("ru != rv").select("u", "v"), "prints-apart")
     held = sets(nodes.select("key").unionByName(ends_of(beside, "u", "v")).distinct())
     own = parked(able(nodes, held, least), "able")
     # a hub, or a node that no hub was found for, is the hub of its own group and lacks nothing of itself
-    group = stars.drop("close").join(stars.select(F.col("hub").alias("key")).distinct(), "key", "left_anti")
+    group = stars.drop("close").join(stars.select(F.col("hub").alias("key")).distinct().hint("merge"), "key", "left_anti")
     none = {"hub": F.col("key"), "hub_size": F.col("size"), "lack": F.lit(0), **{f"map{k}": F.lit(0).cast("long") for k in range(4)}}
-    known = nodes.join(own, "key").join(group, "key", "left").withColumns({c: F.coalesce(c, e) for c, e in none.items()}).join(left_over.select("key", "root").distinct(), "key")
+    known = nodes.join(own.hint("merge"), "key").join(group.hint("merge"), "key", "left").withColumns({c: F.coalesce(c, e) for c, e in none.items()}).join(left_over.select("key", "root").distinct().hint("merge"), "key")
     last = parked(known, "left-over")
     side = lambda df, x: df.select(*[F.col(c).alias(c if c == "bucket" else c + x) for c in df.columns])
     top, bottom = least
@@ -233,24 +237,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, least: tuple[int, int] =
     # the part of the intersection that the hub has, and the part that it hasn't
     within = F.col("hub_size1") - F.col("lack1") - F.col("lack2") + both_lack
     beyond = F.least(*[F.col(f"size{x}") - (F.col(f"hub_size{x}") - F.col(f"lack{x}")) - F.col(f"own{x}") for x in (1, 2)])
-    kin = side(last.drop("bands"), "1").withColumnRenamed("hub1", "hub").join(side(last.drop("bands"), "2").withColumnRenamed("hub2", "hub"), "hub").filter(may & enough(within + F.greatest(beyond, F.lit(0))))
-    mixed = open_of(left_over.drop("root").join(last, "key"))
+    kin = side(last.drop("bands"), "1").withColumnRenamed("hub1", "hub").join(side(last.drop("bands"), "2").withColumnRenamed("hub2", "hub").hint("merge"), "hub").filter(may & enough(within + F.greatest(beyond, F.lit(0))))
+    mixed = open_of(left_over.drop("root").join(last.hint("merge"), "key"))
     # of the buckets that a pair shares, one gives it
     here = F.array_min(F.array_intersect("bands1", "bands2")) == F.col("bucket")
-    unlike = side(mixed, "1").join(side(mixed, "2"), "bucket").filter((F.col("hub1") != F.col("hub2")) & may & here)
+    unlike = side(mixed, "1").join(side(mixed, "2").hint("merge"), "bucket").filter((F.col("hub1") != F.col("hub2")) & may & here)
     ends = [F.col(f"key{x}").alias(c) for x, c in ((1, "u"), (2, "v"))]
     pairs = parked(kin.select(*ends).unionByName(unlike.select(*ends)).unionByName(beside).distinct(), "pairs")
     more = compared(held, pairs, least)
     # the new links join components, each of which is one node of a smaller graph
     above = components(name(name(more, "u"), "v").select(F.col("ru").alias("u"), F.col("rv").alias("v")))
     up = above.select(F.col("node").alias("root"), F.col("root").alias("top"))
-    lone = up.join(roots.select("root").distinct(), "root", "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root"))
-    roots = parked(roots.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root")).unionByName(lone), "roots")
-    named = each.join(roots, each.key == roots.node, "left").select("key", "low", F.coalesce("root", "key").alias("root"))
-    linked = named.join(roots.select("root").distinct(), "root").groupBy("root").agg(F.min("low").alias("component_id"))
-    final = parked(named.join(linked, "root", "left").select("key", F.coalesce("component_id", "low").alias("component_id")), "components")
+    lone = up.join(roots.select("root").distinct().hint("merge"), "root", "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root"))
+    roots = parked(roots.join(up.hint("merge"), "root", "left").select("node", F.coalesce("top", "root").alias("root")).unionByName(lone), "roots")
+    named = each.join(roots.hint("merge"), each.key == roots.node, "left").select("key", "low", F.coalesce("root", "key").alias("root"))
+    linked = named.join(roots.select("root").distinct().hint("merge"), "root").groupBy("root").agg(F.min("low").alias("component_id"))
+    final = parked(named.join(linked.hint("merge"), "root", "left").select("key", F.coalesce("component_id", "low").alias("component_id")), "components")
     discard(each, near, alike, beside, many, at, star, stars, members, left_over, nodes, held, own, last, pairs, more)
-    return found.select("id", "key").join(final, "key").select(F.col("id").alias(id_col), F.col("key").alias("fingerprint"), "component_id")
+    return found.select("id", "key").join(final.hint("merge"), "key").select(F.col("id").alias(id_col), F.col("key").alias("fingerprint"), "component_id")
 
 
 def deduplicated(docs: DataFrame, shingle: int = 5, least: tuple[int, int] = (4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

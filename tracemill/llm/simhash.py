@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm._shared import discard, parked, texts_of
+from tracemill.llm._shared import discard, parked, sized, texts_of
 
 SEED = 42
 
@@ -183,11 +183,11 @@ def one_of_each(docs: DataFrame, near: DataFrame, marks: Callable[[DataFrame], D
     near = parked(near, "near-duplicates")
     again = parked(near.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_again")).count().filter("count > 1").select("_again"), "repeated-ids")
     # those that go are fewer than those that stay, and few enough to be broadcast if copies are rare
-    gone = near.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).unionByName(again.withColumnRenamed("_again", "_gone")).distinct()
+    gone = parked(near.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).unionByName(again.withColumnRenamed("_again", "_gone")).distinct(), "gone")
     named = docs.filter(F.col(id_col).isNotNull())
-    first = named.join(gone, named[id_col] == gone["_gone"], "left_anti")
+    first = named.join(sized(gone), named[id_col] == gone["_gone"], "left_anti")
     if not again.isEmpty():
-        rows = named.join(again, named[id_col] == again["_again"], "left_semi")
+        rows = named.join(sized(again), named[id_col] == again["_again"], "left_semi")
         marked = marks(rows.select(F.struct(*docs.columns).alias("row"), text_col)).select("id", F.col("id")[id_col].alias("_id"), "fingerprint")
         stay = near.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_id"), "fingerprint").distinct()
         one = marked.join(stay, ["_id", "fingerprint"], "left_semi").dropDuplicates(["_id", "fingerprint"])
